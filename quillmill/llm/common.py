@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +132,50 @@ def in_steps(texts: list[str | None], size: int = STEP_BYTES) -> Iterator[tuple[
         yield start, len(texts)
 
 
+# ---------------------------------------------------------------- a filter of fixed size
+
+#: Bits of the filter (8 MB), in the slices that tasks send. When it fills up, it lets more through and stays right.
+BLOOM_BITS, BLOOM_SLICE = 1 << 26, 1 << 19
+
+
+def _bits(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    m = mix(a)
+    return (m >> np.uint64(38)).astype(np.int64), ((m & np.uint64(0xFFFFFFFF)) >> np.uint64(6)).astype(np.int64)
+
+
+def _bloom_slices(batches):
+    have = np.zeros(BLOOM_BITS // 8, np.uint8)
+    for b in batches:
+        for bit in _bits(b.column("key").to_numpy(zero_copy_only=False).view(np.uint64)):
+            np.bitwise_or.at(have, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+    size = BLOOM_SLICE // 8
+    full = [i for i in range(BLOOM_BITS // BLOOM_SLICE) if have[i * size : (i + 1) * size].any()]
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([have[i * size : (i + 1) * size].tobytes() for i in full], pa.binary())], names=["slice", "bits"])
+
+
+def _or_slices(batches):
+    have: dict[int, np.ndarray] = {}
+    for b in batches:
+        for i, c in zip(b.column("slice").to_pylist(), b.column("bits").to_pylist(), strict=True):
+            c = np.frombuffer(c, np.uint8)
+            have[i] = have[i] | c if i in have else c
+    yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int32()), pa.array([c.tobytes() for c in have.values()], pa.binary())], names=["slice", "bits"])
+
+
+def bloom_of(keys: DataFrame) -> np.ndarray:
+    """The filter of ``keys(key long)`` as bytes: slices are united on the executors; the driver gets the 8 MB that remain."""
+    out, size = np.zeros(BLOOM_BITS // 8, np.uint8), BLOOM_SLICE // 8
+    per_task = keys.mapInArrow(_bloom_slices, "slice int, bits binary").repartition(F.col("slice"))
+    for r in per_task.mapInArrow(_or_slices, "slice int, bits binary").toLocalIterator():
+        out[r["slice"] * size : (r["slice"] + 1) * size] |= np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def in_bloom(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    x, y = _bits(keys)
+    return ((bits[x >> 3] >> (x & 7)) & (bits[y >> 3] >> (y & 7)) & 1).astype(bool)
+
+
 # ---------------------------------------------------------------- connected components
 
 

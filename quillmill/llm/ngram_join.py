@@ -1,6 +1,7 @@
 """N-gram Jaccard join by vertical partitioning.
 
-All n-grams stand in one global order (rarest first, by a document-frequency sketch over every document). Two sets with
+All n-grams stand in one global order: by a document-frequency sketch over every document, rarest first, with those that
+a first round of prefixes found shared moved to the end. Two sets with
 Jaccard similarity >= t share an n-gram among the first ``size - ceil(t*size) + 1`` of each, so those prefixes, and
 nothing else of the sets, are shuffled to find which documents may meet. Documents that may meet, directly or through
 others, form a *field*. In a field the order is cut into fragments; each fragment counts the partial overlaps of one
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import connected_components, in_steps, mix, settle, shingle_hashes, word_hashes, work_dir
+from quillmill.llm.common import bloom_of, connected_components, in_bloom, in_steps, mix, settle, shingle_hashes, word_hashes, work_dir
 
 #: Buckets of the document-frequency sketch: 4 MB, whatever the input. It orders n-grams; it never decides a link.
 BUCKETS, SLICE = 1 << 20, 1 << 12
@@ -83,11 +84,12 @@ def prefix_length(size: int, num: int, den: int) -> int:
     return size - -(-num * size // den) + 1
 
 
-def _prefixes(n: int, num: int, den: int, ranks):
-    """(gram, s1, s2) for each document's prefix in the global order; copies within a task are named once."""
+def _prefixes(n: int, num: int, den: int, ranks, demoted=None):
+    """(gram, s1, s2) for each document's prefix in the global order; copies within a task are named once. N-grams in
+    the filter ``demoted`` come last in the order."""
 
     def run(batches):
-        rank, seen = ranks.value, set()
+        rank, late, seen = ranks.value, demoted and demoted.value, set()
         for batch in batches:
             grams, s1, s2 = [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), n):
@@ -95,9 +97,10 @@ def _prefixes(n: int, num: int, den: int, ranks):
                     continue
                 seen.add(sig)
                 key = (rank[(s >> np.uint64(44)).astype(np.int64)] << np.uint64(56)) | (s & _LOW56)
+                if late is not None:
+                    key = key | (in_bloom(late, key).astype(np.uint64) << np.uint64(63))
                 p = prefix_length(len(s), num, den)
-                key = np.sort(np.partition(key, p - 1)[:p])
-                grams.append(key.view(np.int64))
+                grams.append(np.partition(key, p - 1)[:p].view(np.int64))
                 s1.append(np.full(p, sig[0], np.int64))
                 s2.append(np.full(p, sig[1], np.int64))
             if grams:
@@ -193,11 +196,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     slices = found.where("slice is not null").select("slice", "counts")
     for r in slices.repartition(F.col("slice")).mapInArrow(_sum_slices, "slice int, counts binary").toLocalIterator():
         counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] += np.frombuffer(r["counts"], np.uint32)
-    ranks = spark.sparkContext.broadcast(np.minimum(255, 8 * np.log2(counts + 1)).astype(np.uint64))
+    ranks = spark.sparkContext.broadcast(np.minimum(127, 4 * np.log2(counts + 1)).astype(np.uint64))
 
     sized = found.where("slice is null").select("id", "size", "s1", "s2")
     classes = sized.where("size > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.min("size").alias("size"))
-    grams = base.where("id is not null").mapInArrow(_prefixes(n, num, den, ranks), "gram long, s1 long, s2 long")
+    # first round: n-grams that prefixes share; they go to the end of the order, so that in the second round prefixes
+    # meet by them only where nothing rarer is left, as in near copies
+    some, schema = base.where("id is not null"), "gram long, s1 long, s2 long"
+    first = some.mapInArrow(_prefixes(n, num, den, ranks), schema).groupBy("gram").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"))
+    demoted = spark.sparkContext.broadcast(bloom_of(first.where("lo <> hi").select(F.col("gram").alias("key"))))
+    grams = some.mapInArrow(_prefixes(n, num, den, ranks, demoted), schema)
     by = Window.partitionBy("gram")
     shared = grams.withColumn("lo", F.min(F.struct("s1", "s2")).over(by)).withColumn("hi", F.max(F.struct("s1", "s2")).over(by)).where("lo <> hi")
     shared = settle(shared.select("s1", "s2", F.col("lo.s1").alias("t1"), F.col("lo.s2").alias("t2")).where("s1 <> t1 or s2 <> t2").distinct(), f"{root}/meet")

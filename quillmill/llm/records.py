@@ -87,7 +87,7 @@ def read_at(uri: str, index_uri: str, k: int) -> tuple[int | None, np.ndarray]:
         return unpack_ids(read_frame(f))
 
 
-_MANIFEST = "part int, path string, index string, records long, tokens long, bytes long"
+_MANIFEST = "part int, path string, index_path string, records long, tokens long, bytes long"
 
 
 def _write(folder: str, path: str, end_id: int):
@@ -108,14 +108,14 @@ def _write(folder: str, path: str, end_id: int):
                     at += len(data)
                     records += 1
                     tokens += len(ids)
-        yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{stem}.bin", "index": f"{stem}.idx", "records": records, "tokens": tokens, "bytes": at}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("index", pa.string()), ("records", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
+        yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{stem}.bin", "index_path": f"{stem}.idx", "records": records, "tokens": tokens, "bytes": at}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("index_path", pa.string()), ("records", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
 
     return run
 
 
 def write_token_records(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
     """Encode every text, append ``end_id``, and write shards in ascending id order (null ids first, repeated ids by
-    their text's hash). Returns the manifest ``(part, path, index, records, tokens, bytes, start, first)``, where
+    their text's hash). Returns the manifest ``(part, path, index_path, records, tokens, bytes, start, first)``, where
     ``start`` and ``first`` count the tokens and records of all shards before. Null texts are their end id alone; an
     empty table gives an empty manifest or empty shards; extra columns are ignored.
     """
@@ -169,4 +169,4 @@ def read_token_records(spark: SparkSession, manifest: DataFrame, with_ids: bool
     ``start`` count records and ids before it over all shards. A shard is one task's work."""
     schema = "id long, record long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     shards = manifest.select("part", "path", "start", "first")
-    return shards.repartition(F.col("part")).mapInArrow(_read(with_ids), schema)
+    return shards.repartition(max(1, manifest.count()), "part").mapInArrow(_read(with_ids), schema)

@@ -20,11 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import in_steps, mix, settle, shingle_hashes, window_hashes, word_hashes, work_dir
+from quillmill.llm.common import bloom_of, in_bloom, in_steps, settle, shingle_hashes, window_hashes, word_hashes, work_dir
 
 WINDOW, ANCHOR = 35, 8
-#: Bits of the filter of repeated anchors (8 MB), in slices that tasks send.
-BLOOM_BITS, BLOOM_SLICE = 1 << 26, 1 << 19
 _W40 = np.uint64((1 << 40) - 1)
 
 
@@ -77,39 +75,6 @@ def _anchor_counts(window: int):
     return run
 
 
-def _bits(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    m = mix(a)
-    return (m >> np.uint64(38)).astype(np.int64), ((m & np.uint64(0xFFFFFFFF)) >> np.uint64(6)).astype(np.int64)
-
-
-def _bloom_slices(batches):
-    have = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for b in batches:
-        for bit in _bits(b.column("anchor").to_numpy(zero_copy_only=False).view(np.uint64)):
-            np.bitwise_or.at(have, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
-    size = BLOOM_SLICE // 8
-    full = [i for i in range(BLOOM_BITS // BLOOM_SLICE) if have[i * size : (i + 1) * size].any()]
-    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([have[i * size : (i + 1) * size].tobytes() for i in full], pa.binary())], names=["slice", "bits"])
-
-
-def _or_slices(batches):
-    have: dict[int, np.ndarray] = {}
-    for b in batches:
-        for i, c in zip(b.column("slice").to_pylist(), b.column("bits").to_pylist(), strict=True):
-            c = np.frombuffer(c, np.uint8)
-            have[i] = have[i] | c if i in have else c
-    yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int32()), pa.array([c.tobytes() for c in have.values()], pa.binary())], names=["slice", "bits"])
-
-
-def bloom_of(repeated: DataFrame) -> np.ndarray:
-    """The filter as bytes: slices are united on the executors; the driver gets the 8 MB that remain."""
-    out, size = np.zeros(BLOOM_BITS // 8, np.uint8), BLOOM_SLICE // 8
-    per_task = repeated.mapInArrow(_bloom_slices, "slice int, bits binary").repartition(F.col("slice"))
-    for r in per_task.mapInArrow(_or_slices, "slice int, bits binary").toLocalIterator():
-        out[r["slice"] * size : (r["slice"] + 1) * size] |= np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
 def _ranges(at: np.ndarray) -> bytes:
     """Sorted window starts as (first, last + 1) pairs."""
     cut = np.flatnonzero(np.diff(at) != 1)
@@ -133,8 +98,7 @@ def _segments(window: int, bloom):
                 seen[key] = seen.get(key, 0) + 1
                 if seen[key] > 2:  # the second copy makes every window of both a repeat; further ones add nothing
                     continue
-                x, y = _bits(anc)
-                at = np.flatnonzero((bits[x >> 3] >> (x & 7)) & (bits[y >> 3] >> (y & 7)) & 1)
+                at = np.flatnonzero(in_bloom(bits, anc))
                 if len(at):
                     rows.append(np.full(len(at), row))
                     wins.append(win[at])
@@ -237,7 +201,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(7)).alias("t2"))
     some = base.where("text is not null").select("t1", "t2", "text")
     counts = some.mapInArrow(_anchor_counts(window), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n"))
-    bloom = spark.sparkContext.broadcast(bloom_of(counts.where("n > 1").select("anchor")))
+    bloom = spark.sparkContext.broadcast(bloom_of(counts.where("n > 1").select(F.col("anchor").alias("key"))))
     found = settle(some.mapInArrow(_segments(window, bloom), _SEGMENT), f"{root}/segments")
     asked = found.where("anchor is not null").repartition(F.col("anchor")).sortWithinPartitions("anchor")
     spans = asked.mapInArrow(_look_up, "t1 long, t2 long, ranges binary").union(found.where("anchor is null").select("t1", "t2", F.col("windows").alias("ranges")))

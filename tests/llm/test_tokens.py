@@ -78,7 +78,7 @@ def test_records_round_trip(spark):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), crc(ids)) and np.frombuffer(r.ids, "<u4").tolist() == ids
         at += len(ids)
     m = max(manifest.collect(), key=lambda r: r.records)
-    i, ids = read_at(m.path, m.index, m.records - 1)
+    i, ids = read_at(m.path, m.index_path, m.records - 1)
     assert (i, crc(ids)) == next((r.id, r.ids_crc32) for r in out if r.record == m.first + m.records - 1)
     assert read_token_records(spark, write_token_records(frame_of(spark).limit(0), shards=2)).count() == 0
 
