@@ -3,7 +3,7 @@
 All n-grams stand in one global order: by a document-frequency sketch over every document, rarest first, with those that
 a first round of prefixes found shared moved to the end. Two sets with
 Jaccard similarity >= t share an n-gram among the first ``size - ceil(t*size) + 1`` of each, so those prefixes, and
-nothing else of the sets, are shuffled to find which documents may meet. Documents that may meet, directly or through
+nothing else of the sets, are shuffled to find which documents may meet; the places at which they share one bound the sizes that can. Documents that may meet, directly or through
 others, form a *field*. In a field the order is cut into fragments; each fragment counts the partial overlaps of one
 document with the others, the parts are summed per pair, and pairs that can no longer reach the bound leave early.
 
@@ -39,12 +39,25 @@ def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
             yield np.unique(shingle_hashes(words[at[i] : at[i + 1]], n))
 
 
+#: Low bits of a signature's second half: the set's size (this or more when all are set).
+SIZE_BITS, REACH_BITS = 20, 8
+_SIZE = (1 << SIZE_BITS) - 1
+
+
 def signature(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums over the set: equal sets, equal signatures."""
+    """Two sums over the set, 64 and 36 bits, then its size and 8 free bits: equal sets, equal signatures."""
     with np.errstate(over="ignore"):
         a = mix(s).sum(dtype=np.uint64)
         b = mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+    b = (int(b) >> (SIZE_BITS + REACH_BITS) << SIZE_BITS | min(len(s), _SIZE)) << REACH_BITS
+    return int(a.astype(np.int64)), b - (1 << 64) * (b >> 63)
+
+
+def reach(size: int, positions: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The largest partner of a set of ``size`` whose first common n-gram stands at each position of its order, as a
+    share of ``size`` in 200ths, rounded up: what is left, size - position, must hold the least overlap."""
+    largest = (size - positions) * (num + den) / num - size
+    return np.minimum(255, np.ceil(largest * 200 / size) + 1).astype(np.int64)
 
 
 def _profile(n: int):
@@ -85,8 +98,8 @@ def prefix_length(size: int, num: int, den: int) -> int:
 
 
 def _prefixes(n: int, num: int, den: int, ranks, demoted=None):
-    """(gram, s1, s2) for each document's prefix in the global order; copies within a task are named once. N-grams in
-    the filter ``demoted`` come last in the order."""
+    """(gram, s1, s2) for each document's prefix in the global order, the reach of the position in the low bits of s2;
+    copies within a task are named once. N-grams in the filter ``demoted`` come last in the order."""
 
     def run(batches):
         rank, late, seen = ranks.value, demoted and demoted.value, set()
@@ -100,9 +113,9 @@ def _prefixes(n: int, num: int, den: int, ranks, demoted=None):
                 if late is not None:
                     key = key | (in_bloom(late, key).astype(np.uint64) << np.uint64(63))
                 p = prefix_length(len(s), num, den)
-                grams.append(np.partition(key, p - 1)[:p].view(np.int64))
+                grams.append(np.sort(np.partition(key, p - 1)[:p]).view(np.int64))
                 s1.append(np.full(p, sig[0], np.int64))
-                s2.append(np.full(p, sig[1], np.int64))
+                s2.append(sig[1] | reach(len(s), np.arange(p), num, den))
             if grams:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, s1, s2)], names=["gram", "s1", "s2"])
 
@@ -171,6 +184,18 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], num: int, den: int, f
                 yield ids[v], ids[seed]
 
 
+def _only(wanted):
+    """Rows that a tile may want: the others' texts are not shuffled."""
+
+    def run(batches):
+        for b in batches:
+            hit = in_bloom(wanted.value, b.column("id").to_numpy().view(np.uint64))
+            if hit.any():
+                yield b.filter(pa.array(hit))
+
+    return run
+
+
 def _tile(n: int, num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_pylist()
@@ -206,9 +231,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = some.mapInArrow(_prefixes(n, num, den, ranks), schema).groupBy("gram").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"))
     demoted = spark.sparkContext.broadcast(bloom_of(first.where("lo <> hi").select(F.col("gram").alias("key"))))
     grams = some.mapInArrow(_prefixes(n, num, den, ranks, demoted), schema)
-    by = Window.partitionBy("gram")
-    shared = grams.withColumn("lo", F.min(F.struct("s1", "s2")).over(by)).withColumn("hi", F.max(F.struct("s1", "s2")).over(by)).where("lo <> hi")
-    shared = settle(shared.select("s1", "s2", F.col("lo.s1").alias("t1"), F.col("lo.s2").alias("t2")).where("s1 <> t1 or s2 <> t2").distinct(), f"{root}/meet")
+    # in order of size, a set meets the one before it if any before it reaches its size: so do all that may be similar
+    size = F.shiftright("s2", REACH_BITS).bitwiseAND(_SIZE)
+    far = F.when(size == _SIZE, F.lit(float("inf"))).otherwise(size * F.col("s2").bitwiseAND(255) / 200)
+    by = Window.partitionBy("gram").orderBy("size", "s1", "s2")
+    met = grams.withColumn("size", size).withColumn("far", F.max(far).over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    met = met.withColumn("t1", F.lag("s1").over(by)).withColumn("t2", F.lag("s2").over(by)).where("far >= size")
+    bare = lambda c: F.shiftleft(F.shiftright(c, REACH_BITS), REACH_BITS).alias(c)
+    shared = settle(met.select("s1", bare("s2"), "t1", bare("t2")).where("s1 <> t1 or s2 <> t2").distinct(), f"{root}/meet")
     other = classes.select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("rep").alias("b"))
     meet = shared.join(classes.select("s1", "s2", F.col("rep").alias("a")), ["s1", "s2"]).join(other, ["t1", "t2"]).select("a", "b")
 
@@ -218,7 +248,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     c = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     tiles = members.join(chunks, "component").withColumn("c", c).select("node", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j")))).alias("t"))
     tiles = settle(tiles.select(F.col("node").alias("id"), "component", F.col("t.i").alias("i"), F.col("t.j").alias("j")), f"{root}/tiles")
-    texts = tiles.join(base, "id")
+    wanted = spark.sparkContext.broadcast(bloom_of(tiles.select(F.col("id").alias("key")).distinct()))
+    texts = base.where("id is not null").mapInArrow(_only(wanted), "id long, text string").join(tiles, "id")
     links = settle(texts.groupBy("component", "i", "j").applyInArrow(_tile(n, num, den), "a long, b long"), f"{root}/links")
     joined = connected_components(links, f"{root}/cc")
 
