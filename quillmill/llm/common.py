@@ -6,9 +6,11 @@ a lost executor costs a re-read and nothing else.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised hashing step takes at once; bounds the scratch arrays, not the documents.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 
 
 # ---------------------------------------------------------------- durable tables
@@ -63,14 +65,16 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1024)
+        size = max(n, 1 << 16)
         out = np.ones(size, np.uint64)
         done = 1
         while done < size:
             step = min(done, size - done)
             out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
             done += step
-        have = _powers[base] = out
+        have = out
+        if size <= 4 * STEP_BYTES:  # a very long text's powers aren't kept
+            _powers[base] = out
     return have[:n]
 
 
@@ -227,7 +231,20 @@ def with_running_sum(df: DataFrame, order: list, value: str, name: str) -> DataF
     return df.withColumn("_in", F.coalesce(inside, F.lit(0))).join(F.broadcast(before), "part").withColumn(name, F.col("_before") + F.col("_in")).drop("_in", "_before")
 
 
-def rows_of(batches: Iterable, columns: list[str]) -> Iterator[tuple]:
-    """Columns of each Arrow batch as lists."""
-    for b in batches:
-        yield tuple(b.column(c).to_pylist() for c in columns)
+def tidy(run):
+    """A function over Arrow batches that hands its memory back when its task ends: workers outlive tasks and stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+

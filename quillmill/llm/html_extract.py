@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.llm.common import tidy
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=\"'>/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
@@ -270,5 +272,5 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """``(id, url, text, n_chars)``, one row per page. Null and empty pages, and pages without text, give an empty text;
     ids and urls may be null or repeated; extra columns are ignored; nesting of any depth is read."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    out = rows.mapInArrow(_extract, "id long, url string, text string")
+    out = rows.mapInArrow(tidy(_extract), "id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

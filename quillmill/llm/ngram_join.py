@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import bloom_of, connected_components, in_bloom, in_steps, mix, settle, shingle_hashes, word_hashes, work_dir
+from quillmill.llm.common import bloom_of, connected_components, in_bloom, in_steps, mix, settle, shingle_hashes, tidy, word_hashes, work_dir
 
 #: Buckets of the document-frequency sketch: 4 MB, whatever the input. It orders n-grams; it never decides a link.
 BUCKETS, SLICE = 1 << 20, 1 << 12
@@ -216,7 +216,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     root = work_dir(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = settle(base.mapInArrow(_profile(n), "id long, size long, s1 long, s2 long, slice int, counts binary"), f"{root}/profile")
+    found = settle(base.mapInArrow(tidy(_profile(n)), "id long, size long, s1 long, s2 long, slice int, counts binary"), f"{root}/profile")
     counts = np.zeros(BUCKETS, np.int64)
     slices = found.where("slice is not null").select("slice", "counts")
     for r in slices.repartition(F.col("slice")).mapInArrow(_sum_slices, "slice int, counts binary").toLocalIterator():
@@ -228,9 +228,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # first round: n-grams that prefixes share; they go to the end of the order, so that in the second round prefixes
     # meet by them only where nothing rarer is left, as in near copies
     some, schema = base.where("id is not null"), "gram long, s1 long, s2 long"
-    first = some.mapInArrow(_prefixes(n, num, den, ranks), schema).groupBy("gram").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"))
+    first = some.mapInArrow(tidy(_prefixes(n, num, den, ranks)), schema).groupBy("gram").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"))
     demoted = spark.sparkContext.broadcast(bloom_of(first.where("lo <> hi").select(F.col("gram").alias("key"))))
-    grams = some.mapInArrow(_prefixes(n, num, den, ranks, demoted), schema)
+    grams = some.mapInArrow(tidy(_prefixes(n, num, den, ranks, demoted)), schema)
     # in order of size, a set meets the one before it if any before it reaches its size: so do all that may be similar
     size = F.shiftright("s2", REACH_BITS).bitwiseAND(_SIZE)
     far = F.when(size == _SIZE, F.lit(float("inf"))).otherwise(size * F.col("s2").bitwiseAND(255) / 200)
@@ -249,7 +249,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tiles = members.join(chunks, "component").withColumn("c", c).select("node", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j")))).alias("t"))
     tiles = settle(tiles.select(F.col("node").alias("id"), "component", F.col("t.i").alias("i"), F.col("t.j").alias("j")), f"{root}/tiles")
     wanted = spark.sparkContext.broadcast(bloom_of(tiles.select(F.col("id").alias("key")).distinct()))
-    texts = base.where("id is not null").mapInArrow(_only(wanted), "id long, text string").join(tiles, "id")
+    texts = base.where("id is not null").mapInArrow(tidy(_only(wanted)), "id long, text string").join(tiles, "id")
     links = settle(texts.groupBy("component", "i", "j").applyInArrow(_tile(n, num, den), "a long, b long"), f"{root}/links")
     joined = connected_components(links, f"{root}/cc")
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import settle, work_dir
+from quillmill.llm.common import settle, tidy, work_dir
 from quillmill.llm.tokens import default_path, encoder
 
 END_ID = 2
@@ -126,7 +126,7 @@ def write_token_records(docs: DataFrame, folder: str | None = None, id_col: str
     base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     tie = F.xxhash64("text")
     ordered = base.repartitionByRange(shards, "id", tie).sortWithinPartitions("id", tie)
-    manifest = settle(ordered.mapInArrow(_write(folder or f"{root}/records", path or default_path(), end_id), _MANIFEST), f"{root}/manifest")
+    manifest = settle(ordered.mapInArrow(tidy(_write(folder or f"{root}/records", path or default_path(), end_id)), _MANIFEST), f"{root}/manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return manifest.select("*", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start"), F.coalesce(F.sum("records").over(before), F.lit(0)).alias("first"))
 
@@ -169,4 +169,4 @@ def read_token_records(spark: SparkSession, manifest: DataFrame, with_ids: bool
     ``start`` count records and ids before it over all shards. A shard is one task's work."""
     schema = "id long, record long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     shards = manifest.select("part", "path", "start", "first")
-    return shards.repartition(max(1, manifest.count()), "part").mapInArrow(_read(with_ids), schema)
+    return shards.repartition(max(1, manifest.count()), "part").mapInArrow(tidy(_read(with_ids)), schema)

@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: Chunks that a worker remembers in each of two generations (about 200 MB in all).
-MEMO = 400_000
+MEMO = 120_000
 _ODD = re.compile("[\x1c-\x1f\x85]")
 #: Chunks of ASCII and Latin letters, for which normalizing is lower-casing and one pattern splits as the tokenizer does.
 _LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
