@@ -68,7 +68,7 @@ def bm25(queries: DataFrame, cards: DataFrame, query: str, doc: str, query_text:
     tf, norm = F.col("tf"), K1 * (1 - B + B * F.col("len") / F.col("avgdl"))
     hit = asked.join(weight, "term").join(posts, "term").crossJoin(F.broadcast(stats.select("avgdl")))
     part = F.col("qf") * F.col("idf") * tf * (K1 + 1) / (tf + norm)
-    return hit.groupBy(query, doc).agg(F.sum(part).alias("score")).where("score > 0")
+    return hit.groupBy(query, doc).agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
 
 
 def bm25_topk(queries: DataFrame, cards: DataFrame, query: str, doc: str, k: int, **kw) -> DataFrame:

@@ -1,4 +1,505 @@
-"""Registered queries by name, and their DuckDB SQL."""
+"""Registered queries by name, and the DuckDB SQL that must agree with each."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillmill.functions import segment as S
+from quillmill.functions import text as X
+from quillmill.operators import datasets, dedup, facts, merging, metrics, overlap, retrieval, samples
+from quillmill.streaming import session
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def seg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.segmented(docs(spark, sf_dir), "doc_id")
+
+
+# ---- SQL that several oracles share: sentences, lines and paragraphs of a text
+_END = "。！？!?；;."
+_NUM = r"regexp_replace(regexp_replace({t}, '([0-9])\.([0-9])', '\1' || chr(57344) || '\2', 'g'), '([0-9])\.([0-9])', '\1' || chr(57344) || '\2', 'g')"
+_WS = r"[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]"
+_PUNCT_SQL = X.PUNCT.replace("'", "''")
+
+
+def _strip(e: str) -> str:
+    return rf"regexp_replace({e}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _bare(e: str) -> str:
+    return rf"regexp_replace({e}, '{_WS}+', '', 'g')"
+
+
+def _norm(e: str) -> str:
+    return f"lower(translate({_bare(e)}, '{_PUNCT_SQL}', ''))"
+
+
+def _nonempty(e: str) -> str:
+    return f"list_filter({e}, lambda q: q <> '')"
+
+
+def _sentences(t: str = "text") -> str:
+    found = rf"regexp_extract_all({_NUM.format(t=t)}, '(?s)[^{_END}]*[{_END}]+[”’」』\"''\)\]）】》]*{_WS}*|(?s)[^{_END}]+$')"
+    return _nonempty(f"list_transform({found}, lambda q: {_strip('q')})")
+
+
+def _lines(t: str = "text") -> str:
+    return rf"string_split(regexp_replace({t}, '\r\n|[\r\x0b\f\x{{1c}}-\x{{1e}}\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), chr(10))"
+
+
+def _paragraphs(t: str = "text") -> str:
+    return _nonempty(rf"list_transform(string_split_regex({_strip(t)}, '\n[ \t\f\x0b]*\n(?:[ \t\f\x0b]*\n)*'), lambda q: {_strip('q')})")
+
+
+_UNITS = "u AS (SELECT doc_id, unnest(range(len(us))) AS pos, unnest(us) AS unit FROM (SELECT doc_id, {us} AS us FROM documents))"
+_SENT_UNITS = _UNITS.format(us=_nonempty(f"list_transform({_sentences()}, lambda q: {_bare('q')})"))
+_LINE_UNITS = _UNITS.format(us=_nonempty(f"list_transform({_lines()}, lambda q: {_bare('q')})"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, text, {_sentences()} AS ss, {_paragraphs()} AS ps FROM documents),
+l AS (SELECT *, list_sort(list_filter(list_transform(ss, lambda q: length({_bare('q')})), lambda q: q > 0)) AS ls FROM d)
+SELECT doc_id, length(text)::INT AS char_count, length({_bare('text')})::INT AS non_whitespace_char_count, len(ps)::INT AS paragraph_count,
+  len(ls)::INT AS sentence_count, coalesce(list_sum(ls), 0)::BIGINT AS sentence_chars, coalesce(median_of, 0)::DOUBLE AS median_sentence_length,
+  coalesce(ls[-1], 0)::INT AS longest_sentence_length
+FROM (SELECT *, list_aggregate(ls, 'median') AS median_of FROM l)
+""")
+def sentence_stats(spark, sf_dir):
+    out = metrics.basic_stats(seg(spark, sf_dir), "doc_id")
+    return out.select("doc_id", "char_count", "non_whitespace_char_count", "paragraph_count", "sentence_count", "sentence_chars", "median_sentence_length", "longest_sentence_length")
+
+
+@query(f"""
+WITH {_LINE_UNITS},
+g AS (SELECT doc_id, unit, count(*) AS c FROM u GROUP BY ALL),
+r AS (SELECT doc_id, sum(c) AS n, sum(CASE WHEN c > 1 THEN c - 1 ELSE 0 END) AS dup FROM g GROUP BY doc_id)
+SELECT d.doc_id, coalesce(r.dup, 0)::BIGINT AS duplicate_line_count, round(coalesce(r.dup / r.n, 0.0), 9) AS duplicate_line_ratio,
+  CASE WHEN coalesce(r.dup / r.n, 0) >= 0.3 THEN 'high' WHEN coalesce(r.dup / r.n, 0) >= 0.1 THEN 'medium' ELSE 'low' END AS line_risk
+FROM documents d LEFT JOIN r USING (doc_id)
+""")
+def line_repetition(spark, sf_dir):
+    out = metrics.duplicate_counts(seg(spark, sf_dir), "doc_id", "lines", "line")
+    zero = F.lit(0)
+    risk = metrics.repetition_risk(F.col("duplicate_line_ratio"), zero, zero, zero, zero, zero, zero, zero)
+    return out.select("doc_id", "duplicate_line_count", F.round("duplicate_line_ratio", 9).alias("duplicate_line_ratio"), risk.alias("line_risk"))
+
+
+@query(f"""
+WITH b AS (SELECT doc_id, {_bare('text')} AS t FROM documents),
+g AS (SELECT doc_id, n, i AS pos, substring(t, i, n) AS gram FROM b, unnest([2, 3, 4]) AS a(n), unnest(range(1, length(t) - n + 2)) AS r(i)),
+c AS (SELECT doc_id, n, gram, count(*) AS count, min(pos) - 1 AS first_pos FROM g WHERE translate(gram, '{_PUNCT_SQL}', '') <> '' GROUP BY ALL HAVING count(*) > 1)
+SELECT doc_id, n::INT AS n, gram, count, first_pos::INT AS first_pos, row_number() OVER (PARTITION BY doc_id, n ORDER BY count DESC, first_pos)::INT AS rank FROM c
+QUALIFY rank <= 10
+""")
+def top_char_ngrams(spark, sf_dir):
+    return metrics.top_char_ngrams(docs(spark, sf_dir), "doc_id").select("doc_id", "n", "gram", "count", "first_pos", "rank")
+
+
+_RUNS = f"""
+WITH {_SENT_UNITS},
+i AS (SELECT *, CASE WHEN lag(unit) OVER (PARTITION BY doc_id ORDER BY pos) = unit THEN 0 ELSE 1 END AS new FROM u),
+n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM i),
+r AS (SELECT doc_id, run, count(*) AS length FROM n GROUP BY ALL)
+"""
+
+
+@query(f"""{_RUNS}
+SELECT d.doc_id, coalesce(sum(length - 1), 0)::BIGINT AS consecutive_repeats, coalesce(max(length), 0)::BIGINT AS longest_run FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id
+""")
+def consecutive_repeats(spark, sf_dir):
+    return metrics.consecutive_repeats(seg(spark, sf_dir), "doc_id")
+
+
+@query(f"""
+WITH {_SENT_UNITS.replace('u AS', 'u0 AS')},
+u AS (SELECT * FROM u0 WHERE length(translate(unit, '{_PUNCT_SQL}', '')) BETWEEN 1 AND 12),
+i AS (SELECT *, CASE WHEN lag(unit) OVER w = unit THEN 0 ELSE 1 END AS new, lead(unit) OVER w AS b, lead(unit, 2) OVER w AS c, lead(unit, 3) OVER w AS e FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM i),
+r AS (SELECT doc_id, count(*) AS k FROM (SELECT doc_id, run FROM n GROUP BY ALL HAVING count(*) >= 3) GROUP BY doc_id),
+a AS (SELECT doc_id, count(*) AS k FROM i WHERE unit = c AND b = e AND unit <> b GROUP BY doc_id)
+SELECT d.doc_id, coalesce(r.k, 0)::BIGINT AS single_runs, coalesce(a.k, 0)::BIGINT AS abab FROM documents d LEFT JOIN r USING (doc_id) LEFT JOIN a USING (doc_id)
+""")
+def short_sentence_loops(spark, sf_dir):
+    return metrics.short_sentence_loops(seg(spark, sf_dir), "doc_id")
+
+
+def bench_seg(spark, sf_dir):
+    return metrics.segmented(read(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"), "doc_id")
+
+
+def _items(name: str, key: str, table: str) -> str:
+    return f"""{name} AS (SELECT doc_id, raw, {_bare('raw')} AS exact, {_norm('raw')} AS norm FROM (SELECT {key} AS doc_id, unnest({_sentences()}) AS raw FROM {table})
+  WHERE length({_norm('raw')}) >= 8)"""
+
+
+def _overlap_sql(column: str) -> str:
+    return f"""
+WITH {_items('c', 'doc_id', 'documents')}, {_items('b', 'item_id', 'benchmark')}
+SELECT doc_id, count(*) AS total, count(*) FILTER ({column} IN (SELECT {column} FROM b)) AS matched,
+  round(count(*) FILTER ({column} IN (SELECT {column} FROM b)) / count(*), 9) AS ratio FROM c GROUP BY doc_id
+"""
+
+
+def _overlap(spark, sf_dir, column):
+    c, r = overlap.items(seg(spark, sf_dir), "doc_id"), overlap.items(bench_seg(spark, sf_dir), "doc_id")
+    return overlap.sentence_overlap(c, r, "doc_id", False, column).withColumn("ratio", F.round("ratio", 9))
+
+
+@query(_overlap_sql("exact"))
+def exact_overlap(spark, sf_dir):
+    return _overlap(spark, sf_dir, "exact")
+
+
+@query(_overlap_sql("norm"))
+def normalized_overlap(spark, sf_dir):
+    return _overlap(spark, sf_dir, "norm")
+
+
+def _shingle_sql(k: int) -> str:
+    return f"""
+WITH d AS (SELECT doc_id, {_norm('text')} AS t FROM documents), b AS (SELECT {_norm('text')} AS t FROM benchmark),
+g AS (SELECT doc_id, substring(t, i, {k}) AS gram FROM d, unnest(range(1, length(t) - {k} + 2)) AS r(i)),
+k AS (SELECT DISTINCT substring(t, i, {k}) AS gram FROM b, unnest(range(1, length(t) - {k} + 2)) AS r(i))
+SELECT doc_id, count(*) AS total, count(k.gram) AS matched FROM g LEFT JOIN k USING (gram) GROUP BY doc_id
+"""
+
+
+def _shingles(k):
+    return lambda spark, sf_dir: overlap.shingle_overlap(docs(spark, sf_dir), read(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"), "doc_id", False, k)
+
+
+for _k in (8, 12, 20):
+    QUERIES[f"shingle_overlap_{_k}"] = _shingles(_k)
+    ORACLE_SQL[f"shingle_overlap_{_k}"] = _shingle_sql(_k)
+
+
+@query()
+def near_overlap(spark, sf_dir):
+    talk = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    c, r = overlap.items(metrics.segmented(talk, "doc_id"), "doc_id"), overlap.items(bench_seg(spark, sf_dir), "doc_id")
+    return overlap.near_matches(c, r, "doc_id", False).select("doc_id", "pos", "ref_key", "ref_pos", "similarity")
+
+
+@query()
+def longest_common_substring(spark, sf_dir):
+    bench = read(spark, sf_dir, "benchmark")
+    gram = lambda df, key: df.select(key, "text", F.explode(F.array_distinct(X.shingles(X.normalized(F.col("text")), 20))).alias("g"))
+    pairs = gram(docs(spark, sf_dir), "doc_id").join(gram(bench, "item_id").withColumnRenamed("text", "ref"), "g").dropDuplicates(["doc_id", "item_id"])
+    return overlap.longest_common_substrings(pairs, "text", "ref").select("doc_id", "item_id", "lcs.*")
+
+
+@query(f"""
+WITH {_items('c', 'doc_id', 'documents')}, {_items('b', 'item_id', 'benchmark')},
+o AS (SELECT doc_id, count(*) AS n, count(*) FILTER (exact IN (SELECT exact FROM b)) AS e, count(*) FILTER (norm IN (SELECT norm FROM b)) AS m FROM c GROUP BY doc_id)
+SELECT doc_id, CASE WHEN (e / n >= 0.3 AND e >= 2) OR (m / n >= 0.3 AND m >= 2) THEN 'high' WHEN e / n >= 0.1 OR m / n >= 0.1 THEN 'medium' ELSE 'low' END AS contamination_risk FROM o
+""")
+def contamination_risk(spark, sf_dir):
+    e, n = _overlap(spark, sf_dir, "exact"), _overlap(spark, sf_dir, "norm")
+    both = e.select("doc_id", F.col("matched").alias("e"), F.col("ratio").alias("er")).join(n.select("doc_id", F.col("matched").alias("n"), F.col("ratio").alias("nr")), "doc_id")
+    z = F.lit(0)
+    return both.select("doc_id", overlap.contamination_risk(F.col("er"), F.col("e"), F.col("nr"), F.col("n"), z, z, z, z, z, z, z).alias("contamination_risk"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, source, text, {_sentences()} AS ss, {_paragraphs()} AS ps FROM documents),
+l AS (SELECT *, list_sort(list_filter(list_transform(ss, lambda q: length({_bare('q')})), lambda q: q > 0)) AS ls FROM d),
+s AS (SELECT doc_id, source, length(text) AS ch, length({_bare('text')}) AS nw, len(ps) AS pc, len(ls) AS sc, coalesce(list_avg(ls), 0) AS av, coalesce(list_aggregate(ls, 'median'), 0) AS md, coalesce(ls[-1], 0) AS mx FROM l),
+p AS (SELECT c.doc_id, r.doc_id AS ref_id, c.nw AS cnw, r.nw AS rnw,
+  {", ".join(f"CASE WHEN r.{a} = 0 THEN CASE WHEN c.{a} = 0 THEN 1.0 ELSE 0.0 END ELSE c.{a} / r.{a} END AS q_{a}" for a in ("ch", "nw", "pc", "av", "md", "mx"))},
+  CASE WHEN c.pc = 0 THEN 0.0 ELSE c.sc / c.pc END - CASE WHEN r.pc = 0 THEN 0.0 ELSE r.sc / r.pc END AS dp
+  FROM s c JOIN (SELECT source, min(doc_id) AS ref FROM s GROUP BY source) f USING (source) JOIN s r ON r.doc_id = f.ref),
+k AS (SELECT *, {", ".join(f"CASE WHEN abs({e}) <= {t} THEN 100.0 WHEN abs({e}) >= {z} THEN 0.0 ELSE round_even(({z} - abs({e})) / ({z} - {t}) * 100.0, 4) END AS s_{n}" for n, e, t, z in (("ch", "q_ch - 1.0", 0.2, 1.0), ("nw", "q_nw - 1.0", 0.2, 1.0), ("av", "q_av - 1.0", 0.2, 1.0), ("md", "q_md - 1.0", 0.2, 1.0), ("mx", "q_mx - 1.0", 0.35, 1.5), ("pc", "q_pc - 1.0", 0.35, 1.2), ("dp", "dp", 0.5, 3.0)))} FROM p)
+SELECT doc_id, ref_id, round((s_ch + s_nw) / 2 * 0.2, 2) AS length_profile, round((s_av + s_md + s_mx) / 3 * 0.25, 2) AS sentence_profile, round((s_pc + s_dp) / 2 * 0.15, 2) AS paragraph_profile FROM k WHERE cnw > 0 AND rnw > 0
+""")
+def style_score_vs_source(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    s = metrics.basic_stats(metrics.segmented(d, "doc_id"), "doc_id").join(d.select("doc_id", "source"), "doc_id")
+    first = s.groupBy("source").agg(F.min("doc_id").alias("ref_id"))
+    names = [c for c in s.columns if c != "source"]
+    c = s.select("source", *[F.col(n).alias(f"c_{n}") for n in names]).join(first, "source")
+    r = s.select(*[F.col(n).alias(f"r_{n}") for n in names])
+    pairs = c.join(r, F.col("ref_id") == F.col("r_doc_id")).withColumn("repetition_risk", F.lit("low")).withColumn("contamination_risk", F.lit("low"))
+    out = metrics.style_score(metrics.diff_summary(pairs)).where("level <> 'invalid'")
+    return out.select(F.col("c_doc_id").alias("doc_id"), "ref_id", *[F.round(n, 2).alias(n) for n in ("length_profile", "sentence_profile", "paragraph_profile")])
+
+
+@query("""
+WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda q: length(q) > 1) AS ts FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS len FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM t) GROUP BY ALL),
+s AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM t),
+f AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, s GROUP BY term, n),
+i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM f) ELSE raw END AS idf FROM f),
+q AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda q: length(q) > 1)) AS term FROM benchmark) GROUP BY ALL),
+r AS (SELECT item_id, doc_id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / avgdl))), 9) AS score FROM q JOIN i USING (term) JOIN p USING (term), s GROUP BY ALL HAVING score > 0)
+SELECT item_id, doc_id, round(score, 5) AS score, row_number() OVER (PARTITION BY item_id ORDER BY r.score DESC, doc_id)::INT AS rank FROM r QUALIFY rank <= 5
+""")
+def bm25_topk(spark, sf_dir):
+    out = retrieval.bm25_topk(read(spark, sf_dir, "benchmark"), docs(spark, sf_dir), "item_id", "doc_id", 5)
+    return out.select("item_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS s FROM (SELECT doc_id, {_lines()} AS ls FROM documents)),
+n AS (SELECT *, max(contains(s, 'token')::INT) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM l),
+k AS (SELECT *, CASE WHEN lag(line) OVER (PARTITION BY doc_id ORDER BY line) = line - 1 THEN 0 ELSE 1 END AS new FROM n WHERE near = 1),
+b AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line) AS block FROM k)
+SELECT doc_id, block::BIGINT AS block, min(line)::INT AS first_line, md5(string_agg(s, chr(10) ORDER BY line)) AS block_md5 FROM b GROUP BY doc_id, block
+""")
+def grep_context(spark, sf_dir):
+    return retrieval.grep(docs(spark, sf_dir), "doc_id", "token").select("doc_id", "block", "first_line", F.md5("block_text").alias("block_md5"))
+
+
+_STATES = """
+e AS (SELECT user_id, event_type, date_diff('day', DATE '1970-01-01', ts::DATE) AS day, max(event_id) AS event_id FROM events GROUP BY ALL),
+s AS (SELECT *, day AS valid_from, lead(day) OVER (PARTITION BY user_id, event_type ORDER BY day) - 1 AS valid_to FROM e)"""
+
+
+def states(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("day", F.unix_date(F.to_date("ts"))).groupBy("user_id", "event_type", "day").agg(F.max("event_id").alias("event_id"))
+    return retrieval.intervals(e, ["user_id", "event_type"], "day").withColumn("revealed_in", F.col("valid_from"))
+
+
+@query(f"""
+WITH {_STATES}, t AS (SELECT min(day) + k AS at FROM e, unnest([0, 2, 5, 11, 20]) AS a(k) GROUP BY k)
+SELECT at::INT AS at, user_id, event_type, event_id, valid_from::INT AS valid_from, valid_to::INT AS valid_to FROM t JOIN s ON valid_from <= at AND (valid_to IS NULL OR valid_to >= at)
+""")
+def temporal_visible(spark, sf_dir):
+    s = states(spark, sf_dir)
+    t = s.agg(F.min("day").alias("d")).select(F.explode(F.transform(F.array(*map(F.lit, (0, 2, 5, 11, 20))), lambda k: F.col("d") + k)).alias("at"))
+    return retrieval.visible_pairs(t, s).select("at", "user_id", "event_type", "event_id", "valid_from", "valid_to")
+
+
+@query("""
+SELECT conv_id, turn, used::BIGINT AS used FROM (SELECT conv_id, turn, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM conversations) WHERE used <= 400
+""")
+def prior_context_budget(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    return retrieval.budget_prefix(c, ["conv_id"], ["turn"], F.length("text") + 1, 400).select("conv_id", "turn", "used")
+
+
+def raw_facts(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    day = (F.unix_date(F.to_date("ts")) - 19000).cast("int")
+    null = lambda t: F.lit(None).cast(t)
+    return e.select(null("string").alias("id"), F.lit("event").alias("type"), F.col("event_type").alias("title"), F.concat_ws(" ", user, "event_type").alias("summary"), day.alias("chapter"), F.array(user).alias("entities"), null("int").alias("valid_from"), F.when(F.col("event_id") % 3 == 0, day + 2).alias("valid_to"), null("int").alias("revealed_in"), null("double").alias("confidence"), F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("created_at"))
+
+
+_FACTS = """
+f AS (SELECT event_id AS ord, event_type AS title, 'u' || user_id AS ent, 'u' || user_id || ' ' || event_type AS summary, (date_diff('day', DATE '1970-01-01', ts::DATE) - 19000)::INT AS chapter, CASE WHEN event_id % 3 = 0 THEN (date_diff('day', DATE '1970-01-01', ts::DATE) - 19000 + 2)::INT END AS valid_to FROM events),
+g AS (SELECT *, 'event_ch' || chapter || '_' || left(sha1('{"chapter":' || chapter || ',"entities":["' || ent || '"],"summary":"' || summary || '","title":"' || title || '","type":"event"}'), 12) AS id FROM f)"""
+
+
+@query(f"""
+WITH {_FACTS},
+old AS (SELECT id, min(ord) AS c FROM g WHERE ord % 2 = 0 GROUP BY id),
+new AS (SELECT id, min(ord) AS c, count(*) AS n, arg_max(valid_to, ord) FILTER (true) AS v FROM g WHERE ord % 2 = 1 GROUP BY id)
+SELECT coalesce(old.id, new.id) AS id, coalesce(old.c, new.c)::VARCHAR AS created_at, CASE WHEN new.id IS NULL THEN 'kept' WHEN old.id IS NULL THEN 'inserted' ELSE 'updated' END AS change,
+  (CASE WHEN new.id IS NULL THEN 0 WHEN old.id IS NULL THEN new.n - 1 ELSE new.n END)::BIGINT AS n_updates FROM old FULL JOIN new ON old.id = new.id
+""")
+def fact_upsert(spark, sf_dir):
+    good = facts.validate(raw_facts(spark, sf_dir)).where("error is null").drop("error")
+    store = facts.upsert(good.limit(0).drop("ord"), good.where("ord % 2 = 0"), "ord").drop("change", "n_updates", "first_ord")
+    return facts.upsert(store, good.where("ord % 2 = 1"), "ord").select("id", "created_at", "change", "n_updates")
+
+
+_CARDS = """
+SELECT ent AS entity, min(chapter) AS valid_from, CASE WHEN bool_or(valid_to IS NULL) THEN NULL ELSE max(valid_to) END AS valid_to, count(*) AS n_facts,
+  md5(string_agg('- ch' || chapter || ' [event] ' || summary, chr(10) ORDER BY chapter, id, '- ch' || chapter || ' [event] ' || summary)) AS body_md5 FROM g {w} GROUP BY ent"""
+
+
+def _cards(df):
+    return df.select("entity", "valid_from", "valid_to", "n_facts", F.md5("body").alias("body_md5"))
+
+
+@query(f"WITH {_FACTS} {_CARDS.format(w='')}")
+def entity_cards(spark, sf_dir):
+    return _cards(facts.entity_cards(facts.validate(raw_facts(spark, sf_dir))))
+
+
+@query(f"WITH {_FACTS} {_CARDS.format(w='WHERE chapter <= (SELECT min(chapter) + 10 FROM g)')}")
+def entity_cards_asof(spark, sf_dir):
+    f = facts.validate(raw_facts(spark, sf_dir))
+    at = f.agg((F.min("chapter") + 10).alias("at"))
+    return _cards(facts.entity_cards_asof(f.crossJoin(F.broadcast(at)), F.col("at")))  # one row
+
+
+@query("""
+SELECT conv_id, turn, format('{:s}_{:06d}', 'conv', row_number() OVER (PARTITION BY conv_id ORDER BY turn)) AS sample_id, md5(right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 120)) AS context_md5, left(text, 80) AS completion
+FROM conversations
+""")
+def train_samples(spark, sf_dir):
+    c = samples.with_previous(read(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", 120)
+    c = samples.numbered(c, ["turn"], "conv_%06d", "sample_id", ("conv_id",))
+    return c.select("conv_id", "turn", "sample_id", F.md5("context").alias("context_md5"), F.left("text", F.lit(80)).alias("completion"))
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, text, k FROM documents, unnest(range(0, greatest(0, ceil((length(text) - 1000) / 900.0))::INT + 1)) AS r(k) WHERE length(text) > 0),
+c AS (SELECT doc_id, k, k * 900 AS start_char, least(k * 900 + 1000, length(text)) AS end_char, length(text) > 1000 AS cut, {_strip('substring(text, k * 900 + 1, 1000)')} AS t FROM w)
+SELECT doc_id, row_number() OVER v AS chunk_number, CASE WHEN cut THEN row_number() OVER v END AS part_number, start_char::INT AS start_char, end_char::INT AS end_char, sha256(t) AS text_sha256
+FROM c WHERE t <> '' WINDOW v AS (PARTITION BY doc_id ORDER BY k)
+""")
+def chunks(spark, sf_dir):
+    out = S.chunks(docs(spark, sf_dir), ["doc_id"], size=1000, overlap=100)
+    return out.select("doc_id", "chunk_number", "part_number", "start_char", "end_char", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("""
+SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'no label' WHEN d.doc_id IS NULL THEN 'no sample' WHEN l.n > 1 THEN 'duplicate label' ELSE 'duplicate sample' END AS problem
+FROM (SELECT doc_id, count(*) AS n FROM documents GROUP BY 1) d FULL JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id
+WHERE l.doc_id IS NULL OR d.doc_id IS NULL OR l.n > 1 OR d.n > 1
+""")
+def label_join_audit(spark, sf_dir):
+    return samples.id_mismatch(docs(spark, sf_dir), read(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""
+SELECT q::VARCHAR AS quality, t::VARCHAR AS toxic, count(l.doc_id) AS count FROM unnest([0, 1, 2]) AS a(q), unnest([0, 1]) AS b(t) LEFT JOIN labels l ON l.quality = q AND l.toxic = t GROUP BY q, t
+""")
+def label_crosstab(spark, sf_dir):
+    lab = read(spark, sf_dir, "labels").select(F.col("quality").cast("string"), F.col("toxic").cast("string"))
+    return samples.crosstab(lab, "quality", "toxic", ["0", "1", "2"], ["0", "1"])
+
+
+@query("""
+WITH a AS (SELECT doc_id AS k, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+b AS (SELECT conv_id * 1000 + turn AS k, row_number() OVER (ORDER BY conv_id * 1000 + turn) AS i FROM conversations),
+u AS (SELECT 0 AS b, i, k, 'novel1' AS source_book, format('novel1_{:06d}', i) AS source_sample_id, NULL AS source_section FROM a
+      UNION ALL SELECT 1, i, k, 'novel2', k::VARCHAR, 'main' FROM b)
+SELECT format('merged_{:06d}', row_number() OVER (ORDER BY b, i)) AS merged_sample_id, k, source_book, source_sample_id, source_section FROM u
+""")
+def merged_samples(spark, sf_dir):
+    one = docs(spark, sf_dir).select(F.col("doc_id").alias("k"))
+    two = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k")).withColumn("sample_id", F.col("k").cast("string"))
+    lab = two.select("sample_id", F.lit("main").alias("source_section"), F.lit(1.0).alias("source_section_confidence"), F.lit("mixed").alias("content_sensitivity"), F.lit(0.5).alias("content_sensitivity_confidence"))
+    return samples.merge_samples(one, two, lab, ("k", "k")).select("merged_sample_id", "k", "source_book", "source_sample_id", "source_section")
+
+
+@query("""
+WITH o AS (SELECT lower(regexp_replace(p_brand, '\\s+', '', 'g')) AS key, p_partkey AS o, p_brand, p_type, p_name FROM part),
+t AS (SELECT key, list(p_type ORDER BY o) AS ts FROM (SELECT key, p_type, min(o) AS o FROM o GROUP BY key, p_type) GROUP BY key),
+c AS (SELECT key, list(p_name ORDER BY o) AS cs FROM (SELECT key, p_name, min(o) AS o FROM o GROUP BY key, p_name) GROUP BY key)
+SELECT key, (SELECT arg_min(p_brand, o) FROM o x WHERE x.key = t.key) AS p_brand, array_to_string(ts, '；') AS p_type, array_to_string(cs, '|') AS containers, CASE WHEN len(ts) > 1 THEN 1 ELSE 0 END AS n_conflicts FROM t JOIN c USING (key)
+""")
+def merge_named_records(spark, sf_dir):
+    p = read(spark, sf_dir, "part").withColumn("containers", F.array("p_name"))
+    out = merging.merge_named(p, "p_brand", "p_partkey", ("containers",), ("p_type",), ("p_type",))
+    return out.select("key", "p_brand", "p_type", F.array_join("containers", "|").alias("containers"), F.size("conflicts").alias("n_conflicts"))
+
+
+@query(f"""
+WITH u AS (SELECT doc_id, unnest(range(len(ps))) AS pos, unnest(ps) AS piece FROM (SELECT doc_id, {_lines()} AS ps FROM documents)),
+k AS (SELECT *, {_strip('piece')} AS key FROM u),
+n AS (SELECT *, CASE WHEN length(key) >= 50 AND row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) >= 2 THEN pos END AS bad FROM k),
+o AS (SELECT doc_id, pos, piece FROM (SELECT *, min(bad) OVER (PARTITION BY doc_id) AS cut FROM n) WHERE cut IS NULL OR pos < cut),
+t AS (SELECT doc_id, {_strip("string_agg(piece, chr(10) ORDER BY pos)")} AS text FROM o GROUP BY doc_id),
+u2 AS (SELECT doc_id, unnest(range(len(ps))) AS pos, unnest(ps) AS piece FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM t)),
+k2 AS (SELECT *, {_strip('piece')} AS key FROM u2),
+n2 AS (SELECT *, CASE WHEN length(key) >= 8 AND row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) >= 3 THEN pos END AS bad FROM k2),
+o2 AS (SELECT doc_id, pos, piece FROM (SELECT *, min(bad) OVER (PARTITION BY doc_id) AS cut FROM n2) WHERE cut IS NULL OR pos < cut)
+SELECT d.doc_id, md5(coalesce(t2.text, '')) AS text_md5 FROM documents d LEFT JOIN (SELECT doc_id, {_strip("string_agg(piece, chr(10) ORDER BY pos)")} AS text FROM o2 GROUP BY doc_id) t2 USING (doc_id)
+""")
+def dedup_truncate(spark, sf_dir):
+    return dedup.dedup_output(docs(spark, sf_dir), "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def rewards(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", "user_id", F.col("value").cast("double").alias("value"))
+
+
+@query("""
+SELECT event_id, user_id, round(avg(value) OVER w, 6) AS group_mean, round((value - avg(value) OVER w) / (coalesce(stddev_samp(value) OVER w, 0) + 1e-4), 6) AS advantage FROM events WINDOW w AS (PARTITION BY user_id)
+""")
+def group_advantage(spark, sf_dir):
+    out = datasets.group_advantage(rewards(spark, sf_dir), "user_id", "value")
+    return out.select("event_id", "user_id", F.round("group_mean", 6).alias("group_mean"), F.round("advantage", 6).alias("advantage"))
+
+
+@query("""
+SELECT event_id, user_id, round(CASE WHEN count(value) OVER w > 1 THEN (sum(value) OVER w - value) / (count(value) OVER w - 1) ELSE 0 END, 6) AS baseline FROM events WINDOW w AS (PARTITION BY user_id)
+""")
+def rloo_baseline(spark, sf_dir):
+    return datasets.rloo(rewards(spark, sf_dir), "user_id", "value").select("event_id", "user_id", F.round("baseline", 6).alias("baseline"))
+
+
+def turns(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    ids = F.transform(F.split("text", " "), lambda x: F.length(x))
+    return c.withColumn("chosen_ids", ids).withColumn("prompt_ids", F.lag(ids).over(w)).where("prompt_ids is not null").withColumn("rejected_ids", F.reverse("chosen_ids"))
+
+
+_TURNS = "t AS (SELECT * FROM (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda q: length(q)) AS c, lag(list_transform(string_split(text, ' '), lambda q: length(q))) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) WHERE p IS NOT NULL)"
+
+
+@query(f"""
+WITH {_TURNS}
+SELECT conv_id, turn, array_to_string(CASE WHEN len(p) > 6 THEN p[-6:] ELSE p END, ',') AS prompt, array_to_string(list_append(c, 0)[:8], ',') AS chosen, array_to_string(list_append(list_reverse(c), 0)[:8], ',') AS rejected FROM t
+""")
+def preference_truncate(spark, sf_dir):
+    out = datasets.preference_row(turns(spark, sf_dir), 0, 6, 8)
+    show = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return out.select("conv_id", "turn", show("prompt_ids").alias("prompt"), show("chosen_ids").alias("chosen"), show("rejected_ids").alias("rejected"))
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, turn, repeat('0', len(p)) || repeat('1', len(c)) AS mask FROM t")
+def completion_mask(spark, sf_dir):
+    t = turns(spark, sf_dir)
+    mask = datasets.completion_mask(F.col("prompt_ids"), F.concat("prompt_ids", "chosen_ids"))
+    return t.select("conv_id", "turn", F.array_join(F.transform(mask, lambda x: x.cast("string")), "").alias("mask"))
+
+
+@query("""
+SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id)::INT AS place, count(*) OVER (PARTITION BY event_type) AS expert_tokens FROM events
+""")
+def routing_counts(spark, sf_dir):
+    return datasets.routing_counts(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", "event_id")
+
+
+@query("SELECT doc_id, ((length(text) - length(replace(text, 'the', ''))) / 3)::INT AS hits FROM documents")
+def term_counts(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", X.count_of(F.col("text"), F.lit("the")).alias("hits"))
+
+
+@query()
+def session_fold(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    return session.fold_sessions(c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.when(F.col("turn") == 0, "seed").otherwise("accept").alias("action"), "text"))
+
+
+@query()
+def round_fold(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    return session.fold_rounds(c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), "text"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def hourly_events(spark, sf_dir):
+    out = session.windowed(read(spark, sf_dir, "events"))
+    return out.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
