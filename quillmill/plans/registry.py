@@ -234,7 +234,7 @@ p AS (SELECT c.doc_id, r.doc_id AS ref_id, c.nw AS cnw, r.nw AS rnw,
   CASE WHEN c.pc = 0 THEN 0.0 ELSE c.sc / c.pc END - CASE WHEN r.pc = 0 THEN 0.0 ELSE r.sc / r.pc END AS dp
   FROM s c JOIN (SELECT source, min(doc_id) AS ref FROM s GROUP BY source) f USING (source) JOIN s r ON r.doc_id = f.ref),
 k AS (SELECT *, {", ".join(f"CASE WHEN abs({e}) <= {t} THEN 100.0 WHEN abs({e}) >= {z} THEN 0.0 ELSE round_even(({z} - abs({e})) / ({z} - {t}) * 100.0, 4) END AS s_{n}" for n, e, t, z in (("ch", "q_ch - 1.0", 0.2, 1.0), ("nw", "q_nw - 1.0", 0.2, 1.0), ("av", "q_av - 1.0", 0.2, 1.0), ("md", "q_md - 1.0", 0.2, 1.0), ("mx", "q_mx - 1.0", 0.35, 1.5), ("pc", "q_pc - 1.0", 0.35, 1.2), ("dp", "dp", 0.5, 3.0)))} FROM p)
-SELECT doc_id, ref_id, round((s_ch + s_nw) / 2 * 0.2, 2) AS length_profile, round((s_av + s_md + s_mx) / 3 * 0.25, 2) AS sentence_profile, round((s_pc + s_dp) / 2 * 0.15, 2) AS paragraph_profile FROM k WHERE cnw > 0 AND rnw > 0
+SELECT doc_id, ref_id, {", ".join(f"floor(round_even({e} * {w} / 100.0, 4) * 100 + 0.001)::BIGINT AS {n}" for n, e, w in (("length_profile", "(s_ch + s_nw) / 2", 20), ("sentence_profile", "(s_av + s_md + s_mx) / 3", 25), ("paragraph_profile", "(s_pc + s_dp) / 2", 15)))} FROM k WHERE cnw > 0 AND rnw > 0
 """)
 def style_score_vs_source(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -245,7 +245,7 @@ def style_score_vs_source(spark, sf_dir):
     r = s.select(*[F.col(n).alias(f"r_{n}") for n in names])
     pairs = c.join(r, F.col("ref_id") == F.col("r_doc_id")).withColumn("repetition_risk", F.lit("low")).withColumn("contamination_risk", F.lit("low"))
     out = metrics.style_score(metrics.diff_summary(pairs)).where("level <> 'invalid'")
-    return out.select(F.col("c_doc_id").alias("doc_id"), "ref_id", *[F.round(n, 2).alias(n) for n in ("length_profile", "sentence_profile", "paragraph_profile")])
+    return out.select(F.col("c_doc_id").alias("doc_id"), "ref_id", *[F.floor(F.col(n) * 100 + 0.001).alias(n) for n in ("length_profile", "sentence_profile", "paragraph_profile")])
 
 
 @query("""
@@ -285,13 +285,13 @@ def states(spark, sf_dir):
 
 
 @query(f"""
-WITH {_STATES}, t AS (SELECT min(day) + k AS at FROM e, unnest([0, 2, 5, 11, 20]) AS a(k) GROUP BY k)
-SELECT at::INT AS at, user_id, event_type, event_id, valid_from::INT AS valid_from, valid_to::INT AS valid_to FROM t JOIN s ON valid_from <= at AND (valid_to IS NULL OR valid_to >= at)
+WITH {_STATES}, t AS (SELECT min(day) + k AS as_of FROM e, unnest([0, 2, 5, 11, 20]) AS a(k) GROUP BY k)
+SELECT as_of::INT AS as_of, user_id, event_type, event_id, valid_from::INT AS valid_from, valid_to::INT AS valid_to FROM t JOIN s ON valid_from <= as_of AND (valid_to IS NULL OR valid_to >= as_of)
 """)
 def temporal_visible(spark, sf_dir):
     s = states(spark, sf_dir)
-    t = s.agg(F.min("day").alias("d")).select(F.explode(F.transform(F.array(*map(F.lit, (0, 2, 5, 11, 20))), lambda k: F.col("d") + k)).alias("at"))
-    return retrieval.visible_pairs(t, s).select("at", "user_id", "event_type", "event_id", "valid_from", "valid_to")
+    t = s.agg(F.min("day").alias("d")).select(F.explode(F.transform(F.array(*map(F.lit, (0, 2, 5, 11, 20))), lambda k: F.col("d") + k)).alias("as_of"))
+    return retrieval.visible_pairs(t, s, "as_of").select("as_of", "user_id", "event_type", "event_id", "valid_from", "valid_to")
 
 
 @query("""
@@ -442,10 +442,10 @@ def group_advantage(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, user_id, round(CASE WHEN count(value) OVER w > 1 THEN (sum(value) OVER w - value) / (count(value) OVER w - 1) ELSE 0 END, 6) AS baseline FROM events WINDOW w AS (PARTITION BY user_id)
+SELECT event_id, user_id, round(CASE WHEN count(value) OVER w > 1 THEN (sum(value) OVER w - value) / (count(value) OVER w - 1) ELSE 0 END, 9) AS baseline FROM events WINDOW w AS (PARTITION BY user_id)
 """)
 def rloo_baseline(spark, sf_dir):
-    return datasets.rloo(rewards(spark, sf_dir), "user_id", "value").select("event_id", "user_id", F.round("baseline", 6).alias("baseline"))
+    return datasets.rloo(rewards(spark, sf_dir), "user_id", "value").select("event_id", "user_id", F.round("baseline", 9).alias("baseline"))
 
 
 def turns(spark, sf_dir):
