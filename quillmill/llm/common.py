@@ -231,12 +231,23 @@ def with_running_sum(df: DataFrame, order: list, value: str, name: str) -> DataF
     return df.withColumn("_in", F.coalesce(inside, F.lit(0))).join(F.broadcast(before), "part").withColumn(name, F.col("_before") + F.col("_in")).drop("_in", "_before")
 
 
-def tidy(run):
-    """A function over Arrow batches that hands its memory back when its task ends: workers outlive tasks and stages."""
+#: Rows of an Arrow batch that are turned into Python objects at once.
+ROWS = 1024
+
+
+def sliced(batches):
+    for b in batches:
+        for i in range(0, max(1, b.num_rows), ROWS):
+            yield b.slice(i, ROWS)
+
+
+def tidy(run, whole: bool = False):
+    """A function over Arrow batches, fed in slices unless ``whole``, that hands its memory back when its task ends:
+    workers outlive tasks and stages."""
 
     def wrapped(batches):
         try:
-            yield from run(batches)
+            yield from run(batches if whole else sliced(batches))
         finally:
             release()
 

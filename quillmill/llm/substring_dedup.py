@@ -200,11 +200,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(7)).alias("t2"))
     some = base.where("text is not null").select("t1", "t2", "text")
-    counts = some.mapInArrow(tidy(_anchor_counts(window)), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n"))
+    counts = some.mapInArrow(tidy(_anchor_counts(window), whole=True), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n"))
     bloom = spark.sparkContext.broadcast(bloom_of(counts.where("n > 1").select(F.col("anchor").alias("key"))))
-    found = settle(some.mapInArrow(tidy(_segments(window, bloom)), _SEGMENT), f"{root}/segments")
+    found = settle(some.mapInArrow(tidy(_segments(window, bloom), whole=True), _SEGMENT), f"{root}/segments")
     asked = found.where("anchor is not null").repartition(F.col("anchor")).sortWithinPartitions("anchor")
-    spans = asked.mapInArrow(tidy(_look_up), "t1 long, t2 long, ranges binary").union(found.where("anchor is null").select("t1", "t2", F.col("windows").alias("ranges")))
+    spans = asked.mapInArrow(tidy(_look_up, whole=True), "t1 long, t2 long, ranges binary").union(found.where("anchor is null").select("t1", "t2", F.col("windows").alias("ranges")))
     spans = spans.groupBy("t1", "t2").agg(F.collect_set("ranges").alias("ranges"))
     return base.join(spans, ["t1", "t2"], "left").select("id", "text", "ranges").mapInArrow(tidy(_keep(window)), "id long, n_words long, n_removed long, kept string")
 
