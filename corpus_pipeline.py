@@ -17,8 +17,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.5
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a batch holds on both sides of the Python boundary; documents are a few thousand characters long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language, with the predicted one as ``lang``; no letters or a doubtful score: rejected."""
+    small_batches(spark)
     out = langid.predict(docs.select(*COLUMNS), langid.fit(docs))
     good = out.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
     return good.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
@@ -53,7 +59,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_power_of_two(docs, with_ids=False).withColumnRenamed("id", "doc_id")
+    return packing.pack_power_of_two(docs, with_ids=False, memo=60_000).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixture", mixture), ("packed", packed)]

@@ -109,7 +109,7 @@ def _prefixes(n: int, num: int, den: int, ranks, demoted=None):
                 if not len(s) or (sig := signature(s)) in seen:
                     continue
                 seen.add(sig)
-                key = (rank[(s >> np.uint64(44)).astype(np.int64)] << np.uint64(56)) | (s & _LOW56)
+                key = (rank[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s & _LOW56)
                 if late is not None:
                     key = key | (in_bloom(late, key).astype(np.uint64) << np.uint64(63))
                 p = prefix_length(len(s), num, den)
@@ -221,7 +221,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     slices = found.where("slice is not null").select("slice", "counts")
     for r in slices.repartition(F.col("slice")).mapInArrow(_sum_slices, "slice int, counts binary").toLocalIterator():
         counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] += np.frombuffer(r["counts"], np.uint32)
-    ranks = spark.sparkContext.broadcast(np.minimum(127, 4 * np.log2(counts + 1)).astype(np.uint64))
+    ranks = spark.sparkContext.broadcast(np.minimum(127, 4 * np.log2(counts + 1)).astype(np.uint8))
 
     sized = found.where("slice is null").select("id", "size", "s1", "s2")
     classes = sized.where("size > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.min("size").alias("size"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import settle, tidy, work_dir
-from quillmill.llm.tokens import default_path, encoder
+from quillmill.llm.tokens import MEMO, default_path, encoder
 
 MAX_LENGTH, END_ID = 2048, 1
 
@@ -25,11 +25,11 @@ def binary_lengths(total: int, longest: int = MAX_LENGTH) -> list[int]:
     return [longest] * full + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if rest >> b & 1]
 
 
-def _pieces(path: str, longest: int, end_id: int, with_ids: bool):
+def _pieces(path: str, longest: int, end_id: int, with_ids: bool, memo: int):
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"] + ["ids"] * with_ids
 
     def run(batches):
-        enc, part, ranks = encoder(path), TaskContext.get().partitionId(), Counter()
+        enc, part, ranks = encoder(path, memo), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -47,7 +47,7 @@ def _pieces(path: str, longest: int, end_id: int, with_ids: bool):
     return run
 
 
-def pack_power_of_two(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, longest: int = MAX_LENGTH, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pack_power_of_two(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, longest: int = MAX_LENGTH, end_id: int = END_ID, with_ids: bool = True, memo: int = MEMO) -> DataFrame:
     """``(id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids)``, one row per piece.
 
     Sequences are numbered from 0 without gaps, bucket by bucket from the shortest; ``offset`` is always 0. ``ids`` are
@@ -59,7 +59,7 @@ def pack_power_of_two(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     root = work_dir(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long" + ", ids binary" * with_ids
-    pieces = settle(base.mapInArrow(tidy(_pieces(path or default_path(), longest, end_id, with_ids)), schema), f"{root}/pieces")
+    pieces = settle(base.mapInArrow(tidy(_pieces(path or default_path(), longest, end_id, with_ids, memo)), schema), f"{root}/pieces")
     # one row a task and bucket: where that task's sequences of that length begin
     size = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     bucket = size.groupBy("length").agg(F.sum("n").alias("all"))

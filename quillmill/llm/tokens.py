@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: Chunks that a worker remembers in each of two generations (about 200 MB in all).
-MEMO = 120_000
+MEMO = 400_000
 _ODD = re.compile("[\x1c-\x1f\x85]")
 #: Chunks of ASCII and Latin letters, for which normalizing is lower-casing and one pattern splits as the tokenizer does.
 _LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
@@ -39,7 +39,8 @@ def default_path() -> str:
 class Encoder:
     """``ids(text)`` as uint32, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
+        self.limit = memo
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -57,9 +58,9 @@ class Encoder:
         return b
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.limit:
             self.old, self.memo = self.memo, {}
-        if len(self.known) > MEMO:
+        if len(self.known) > self.limit:
             self.known.clear()
         slow, memo, old = [], self.memo, self.old
         for c in chunks:
@@ -95,8 +96,9 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo: int = MEMO) -> Encoder:
     """One encoder a worker process and file."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].limit = memo
     return _encoders[path]
