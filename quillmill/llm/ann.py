@@ -18,7 +18,7 @@ from quillmill.llm.vectors import matrix, usable
 
 #: Pivots (a sample by hash, distinct vectors), the length of an order, the share of a block that is reranked, and
 #: its least size. Chosen for a recall of 0.9 or more at 10 neighbours; see the tests.
-PIVOTS, ORDER, RERANK, LEAST = 128, 24, 0.12, 400
+PIVOTS, ORDER, RERANK, LEAST = 128, 32, 0.3, 600
 #: Queries that one pass over the index serves; a block of them is all that is ever broadcast.
 QUERY_BLOCK = 4096
 
