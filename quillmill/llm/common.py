@@ -73,7 +73,7 @@ def powers(base: int, n: int) -> np.ndarray:
             out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
             done += step
         have = out
-        if size <= 4 * STEP_BYTES:  # a very long text's powers aren't kept
+        if size <= 2 * STEP_BYTES:  # a very long text's powers aren't kept
             _powers[base] = out
     return have[:n]
 
@@ -241,11 +241,29 @@ def sliced(batches):
             yield b.slice(i, ROWS)
 
 
-def tidy(run, whole: bool = False):
+_carried: dict[str, dict] = {}
+
+
+def carry(kind: str) -> dict:
+    """A cache that a worker keeps between tasks of one kind."""
+    return _carried.setdefault(kind, {})
+
+
+def leave(keep: str | None = None) -> None:
+    """Empty the caches that tasks of other kinds left in this worker."""
+    left = [cache for kind, cache in _carried.items() if kind != keep and cache]
+    for cache in left:
+        cache.clear()
+    if left:
+        release()
+
+
+def tidy(run, whole: bool = False, keep: str | None = None):
     """A function over Arrow batches, fed in slices unless ``whole``, that hands its memory back when its task ends:
-    workers outlive tasks and stages."""
+    workers outlive tasks and stages. Of what earlier tasks left, only the cache ``keep`` stays."""
 
     def wrapped(batches):
+        leave(keep)
         try:
             yield from run(batches if whole else sliced(batches))
         finally:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import settle, tidy, work_dir
-from quillmill.llm.tokens import MEMO, default_path, encoder
+from quillmill.llm.tokens import CACHE, MEMO, default_path, encoder
 
 MAX_LENGTH, END_ID = 2048, 1
 
@@ -59,7 +59,7 @@ def pack_power_of_two(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     root = work_dir(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long" + ", ids binary" * with_ids
-    pieces = settle(base.mapInArrow(tidy(_pieces(path or default_path(), longest, end_id, with_ids, memo)), schema), f"{root}/pieces")
+    pieces = settle(base.mapInArrow(tidy(_pieces(path or default_path(), longest, end_id, with_ids, memo), keep=CACHE), schema), f"{root}/pieces")
     # one row a task and bucket: where that task's sequences of that length begin
     size = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     bucket = size.groupBy("length").agg(F.sum("n").alias("all"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import settle, tidy, work_dir
-from quillmill.llm.tokens import default_path, encoder
+from quillmill.llm.tokens import CACHE, default_path, encoder
 
 END_ID = 2
 _LENGTH, _CRC, _HEAD, _ENTRY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<Bq"), struct.Struct("<QQ")
@@ -126,7 +126,7 @@ def write_token_records(docs: DataFrame, folder: str | None = None, id_col: str
     base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     tie = F.xxhash64("text")
     ordered = base.repartitionByRange(shards, "id", tie).sortWithinPartitions("id", tie)
-    manifest = settle(ordered.mapInArrow(tidy(_write(folder or f"{root}/records", path or default_path(), end_id)), _MANIFEST), f"{root}/manifest")
+    manifest = settle(ordered.mapInArrow(tidy(_write(folder or f"{root}/records", path or default_path(), end_id), keep=CACHE), _MANIFEST), f"{root}/manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return manifest.select("*", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start"), F.coalesce(F.sum("records").over(before), F.lit(0)).alias("first"))
 

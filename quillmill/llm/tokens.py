@@ -11,6 +11,10 @@ import re
 
 import numpy as np
 
+from quillmill.llm.common import carry
+
+#: What :func:`encoder` keeps in a worker, as :func:`quillmill.llm.common.tidy` names it.
+CACHE = "encoders"
 #: Chunks that a worker remembers in each of two generations (about 200 MB in all).
 MEMO = 400_000
 _ODD = re.compile("[\x1c-\x1f\x85]")
@@ -93,12 +97,10 @@ class Encoder:
         return np.frombuffer(b"".join(out), np.uint32)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str, memo: int = MEMO) -> Encoder:
-    """One encoder a worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    _encoders[path].limit = memo
-    return _encoders[path]
+    """One encoder a worker process and file, until a task that doesn't encode runs there."""
+    have = carry(CACHE)
+    if path not in have:
+        have[path] = Encoder(path)
+    have[path].limit = memo
+    return have[path]
