@@ -46,28 +46,34 @@ def _same(names: list[str], prefix: str) -> Column:
     return out
 
 
-def plan_budgets(leaves: DataFrame, weights: dict[str, Column], total: Column | float, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def plan_budgets(leaves: DataFrame, weights: dict[str, Column], total: Column | float, max_epochs: int = MAX_EPOCHS, root: str | None = None) -> DataFrame:
     """``leaves(*levels, tokens)`` plus ``budget`` (whole tokens).
 
+    With ``root``, each level's rows are written there, which keeps the plan of the next level as short as the first's.
+
     ``weights`` has each level, root first, and the weight of a node there among its siblings, an expression over the
     node's path and ``tokens`` (the sum below it). Nodes whose weight is null or not above 0, or that hold no tokens,
     get nothing. Null level values are nodes of their own. All windows are over leaves, not documents.
     """
     levels = list(weights)
-    now = leaves.withColumn("_ok", F.col("tokens") > 0)
+    kept = (lambda df, name: settle(df, f"{root}/{name}")) if root else (lambda df, name: df)
+    now = kept(leaves.withColumn("_ok", F.col("tokens") > 0), "leaves")
     for k in range(len(levels), 0, -1):  # a node of no weight gives its subtree's capacity to nobody
         path = levels[:k]
         node = now.where("_ok").groupBy(*path).agg(F.sum("tokens").alias("tokens")).withColumn("_v", weights[levels[k - 1]].cast("double"))
         node = node.where(F.col("_v") > 0).select(*[F.col(c).alias(f"_k{c}") for c in path], F.col("_v").alias(f"_v{k}"))
         now = now.join(node, _same(path, "_k"), "left").drop(*[f"_k{c}" for c in path]).withColumn("_ok", F.col("_ok") & F.col(f"_v{k}").isNotNull())
+        now = kept(now, f"weight{k}")
     now = now.withColumn("_cap", F.when(F.col("_ok"), F.col("tokens") * max_epochs).otherwise(0).cast("double"))
     now = now.withColumn("_b", F.least((total if isinstance(total, Column) else F.lit(float(total))).cast("double"), F.sum("_cap").over(Window.partitionBy(F.lit(1)))))
+    now = kept(now, "capacity")
     for k in range(1, len(levels) + 1):
         path, up = levels[:k], levels[: k - 1]
         kids = now.where("_cap > 0").groupBy(*path).agg(F.sum("_cap").alias("_c"), F.max(f"_v{k}").alias("_v"), F.first("_b").alias("_p"))
         kids = waterfill(kids, up or [F.lit(1)], "_p", "_v", "_c", path, "_n")
         kids = kids.select(*[F.col(c).alias(f"_k{c}") for c in path], "_n")
         now = now.drop("_b").join(kids, _same(path, "_k"), "left").withColumn("_b", F.coalesce("_n", F.lit(0.0))).drop("_n", *[f"_k{c}" for c in path])
+        now = kept(now, f"budget{k}")
     return now.withColumn("budget", F.floor(F.round("_b", 6)).cast("long")).select(*leaves.columns, "budget")
 
 
@@ -91,7 +97,7 @@ def mix_sources(docs: DataFrame, levels: dict[str, Column], weights: dict[str, C
     rows = docs.select(*kept, *[e.alias(n) for n, e in levels.items()], F.coalesce(tokens, F.lit(0)).cast("long").alias("tokens")).where("tokens > 0")
     narrow = settle(rows.select(*names, F.col(id_col).alias("_id"), "tokens"), f"{root}/narrow")
     leaves = narrow.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
-    plan = plan_budgets(leaves, weights, F.sum("tokens").over(Window.partitionBy(F.lit(1))) if total is None else total, max_epochs)
+    plan = plan_budgets(leaves, weights, F.sum("tokens").over(Window.partitionBy(F.lit(1))) if total is None else total, max_epochs, root)
     plan = plan.where("budget > 0").select(*[F.col(n).alias(f"_{n}") for n in names], "budget", F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("whole"), (F.col("budget") % F.col("tokens")).alias("rest"))
     plan = settle(plan, f"{root}/plan")  # a row a leaf, of known size: joined as Spark sees fit
     # the epoch that is cut: the band of its order in which the rest runs out, and what is left for that band
