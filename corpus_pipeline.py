@@ -64,7 +64,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixture", mixture), ("packed", packed)]
 
-#: Language ID, weak supervision and tokenization aren't SQL; the operators have tests, the chain has none yet.
+#: Language ID, weak supervision and tokenization aren't SQL; tests hold the chain against plain Python.
 ORACLE_SQL = None
 
 
