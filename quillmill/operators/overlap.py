@@ -111,7 +111,7 @@ def _near_whole(own: DataFrame, other: DataFrame, threshold: float) -> DataFrame
     """Each distinct candidate text against all of the reference, a block of it at a time, so no trigram gathers rows."""
     spark = own.sparkSession
     first = other.groupBy("ref_norm").agg(F.min(F.struct("ref_key", "ref_pos", "ref_raw")).alias("r")).select("ref_norm", "r.*").orderBy("ref_key", "ref_pos")
-    texts = own.select("norm").distinct()
+    texts = own.select("norm").distinct().repartition(4 * spark.sparkContext.defaultParallelism, "norm")  # a number, so that small tables aren't put into one task
     schema = "norm string, similarity double, ref_at long"
 
     def scan(block: list[str], start: int) -> DataFrame:
@@ -258,3 +258,35 @@ def contamination_stats(ref: DataFrame, cand: DataFrame, key: str) -> DataFrame:
     out = out.na.fill(0).withColumn("near_ratio", X.ratio(F.col("near_count"), F.col("_n"))).drop("_n")
     c = F.col
     return out.withColumn("contamination_risk", contamination_risk(c("exact_ratio"), c("exact_count"), c("normalized_ratio"), c("normalized_count"), c("near_count"), c("near_ratio"), c("shingle12_ratio"), c("shingle20_ratio"), c("longest"), c("par_exact"), c("par_norm")))
+
+
+#: A longest common substring under this changes no risk.
+LEAST_COMMON = 80
+
+
+def longest_overlap(cand: DataFrame, ref: DataFrame, key: str, least: int = LEAST_COMMON) -> DataFrame:
+    """A8 against each text of the reference: ``key, longest``, for candidates that share ``least`` characters with one."""
+    grams = lambda df, name: df.select(F.col(key).alias(name), F.explode(X.shingles(X.compact(F.col("text")), least)).alias("gram"))
+    met = grams(cand, "_c").join(grams(ref, "_r").distinct(), "gram").select("_c", "_r").distinct()
+    pairs = met.join(cand.select(F.col(key).alias("_c"), F.col("text").alias("_a")), "_c").join(ref.select(F.col(key).alias("_r"), F.col("text").alias("_b")), "_r")
+    return longest_common_substrings(pairs, "_a", "_b").groupBy(F.col("_c").alias(key)).agg(F.max("lcs.length").alias("longest"))
+
+
+def contamination_whole(ref: DataFrame, cand: DataFrame, key: str) -> DataFrame:
+    """The signals of A7 and the risk of every candidate against the whole reference; ``longest`` is 0 under LEAST_COMMON."""
+    ci, ri = items(cand, key), items(ref, key)
+    out = cand.select(key).distinct()
+    for name, column in (("exact", "exact"), ("normalized", "norm")):
+        o = sentence_overlap(ci, ri, key, False, column)
+        out = out.join(o.select(key, F.col("matched").alias(f"{name}_count"), F.col("ratio").alias(f"{name}_ratio")), key, "left")
+    near = near_matches(ci, ri, key, False).groupBy(key).agg(F.count("*").alias("near_count"))
+    out = out.join(near, key, "left").join(ci.groupBy(key).agg(F.count("*").alias("_n")), key, "left")
+    for k in (12, 20):
+        s = shingle_overlap(cand, ref, key, False, k)
+        out = out.join(s.select(key, X.ratio(F.col("matched"), F.col("total")).alias(f"shingle{k}_ratio")), key, "left")
+    p = paragraph_overlap(items(cand, key, "paragraphs", MIN_PARAGRAPH), items(ref, key, "paragraphs", MIN_PARAGRAPH), key, False)
+    out = out.join(longest_overlap(cand, ref, key), key, "left").join(p.select(key, F.col("exact_count").alias("par_exact"), F.col("normalized_count").alias("par_norm")), key, "left")
+    signals = [n for n in out.columns if n != key]
+    out = out.na.fill(0, signals).withColumn("near_ratio", X.ratio(F.col("near_count"), F.col("_n"))).drop("_n")
+    c = F.col
+    return out.withColumn("contamination_risk", contamination_risk(c("exact_ratio"), c("exact_count"), c("normalized_ratio"), c("normalized_count"), c("near_count"), c("near_ratio"), c("shingle12_ratio"), c("shingle20_ratio"), c("longest"), c("par_exact"), c("par_norm")))

@@ -224,6 +224,12 @@ def contamination_risk(spark, sf_dir):
     return both.select("doc_id", overlap.contamination_risk(F.col("er"), F.col("e"), F.col("nr"), F.col("n"), z, z, z, z, z, z, z).alias("contamination_risk"))
 
 
+@query()
+def contamination_risk_whole(spark, sf_dir):
+    """All eleven signals; ``contamination_risk`` keeps to the four that its SQL has."""
+    return overlap.contamination_whole(bench_seg(spark, sf_dir), seg(spark, sf_dir), "doc_id")
+
+
 @query(f"""
 WITH d AS (SELECT doc_id, source, text, {_sentences()} AS ss, {_paragraphs()} AS ps FROM documents),
 l AS (SELECT *, list_sort(list_filter(list_transform(ss, lambda q: length({_bare('q')})), lambda q: q > 0)) AS ls FROM d),

@@ -41,3 +41,16 @@ def test_near_overlap_equals_brute_force_over_documents(spark, tmp_path, monkeyp
             want.add((c.doc_id, c.pos, k, p, round(-q, 9)))
     got = registry.QUERIES["near_overlap"](spark, str(tmp_path)).withColumn("similarity", F.round("similarity", 9))
     assert len(want) > 20 and {tuple(r) for r in got.collect()} == want
+
+
+def test_contamination_risk_sees_a_passage_in_a_long_document(spark, tmp_path):
+    rng = random.Random(4)
+    filler = lambda: " ".join(sentences(rng, 40))
+    passage = "Every lighthouse keeper of the northern coast writes the weather into a green book at dawn and counts the ships again."
+    unbroken = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300))
+    bench = [(1, passage), (2, unbroken + " and the rest.")]
+    docs = [(1, filler()), (2, f"{filler()}\n\n{passage}\n\n{filler()}"), (3, f"{filler()} {unbroken[:250]} {filler()}"), (4, f"{filler()} {unbroken[:90]} {filler()}"), (5, f"{filler()} {unbroken[:79]} {filler()}"), (6, "")]
+    tables(spark, tmp_path, docs, bench)
+    got = {r.doc_id: r for r in registry.QUERIES["contamination_risk_whole"](spark, str(tmp_path)).collect()}
+    assert {i: r.contamination_risk for i, r in got.items()} == {1: "low", 2: "high", 3: "high", 4: "medium", 5: "low", 6: "low"}
+    assert got[2].par_exact == 1 and [got[i].longest for i in (3, 4)] == [250, 90]
