@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import bloom_of, in_bloom, in_steps, settle, shingle_hashes, tidy, window_hashes, word_hashes, work_dir
 
 WINDOW, ANCHOR = 35, 8
-_W40 = np.uint64((1 << 40) - 1)
+#: Windows of an anchor beyond which they are dealt by their own hashes rather than by the anchor.
+HOT = 250_000
 
 
 def anchors(words: np.ndarray, window: int) -> np.ndarray:
@@ -123,26 +124,23 @@ def _segments(window: int, bloom):
                     out[1].append(t1[r])
                     out[2].append(t2[r])
                     out[3].append(int(at[g[0]]))
-                    out[4].append((win[g] & _W40).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() if kind else _ranges(at[g]))
+                    out[4].append(win[g].tobytes() if kind else _ranges(at[g]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "t1", "t2", "start", "windows"])
 
     return run
 
 
 def _look_up(batches):
-    """Parse the segments of each anchor (sorted) against one another; give back the ranges found elsewhere."""
+    """Parse the segments of each anchor (sorted) against one another; give back the ranges found elsewhere. Windows are
+    equal by all 64 bits of their hash."""
 
     def parse(t: pa.Table):
-        anchor = t.column("anchor").to_numpy()
-        lengths = np.array([len(x) // 5 for x in t.column("windows").to_pylist()], np.int64)
+        lengths = np.array([len(x) // 8 for x in t.column("windows").to_pylist()], np.int64)
         if len(lengths) < 2:
             return None
-        raw = np.frombuffer(b"".join(t.column("windows").to_pylist()), np.uint8).reshape(-1, 5)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :5] = raw
-        group = np.cumsum(np.concatenate(([0], anchor[1:] != anchor[:-1]))).astype(np.uint64)
+        win = np.frombuffer(b"".join(t.column("windows").to_pylist()), np.uint64)
         seg = np.repeat(np.arange(len(lengths)), lengths)
-        _, inv, n = np.unique((group[seg] << np.uint64(40)) | wide.view(np.uint64)[:, 0], return_inverse=True, return_counts=True)
+        _, inv, n = np.unique(win, return_inverse=True, return_counts=True)  # equal windows have equal anchors
         offset = np.arange(len(seg)) - np.repeat(np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
         at = t.column("start").to_numpy()[seg] + offset
         hit = np.flatnonzero(n[inv] > 1)
@@ -187,7 +185,19 @@ def _keep(window: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def _dealt(found: DataFrame, hot: int, path: str) -> DataFrame:
+    """The segments by anchor; those of an anchor with more than ``hot`` windows as a row a window, with its hash for an
+    anchor, so that equal windows still meet and no task holds the whole group."""
+    asked = found.where("anchor is not null")
+    many = settle(asked.groupBy("anchor").agg(F.sum(F.length("windows")).alias("bytes")).where(F.col("bytes") > 8 * hot).select("anchor"), path)
+    at = F.explode(F.sequence(F.lit(0), F.expr("int(length(windows) / 8) - 1"))).alias("at")
+    split = asked.join(many, "anchor", "left_semi").select("t1", "t2", "start", "windows", at)
+    split = split.select("t1", "t2", (F.col("start") + F.col("at")).alias("start"), F.expr("substring(windows, at * 8 + 1, 8)").alias("windows"))
+    split = split.select(F.xxhash64("windows").alias("anchor"), "t1", "t2", "start", "windows")
+    return asked.join(many, "anchor", "left_anti").select(split.columns).union(split)
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """``(id, n_words, n_removed, kept)``: each text without the words that lie in a window repeated anywhere.
 
     One row per input row; words are ``[^\\x20\\x09-\\x0D]+``, kept ones are joined by one space. A window counts as
@@ -203,7 +213,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = some.mapInArrow(tidy(_anchor_counts(window), whole=True), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n"))
     bloom = spark.sparkContext.broadcast(bloom_of(counts.where("n > 1").select(F.col("anchor").alias("key"))))
     found = settle(some.mapInArrow(tidy(_segments(window, bloom), whole=True), _SEGMENT), f"{root}/segments")
-    asked = found.where("anchor is not null").repartition(F.col("anchor")).sortWithinPartitions("anchor")
+    asked = _dealt(found, hot, f"{root}/hot").repartition(F.col("anchor")).sortWithinPartitions("anchor")
     spans = asked.mapInArrow(tidy(_look_up, whole=True), "t1 long, t2 long, ranges binary").union(found.where("anchor is null").select("t1", "t2", F.col("windows").alias("ranges")))
     spans = spans.groupBy("t1", "t2").agg(F.collect_set("ranges").alias("ranges"))
     return base.join(spans, ["t1", "t2"], "left").select("id", "text", "ranges").mapInArrow(tidy(_keep(window)), "id long, n_words long, n_removed long, kept string")

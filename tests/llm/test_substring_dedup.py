@@ -1,7 +1,12 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
+
+from quillmill.llm import common, substring_dedup as module
 from quillmill.llm.substring_dedup import substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -43,3 +48,27 @@ def test_matches_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup(df).count() == 0
+
+
+def test_windows_that_share_an_anchor_and_40_bits_are_not_equal(monkeypatch):
+    starts = iter((1, 1000))
+    monkeypatch.setattr(module, "window_hashes", lambda w, n: (np.arange(len(w) - n + 1, dtype=np.uint64) + np.uint64(next(starts))) << np.uint64(40))
+    monkeypatch.setattr(module, "anchors", lambda w, n: np.full(len(w) - n + 1, 7, np.uint64))
+    bloom = SimpleNamespace(value=np.full(common.BLOOM_BITS // 8, 255, np.uint8))
+    texts = [" ".join(f"{c}{i}" for i in range(36)) for c in "ab"]
+    batch = pa.RecordBatch.from_pydict({"t1": pa.array([1, 2], pa.int64()), "t2": pa.array([1, 2], pa.int64()), "text": texts})
+    sent = list(module._segments(35, bloom)([batch]))
+    assert sum(b.num_rows for b in sent) == 2
+    assert not list(module._look_up(sent))
+
+
+def test_a_hot_anchor_is_split_and_loses_nothing(spark):
+    rng = random.Random(9)
+    words, phrase = [f"w{i}" for i in range(500)], [f"p{i}" for i in range(20)]
+    passage = rng.choices(words, k=50)
+    rows = []
+    for i in range(60):
+        w = rng.choices(words, k=30) + phrase + rng.choices(words, k=30)
+        rows.append((i, " ".join(w + passage if i % 3 == 0 else w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in substring_dedup(df, hot=2).collect()), key=str) == brute(rows, 35)
