@@ -31,15 +31,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies (five words, similarity 0.8); one of rows repeating it."""
+    """The document of least id of each group of near copies (five words, similarity 0.8). Of rows that
+    repeat an id and a text one stays; rows with no id all stay."""
     found = ngram_join.ngram_jaccard_join(docs)
     keep = found.where(F.col("id").isNull() | (F.col("id") == F.col("component_id"))).select("id").distinct()
     rows = docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"]) if _repeats(docs) else rows
-
-
-def _repeats(docs: DataFrame) -> bool:
-    return docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() > 0
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = settle(again, f"{work_dir(spark)}/again")
+    once = rows.join(again, "doc_id", "left_anti")  # rows with no id, too
+    return once.unionByName(rows.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

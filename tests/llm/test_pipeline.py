@@ -122,6 +122,14 @@ def test_stages_keep_the_columns_and_stand_nulls_and_repeats(spark, tmp_path):
     assert corpus_pipeline.packed(spark, docs, str(tmp_path)).count() > 0
 
 
+def test_null_ids_and_one_id_with_two_texts_lose_no_row(spark, tmp_path):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (1, text("c")), (1, text("d")), (2, text("e")), (2, text("e"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], SCHEMA)
+    got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(rows[:-1], key=str)
+
+
 def test_an_empty_table_gives_no_rows(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
