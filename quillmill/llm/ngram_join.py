@@ -122,11 +122,11 @@ def _prefixes(n: int, num: int, den: int, ranks, demoted=None):
     return run
 
 
-def spanning_links(ids: list[int], sets: list[np.ndarray], num: int, den: int, fragments: int = FRAGMENTS) -> Iterator[tuple[int, int]]:
+def spanning_links(ids: list[int], sets: list[np.ndarray], num: int, den: int, fragments: int = FRAGMENTS, every: bool = False) -> Iterator[tuple[int, int]]:
     """Links (id, least id of its component) among sets, by fragment-wise overlap counts.
 
     Breadth first: one document is compared with those not yet reached, so every pair across components is compared
-    and pairs inside a component needn't be.
+    and pairs inside a component needn't be. With ``every``, each pair that is similar, once, instead.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -150,35 +150,43 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], num: int, den: int, f
         at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         return posts[at[in_prefix[at]]] if only_prefix else posts[at]
 
+    def similar(u: int, ok: np.ndarray) -> np.ndarray:
+        mine = rank[start[u] : start[u + 1]]
+        cand = holders(mine[: plen[u]], True)
+        cand = np.unique(cand[ok[cand]])
+        cand = cand[(den * sizes[cand] >= num * sizes[u]) & (den * sizes[u] >= num * sizes[cand])]
+        if not len(cand):
+            return cand
+        need = -(-num * (sizes[cand] + sizes[u]) // (num + den))
+        slot = np.full(len(sets), -1, np.int64)
+        slot[cand] = np.arange(len(cand))
+        total = np.zeros(len(cand), np.int64)
+        left = len(mine)
+        for part in np.split(mine, np.searchsorted(mine, cuts)):
+            if not len(part):
+                continue
+            hit = slot[holders(part, False)]
+            total += np.bincount(hit[hit >= 0], minlength=len(cand))
+            left -= len(part)
+            slot[cand[total + left < need]] = -1
+            if not (slot[cand] >= 0).any():
+                break
+        return cand[total >= need]
+
     fresh = np.ones(len(sets), bool)
+    if every:
+        for u in range(len(sets)):
+            fresh[u] = False
+            for v in similar(u, fresh):
+                yield ids[u], ids[v]
+        return
     for seed in np.argsort(ids, kind="stable"):
         if not fresh[seed]:
             continue
         fresh[seed] = False
         queue = [seed]
         while queue:
-            u = queue.pop()
-            mine = rank[start[u] : start[u + 1]]
-            cand = holders(mine[: plen[u]], True)
-            cand = np.unique(cand[fresh[cand]])
-            cand = cand[(den * sizes[cand] >= num * sizes[u]) & (den * sizes[u] >= num * sizes[cand])]
-            if not len(cand):
-                continue
-            need = -(-num * (sizes[cand] + sizes[u]) // (num + den))
-            slot = np.full(len(sets), -1, np.int64)
-            slot[cand] = np.arange(len(cand))
-            total = np.zeros(len(cand), np.int64)
-            left = len(mine)
-            for part in np.split(mine, np.searchsorted(mine, cuts)):
-                if not len(part):
-                    continue
-                hit = slot[holders(part, False)]
-                total += np.bincount(hit[hit >= 0], minlength=len(cand))
-                left -= len(part)
-                slot[cand[total + left < need]] = -1
-                if not (slot[cand] >= 0).any():
-                    break
-            for v in cand[total >= need]:
+            for v in similar(queue.pop(), fresh):
                 fresh[v] = False
                 queue.append(v)
                 yield ids[v], ids[seed]
@@ -206,9 +214,26 @@ def _tile(n: int, num: int, den: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5, chunk_ngrams: int = CHUNK_NGRAMS) -> DataFrame:
+def _pairs(n: int, num: int, den: int):
+    """Every similar pair of a tile; pairs inside a chunk are named in the chunk's own tile only."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, chunk = table.column("id").to_pylist(), table.column("c").to_pylist()
+        own = table.column("i")[0] == table.column("j")[0]
+        sets = list(shingle_sets(table.column("text").to_pylist(), n))
+        at = list(range(len(ids)))
+        links = [(ids[x], ids[y]) for x, y in spanning_links(at, sets, num, den, every=True) if ids[x] != ids[y] and (own or chunk[x] != chunk[y])]
+        return pa.table({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
+
+    return run
+
+
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5, chunk_ngrams: int = CHUNK_NGRAMS, count_links: bool = False) -> DataFrame:
     """Classes of documents linked by n-gram Jaccard similarity >= num/den: ``(id, n_shingles, component_id)``.
 
+    With ``count_links`` also ``n_links``, the rows that a row is similar to, copies included; every similar pair is
+    then counted, so the work follows pairs rather than documents.
+
     One row per input row. A text of fewer than n words is one shingle; null texts and texts with no words have
     ``n_shingles`` 0 and link with nothing. A row whose id is null has a null component and takes part in nothing.
     Rows that repeat an id and a text count as copies. Extra columns of ``docs`` are ignored.
@@ -246,14 +271,22 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = field.join(classes.select(F.col("rep").alias("node"), "size"), "node")
     chunks = members.groupBy("component").agg(F.ceil(F.sum("size") / chunk_ngrams).cast("int").alias("k"))
     c = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    tiles = members.join(chunks, "component").withColumn("c", c).select("node", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j")))).alias("t"))
-    tiles = settle(tiles.select(F.col("node").alias("id"), "component", F.col("t.i").alias("i"), F.col("t.j").alias("j")), f"{root}/tiles")
+    tiles = members.join(chunks, "component").withColumn("c", c).select("node", "component", "c", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j")))).alias("t"))
+    tiles = settle(tiles.select(F.col("node").alias("id"), "component", "c", F.col("t.i").alias("i"), F.col("t.j").alias("j")), f"{root}/tiles")
     wanted = spark.sparkContext.broadcast(bloom_of(tiles.select(F.col("id").alias("key")).distinct()))
     texts = base.where("id is not null").mapInArrow(tidy(_only(wanted)), "id long, text string").join(tiles, "id")
-    links = settle(texts.groupBy("component", "i", "j").applyInArrow(_tile(n, num, den), "a long, b long"), f"{root}/links")
+    grouped = texts.groupBy("component", "i", "j")
+    links = settle(grouped.applyInArrow(_tile(n, num, den), "a long, b long"), f"{root}/links")
     joined = connected_components(links, f"{root}/cc")
 
     least = classes.select("s1", "s2", "rep").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = sized.join(least, ["s1", "s2"], "left")
-    return out.select("id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
-
+    columns = ["id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id")]
+    if not count_links:
+        return out.select(*columns)
+    pairs = settle(grouped.applyInArrow(_pairs(n, num, den), "a long, b long").distinct(), f"{root}/pairs")
+    copies = sized.where("size > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    both = pairs.union(pairs.select("b", "a")).toDF("rep", "other").join(copies.select(F.col("rep").alias("other"), "copies"), "other")
+    linked = copies.join(both.groupBy("rep").agg(F.sum("copies").alias("others")), "rep", "left").select("s1", "s2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    n_links = F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0)
+    return out.join(linked, ["s1", "s2"], "left").select(*columns, n_links.alias("n_links"))

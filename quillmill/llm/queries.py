@@ -19,6 +19,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), n=4, num=85, den=100).withColumnRenamed("id", "doc_id")
 
 
+def ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1 with the number of links of each row, for which op1's SQL has no column."""
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), n=4, num=85, den=100, count_links=True).withColumnRenamed("id", "doc_id")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
@@ -77,7 +82,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_token_records(spark, manifest, with_ids=False).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_langid, op4_substring_dedup, op5_packing, op6_ann, op7_html, op8_embedding_dedup, op9_mixing, op10_token_records)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_langid, op4_substring_dedup, op5_packing, op6_ann, op7_html, op8_embedding_dedup, op9_mixing, op10_token_records, ngram_links)}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 

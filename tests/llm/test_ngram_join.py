@@ -64,3 +64,17 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = sorted((tuple(r) for r in ngram_jaccard_join(df).collect()), key=str)
     assert got == sorted([(7, 3, 7), (7, 3, 7), (9, 3, 7), (None, 3, 7)], key=str)
     assert ngram_jaccard_join(df.limit(0)).count() == 0
+
+
+def test_links_are_counted_inside_components(spark):
+    rows = corpus(6, 120)
+    rows += [(5000 + k, t) for k, (_, t) in enumerate(rows[30:36])]
+    sets = []
+    for _, t in rows:
+        w = WORD.findall((t or "").translate(FOLD))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    want = {i: sum(bool(x and y) and j != i and 5 * len(x & y) >= 4 * len(x | y) for (j, _), y in zip(rows, sets, strict=True)) for (i, _), x in zip(rows, sets, strict=True)}
+    assert max(want.values()) > 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = ngram_jaccard_join(df, chunk_ngrams=500, count_links=True).collect()
+    assert {r.id: r.n_links for r in out} == want and len(out) == len(rows)
