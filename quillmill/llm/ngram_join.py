@@ -55,7 +55,7 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 
 def reach(size: int, positions: np.ndarray, num: int, den: int) -> np.ndarray:
     """The largest partner of a set of ``size`` whose first common n-gram stands at each position of its order, as a
-    share of ``size`` in 200ths, rounded up: what is left, size - position, must hold the least overlap."""
+    share of ``size`` in 200ths, rounded up: what is left, size - position, must hold the least overlap. 255 has no bound."""
     largest = (size - positions) * (num + den) / num - size
     return np.minimum(255, np.ceil(largest * 200 / size) + 1).astype(np.int64)
 
@@ -258,7 +258,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     grams = some.mapInArrow(tidy(_prefixes(n, num, den, ranks, demoted)), schema)
     # in order of size, a set meets the one before it if any before it reaches its size: so do all that may be similar
     size = F.shiftright("s2", REACH_BITS).bitwiseAND(_SIZE)
-    far = F.when(size == _SIZE, F.lit(float("inf"))).otherwise(size * F.col("s2").bitwiseAND(255) / 200)
+    far = F.when((size == _SIZE) | (F.col("s2").bitwiseAND(255) == 255), F.lit(float("inf"))).otherwise(size * F.col("s2").bitwiseAND(255) / 200)
     by = Window.partitionBy("gram").orderBy("size", "s1", "s2")
     met = grams.withColumn("size", size).withColumn("far", F.max(far).over(by.rowsBetween(Window.unboundedPreceding, -1)))
     met = met.withColumn("t1", F.lag("s1").over(by)).withColumn("t2", F.lag("s2").over(by)).where("far >= size")

@@ -78,3 +78,11 @@ def test_links_are_counted_inside_components(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = ngram_jaccard_join(df, chunk_ngrams=500, count_links=True).collect()
     assert {r.id: r.n_links for r in out} == want and len(out) == len(rows)
+
+
+def test_a_low_threshold_reaches_far_larger_partners(spark):
+    words = [f"u{i}" for i in range(144)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:104])), (3, " ".join(words[:76])), (4, "else " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for num, den in ((7, 10), (1, 2)):
+        assert {tuple(r) for r in ngram_jaccard_join(df, num=num, den=den).collect()} == brute(rows, 5, num, den)
