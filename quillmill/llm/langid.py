@@ -24,6 +24,8 @@ DOCS_PER_LANG, MAX_WORDS, MAX_GRAMS, LONGEST = 4000, 60_000, 30_000, 4
 #: Words whose evidence sets the score; more words don't make it surer.
 EVIDENCE = 20
 MEMO = 200_000
+#: Places of a word whose n-grams are looked up at once.
+STEP = 10_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -82,12 +84,16 @@ class Model:
         memo = self.memo
         for w in words:
             if w not in memo:
-                p = padded(w[:200])
+                p = padded(w)
                 for n in range(len(self.grams), 0, -1):
                     t = self.grams[n - 1]
-                    hits = [r for i in range(len(p) - n + 1) if (r := t.row.get(p[i : i + n])) is not None]
-                    if hits:
-                        self.rows[len(memo)] = t.log[hits].sum(axis=0) / len(hits)
+                    total, count, places = 0, 0, len(p) - n + 1
+                    for at in range(0, places, STEP):
+                        hits = [r for i in range(at, min(at + STEP, places)) if (r := t.row.get(p[i : i + n])) is not None]
+                        if hits:
+                            total, count = total + t.log[hits].sum(axis=0), count + len(hits)
+                    if count:
+                        self.rows[len(memo)] = total / count
                         break
                 else:
                     self.rows[len(memo)] = 0

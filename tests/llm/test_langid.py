@@ -3,7 +3,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from quillmill.llm.langid import fit, held_out, predict
+from quillmill.llm.langid import Model, Table, fit, held_out, predict
 
 SYLL = {"aa": ["ka", "to", "mi", "ru"], "bb": ["schw", "ung", "ber", "ein"], "cc": ["eau", "oux", "tre", "é"]}
 
@@ -42,3 +42,8 @@ def test_no_labels_and_empty_table(spark):
     df = spark.createDataFrame([(1, "word", None)], "doc_id long, text string, lang string")
     assert predict(df, fit(df)).first().lang_pred == "und"
     assert predict(df.limit(0), fit(df.limit(0))).count() == 0
+
+
+def test_a_long_word_counts_whole():
+    model = Model(["aa", "bb"], Table([], ["aa", "bb"]), [Table([("k", "aa", 9), ("s", "bb", 9)], ["aa", "bb"])])
+    assert model.predict("k" * 300 + "s" * 30_000)[0] == "bb" and model.predict("k" * 30_000 + "s" * 300)[0] == "aa"
