@@ -1,26 +1,30 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its nearest pivots in order. Each block of the index posts its vectors in one inverted file
-a pivot, with the pivot's place in the vector's order. A query walks the files of its own pivots; places add up to the
-footrule distance between the two orders (a pivot missing from an order counts as last), and the vectors with the least
-footrule are reranked by exact distance. Every row is indexed; pivots come from a bounded sample.
+A vector is represented by its nearest pivots in order. Vectors are indexed in blocks, and a block has one inverted
+file a pivot: the rows that have the pivot in their order, and at which place. The files are written once. A query
+walks the files of its own pivots, block by block; places add up to the footrule distance between the two orders (a
+pivot missing from an order counts as last), and the share ``RERANK`` of a block's vectors with the least footrule is
+reranked by exact distance. Every row is indexed; the pivots of a dimension come from a bounded sample of its vectors.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import settle, work_dir
+from quillmill.llm.common import settle, tidy, work_dir
 from quillmill.llm.vectors import matrix, usable
 
-#: Pivots (a sample by hash, distinct vectors), the length of an order, the share of a block that is reranked, and
-#: its least size. Chosen for a recall of 0.9 or more at 10 neighbours; see the tests.
-PIVOTS, ORDER, RERANK, LEAST = 128, 32, 0.3, 600
-#: Queries that one pass over the index serves; a block of them is all that is ever broadcast.
-QUERY_BLOCK = 4096
+#: Pivots of a dimension (distinct vectors of a sample by hash, of at most twice as many rows), the length of an order,
+#: and the share of a block that is reranked, at every size. The tests hold recall at 10 neighbours to 0.9 or more.
+PIVOTS, ORDER, RERANK = 512, 192, 0.05
+#: Vectors in a block of the index, and queries that meet a block in one task.
+BLOCK, QUERY_BLOCK = 16_384, 1024
+_FILE, _VECTOR, _QUERY = 0, 1, 2
+_INDEX = "dim int, block long, kind int, key long, pos int, v array<double>, rows binary, places binary"
 
 
 def orders(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
@@ -29,96 +33,151 @@ def orders(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")[:, :k].astype(np.int16)
 
 
-def choose_pivots(vectors: DataFrame, dim: int, count: int = PIVOTS) -> np.ndarray:
-    """The first distinct vectors in hash order, of at most 8 times as many rows."""
-    rows = vectors.where(F.size("v") == dim).orderBy(F.xxhash64("id"), "id").limit(8 * count).collect()
-    x = np.array([r["v"] for r in rows], np.float64)
-    return x[np.sort(np.unique(x, axis=0, return_index=True)[1])[:count]]
+def choose_pivots(vectors: DataFrame, count: int = PIVOTS) -> dict[int, np.ndarray]:
+    """For each dimension its first ``count`` distinct vectors in hash order, of at most twice as many rows."""
+    by = Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id", "v")
+    rows = vectors.withColumn("dim", F.size("v")).withColumn("n", F.row_number().over(by)).where(F.col("n") <= 2 * count)
+    per: dict[int, list] = {}
+    for r in rows.select("dim", "n", "v").collect():
+        per.setdefault(r["dim"], []).append((r["n"], r["v"]))
+    out = {}
+    for dim, found in per.items():
+        x = np.array([v for _, v in sorted(found)], np.float64)
+        out[dim] = x[np.sort(np.unique(x, axis=0, return_index=True)[1])[:count]]
+    return out
+
+
+def _files(dim: int, block: int, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, k: int):
+    """A block's rows: its inverted files, each in order of place, and its vectors."""
+    o = orders(x, pivots, k)
+    k, n = o.shape[1], len(ids)
+    flat = o.ravel().astype(np.int64)
+    place = np.tile(np.arange(k), n)
+    by = np.lexsort((place, flat))
+    row = (by // k).astype(np.int32)
+    ends = np.cumsum(np.bincount(flat, minlength=len(pivots)))
+    rows, places, keys = [], [], np.flatnonzero(np.diff(ends, prepend=0))
+    for p in keys:
+        f = slice(ends[p - 1] if p else 0, ends[p])
+        rows.append(row[f].tobytes())
+        places.append(place[by[f]].astype(np.int16).tobytes())
+    m = len(keys)
+    same = lambda v, c, t: pa.array(np.full(c, v), t)
+    names = ["dim", "block", "kind", "key", "pos", "v", "rows", "places"]
+    kind = pa.list_(pa.float64())
+    yield pa.RecordBatch.from_arrays([same(dim, m, pa.int32()), same(block, m, pa.int64()), same(_FILE, m, pa.int32()), pa.array(keys, pa.int64()), same(0, m, pa.int32()), pa.nulls(m, kind), pa.array(rows, pa.binary()), pa.array(places, pa.binary())], names=names)
+    v = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
+    yield pa.RecordBatch.from_arrays([same(dim, n, pa.int32()), same(block, n, pa.int64()), same(_VECTOR, n, pa.int32()), pa.array(ids, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), v, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+
+
+def _index(held, k: int, block: int):
+    """Blocks of this task's vectors, each dimension's apart."""
 
-
-def _index(held, k: int):
     def run(batches):
-        p = held.value
+        part, made, waiting = TaskContext.get().partitionId(), 0, {}
+
+        def close(dim: int):
+            nonlocal made
+            ids, x = (np.concatenate(c) for c in zip(*waiting.pop(dim), strict=True))
+            for at in range(0, len(ids), block):
+                yield from _files(dim, part << 32 | made, ids[at : at + block], x[at : at + block], held.value[dim], k)
+                made += 1
+
         for b in batches:
-            o = orders(matrix(b.column("v"), p.shape[1]), p, k)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(list(o), pa.list_(pa.int16()))], names=["id", "v", "ord"])
+            if not b.num_rows:
+                continue
+            size = np.diff(b.column("v").offsets.to_numpy())
+            for dim in np.unique(size).tolist():
+                rows = b.take(pa.array(np.flatnonzero(size == dim)))
+                waiting.setdefault(dim, []).append((rows.column("id").to_numpy(), matrix(rows.column("v"), dim)))
+                if sum(len(i) for i, _ in waiting[dim]) >= block:
+                    yield from close(dim)
+        for dim in list(waiting):
+            yield from close(dim)
 
     return run
 
 
-def build_index(vectors: DataFrame, path: str, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, order: int = ORDER) -> tuple[DataFrame, np.ndarray]:
-    """The index table ``(id, v, ord)`` at ``path`` and its pivots. Rows whose id is null or whose vector isn't usable
-    or has another dimension than the first by hash order are left out."""
+def build_index(vectors: DataFrame, path: str, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, order: int = ORDER, block: int = BLOCK) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """The index table at ``path`` and the pivots by dimension. Rows whose id is null or whose vector isn't usable are
+    left out; vectors of every dimension are indexed, each with its own kind."""
     v = F.col(vector_col).cast("array<double>")
     good = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-    first = good.select(F.size("v").alias("d"), "id").orderBy(F.xxhash64("id"), "id").limit(1).collect()
-    if not first:
-        return good.withColumn("ord", F.array().cast("array<smallint>")), np.zeros((0, 0))
-    dim = first[0]["d"]
-    p = choose_pivots(good, dim, pivots)
+    p = choose_pivots(good, pivots)
     held = vectors.sparkSession.sparkContext.broadcast(p)
-    made = good.where(F.size("v") == dim).mapInArrow(_index(held, min(order, len(p))), "id long, v array<double>, ord array<smallint>")
-    return settle(made, path), p
+    return settle(good.mapInArrow(tidy(_index(held, order, block)), _INDEX), path), p
 
 
-def _search(held, n_pivots: int, top: int, rerank: float, least: int):
+def _with_orders(held, k: int):
     def run(batches):
-        qid, q, qord = held.value
-        k = qord.shape[1]
-        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(qid)
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids, x = b.column("id").to_numpy(), matrix(b.column("v"), q.shape[1])
-            o = np.asarray(b.column("ord").flatten().to_numpy()).reshape(len(ids), k).astype(np.int64)
-            # inverted files: rows and places by pivot
-            by = np.argsort(o.ravel(), kind="stable")
-            rows, places = by // k, by % k
-            first = np.concatenate(([0], np.cumsum(np.bincount(o.ravel(), minlength=n_pivots))))
-            depth = min(len(ids), max(least, int(rerank * len(ids))))
-            by_id = np.empty(len(ids), np.int64)
-            by_id[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-            for j in range(len(qid)):
-                # footrule = constant - 2 * sum over shared pivots of (k - the later of both places)
-                near = np.zeros(len(ids), np.int64)
-                for place, p in enumerate(qord[j]):
-                    f = slice(first[p], first[p + 1])
-                    near[rows[f]] += k - np.maximum(places[f], place)  # a row is in a pivot's file once
-                rank = (k * k - near) * len(ids) + by_id  # least footrule, then least id
-                cand = np.argpartition(rank, depth - 1)[:depth] if depth < len(ids) else np.arange(len(ids))
-                cand = cand[ids[cand] != qid[j]]
-                diff = x[cand] - q[j]
-                d = np.concatenate((best[j][0], np.sqrt((diff * diff).sum(1))))
-                i = np.concatenate((best[j][1], ids[cand]))
-                keep = np.lexsort((i, d))[:top]
-                best[j] = (d[keep], i[keep])
-        n = [len(d) for d, _ in best]
-        if sum(n):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(np.concatenate([i for _, i in best])), pa.array(np.concatenate([d for d, _ in best]))], names=["query_id", "vec_id", "score"])
+            size = np.diff(b.column("v").offsets.to_numpy()) if b.num_rows else np.zeros(0)
+            for dim in np.unique(size).tolist():
+                rows = b.take(pa.array(np.flatnonzero(size == dim)))
+                o = orders(matrix(rows.column("v"), dim), held.value[dim], k)
+                yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("v"), pa.array([r.tobytes() for r in o], pa.binary())], names=["key", "v", "rows"])
+
+    return run
+
+
+def _search(top: int, rerank: float):
+    """The nearest of one block to the queries that meet it."""
+
+    def run(t: pa.Table) -> pa.Table:
+        kind = t.column("kind").to_numpy()
+        part = lambda k: t.take(pa.array(np.flatnonzero(kind == k)))
+        files, held, asked = part(_FILE), part(_VECTOR).sort_by("pos"), part(_QUERY)
+        ids, x = held.column("key").to_numpy(), matrix(held.column("v"))
+        file = {p: (np.frombuffer(r, np.int32), np.frombuffer(s, np.int16)) for p, r, s in zip(files.column("key").to_pylist(), files.column("rows").to_pylist(), files.column("places").to_pylist(), strict=True)}
+        by_id = np.empty(len(ids), np.int64)
+        by_id[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        depth = min(len(ids), max(top + 1, int(np.ceil(rerank * len(ids)))))
+        out: tuple[list, list, list] = ([], [], [])
+        qs = matrix(asked.column("v"))
+        for qid, q, order in zip(asked.column("key").to_pylist(), qs, asked.column("rows").to_pylist(), strict=True):
+            order = np.frombuffer(order, np.int16)
+            k = len(order)
+            # footrule = constant - 2 * sum over shared pivots of (k - the later of both places)
+            near = np.zeros(len(ids), np.int64)
+            for place, p in enumerate(order.tolist()):
+                if p in file:
+                    rows, places = file[p]
+                    near[rows] += k - np.maximum(places, place)  # a row is in a pivot's file once
+            rank = (k * k - near) * len(ids) + by_id  # least footrule, then least id
+            cand = np.argpartition(rank, depth - 1)[:depth] if depth < len(ids) else np.arange(len(ids))
+            cand = cand[ids[cand] != qid]
+            diff = x[cand] - q
+            d = np.sqrt((diff * diff).sum(1))
+            best = np.lexsort((ids[cand], d))[:top]
+            out[0].append(np.full(len(best), qid))
+            out[1].append(ids[cand[best]])
+            out[2].append(d[best])
+        flat = [np.concatenate(c) if c else np.zeros(0) for c in out]
+        return pa.table({"query_id": pa.array(flat[0].astype(np.int64)), "vec_id": pa.array(flat[1].astype(np.int64)), "score": pa.array(flat[2].astype(np.float64))})
 
     return run
 
 
-def search(index: DataFrame, pivots: np.ndarray, queries: Column, top: int = 10, rerank: float = RERANK, least: int = LEAST) -> DataFrame:
+def search(index: DataFrame, pivots: dict[int, np.ndarray], queries: Column, top: int = 10, rerank: float = RERANK, order: int = ORDER, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each indexed row that ``queries`` (over ``id``) picks, its nearest
-    others, nearest first, ties to the smaller id. The scan keeps ``top`` rows a query and task; blocks of queries are
-    served one after another. Repeated ids: every row with the query's id is left out as its own. No rows, no result.
+    others of its dimension, nearest first, ties to the smaller id. Blocks of queries meet blocks of the index in one
+    job; each meeting gives at most ``top`` rows a query. Of rows that repeat a query's id, the least vector asks, and
+    all of them are left out as its own. No rows, no result.
     """
     spark = index.sparkSession
-    root = work_dir(spark)
-    blocks = -(-index.where(queries).count() // QUERY_BLOCK)
-    out = None
-    for b in range(blocks):
-        rows = index.where(queries & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).select("id", "v", "ord").dropDuplicates(["id"]).collect()
-        if not rows:
-            continue
-        held = spark.sparkContext.broadcast((np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows]), np.array([r["ord"] for r in rows], np.int64)))
-        part = settle(index.mapInArrow(_search(held, len(pivots), top, rerank, least), "query_id long, vec_id long, score double"), f"{root}/found{b}")
-        out = part if out is None else out.union(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    held = spark.sparkContext.broadcast(pivots)
+    asked = index.where(F.col("kind") == _VECTOR).withColumn("id", F.col("key")).where(queries).groupBy("id").agg(F.min("v").alias("v"))
+    asked = settle(asked.select(F.col("id").alias("key"), "v").mapInArrow(_with_orders(held, order), "key long, v array<double>, rows binary"), f"{work_dir(spark)}/queries")
+    asked = asked.withColumn("dim", F.size("v"))
+    blocks = index.groupBy("dim").agg(F.collect_set("block").alias("blocks"))  # a number for every BLOCK vectors
+    n = max(1, -(-asked.count() // query_block))
+    asked = asked.withColumn("q", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).join(blocks, "dim").select("*", F.explode("blocks").alias("block"))
+    columns = ["block", "q", "kind", "key", "pos", "v", "rows", "places"]
+    asked = asked.select("block", "q", F.lit(_QUERY).alias("kind"), "key", F.lit(0).alias("pos"), "v", "rows", F.lit(None).cast("binary").alias("places"))
+    met = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(*columns).union(asked)
+    found = met.groupBy("block", "q").applyInArrow(_search(top, rerank), "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 10, **kw) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillmill.llm.ann import nearest
+from quillmill.llm.ann import RERANK, build_index, nearest, search
 from quillmill.llm.embedding_dedup import embedding_near_dedup
 
 ODD = [(9001, None, 1), (9002, [0.0] * 16, 1), (9003, [float("nan")] + [1.0] * 15, 1), (9004, [float("inf")] + [1.0] * 15, 1), (9005, [None] + [1.0] * 15, 1), (9006, [], 1)]
@@ -71,6 +71,29 @@ def test_ann_recall_and_ties(spark):
     assert [got[100][k][0] for k in range(1, 11)] == [10_000 + k for k in range(10)]
 
 
+def test_ann_reranks_a_twentieth_and_still_recalls(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(2)
+    index, pivots = build_index(df, f"{tmp_path}/index")
+    files = index.where("kind = 0")
+    assert RERANK <= 0.05 and files.count() == 512 * index.select("block").distinct().count()
+    hits = 0
+    got = search(index, pivots, F.col("id") % 100 == 0).collect()
+    for r in got:
+        d = np.sqrt(((x - x[r.query_id]) ** 2).sum(1))
+        d[r.query_id] = np.inf
+        hits += r.vec_id in set(np.lexsort((np.arange(len(x)), d))[:10].tolist())
+    assert len(got) == 600 and hits >= 0.9 * 600
+
+
+def test_ann_indexes_every_dimension_and_asks_by_the_least_of_repeated_ids(spark):
+    rows = [(100, [1.0, 0.0]), (7, [2.0, 0.0]), (200, [0.0, 1.0, 0.0]), (200, [5.0, 1.0, 0.0]), (8, [0.0, 3.0, 0.0]), (300, [1.0] * 5)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, query_id string")
+    got = sorted(map(tuple, nearest(df, F.col("id") % 100 == 0, query_block=1).collect()))
+    assert got == [(100, 1, 7, 1.0), (200, 1, 8, 2.0)]
+
+
 def test_ann_small_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (100, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert nearest(df, F.col("id") % 100 == 0).count() == 4
