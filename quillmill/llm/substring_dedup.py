@@ -1,16 +1,18 @@
 """Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
 
-Every window of ``window`` words has an anchor: the least hash among its short shingles, which depends on the window's
-words alone. Windows that share an anchor form a *segment* of their document; a *reference block* is what the corpus
-holds under one range of anchors, indexed by window fingerprints. A document is parsed against each block that its
-anchors name: consecutive windows that the block also holds from another position chain into a factor, and a factor of
-one window or more is long enough. A greedy parse may cut a repeat at a factor's boundary, so factors aren't judged by
-their own length there: windows across boundaries belong to a block of their own, and spans of all blocks are united
-per document before words are removed.
-
-Passages repeated in a batch are settled there and one copy of each window goes on, so a passage in a third of all
-documents sends a row a batch, not a row a document. Anchors seen once never leave their task (a Bloom filter of fixed
-size says so; when it fills up, more rows travel and the result is the same).
+A text is taken as the sequence of its windows of ``window`` words, each known by a 64-bit fingerprint, so a match of m
+windows is one of m + window - 1 words. Every window has an anchor: the least hash among its short shingles, which
+depends on the window's words alone. Windows in a row that share an anchor form a *segment*; a *reference block* is
+what the corpus holds under a range of anchors, so the anchors of a document name every block that can hold one of its
+windows. A block is indexed by the order of all suffixes of its segments (by prefix doubling), and each segment is
+factored greedily against it: the longest match that starts elsewhere in the block, then on from the first window that
+isn't inside that factor. That window straddles the factor's end, so repeats across boundaries are looked up, not
+judged by the length of what is left; a window without a match is a literal. Factors that reach the end of a segment go
+on in the block of the next anchor: spans of all blocks are united per document before words are removed.
+
+What a batch of documents repeats is factored there, with the batch as the block, and one copy of each window goes on,
+so a passage in a third of all documents sends a row a batch, not a row a document. Anchors seen once never leave their
+task (a Bloom filter of fixed size says so; when it fills up, more rows travel and the result is the same).
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import bloom_of, in_bloom, in_steps, settle, shingle_hashes, tidy, window_hashes, word_hashes, work_dir
 
 WINDOW, ANCHOR = 35, 8
-#: Windows of an anchor beyond which they are dealt by their own hashes rather than by the anchor.
-HOT = 250_000
+#: Windows of an anchor beyond which they are dealt by their own hashes rather than by the anchor, and windows of a
+#: reference block, which holds whole anchors.
+HOT, BLOCK = 20_000, 1 << 18
 
 
 def anchors(words: np.ndarray, window: int) -> np.ndarray:
@@ -83,6 +86,67 @@ def _ranges(at: np.ndarray) -> bytes:
     return np.stack((first, last), 1).astype(np.int32).tobytes()
 
 
+def index_block(win: np.ndarray, end: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The index of a block: ranks of the pieces of 1, 2, 4, ... windows at each place (cut at ``end``, where the
+    place's segment ends), and the places in order of their suffixes."""
+    n, width = len(win), 1
+    here = np.arange(n)
+    longest = int((end - here).max())
+    ranks = [np.unique(win, return_inverse=True)[1].astype(np.int64)]
+    while width < longest:
+        r, ahead = ranks[-1], here + width
+        after = np.where(ahead < end, r[np.minimum(ahead, n - 1)] + 1, 0)
+        ranks.append(np.unique(r * (n + 2) + after, return_inverse=True)[1].astype(np.int64))
+        width *= 2
+    return ranks, np.argsort(ranks[-1], kind="stable")
+
+
+def _common(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Length of the common piece that starts at places ``a`` and ``b``."""
+    out = np.zeros(len(a), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        x, y = a + out, b + out
+        ok = (x < end[a]) & (y < end[b])
+        hit = ok.copy()
+        hit[ok] = ranks[k][x[ok]] == ranks[k][y[ok]]
+        out += np.where(hit, np.minimum(1 << k, end[a] - x), 0)
+    return out
+
+
+def factorise(win: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The greedy factors (place, windows, source place) of the segments of a block against the block itself; ``seg``
+    is ascending and numbers each place's segment. Places in no factor are literals."""
+    none = np.zeros(0, np.int64)
+    if len(win) < 2:
+        return none, none, none
+    end = np.flatnonzero(np.concatenate((np.diff(seg) != 0, [True])))
+    end = np.repeat(end + 1, np.diff(np.concatenate(([0], end + 1))))
+    ranks, order = index_block(win, end)
+    with_next = _common(ranks, order[:-1], order[1:], end)
+    before, after = np.concatenate(([0], with_next)), np.concatenate((with_next, [0]))
+    length, source = np.empty(len(win), np.int64), np.empty(len(win), np.int64)
+    length[order] = np.maximum(before, after)  # of all suffixes, a neighbour in order shares the most
+    source[order] = np.where(before >= after, np.roll(order, 1), np.roll(order, -1))
+    step = length.tolist()
+    place, at, n = [], 0, len(step)
+    while at < n:
+        if step[at]:
+            place.append(at)
+            at += step[at]  # the next window is the first that this factor doesn't hold
+        else:
+            at += 1
+    at = np.array(place, np.int64)
+    return at, length[at], source[at]
+
+
+def _covered(n: int, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places that factors hold, ascending."""
+    depth = np.zeros(n + 1, np.int64)
+    depth[at] += 1
+    np.add.at(depth, at + length, -1)
+    return np.flatnonzero(np.cumsum(depth[:-1]) > 0)
+
+
 _SEGMENT = "anchor long, t1 long, t2 long, start int, windows binary"
 
 
@@ -109,7 +173,11 @@ def _segments(window: int, bloom):
                 continue
             row, win, anc, at = map(np.concatenate, (rows, wins, ancs, pos))
             _, first, inv, n = np.unique(win, return_index=True, return_inverse=True, return_counts=True)
-            known = n[inv] > 1
+            twice = np.flatnonzero(n[inv] > 1)  # the others are literals here
+            run = np.cumsum(np.concatenate(([0], (np.diff(row[twice]) != 0) | (np.diff(at[twice]) != 1)))) if len(twice) else twice
+            f, length, _ = factorise(win[twice], run)
+            known = np.zeros(len(win), bool)
+            known[twice[_covered(len(twice), f, length)]] = True
             out = ([], [], [], [], [])
             send = np.zeros(len(win), bool)
             send[first] = True
@@ -131,36 +199,44 @@ def _segments(window: int, bloom):
 
 
 def _look_up(batches):
-    """Parse the segments of each anchor (sorted) against one another; give back the ranges found elsewhere. Windows are
-    equal by all 64 bits of their hash."""
+    """Factor the segments of each reference block: whole anchors (sorted), about ``BLOCK`` windows. Gives back the
+    ranges of windows in factors. Windows are equal by all 64 bits of their fingerprints."""
 
     def parse(t: pa.Table):
-        lengths = np.array([len(x) // 8 for x in t.column("windows").to_pylist()], np.int64)
+        bits = t.column("windows").to_pylist()
+        lengths = np.array([len(x) // 8 for x in bits], np.int64)
         if len(lengths) < 2:
             return None
-        win = np.frombuffer(b"".join(t.column("windows").to_pylist()), np.uint64)
+        win = np.frombuffer(b"".join(bits), np.uint64)
         seg = np.repeat(np.arange(len(lengths)), lengths)
-        _, inv, n = np.unique(win, return_inverse=True, return_counts=True)  # equal windows have equal anchors
+        _, inv, n = np.unique(win, return_inverse=True, return_counts=True)
+        some = np.zeros(len(lengths), bool)
+        some[seg[n[inv] > 1]] = True  # equal windows have equal anchors: segments with none are literals throughout
+        left = np.flatnonzero(some[seg])
+        if not len(left):
+            return None
+        f, length, _ = factorise(win[left], seg[left])
+        hit = left[_covered(len(left), f, length)]
         offset = np.arange(len(seg)) - np.repeat(np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
         at = t.column("start").to_numpy()[seg] + offset
-        hit = np.flatnonzero(n[inv] > 1)
-        if not len(hit):
-            return None
         parts = np.split(hit, np.flatnonzero(np.diff(seg[hit])) + 1)
         take = np.array([seg[p[0]] for p in parts])
         return pa.RecordBatch.from_arrays([pa.array(t.column("t1").to_numpy()[take]), pa.array(t.column("t2").to_numpy()[take]), pa.array([_ranges(at[p]) for p in parts], pa.binary())], names=["t1", "t2", "ranges"])
 
-    held = None
+    held, windows = [], 0
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        if held is not None:
-            t = pa.concat_tables([held, t]).combine_chunks()
+        held.append(batch)
+        windows += batch.column("windows").nbytes // 8
+        if windows < BLOCK or not batch.num_rows:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
         a = t.column("anchor").to_numpy()
-        cut = int(np.searchsorted(a, a[-1])) if len(a) else 0
+        cut = len(a) - int((a[::-1] != a[-1]).argmax()) if (a != a[-1]).any() else 0  # the last anchor may go on
         if cut and (done := parse(t.slice(0, cut))) is not None:
             yield done
-        held = t.slice(cut)
-    if held is not None and (done := parse(held)) is not None:
+        held = t.slice(cut).combine_chunks().to_batches()
+        windows = sum(b.column("windows").nbytes // 8 for b in held)
+    if held and (done := parse(pa.Table.from_batches(held).combine_chunks())) is not None:
         yield done
 
 
@@ -221,16 +297,3 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def digest(out: DataFrame) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def removed_words(text: str, repeated: set[str], window: int = WINDOW) -> str:
-    """Brute force for tests and single documents: what is kept of ``text`` given the repeated windows as joined words."""
-    words = text.split()
-    gone = set()
-    for i in range(len(words) - window + 1):
-        if " ".join(words[i : i + window]) in repeated:
-            gone.update(range(i, i + window))
-    return " ".join(w for i, w in enumerate(words) if i not in gone)
-
-
-__all__ = ["WINDOW", "digest", "removed_words", "substring_dedup"]

@@ -72,3 +72,33 @@ def test_a_hot_anchor_is_split_and_loses_nothing(spark):
         rows.append((i, " ".join(w + passage if i % 3 == 0 else w)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted((tuple(r) for r in substring_dedup(df, hot=2).collect()), key=str) == brute(rows, 35)
+
+
+def test_factors_are_the_longest_matches_and_leave_no_repeat_uncovered():
+    rng = random.Random(3)
+    for _ in range(60):
+        segs = [[rng.randrange(4) for _ in range(rng.randint(1, 9))] for _ in range(rng.randint(1, 6))]
+        flat, seg = [x for s in segs for x in s], [k for k, s in enumerate(segs) for _ in s]
+        place, length, source = (x.tolist() for x in module.factorise(np.array(flat, np.uint64), np.array(seg)))
+
+        def piece(i, n):
+            return tuple(flat[i : i + n]) if i + n <= len(flat) and seg[i] == seg[i + n - 1] else None
+
+        def repeats(i, n):
+            return piece(i, n) is not None and any(piece(j, n) == piece(i, n) for j in range(len(flat)) if j != i)
+
+        held = set()
+        for i, n, j in zip(place, length, source, strict=True):
+            assert j != i and piece(j, n) == piece(i, n) and not repeats(i, n + 1)
+            assert not held & set(range(i, i + n))
+            held |= set(range(i, i + n))
+        assert held == {i for i in range(len(flat)) if repeats(i, 1)}
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(4)
+    words = [f"v{i}" for i in range(50_000)]
+    long = rng.choices(words, k=60_000)
+    long[50_000:50_000] = long[10:300]
+    rows = [(1, " ".join(long)), (2, " ".join(long[500:560])), (3, "z " * 5000)]
+    check(spark, rows)
