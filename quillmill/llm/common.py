@@ -25,9 +25,12 @@ STEP_BYTES = 1 << 19
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; where that is unset (tests), a temporary folder is made and set."""
+    """A fresh folder below ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets a temporary
+    folder, set for the session; on a cluster, whose executors don't share one, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quillmill-{uuid.uuid4().hex}"
@@ -123,11 +126,11 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix((g[n:] - g[:m]) * powers(pow(_Q, -1, 1 << 64), m))
 
 
-def in_steps(texts: list[str | None], size: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about ``size`` characters; a longer text is a range of its own."""
+def in_steps(texts, size: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts (or their lengths) of about ``size`` characters; a longer text is a range of its own."""
     start = total = 0
     for i, t in enumerate(texts):
-        n = len(t) if t else 1
+        n = 1 if t is None else len(t) if isinstance(t, str) else int(t)
         if total and total + n > size:
             yield start, i
             start, total = i, 0

@@ -1,168 +1,195 @@
 """Language ID by word-first backoff.
 
 A known word scores by its log frequency in each language. A word that training never saw falls back to its longest
-character n-grams that training did see, then to shorter ones. The model is fitted on a bounded sample of labelled
-rows (``DOCS_PER_LANG`` a language, chosen by hash) and holds at most ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams of
-each length, so what is broadcast has a fixed bound; prediction covers every row.
-"""
+character n-grams that training did see, then to shorter ones. The model is fitted on a sample of labelled rows of
+about ``DOCS_PER_LANG`` a language, chosen by hash; it keeps every word and n-gram of that sample, so its size follows
+the sample and not the corpus. Prediction covers every row and every word.
 
+Words are runs of letters, lower-cased. A batch is split by Arrow, and each distinct word of it is looked up once.
+"""
 
+from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import leave, release, tidy
+from quillmill.llm.common import in_steps, leave, mix, release, tidy
 
-DOCS_PER_LANG, MAX_WORDS, MAX_GRAMS, LONGEST = 4000, 60_000, 30_000, 4
+DOCS_PER_LANG, LONGEST = 4000, 4
 #: Words whose evidence sets the score; more words don't make it surer.
 EVIDENCE = 20
-MEMO = 200_000
-#: Places of a word whose n-grams are looked up at once.
-STEP = 10_000
+#: Letters or words that one vectorised step takes at once; bounds the scratch arrays, not the words or texts.
+STEP = 1 << 18
 UNDETERMINED = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_SLOTS = np.random.default_rng(71).integers(1, 1 << 63, LONGEST, dtype=np.uint64) | np.uint64(1)
 
 
 def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(number of its word for every word of all texts in order, the distinct words, each text's first word and the end)."""
+    split = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"\P{L}+")
+    if isinstance(split, pa.ChunkedArray):
+        split = split.combine_chunks()
+    coded = split.flatten().dictionary_encode()
+    index, at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), split.offsets.to_numpy()
+    real = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)  # texts begin or end with no letter
+    keep = real[index] if len(index) else np.zeros(0, bool)
+    at = np.concatenate(([0], np.cumsum(keep)))[at - at[0]]
+    new = np.cumsum(real) - 1
+    return new[index[keep]], coded.dictionary.filter(pa.array(real)), at
 
 
 def _count_words(batches):
     """(lang, word, n) of each batch."""
     for batch in batches:
-        per: dict[str, Counter] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            per.setdefault(lang, Counter()).update(words_of(text))
-        rows = [(lang, w, n) for lang, c in per.items() for w, n in c.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
+        lang = batch.column("lang").dictionary_encode()
+        index, words, at = words_of(batch.column("text"))
+        code = np.repeat(lang.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(at)) * max(1, len(words)) + index
+        pair, n = np.unique(code, return_counts=True)
+        names = lang.dictionary.take(pa.array(pair // max(1, len(words))))
+        yield pa.RecordBatch.from_arrays([names.cast(pa.string()), words.take(pa.array(pair % max(1, len(words)))), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
 
-def padded(word: str) -> str:
-    return f"^{word}$"
+class Letters:
+    """The letters of words, each put between ^ and $, end to end."""
 
+    def __init__(self, words: list[str]):
+        self.codes = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le"), np.uint32)
+        self.size = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
 
-class Table:
-    """Keys to rows of log frequencies, a column a language."""
+    def grams(self, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(64-bit hash, word) of every n-gram, in steps."""
+        word = np.repeat(np.arange(len(self.size)), self.size)
+        for a in range(0, len(self.codes), STEP):
+            z = min(a + STEP, len(self.codes) - n + 1)
+            if z <= a:
+                break
+            h = np.full(z - a, n, np.uint64)
+            for k in range(n):
+                h += self.codes[a + k : z + k].astype(np.uint64) * _SLOTS[k]
+            inside = word[a:z] == word[a + n - 1 : z + n - 1]
+            yield mix(h[inside]), word[a:z][inside]
 
-    def __init__(self, rows, langs: list[str]):
-        at, self.row = {x: i for i, x in enumerate(langs)}, {}
-        found = [(self.row.setdefault(key, len(self.row)), at[lang], n) for key, lang, n in rows]
-        m = np.full((len(self.row), len(langs)), 0.5, np.float32)  # add-half smoothing
-        for k, i, n in found:
-            m[k, i] += n
-        self.log = np.log(m) - np.log(m.sum(axis=0)) if len(m) else m
 
+def log_frequencies(counts: np.ndarray) -> np.ndarray:
+    """Rows of counts, a column a language, with add-half smoothing."""
+    m = counts + 0.5
+    return np.log(m) - np.log(m.sum(axis=0)) if len(m) else m
 
-class Model:
-    """Log frequencies by language, in the order of ``langs``: words, then n-grams of 1, 2, ... characters."""
 
-    def __init__(self, langs: list[str], words: Table, grams: list[Table]):
-        self.langs, self.words, self.grams = langs, words, grams
-        self.memo: dict[str, int] = {}
-        self.rows: np.ndarray | None = None
+class Model:
+    """Log frequencies by language, in the order of ``langs``: of words, and of n-grams of 1, 2, ... letters."""
+
+    def __init__(self, counts: list[tuple[str, str, int]], longest: int = LONGEST):
+        """From (word, language, how often)."""
+        self.langs = sorted({c[1] for c in counts})
+        words = sorted({c[0] for c in counts})
+        self.words, place = pa.array(words, pa.string()), {w: i for i, w in enumerate(words)}
+        lang = {x: i for i, x in enumerate(self.langs)}
+        table = np.zeros((len(words), len(self.langs)))
+        for w, x, n in counts:
+            table[place[w], lang[x]] += n
+        self.word_rows, self.grams = log_frequencies(table), []
+        for n in range(1, longest + 1):
+            found = list(Letters(words).grams(n))
+            hashes = np.concatenate([h for h, _ in found]) if found else np.zeros(0, np.uint64)
+            owner = np.concatenate([w for _, w in found]) if found else np.zeros(0, np.int64)
+            keys, at = np.unique(hashes, return_inverse=True)
+            rows = np.stack([np.bincount(at, table[owner, k], len(keys)) for k in range(len(self.langs))], 1) if len(keys) else np.zeros((0, len(self.langs)))
+            self.grams.append((keys, log_frequencies(rows)))
 
     def backed_off(self, words: list[str]) -> np.ndarray:
-        """A row each of words that training never saw: the mean over their longest n-grams that it did."""
-        if self.rows is None:
-            self.rows = np.zeros((MEMO, len(self.langs)), np.float32)
-        if len(words) > MEMO // 2:
-            half = len(words) // 2
-            return np.concatenate((self.backed_off(words[:half]), self.backed_off(words[half:])))
-        if len(self.memo) + len(words) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        for w in words:
-            if w not in memo:
-                p = padded(w)
-                for n in range(len(self.grams), 0, -1):
-                    t = self.grams[n - 1]
-                    total, count, places = 0, 0, len(p) - n + 1
-                    for at in range(0, places, STEP):
-                        hits = [r for i in range(at, min(at + STEP, places)) if (r := t.row.get(p[i : i + n])) is not None]
-                        if hits:
-                            total, count = total + t.log[hits].sum(axis=0), count + len(hits)
-                    if count:
-                        self.rows[len(memo)] = total / count
-                        break
-                else:
-                    self.rows[len(memo)] = 0
-                memo[w] = len(memo)
-        return self.rows[[memo[w] for w in words]]
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, score): ``und`` and 0 for no letter or no model."""
-        found = Counter(words_of(text)) if text else None
-        if not found or not self.langs:
-            return UNDETERMINED, 0.0
-        row = self.words.row
-        known = [(r, n) for w, n in found.items() if (r := row.get(w)) is not None]
-        total = np.zeros(len(self.langs))
-        if known:
-            r, n = np.array(known).T
-            total += n @ self.words.log[r].astype(np.float64)
-        unseen = [w for w in found if w not in row]
-        if unseen:
-            total += np.array([found[w] for w in unseen]) @ self.backed_off(unseen).astype(np.float64)
-        total = (total - total.max()) * min(1.0, EVIDENCE / found.total())
+        """A row each: the mean over a word's longest n-grams that training saw; zeros if it saw none of any length."""
+        out, left = np.zeros((len(words), len(self.langs))), np.arange(len(words))
+        for n in range(len(self.grams), 0, -1):
+            keys, rows = self.grams[n - 1]
+            if not len(left) or not len(keys):
+                continue
+            hits, total = np.zeros(len(left)), np.zeros((len(left), len(self.langs)))
+            for h, word in Letters([words[i] for i in left]).grams(n):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                seen = keys[at] == h
+                hits += np.bincount(word[seen], minlength=len(left))
+                for k in range(len(self.langs)):
+                    total[:, k] += np.bincount(word[seen], rows[at[seen], k], len(left))
+            some = hits > 0
+            out[left[some]] = total[some] / hits[some, None]
+            left = left[~some]
+        return out
+
+    def rows_of(self, words: pa.Array) -> np.ndarray:
+        """A row of log frequencies for each distinct word."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        out = np.zeros((len(words), len(self.langs)))
+        out[at >= 0] = self.word_rows[at[at >= 0]]
+        unseen = np.flatnonzero(at < 0)
+        if len(unseen):
+            out[unseen] = self.backed_off(words.take(pa.array(unseen)).to_pylist())
+        return out
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """The language and score of each text: ``und`` and 0 for no letter or no model."""
+        index, words, at = words_of(texts)
+        n = np.diff(at)
+        if not self.langs:
+            return [UNDETERMINED] * len(n), np.zeros(len(n))
+        rows, total, owner = self.rows_of(words), np.zeros((len(n), len(self.langs))), np.repeat(np.arange(len(n)), n)
+        for a in range(0, len(index), STEP):
+            mine = owner[a : a + STEP]
+            first = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+            total[mine[first]] += np.add.reduceat(rows[index[a : a + STEP]], first, axis=0)
+        total = (total - total.max(axis=1, keepdims=True)) * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
         p = np.exp(total)
-        k = int(p.argmax())  # ties: the first language in alphabetical order
-        return self.langs[k], float(p[k] / p.sum())
+        best = p.argmax(axis=1)  # ties: the first language in alphabetical order
+        score = np.where(n > 0, p[np.arange(len(n)), best] / p.sum(axis=1), 0.0)
+        return [self.langs[k] if some else UNDETERMINED for k, some in zip(best, n > 0, strict=True)], score
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> Model:
-    """Fit on labelled rows that aren't held out. Null ids, texts and labels take no part; no rows give a model that
+    """Fit on labelled rows that aren't held out, about ``docs_per_lang`` a language (fewer if there are fewer). Null
+    ids, texts and labels take no part; rows that repeat an id are sampled or left together; no rows give a model that
     answers ``und``."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     train = base.where(~held_out("id") & F.col("id").isNotNull() & F.col("lang").isNotNull())
     have = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
     if not have:
-        return Model([], Table([], []), [])
+        return Model([])
     share = F.lit(0.0)
     for lang, n in have.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, docs_per_lang / n))).otherwise(share)
     u = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) / (1 << 20)
     picked = train.where((u < share) & F.col("text").isNotNull()).select("lang", "text")
-    counts = picked.mapInArrow(tidy(_count_words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
-    try:
-        langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-        top = counts.groupBy("word").agg(F.sum("n").alias("all")).where("all > 1").orderBy(F.desc("all"), "word").limit(MAX_WORDS)
-        words = Table(counts.join(F.broadcast(top), "word").select("word", "lang", "n").collect(), langs)
-        grams = []
-        p = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-        for k in range(1, LONGEST + 1):
-            each = counts.where(F.length(p) >= k).select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length(p) - (k - 1)), lambda i, k=k: F.substring(p, i, F.lit(k)))).alias("g"))
-            sums = each.groupBy("g", "lang").agg(F.sum("n").alias("n"))
-            top = sums.groupBy("g").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "g").limit(MAX_GRAMS)
-            grams.append(Table(sums.join(F.broadcast(top), "g").select("g", "lang", "n").collect(), langs))
-    finally:
-        counts.unpersist()
-    return Model(langs, words, grams)
+    counts = picked.mapInArrow(tidy(_count_words), "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    return Model([tuple(r) for r in counts.toLocalIterator()])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``. A text that is null or holds no letter is ``und`` with score 0. The
-    input must not have columns of those names; every other column stays."""
+    """``docs`` with ``lang_pred`` and ``score``, one row per input row. A text that is null or holds no letter is
+    ``und`` with score 0; equal odds go to the first language in alphabetical order; repeated rows get equal answers.
+    Columns of those two names are replaced; every other column stays."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def guess(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def guess(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         leave()
         m = held.value
-        for text in texts:
-            yield pd.DataFrame([m.predict(t if isinstance(t, str) else None) for t in text], columns=["lang_pred", "score"])
-        m.memo.clear()
-        m.rows = None
+        for texts in arrays:
+            lang, score = [], []
+            for a, z in in_steps(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)):
+                x, y = m.predict(texts.slice(a, z - a))
+                lang += x
+                score.append(y)
+            score = np.concatenate(score) if score else np.zeros(0)
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
         release()
 
-    return docs.withColumn("_g", guess(F.col(text_col).cast("string"))).select(*docs.columns, "_g.lang_pred", "_g.score")
+    guess = F.arrow_udf(guess, "lang_pred string, score double")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.withColumn("_g", guess(F.col(text_col).cast("string"))).select(*kept, "_g.lang_pred", "_g.score")

@@ -32,8 +32,8 @@ def _pieces(path: str, longest: int, end_id: int, with_ids: bool, memo: int):
         enc, part, ranks = encoder(path, memo), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(enc.ids(text or ""), np.uint32(end_id)).astype("<u4")
+            for i, ids in zip(batch.column("id").to_pylist(), enc.texts(batch.column("text")), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 at = 0
                 for n in binary_lengths(len(ids), longest):
                     raw = ids[at : at + n].tobytes()

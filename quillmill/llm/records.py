@@ -2,12 +2,13 @@
 
 A shard is a sequence of frames, each: payload length (u64), masked CRC-32 of those 8 bytes (u32), payload, masked
 CRC-32 of the payload (u32), all little-endian. A payload is one document: a flag byte (1: id is null, 2: ids take 4
-bytes each, else 2), the document id (i64), the token ids. The index beside it has 16 bytes a frame, its offset and
-payload length, so a reader can fetch frames in any order. The mask (rotate right by 15, add 0xA282EAD8) keeps a
-checksum of data that holds checksums from degenerating.
+bytes each, else 2), the document id (i64), the token ids. The index beside it has 24 bytes a frame (its offset, its
+payload length, the tokens of the shard before it), so readers fetch frames in any order and share a shard's work. The
+mask (rotate right by 15, add 0xA282EAD8) keeps a checksum of data that holds checksums from degenerating.
 
-Tasks write under a name of their own; the manifest, written by Spark after a task succeeds, names the files that
-count. A lost executor costs its tasks' files, which are written again under new names.
+Texts are encoded where they lie and only ids travel to the shards. Tasks write under a name of their own; the
+manifest, written by Spark after a task succeeds, names the files that count, and what failed attempts left beside them
+is deleted then. A lost executor costs its tasks' files, which are written again under new names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import settle, tidy, work_dir
+from quillmill.llm.common import discard, settle, tidy, work_dir
 from quillmill.llm.tokens import CACHE, default_path, encoder
 
 END_ID = 2
-_LENGTH, _CRC, _HEAD, _ENTRY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<Bq"), struct.Struct("<QQ")
+#: Bytes of a shard, least bytes of one where there are fewer shards than cores, and bytes that one reading task takes.
+SHARD_BYTES, LEAST_BYTES, SPLIT_BYTES = 256 << 20, 1 << 20, 64 << 20
+_LENGTH, _CRC, _HEAD, _ENTRY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<Bq"), struct.Struct("<QQQ")
 
 
 def masked_crc(data: bytes) -> int:
@@ -50,8 +52,8 @@ def unpack_ids(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if flag & 1 else doc_id, np.frombuffer(payload, "<u4" if flag & 2 else "<u2", offset=_HEAD.size).astype("<u4")
 
 
-def index_entry(offset: int, length: int) -> bytes:
-    return _ENTRY.pack(offset, length)
+def index_entry(offset: int, length: int, tokens: int) -> bytes:
+    return _ENTRY.pack(offset, length, tokens)
 
 
 def read_frame(f) -> bytes | None:
@@ -68,105 +70,154 @@ def read_frame(f) -> bytes | None:
     return body[:n]
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` as a full URI, by the default file system that Spark itself uses."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def open_uri(uri: str):
-    """(file system, path) of a URI by Arrow, which reaches local, HDFS and object stores alike."""
+    """(file system, path) of a full URI by Arrow, which reaches local, HDFS and object stores alike."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") else f"file://{uri}")
+    if uri.startswith("file:/"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
-def read_at(uri: str, index_uri: str, k: int) -> tuple[int | None, np.ndarray]:
-    """Record k of a shard by its offset index alone."""
+def index_at(index_uri: str, k: int) -> tuple[int, int, int]:
+    """(offset, payload length, tokens before) of record k of a shard."""
     fs, path = open_uri(index_uri)
     with fs.open_input_file(path) as f:
         f.seek(k * _ENTRY.size)
-        offset, _ = _ENTRY.unpack(f.read(_ENTRY.size))
+        return _ENTRY.unpack(f.read(_ENTRY.size))
+
+
+def read_at(uri: str, index_uri: str, k: int) -> tuple[int | None, np.ndarray]:
+    """Record k of a shard by its offset index alone."""
     fs, path = open_uri(uri)
     with fs.open_input_file(path) as f:
-        f.seek(offset)
+        f.seek(index_at(index_uri, k)[0])
         return unpack_ids(read_frame(f))
 
 
+def _encode(path: str, end_id: int):
+    """(id, tie, place, tokens, payload) of each text; (task, place in it) orders rows that repeat id and text."""
+
+    def run(batches):
+        enc, place = encoder(path), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            tokens, payload = [], []
+            for i, ids in zip(batch.column("id").to_pylist(), enc.texts(batch.column("text")), strict=True):
+                ids = np.append(ids, np.uint32(end_id))
+                tokens.append(len(ids))
+                payload.append(pack_ids(i, ids))
+            places = np.arange(place, place + len(tokens))
+            place += len(tokens)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tie"), pa.array(places), pa.array(tokens, pa.int64()), pa.array(payload, pa.binary())], names=["id", "tie", "place", "tokens", "payload"])
+
+    return run
+
+
 _MANIFEST = "part int, path string, index_path string, records long, tokens long, bytes long"
 
 
-def _write(folder: str, path: str, end_id: int):
+def _write(folder: str):
     def run(batches):
-        enc, part = encoder(path), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         stem = f"{folder}/shard-{part:06d}-{uuid.uuid4().hex}"
         fs, name = open_uri(stem)
         fs.create_dir(name.rpartition("/")[0], recursive=True)
         records = tokens = at = 0
         with fs.open_output_stream(f"{name}.bin", buffer_size=1 << 20) as out, fs.open_output_stream(f"{name}.idx", buffer_size=1 << 16) as index:
             for batch in batches:
-                for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    ids = np.append(enc.ids(text or ""), np.uint32(end_id))
-                    payload = pack_ids(i, ids)
+                for n, payload in zip(batch.column("tokens").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                     data = frame(payload)
                     out.write(data)
-                    index.write(index_entry(at, len(payload)))
+                    index.write(index_entry(at, len(payload), tokens))
                     at += len(data)
                     records += 1
-                    tokens += len(ids)
+                    tokens += n
         yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{stem}.bin", "index_path": f"{stem}.idx", "records": records, "tokens": tokens, "bytes": at}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("index_path", pa.string()), ("records", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
 
     return run
 
 
+def _sweep(spark: SparkSession, folder: str, manifest: DataFrame) -> None:
+    """Delete shards that the manifest doesn't name: what failed attempts wrote."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return
+    names = {p.rpartition("/")[2] for r in manifest.select("path", "index_path").toLocalIterator() for p in r}
+    for status in fs.listStatus(path):
+        name = status.getPath().getName()
+        if name.startswith("shard-") and name not in names:
+            fs.delete(status.getPath(), False)
+
+
 def write_token_records(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
     """Encode every text, append ``end_id``, and write shards in ascending id order (null ids first, repeated ids by
-    their text's hash). Returns the manifest ``(part, path, index_path, records, tokens, bytes, start, first)``, where
-    ``start`` and ``first`` count the tokens and records of all shards before. Null texts are their end id alone; an
-    empty table gives an empty manifest or empty shards; extra columns are ignored.
+    their text's hash, then as read) into ``folder``, which must be empty or new. Returns the manifest ``(part, path,
+    index_path, records, tokens, bytes, start, first)``, where ``start`` and ``first`` count the tokens and records of
+    all shards before. Shards are sized by bytes unless ``shards`` says how many. Null texts are their end id alone; a
+    text of any length is one record; an empty table gives an empty manifest or empty shards; extra columns are ignored.
     """
     spark = docs.sparkSession
     root = work_dir(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = qualified(spark, folder or f"{root}/records")
     text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    tie = F.xxhash64("text")
-    ordered = base.repartitionByRange(shards, "id", tie).sortWithinPartitions("id", tie)
-    manifest = settle(ordered.mapInArrow(tidy(_write(folder or f"{root}/records", path or default_path(), end_id), keep=CACHE), _MANIFEST), f"{root}/manifest")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    encoded = settle(base.mapInArrow(tidy(_encode(path or default_path(), end_id), keep=CACHE), "id long, tie long, place long, tokens long, payload binary"), f"{root}/encoded")
+    if shards is None:
+        size = encoded.agg(F.sum(F.length("payload") + 16)).first()[0] or 0
+        shards = max(1, -(-size // SHARD_BYTES), min(4 * spark.sparkContext.defaultParallelism, size // LEAST_BYTES))
+    order = ["id", "tie", "place"]
+    ordered = encoded.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("tokens", "payload")
+    manifest = settle(ordered.mapInArrow(tidy(_write(folder)), _MANIFEST), f"{root}/manifest")
+    discard(spark, f"{root}/encoded")
+    _sweep(spark, folder, manifest)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return manifest.select("*", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start"), F.coalesce(F.sum("records").over(before), F.lit(0)).alias("first"))
 
 
-def frames(uri: str) -> Iterator[tuple[int | None, np.ndarray]]:
-    fs, path = open_uri(uri)
-    with fs.open_input_stream(path, buffer_size=1 << 20) as f:
-        while (payload := read_frame(f)) is not None:
-            yield unpack_ids(payload)
-
-
 def _read(with_ids: bool):
     names = ["id", "record", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches):
         for batch in batches:
-            for shard in batch.to_pylist():
-                start, record, out = shard["start"], shard["first"], [[] for _ in names]
+            for split in batch.to_pylist():
+                offset, _, before = index_at(split["index_path"], split["from"])
+                start, out = split["start"] + before, [[] for _ in names]
 
                 def rows(out=out):
                     return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for c, n in zip(out, names, strict=True)], names=names)
 
-                for i, ids in frames(shard["path"]):
-                    raw = ids.tobytes()
-                    for col, v in zip(out, (i, record, start, len(ids), zlib.crc32(raw), raw), strict=False):
-                        col.append(v)
-                    start += len(ids)
-                    record += 1
-                    if len(out[0]) >= 4096:
-                        yield rows()
-                        for col in out:
-                            col.clear()
+                fs, path = open_uri(split["path"])
+                with fs.open_input_file(path) as f:
+                    f.seek(offset)
+                    for k in range(split["from"], split["to"]):
+                        i, ids = unpack_ids(read_frame(f))
+                        raw = ids.tobytes()
+                        for col, v in zip(out, (i, split["first"] + k, start, len(ids), zlib.crc32(raw), raw), strict=False):
+                            col.append(v)
+                        start += len(ids)
+                        if len(out[0]) >= 4096:
+                            yield rows()
+                            for col in out:
+                                col.clear()
                 yield rows()
 
     return run
 
 
-def read_token_records(spark: SparkSession, manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+def read_token_records(spark: SparkSession, manifest: DataFrame, with_ids: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """``(id, record, start, n_tokens, ids_crc32, ids)`` of every frame, checked against its checksums; ``record`` and
-    ``start`` count records and ids before it over all shards. A shard is one task's work."""
+    ``start`` count records and ids before it over all shards. The index cuts a shard into ranges of records of about
+    ``split_bytes``, each of them one row of work. An empty shard or manifest gives no rows."""
     schema = "id long, record long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    shards = manifest.select("part", "path", "start", "first")
-    return shards.repartition(max(1, manifest.count()), "part").mapInArrow(tidy(_read(with_ids)), schema)
+    n = F.greatest(F.lit(1), F.least(F.ceil(F.col("bytes") / split_bytes), F.col("records")))
+    work = manifest.where("records > 0").withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cut = lambda k: F.floor(F.col("records") * k / F.col("n")).cast("long")
+    work = work.select("path", "index_path", "start", "first", cut(F.col("k")).alias("from"), cut(F.col("k") + 1).alias("to"))
+    return work.repartition("path", "from").mapInArrow(tidy(_read(with_ids)), schema)

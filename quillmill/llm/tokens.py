@@ -1,6 +1,7 @@
 """Token ids of whole texts by a public tokenizer file, a white-space chunk at a time, with a bounded memo of chunks.
 
 The tokenizers handled here drop white space and never merge across it, so a text's ids are its chunks' ids in order.
+Arrow splits a step of texts; each distinct chunk of the step is looked up or encoded once, and the ids are gathered.
 Texts with control characters on which Python and the tokenizer disagree are encoded whole.
 """
 
@@ -8,16 +9,22 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from quillmill.llm.common import carry
+from quillmill.llm.common import carry, in_steps
 
 #: What :func:`encoder` keeps in a worker, as :func:`quillmill.llm.common.tidy` names it.
 CACHE = "encoders"
 #: Chunks that a worker remembers in each of two generations (about 200 MB in all).
 MEMO = 400_000
+#: Characters that one step takes at once; a longer text is cut at white space.
+STEP = 1 << 22
 _ODD = re.compile("[\x1c-\x1f\x85]")
+_GAP = re.compile(r"\s")
 #: Chunks of ASCII and Latin letters, for which normalizing is lower-casing and one pattern splits as the tokenizer does.
 _LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 _PLAIN = re.compile(f"[!-~{_LETTERS}]{{1,63}}")
@@ -81,20 +88,56 @@ class Encoder:
             for c, e in zip(slow, self.whole.encode_batch_fast(slow, add_special_tokens=False), strict=True):
                 memo[c] = np.array(e.ids, np.uint32).tobytes()
 
-    def ids(self, text: str) -> np.ndarray:
-        if _ODD.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        chunks = text.split()
+    def _found(self, chunks: list[str]) -> list[bytes]:
+        memo = self.memo
         try:
-            return np.frombuffer(b"".join([self.memo[c] for c in chunks]), np.uint32)
+            return [memo[c] for c in chunks]
         except KeyError:
-            pass
-        out = []
-        for k in range(0, len(chunks), 100_000):
-            part = chunks[k : k + 100_000]
-            self._learn(part)
-            out.append(b"".join([self.memo[c] for c in part]))
-        return np.frombuffer(b"".join(out), np.uint32)
+            self._learn(chunks)
+            return [self.memo[c] for c in chunks]
+
+    def _step(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each text's first and the end), for texts without odd characters."""
+        split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        real = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)
+        found = self._found(coded.dictionary.filter(pa.array(real)).to_pylist())
+        size = np.zeros(len(real), np.int64)
+        size[real] = np.fromiter((len(b) >> 2 for b in found), np.int64, len(found))
+        flat, first = np.frombuffer(b"".join(found), np.uint32), np.concatenate(([0], np.cumsum(size)))
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[index]
+        end = np.cumsum(n)
+        out = flat[np.arange(end[-1] if len(end) else 0) + np.repeat(first[index] - (end - n), n)]
+        offsets = split.offsets.to_numpy()
+        return out, np.concatenate(([0], end))[offsets - offsets[0]]
+
+    def _whole(self, text: str) -> np.ndarray:
+        """The ids of a text of any length, in steps cut at white space."""
+        if _ODD.search(text):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        out, at = [], 0
+        while at < len(text):
+            gap = _GAP.search(text, min(at + STEP, len(text)))
+            end = gap.start() if gap else len(text)
+            out.append(self._step(pa.array([text[at:end]], pa.string()))[0])
+            at = end
+        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+    def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; null is as empty."""
+        size = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+        odd = pc.fill_null(pc.match_substring_regex(texts, "[\x1c-\x1f\x85]"), False).to_numpy(zero_copy_only=False)
+        for a, z in in_steps(size, STEP):
+            if z - a == 1 and size[a] > STEP:
+                yield self._whole(texts[a].as_py())
+                continue
+            ids, at = self._step(texts.slice(a, z - a))
+            for i in range(a, z):
+                yield self._whole(texts[i].as_py()) if odd[i] else ids[at[i - a] : at[i - a + 1]]
+
+    def ids(self, text: str) -> np.ndarray:
+        return next(self.texts(pa.array([text], pa.string())))
 
 
 def encoder(path: str, memo: int = MEMO) -> Encoder:

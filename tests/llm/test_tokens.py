@@ -3,13 +3,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillmill.llm.packing import binary_lengths, pack_power_of_two
 from quillmill.llm.records import frame, open_uri, read_at, read_frame, read_token_records, write_token_records
 from quillmill.llm.tokens import Encoder, default_path
 
-TEXTS = [None, "", "   ", "Hello, world! It's 2024.", "naïve CAFÉ été   x", "a" * 5000, "x <|endoftext|> y<|startoftext|>", "tab\tnew\nline\x1cfs\x85nel", "don't they'll I'D _a_b_ 12x3", "日本語 テスト", "İstanbul ΣΑΣ ß"]
+TEXTS = [None, "", "\x85", "a\x1eb c", "nel\x85 in\x1d", "   ", "Hello, world! It's 2024.", "naïve CAFÉ été   x", "a" * 5000, "x <|endoftext|> y<|startoftext|>", "tab\tnew\nline\x1cfs\x85nel", "don't they'll I'D _a_b_ 12x3", "日本語 テスト", "İstanbul ΣΑΣ ß"]
 ROWS = [(i * 3 - 4, t) for i, t in enumerate(TEXTS)] + [(6, "same"), (6, "same"), (None, "no id"), (900, " ".join(f"tok{i % 97}" for i in range(3000)))]
 
 
@@ -80,7 +81,26 @@ def test_records_round_trip(spark):
     m = max(manifest.collect(), key=lambda r: r.records)
     i, ids = read_at(m.path, m.index_path, m.records - 1)
     assert (i, crc(ids)) == next((r.id, r.ids_crc32) for r in out if r.record == m.first + m.records - 1)
+    small = read_token_records(spark, manifest, split_bytes=1).orderBy("record").collect()
+    assert small == out
     assert read_token_records(spark, write_token_records(frame_of(spark).limit(0), shards=2)).count() == 0
+    assert read_token_records(spark, write_token_records(frame_of(spark).limit(0))).count() == 0
+
+
+def test_shards_that_no_task_finished_are_swept(spark, tmp_path):
+    (tmp_path / "shard-000009-left.bin").write_bytes(b"x")
+    manifest = write_token_records(frame_of(spark), str(tmp_path), shards=2)
+    names = {p.rpartition("/")[2] for r in manifest.collect() for p in (r.path, r.index_path)}
+    assert {p.name for p in tmp_path.glob("shard-*")} == names
+
+
+def test_a_very_long_text_and_rows_that_all_tie(spark):
+    long = " ".join(f"t{i % 5000}" for i in range(200_000))
+    df = spark.createDataFrame([(None, "same words")] * 50 + [(7, long)], "doc_id long, text string").repartition(3)
+    manifest = write_token_records(df, shards=4)
+    assert sum(r.records > 0 for r in manifest.collect()) > 2
+    out = read_token_records(spark, manifest).orderBy("record").collect()
+    assert [r.id for r in out] == [None] * 50 + [7] and np.frombuffer(out[-1].ids, "<u4").tolist() == truth(long) + [2]
 
 
 def test_damage_is_noticed(tmp_path):
@@ -89,6 +109,16 @@ def test_damage_is_noticed(tmp_path):
         bad = bytearray(data)
         bad[at] ^= 1
         (tmp_path / "x").write_bytes(bad)
-        fs, p = open_uri(str(tmp_path / "x"))
+        fs, p = open_uri(f"file://{tmp_path}/x")
         with fs.open_input_stream(p) as f, pytest.raises(ValueError):
             read_frame(f)
+
+
+def test_a_text_longer_than_a_step(monkeypatch):
+    from quillmill.llm import tokens
+
+    monkeypatch.setattr(tokens, "STEP", 50)
+    enc, text = Encoder(default_path(), memo=20), " ".join(f"word{i % 300} 世界{i}　x" for i in range(900))
+    assert enc.ids(text).tolist() == truth(text)
+    texts = [t for t in [*TEXTS, text, "solid" * 40]]
+    assert [x.tolist() for x in enc.texts(pa.array(texts))] == [truth(t) for t in texts]
