@@ -1,15 +1,17 @@
 """N-gram Jaccard join by vertical partitioning.
 
 All n-grams stand in one global order: by a document-frequency sketch over every document, rarest first, with those that
-a first round of prefixes found shared moved to the end. Two sets with
-Jaccard similarity >= t share an n-gram among the first ``size - ceil(t*size) + 1`` of each, so those prefixes, and
-nothing else of the sets, are shuffled to find which documents may meet; the places at which they share one bound the sizes that can. Documents that may meet, directly or through
-others, form a *field*. In a field the order is cut into fragments; each fragment counts the partial overlaps of one
-document with the others, the parts are summed per pair, and pairs that can no longer reach the bound leave early.
-
-A field too large for one task is split into chunks, and every pair of chunks is a tile of its own: each pair of
-documents still meets in some tile. In a tile, documents already joined to a component aren't compared with each other
-again, so the work follows documents, and a group of thousands of copies yields one link a document.
+a first round of prefixes found shared moved to the end. The order is cut into fragments at quantiles of the n-grams'
+volume. A set is cut with it into one segment a fragment; of a pair of sets that may be similar, each fragment counts
+the overlap of its two segments by itself, and the parts are summed per pair. Segments, not sets, are what is shuffled,
+and a row holds one segment.
+
+Which pairs may be similar: two sets with Jaccard similarity >= t share an n-gram among the first
+``size - ceil(t*size) + 1`` of each, and the places at which they share bound the sizes that can. Pairs are counted in
+two rounds. In the first, every set meets one hub, the set that stands first in most of its n-grams' postings: near
+copies become components by as many pairs as there are sets. In the second, only postings that still hold several
+components count, and there every pair of sets of different components that may be similar. After it, no link between
+components is left to find, and a group of thousands of near copies was never expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -18,15 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import bloom_of, connected_components, in_bloom, in_steps, mix, settle, shingle_hashes, tidy, word_hashes, work_dir
 
 #: Buckets of the document-frequency sketch: 4 MB, whatever the input. It orders n-grams; it never decides a link.
 BUCKETS, SLICE = 1 << 20, 1 << 12
-#: N-grams that a chunk of a field may hold; a tile has two chunks.
-CHUNK_NGRAMS = 2_000_000
+#: N-grams that a chunk of a component may hold where links are counted; a tile has two chunks.
+CHUNK_NGRAMS = 500_000
+#: Fragments of the global order; the last one holds the n-grams moved to the end.
 FRAGMENTS = 8
 _LOW56 = np.uint64((1 << 56) - 1)
 
@@ -66,7 +69,7 @@ def _profile(n: int):
     def run(batches):
         counts = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            ids, sizes, s1, s2 = batch.column("id"), [], [], []
+            ids, texts, sizes, s1, s2 = batch.column("id"), batch.column("key"), [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), n):
                 sizes.append(len(s))
                 x, y = signature(s)
@@ -74,10 +77,10 @@ def _profile(n: int):
                 s2.append(y)
                 np.add.at(counts, (s >> np.uint64(44)).astype(np.int64), 1)
             k = len(sizes)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["id", "size", "s1", "s2", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([ids, texts, pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["id", "key", "size", "s1", "s2", "slice", "counts"])
         full = [i for i in range(BUCKETS // SLICE) if counts[i * SLICE : (i + 1) * SLICE].any()]
         k = len(full)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(full, pa.int32()), pa.array([counts[i * SLICE : (i + 1) * SLICE].tobytes() for i in full], pa.binary())], names=["id", "size", "s1", "s2", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 5, pa.array(full, pa.int32()), pa.array([counts[i * SLICE : (i + 1) * SLICE].tobytes() for i in full], pa.binary())], names=["id", "key", "size", "s1", "s2", "slice", "counts"])
 
     return run
 
@@ -97,6 +100,24 @@ def prefix_length(size: int, num: int, den: int) -> int:
     return size - -(-num * size // den) + 1
 
 
+def ordered_keys(s: np.ndarray, rank: np.ndarray, late: np.ndarray | None) -> np.ndarray:
+    """The n-grams of a set as places in the global order: late or not, rank of the sketch, hash."""
+    key = (rank[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s & _LOW56)
+    return key if late is None else key | (in_bloom(late, key).astype(np.uint64) << np.uint64(63))
+
+
+def fragment_bounds(counts: np.ndarray, rank: np.ndarray, fragments: int) -> np.ndarray:
+    """Where fragments begin in the order: quantiles of the volume of n-grams that aren't moved, then the moved ones."""
+    volume = np.bincount(rank, counts, 128)
+    end = np.cumsum(volume)
+    out = []
+    for q in np.arange(1, fragments - 1) * end[-1] / (fragments - 1):
+        r = int(np.searchsorted(end, q))
+        share = (q - (end[r] - volume[r])) / volume[r] if volume[r] else 0.0
+        out.append((r << 56) + int(share * (1 << 56)))
+    return np.array([*sorted(min(x, (1 << 63) - 1) for x in out), 1 << 63], np.uint64)
+
+
 def _prefixes(n: int, num: int, den: int, ranks, demoted=None):
     """(gram, s1, s2) for each document's prefix in the global order, the reach of the position in the low bits of s2;
     copies within a task are named once. N-grams in the filter ``demoted`` come last in the order."""
@@ -109,11 +130,8 @@ def _prefixes(n: int, num: int, den: int, ranks, demoted=None):
                 if not len(s) or (sig := signature(s)) in seen:
                     continue
                 seen.add(sig)
-                key = (rank[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s & _LOW56)
-                if late is not None:
-                    key = key | (in_bloom(late, key).astype(np.uint64) << np.uint64(63))
                 p = prefix_length(len(s), num, den)
-                grams.append(np.sort(np.partition(key, p - 1)[:p]).view(np.int64))
+                grams.append(np.sort(np.partition(ordered_keys(s, rank, late), p - 1)[:p]).view(np.int64))
                 s1.append(np.full(p, sig[0], np.int64))
                 s2.append(sig[1] | reach(len(s), np.arange(p), num, den))
             if grams:
@@ -122,171 +140,192 @@ def _prefixes(n: int, num: int, den: int, ranks, demoted=None):
     return run
 
 
-def spanning_links(ids: list[int], sets: list[np.ndarray], num: int, den: int, fragments: int = FRAGMENTS, every: bool = False) -> Iterator[tuple[int, int]]:
-    """Links (id, least id of its component) among sets, by fragment-wise overlap counts.
-
-    Breadth first: one document is compared with those not yet reached, so every pair across components is compared
-    and pairs inside a component needn't be. With ``every``, each pair that is similar, once, instead.
-    """
-    sizes = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    grams, local = np.unique(np.concatenate(sets), return_inverse=True)
-    freq = np.bincount(local, minlength=len(grams))
-    place = np.empty(len(grams), np.int64)  # the global order: rarest first
-    place[np.lexsort((grams, freq))] = np.arange(len(grams))
-    rank = place[local]
-    order = np.lexsort((rank, owner))
-    rank = rank[order]  # each document's n-grams, rarest first
-    start = np.concatenate(([0], np.cumsum(sizes)))
-    by_gram = np.argsort(rank, kind="stable")
-    posts, first = owner[order][by_gram], np.concatenate(([0], np.cumsum(np.bincount(rank, minlength=len(grams)))))
-    plen = sizes - -(-num * sizes // den) + 1
-    position = np.arange(len(rank)) - start[owner[order]]
-    in_prefix = (position < plen[owner[order]])[by_gram]
-    cuts = np.unique(np.linspace(0, len(grams), fragments + 1).astype(np.int64)[1:-1])
-
-    def holders(r: np.ndarray, only_prefix: bool) -> np.ndarray:
-        lo, n = first[r], first[r + 1] - first[r]
-        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        return posts[at[in_prefix[at]]] if only_prefix else posts[at]
-
-    def similar(u: int, ok: np.ndarray) -> np.ndarray:
-        mine = rank[start[u] : start[u + 1]]
-        cand = holders(mine[: plen[u]], True)
-        cand = np.unique(cand[ok[cand]])
-        cand = cand[(den * sizes[cand] >= num * sizes[u]) & (den * sizes[u] >= num * sizes[cand])]
-        if not len(cand):
-            return cand
-        need = -(-num * (sizes[cand] + sizes[u]) // (num + den))
-        slot = np.full(len(sets), -1, np.int64)
-        slot[cand] = np.arange(len(cand))
-        total = np.zeros(len(cand), np.int64)
-        left = len(mine)
-        for part in np.split(mine, np.searchsorted(mine, cuts)):
-            if not len(part):
-                continue
-            hit = slot[holders(part, False)]
-            total += np.bincount(hit[hit >= 0], minlength=len(cand))
-            left -= len(part)
-            slot[cand[total + left < need]] = -1
-            if not (slot[cand] >= 0).any():
-                break
-        return cand[total >= need]
-
-    fresh = np.ones(len(sets), bool)
-    if every:
-        for u in range(len(sets)):
-            fresh[u] = False
-            for v in similar(u, fresh):
-                yield ids[u], ids[v]
-        return
-    for seed in np.argsort(ids, kind="stable"):
-        if not fresh[seed]:
-            continue
-        fresh[seed] = False
-        queue = [seed]
-        while queue:
-            for v in similar(queue.pop(), fresh):
-                fresh[v] = False
-                queue.append(v)
-                yield ids[v], ids[seed]
-
-
-def _only(wanted):
-    """Rows that a tile may want: the others' texts are not shuffled."""
+def _only(wanted, name: str):
+    """Rows whose ``name`` may be in the filter; the others are not shuffled."""
 
     def run(batches):
         for b in batches:
-            hit = in_bloom(wanted.value, b.column("id").to_numpy().view(np.uint64))
+            hit = in_bloom(wanted.value, b.column(name).to_numpy().view(np.uint64))
             if hit.any():
                 yield b.filter(pa.array(hit))
 
     return run
 
 
-def _tile(n: int, num: int, den: int):
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_pylist()
-        sets = list(shingle_sets(table.column("text").to_pylist(), n))
-        links = list(spanning_links(ids, sets, num, den)) if len(ids) > 1 else []
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+def _segments(n: int, ranks, demoted, bounds: np.ndarray, wanted):
+    """(s1, fragment, grams) of the sets whose representative's row this is; each once a task."""
 
-    return run
+    def run(batches):
+        rank, late, seen = ranks.value, demoted.value, set()
+        for batch in batches:
+            s1, part, grams, size = [], [], [], []
+            texts = batch.column("text").to_pylist()
+            for i, s in zip(batch.column("id").to_pylist(), shingle_sets(texts, n), strict=True):
+                if not len(s):
+                    continue
+                a, _ = signature(s)
+                if a in seen or not in_bloom(wanted.value, np.array([a ^ i], np.int64).view(np.uint64))[0]:
+                    continue
+                seen.add(a)
+                key = np.sort(ordered_keys(s, rank, late))
+                cut = np.concatenate(([0], np.searchsorted(key, bounds), [len(key)]))
+                for f in np.flatnonzero(np.diff(cut)).tolist():
+                    s1.append(a)
+                    part.append(f)
+                    size.append(cut[f + 1] - cut[f])
+                grams.append(key.view(np.int64))
+            if s1:
+                offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(s1, pa.int64()), pa.array(part, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(grams)))], names=["s1", "fragment", "grams"])
 
+    return run
 
-def _pairs(n: int, num: int, den: int):
-    """Every similar pair of a tile; pairs inside a chunk are named in the chunk's own tile only."""
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, chunk = table.column("id").to_pylist(), table.column("c").to_pylist()
-        own = table.column("i")[0] == table.column("j")[0]
-        sets = list(shingle_sets(table.column("text").to_pylist(), n))
-        at = list(range(len(ids)))
-        links = [(ids[x], ids[y]) for x, y in spanning_links(at, sets, num, den, every=True) if ids[x] != ids[y] and (own or chunk[x] != chunk[y])]
-        return pa.table({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
+def _links(pairs: DataFrame, segments: DataFrame, num: int, den: int, path: str) -> DataFrame:
+    """Those of ``pairs(a, b, size_a, size_b)`` that are similar: fragments count partial overlaps, then sums decide."""
+    each = pairs.select("a", "b", "size_a", "size_b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
+    mine = segments.select(F.col("s1").alias("a"), "fragment", F.col("grams").alias("ga"))
+    other = segments.select(F.col("s1").alias("b"), "fragment", F.col("grams").alias("gb"))
+    met = each.join(mine, ["a", "fragment"]).join(other, ["b", "fragment"])
+    partial = met.select("a", "b", "size_a", "size_b", "fragment", F.size(F.array_intersect("ga", "gb")).cast("long").alias("n")).repartition("a", "b")
+    once = partial.groupBy("a", "b", "size_a", "size_b", "fragment").agg(F.max("n").alias("n"))  # a row of docs may repeat
+    total = once.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
+    return settle(total.where((num + den) * F.col("n") >= num * (F.col("size_a") + F.col("size_b"))).select("a", "b"), path)
+
+
+def _count_links(num: int, den: int):
+    """Rows that each set of a tile is linked to in the tile's other chunk (or its own), by overlaps summed over
+    fragments."""
+
+    def run(t: pa.Table) -> pa.Table:
+        own = t.column("i")[0] == t.column("j")[0]
+        sets, row = np.unique(t.column("s1").to_numpy(), return_inverse=True)
+        first = np.unique(row, return_index=True)[1]
+        size, copies, side = (t.column(c).to_numpy()[first] for c in ("size", "copies", "side"))
+        left = np.arange(len(sets)) if own else np.flatnonzero(side == 0)
+        right = left if own else np.flatnonzero(side == 1)
+        place = np.empty(len(sets), np.int64)
+        place[right] = np.arange(len(right))
+        from_left = np.full(len(sets), -1, np.int64)
+        from_left[left] = np.arange(len(left))
+        total = np.zeros((len(left), len(right)), np.float32)
+        fragment = t.column("fragment").to_numpy()
+        for f in np.unique(fragment):
+            part = t.filter(pa.array(fragment == f))
+            lists = part.column("grams").combine_chunks()
+            grams = lists.flatten().to_numpy()
+            holder = np.repeat(row[fragment == f], np.diff(lists.offsets.to_numpy()))
+            pair = np.unique(np.stack((grams, holder)), axis=1)  # a row of docs may repeat
+            grams, holder = pair
+            _, inv, n = np.unique(grams, return_inverse=True, return_counts=True)
+            inv, holder = inv[n[inv] > 1], holder[n[inv] > 1]
+            at = np.unique(inv, return_inverse=True)[1]
+            for k in range(0, int(at.max()) + 1 if len(at) else 0, 4096):
+                now = (at >= k) & (at < k + 4096)
+                g, h = at[now] - k, holder[now]
+                x, y = np.zeros((len(left), 4096), np.float32), np.zeros((len(right), 4096), np.float32)
+                is_left = from_left[h] >= 0
+                x[from_left[h[is_left]], g[is_left]] = 1
+                is_right = np.isin(h, right)
+                y[place[h[is_right]], g[is_right]] = 1
+                total += x @ y.T
+        hit = (num + den) * total.astype(np.int64) >= num * (size[left][:, None] + size[right][None, :])
+        if own:
+            np.fill_diagonal(hit, False)
+            return pa.table({"s1": pa.array(sets[left]), "others": pa.array(hit @ copies[right], pa.int64())})
+        return pa.table({"s1": pa.array(np.concatenate((sets[left], sets[right]))), "others": pa.array(np.concatenate((hit @ copies[right], copies[left] @ hit)), pa.int64())})
 
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5, chunk_ngrams: int = CHUNK_NGRAMS, count_links: bool = False) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5, chunk_ngrams: int = CHUNK_NGRAMS, count_links: bool = False, text_key: bool = False) -> DataFrame:
     """Classes of documents linked by n-gram Jaccard similarity >= num/den: ``(id, n_shingles, component_id)``.
 
-    With ``count_links`` also ``n_links``, the rows that a row is similar to, copies included; every similar pair is
-    then counted, so the work follows pairs rather than documents.
+    With ``count_links`` also ``n_links``, the rows that a row is similar to, copies included; every pair of different
+    sets of a component is then counted, in tiles of bounded size. With ``text_key`` also ``text_key``, the xxhash64 of
+    the text, which tells rows that share an id apart.
 
     One row per input row. A text of fewer than n words is one shingle; null texts and texts with no words have
-    ``n_shingles`` 0 and link with nothing. A row whose id is null has a null component and takes part in nothing.
-    Rows that repeat an id and a text count as copies. Extra columns of ``docs`` are ignored.
+    ``n_shingles`` 0 and link with nothing. A row whose id is null links with nothing; it has the component of rows
+    with the same set, or null. Rows that repeat an id and a text count as copies; rows that share an id and have unlike
+    texts are documents of their own, whose component has the least id that it holds. Texts of any length are read
+    whole. An empty table gives no rows. Extra columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
     root = work_dir(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = settle(base.mapInArrow(tidy(_profile(n)), "id long, size long, s1 long, s2 long, slice int, counts binary"), f"{root}/profile")
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    found = settle(base.mapInArrow(tidy(_profile(n)), "id long, key long, size long, s1 long, s2 long, slice int, counts binary"), f"{root}/profile")
     counts = np.zeros(BUCKETS, np.int64)
     slices = found.where("slice is not null").select("slice", "counts")
     for r in slices.repartition(F.col("slice")).mapInArrow(_sum_slices, "slice int, counts binary").toLocalIterator():
         counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] += np.frombuffer(r["counts"], np.uint32)
-    ranks = spark.sparkContext.broadcast(np.minimum(127, 4 * np.log2(counts + 1)).astype(np.uint8))
+    rank = np.minimum(127, 4 * np.log2(counts + 1)).astype(np.uint8)
+    ranks, bounds = spark.sparkContext.broadcast(rank), fragment_bounds(counts, rank, FRAGMENTS)
 
-    sized = found.where("slice is null").select("id", "size", "s1", "s2")
-    classes = sized.where("size > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.min("size").alias("size"))
-    # first round: n-grams that prefixes share; they go to the end of the order, so that in the second round prefixes
-    # meet by them only where nothing rarer is left, as in near copies
+    sized = found.where("slice is null").select("id", "key", "size", "s1", "s2")
+    classes = sized.where("size > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.min("size").alias("size"), F.count("*").alias("copies"))
+    # n-grams that prefixes share go to the end of the order, so that prefixes meet by them only where nothing rarer is
+    # left, as in near copies
     some, schema = base.where("id is not null"), "gram long, s1 long, s2 long"
     first = some.mapInArrow(tidy(_prefixes(n, num, den, ranks)), schema).groupBy("gram").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"))
     demoted = spark.sparkContext.broadcast(bloom_of(first.where("lo <> hi").select(F.col("gram").alias("key"))))
-    grams = some.mapInArrow(tidy(_prefixes(n, num, den, ranks, demoted)), schema)
-    # in order of size, a set meets the one before it if any before it reaches its size: so do all that may be similar
+    grams = settle(some.mapInArrow(tidy(_prefixes(n, num, den, ranks, demoted)), schema), f"{root}/prefixes")
     size = F.shiftright("s2", REACH_BITS).bitwiseAND(_SIZE)
-    far = F.when((size == _SIZE) | (F.col("s2").bitwiseAND(255) == 255), F.lit(float("inf"))).otherwise(size * F.col("s2").bitwiseAND(255) / 200)
-    by = Window.partitionBy("gram").orderBy("size", "s1", "s2")
-    met = grams.withColumn("size", size).withColumn("far", F.max(far).over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    met = met.withColumn("t1", F.lag("s1").over(by)).withColumn("t2", F.lag("s2").over(by)).where("far >= size")
-    bare = lambda c: F.shiftleft(F.shiftright(c, REACH_BITS), REACH_BITS).alias(c)
-    shared = settle(met.select("s1", bare("s2"), "t1", bare("t2")).where("s1 <> t1 or s2 <> t2").distinct(), f"{root}/meet")
-    other = classes.select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("rep").alias("b"))
-    meet = shared.join(classes.select("s1", "s2", F.col("rep").alias("a")), ["s1", "s2"]).join(other, ["t1", "t2"]).select("a", "b")
-
-    field = connected_components(meet, f"{root}/field")
-    members = field.join(classes.select(F.col("rep").alias("node"), "size"), "node")
-    chunks = members.groupBy("component").agg(F.ceil(F.sum("size") / chunk_ngrams).cast("int").alias("k"))
-    c = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    tiles = members.join(chunks, "component").withColumn("c", c).select("node", "component", "c", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j")))).alias("t"))
-    tiles = settle(tiles.select(F.col("node").alias("id"), "component", "c", F.col("t.i").alias("i"), F.col("t.j").alias("j")), f"{root}/tiles")
-    wanted = spark.sparkContext.broadcast(bloom_of(tiles.select(F.col("id").alias("key")).distinct()))
-    texts = base.where("id is not null").mapInArrow(tidy(_only(wanted)), "id long, text string").join(tiles, "id")
-    grouped = texts.groupBy("component", "i", "j")
-    links = settle(grouped.applyInArrow(_tile(n, num, den), "a long, b long"), f"{root}/links")
-    joined = connected_components(links, f"{root}/cc")
-
-    least = classes.select("s1", "s2", "rep").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = sized.join(least, ["s1", "s2"], "left")
+    far = F.when((size == _SIZE) | (F.col("s2").bitwiseAND(255) == 255), F.lit(1 << 60)).otherwise(F.floor(size * F.col("s2").bitwiseAND(255) / 200))
+    grams = grams.select("gram", "s1", size.cast("long").alias("size"), far.cast("long").alias("far"))
+    shared = grams.groupBy("gram").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.max("far").alias("most"), F.min("size").alias("least"))
+    shared = settle(shared.where("lo <> hi and most >= least").select("gram", "most", "least"), f"{root}/shared")
+    asked = spark.sparkContext.broadcast(bloom_of(shared.select(F.col("gram").alias("key"))))
+    live = grams.mapInArrow(tidy(_only(asked, "gram")), "gram long, s1 long, size long, far long").join(shared, "gram")
+    live = settle(live.where("far >= least and size <= most").select("gram", "s1", "size", "far").distinct(), f"{root}/live")
+
+    reps = classes.select("s1", "rep").join(live.select("s1").distinct(), "s1", "left_semi")
+    wanted = spark.sparkContext.broadcast(bloom_of(reps.select(F.col("s1").bitwiseXOR(F.col("rep")).alias("key"))))
+    segments = settle(some.mapInArrow(tidy(_segments(n, ranks, demoted, bounds, wanted)), "s1 long, fragment int, grams array<long>"), f"{root}/segments")
+    for held in (demoted, asked, wanted):
+        held.unpersist()
+    may = lambda x, y: (F.col(f"{x}far") >= F.col(f"{y}size")) & (F.col(f"{y}far") >= F.col(f"{x}size")) & (den * F.least(f"{x}size", f"{y}size") >= num * F.greatest(f"{x}size", f"{y}size"))
+    # first round: each set and its hub
+    hub = live.groupBy("gram").agg(F.max(F.struct((F.col("far") / F.col("size")).alias("far_share"), "s1", "size", "far")).alias("h")).select("gram", F.col("h.s1").alias("h1"), F.col("h.size").alias("hsize"), F.col("h.far").alias("hfar"))
+    met = live.join(hub, "gram").where((F.col("s1") != F.col("h1")) & may("", "h")).groupBy("s1", "size", "h1", "hsize").count()
+    best = met.groupBy("s1", "size").agg(F.max(F.struct("count", "h1", "hsize")).alias("b"))
+    links = _links(best.select(F.col("s1").alias("a"), F.col("b.h1").alias("b"), F.col("size").alias("size_a"), F.col("b.hsize").alias("size_b")), segments, num, den, f"{root}/links1")
+    joined = settle(connected_components(links, f"{root}/cc1"), f"{root}/joined1")
+    # second round: pairs across components, in postings that hold several
+    placed = live.join(joined.withColumnRenamed("node", "s1"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
+    in_gram = placed.groupBy("gram", "component").count().groupBy("gram").agg(F.max(F.struct("count", "component")).alias("m"), F.count("*").alias("k")).where("k > 1")
+    placed = settle(placed.join(in_gram.select("gram", F.col("m.component").alias("major")), "gram"), f"{root}/placed")
+    minor = placed.where("component <> major").select("gram", *[F.col(c).alias(f"x{c}") for c in ("s1", "size", "far", "component")])
+    met = placed.join(minor, "gram").where((F.col("component") != F.col("xcomponent")) & may("", "x"))
+    lower = F.col("s1") < F.col("xs1")
+    pairs = met.select(F.least("s1", "xs1").alias("a"), F.greatest("s1", "xs1").alias("b"), F.when(lower, F.col("size")).otherwise(F.col("xsize")).alias("size_a"), F.when(lower, F.col("xsize")).otherwise(F.col("size")).alias("size_b")).distinct()
+    links = _links(settle(pairs, f"{root}/pairs2"), segments, num, den, f"{root}/links2")
+    if not links.isEmpty():
+        end = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+        over = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        over = settle(connected_components(over, f"{root}/cc2"), f"{root}/joined2")
+        top = over.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        lone = over.join(joined, over["node"] == joined["node"], "left_anti").select("node", "component")
+        joined = settle(joined.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")).union(lone).distinct(), f"{root}/joined")
+
+    member = classes.join(joined.withColumnRenamed("node", "s1"), "s1")
+    least = member.groupBy("component").agg(F.min("rep").alias("component_id"))
+    least = classes.join(member.join(least, "component").select("s1", "s2", "component_id"), ["s1", "s2"], "left").select("s1", "s2", "copies", F.coalesce("component_id", "rep").alias("component"))
     columns = ["id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id")]
-    if not count_links:
-        return out.select(*columns)
-    pairs = settle(grouped.applyInArrow(_pairs(n, num, den), "a long, b long").distinct(), f"{root}/pairs")
-    copies = sized.where("size > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    both = pairs.union(pairs.select("b", "a")).toDF("rep", "other").join(copies.select(F.col("rep").alias("other"), "copies"), "other")
-    linked = copies.join(both.groupBy("rep").agg(F.sum("copies").alias("others")), "rep", "left").select("s1", "s2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    n_links = F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0)
-    return out.join(linked, ["s1", "s2"], "left").select(*columns, n_links.alias("n_links"))
+    if count_links:
+        linked = _degrees(member, segments, num, den, chunk_ngrams)
+        least = least.join(linked, "s1", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+        columns.append(F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+    return sized.join(least, ["s1", "s2"], "left").select(*columns, *[F.col("key").alias("text_key")] * text_key)
+
+
+def _degrees(member: DataFrame, segments: DataFrame, num: int, den: int, chunk_ngrams: int) -> DataFrame:
+    """``(s1, others)``: the rows of other sets that each set is linked to. A component's sets are dealt to chunks of
+    about ``chunk_ngrams`` n-grams, and every pair of chunks is a tile."""
+    chunks = member.groupBy("component").agg(F.ceil(F.sum("size") / chunk_ngrams).cast("int").alias("k"))
+    tile = lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j"), F.when(F.col("c") <= j, 0).otherwise(1).alias("side"))
+    tiles = member.join(chunks, "component").withColumn("c", F.pmod(F.xxhash64("s1"), F.col("k")).cast("int"))
+    tiles = tiles.select("s1", "size", "copies", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), tile)).alias("t")).select("s1", "size", "copies", "component", "t.*")
+    cells = tiles.join(segments, "s1").repartition("component", "i", "j")
+    return cells.groupBy("component", "i", "j").applyInArrow(_count_links(num, den), "s1 long, others long").groupBy("s1").agg(F.sum("others").alias("others"))

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from quillmill.llm.ngram_join import ngram_jaccard_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -86,3 +88,26 @@ def test_a_low_threshold_reaches_far_larger_partners(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for num, den in ((7, 10), (1, 2)):
         assert {tuple(r) for r in ngram_jaccard_join(df, num=num, den=den).collect()} == brute(rows, 5, num, den)
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(5, text("a")), (5, text("b")), (2, text("a") + " more"), (9, text("b") + " more"), (9, text("c")), (None, text("d")), (None, text("a"))]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n_shingles int, key string")
+    out = ngram_jaccard_join(df, text_key=True).join(df.select(F.col("doc_id"), "text", F.xxhash64("text").alias("text_key")).distinct(), "text_key")
+    got = sorted(((r.id, r.text, r.component_id) for r in out.where("id <=> doc_id").collect()), key=str)
+    want = [(5, rows[0][1], 2), (5, rows[1][1], 5), (2, rows[2][1], 2), (9, rows[3][1], 5), (9, rows[4][1], 9), (None, rows[5][1], None), (None, rows[6][1], 2)]
+    assert got == sorted(want, key=str)
+
+
+def test_near_copies_that_need_the_second_round(spark):
+    rng = random.Random(12)
+    words, base = [f"w{i}" for i in range(900)], [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        rows.append((i, " ".join(w[rng.choice([0, 0, 10]) :])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {tuple(r) for r in ngram_jaccard_join(df, n=4, num=85, den=100).collect()} == brute(rows, 4, 85, 100)
