@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -192,28 +193,27 @@ def connected_components(edges: DataFrame, root: str, rounds: int = 60) -> DataF
 
     Alternating large and small stars: each round replaces edges by edges to smaller neighbours, so the edge count
     never grows and a hub's neighbours are joined on, never gathered. Minima are partial aggregates; the join back is
-    one that adaptive execution may split where a hub is hot.
+    one that adaptive execution may split where a hub is hot. It ends when every edge leads to the root of a star.
     """
     spark = edges.sparkSession
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = settle(now, f"{root}/cc0")
-    last, at = None, f"{root}/cc0"
+    now, at = settle(now, f"{root}/cc0"), f"{root}/cc0"
     for k in range(1, rounds):
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ends.where("up > 1 or (up = 1 and down = 1)").isEmpty():
+            break
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
-        nxt = settle(small, f"{root}/cc{k}")
-        state = nxt.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+        now = settle(small, f"{root}/cc{k}")
         discard(spark, at)
-        now, at = nxt, f"{root}/cc{k}"
-        if tuple(state) == last:
-            break
-        last = tuple(state)
+        at = f"{root}/cc{k}"
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 # ---------------------------------------------------------------- running sums over the whole table
@@ -280,3 +280,9 @@ def release() -> None:
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
+
+def release_driver(spark: SparkSession) -> None:
+    """Hand back what finished work left in the driver: dropped broadcasts and query plans, in its JVM and in Python."""
+    gc.collect()
+    release()
+    spark.sparkContext._jvm.System.gc()

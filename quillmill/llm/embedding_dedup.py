@@ -21,7 +21,7 @@ from quillmill.llm.vectors import matrix, usable
 PASSES, WINDOW, BITS, SEED = 12, 96, 62, 29
 THRESHOLD = 0.98
 #: Vectors of a component in one chunk; a tile compares two chunks.
-CHUNK = 2048
+CHUNK = 512
 _ROW = "label long, pass int, bits long, id long, v array<double>"
 
 
@@ -98,7 +98,7 @@ def _pairs(t: pa.Table, new: int, window: int, threshold: float):
 
 
 def _scan(window: int, threshold: float):
-    """Links of each sorted part, and its first and last rows, which its neighbours haven't seen."""
+    """Links of each sorted part, and its first (side 1) and last rows (side 0), which its neighbours haven't seen."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -119,7 +119,7 @@ def _scan(window: int, threshold: float):
                 yield edges(links)
             held = t.slice(max(0, t.num_rows - window))
         if held is not None:
-            yield from border(pa.concat_tables(first), part - 1, 1)
+            yield from border(pa.concat_tables(first), part, 1)
             yield from border(held, part, 0)
 
     return run
@@ -142,9 +142,24 @@ def border(t: pa.Table, key: int, side: int):
     yield from full.combine_chunks().to_batches()
 
 
+def borders(heads: dict[int, int], window: int) -> list[tuple[int, int, int, int]]:
+    """(part, side, border, turn): the last rows of every part that has rows meet the first rows of the parts after it,
+    of as many as it takes to have ``window`` rows; ``heads`` has min(rows, window) of each part."""
+    parts, out = sorted(heads), []
+    for k, p in enumerate(parts):
+        out.append((p, 0, p, 0))
+        have = 0
+        for turn, q in enumerate(parts[k + 1 :], 1):
+            if have >= window:
+                break
+            out.append((q, 1, p, turn))
+            have += heads[q]
+    return out
+
+
 def _across(window: int, threshold: float):
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("side", "ascending"), ("pos", "ascending")]).combine_chunks()
+        t = t.sort_by([("turn", "ascending"), ("pos", "ascending")]).combine_chunks()
         new = int((t.column("side").to_numpy() == 0).sum())
         ids, joined = t.column("id").to_pylist(), Joined()
         links = [(ids[i], ids[j]) for i, j in _pairs(t, new, window, threshold) if j < new and joined.join(ids[i], ids[j])]
@@ -186,24 +201,32 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     root = work_dir(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("long").alias("label"))
     rows = rows.withColumn("ok", usable(F.col("v")) & F.col("label").isNotNull() & F.col("id").isNotNull())
-    rows = rows.withColumn("k1", F.when(F.col("ok"), F.xxhash64("v"))).withColumn("k2", F.when(F.col("ok"), F.xxhash64("v", F.lit(3))))
-    classes = settle(rows.where("ok").groupBy("label", "k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v")), f"{root}/classes")
+    # classes of equal vectors are told apart by 128 bits of hash; the first 64 name them among links
+    rows = rows.withColumn("k1", F.when(F.col("ok"), F.xxhash64("label", "v"))).withColumn("k2", F.when(F.col("ok"), F.xxhash64("v", F.lit(3))))
+    classes = rows.where("ok").groupBy("label", "k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
+    classes = settle(classes.withColumnRenamed("k1", "id"), f"{root}/classes")
     count = classes.count()
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), count * passes // (16 * window)))
     hashed = classes.select("label", "id", "v").mapInArrow(_hash(passes), _ROW)
     order = ["pass", "label", "bits", "id"]
     scanned = settle(hashed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_scan(window, threshold), _EDGE), f"{root}/scan")
-    across = scanned.where("border is not null").groupBy("border").applyInArrow(_across(window, threshold), "a long, b long")
-    found = connected_components(scanned.where("a is not null").select("a", "b").union(across), f"{root}/cc")
+    edge = scanned.where("border is not null").withColumnRenamed("border", "part")
+    heads = {r["part"]: r["count"] for r in edge.where("side = 1").groupBy("part").count().collect()}  # a row a part
+    met = spark.createDataFrame(borders(heads, window), "part int, side int, border int, turn int")
+    across = edge.join(met, ["part", "side"]).groupBy("border").applyInArrow(_across(window, threshold), "a long, b long")
+    found = settle(connected_components(scanned.where("a is not null").select("a", "b").union(across), f"{root}/cc"), f"{root}/joined")
 
     members = found.join(classes, found["node"] == classes["id"]).select("id", "component", "n", "v")
     size = members.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("k"))
     c = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
     tile = lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j"), F.when(F.col("c") <= j, 0).otherwise(1).alias("side"))
     tiles = members.join(size, "component").withColumn("c", c).select("id", "component", "n", "v", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), tile)).alias("t")).select("id", "component", "n", "v", "t.*")
+    tiles = tiles.repartition("component", "i", "j")  # a component's tiles go to many tasks
     counted = tiles.groupBy("component", "i", "j").applyInArrow(_count(threshold), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
-    least = classes.select("label", "k1", "k2", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").join(counted, "id", "left")
-    least = least.select("label", "k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    placed = classes.select("label", "id", "k2", "rep", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
+    first = placed.where("component is not null").groupBy("component").agg(F.min("rep").alias("component_id"))
+    least = placed.join(first, "component", "left").join(counted, "id", "left")
+    least = least.select("label", F.col("id").alias("k1"), "k2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.drop("v").join(least, ["label", "k1", "k2"], "left")
     out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))

@@ -130,6 +130,31 @@ def test_null_ids_and_one_id_with_two_texts_lose_no_row(spark, tmp_path):
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(rows[:-1], key=str)
 
 
+def test_rows_are_kept_alike_whatever_else_the_table_holds(spark, tmp_path):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, None), (1, text("d")), (4, text("d") + " x"), (5, None), (6, "")]
+    more = [(2, text("e")), (2, text("f")), (2, text("d") + " y"), (3, text("g")), (3, text("g")), (7, None), (7, None)]
+    stay = [r for r in rows if r[0] != 4]
+    for have, want in ((rows, stay), (rows + more, stay + [more[0], more[1], more[3], more[5]])):
+        docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in have], SCHEMA).repartition(3)
+        got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_each_stage_keeps_null_and_repeated_rows(spark, tmp_path):
+    good, lines = "the words of some text in one language", [(i, t, lang, "site-0", 1, "x") for i, t, lang, *_ in fixture() if t]
+    odd = [(None, good, "en", None, None, None), (None, good, "en", None, None, None), (7001, good + " mail me@ex.org", "en", "site-0", 1, "x"), (7001, good, None, None, None, None), (7002, None, "en", "s", 0, "x")]
+    docs = spark.createDataFrame(lines + odd, SCHEMA)
+    mine = lambda df: sorted(((r.doc_id, r.text) for r in df.where("doc_id is null or doc_id > 7000").collect()), key=str)
+    kept = [(None, good), (None, good), (7001, good), (7001, good + " mail me@ex.org")]
+    assert mine(corpus_pipeline.language(spark, docs, str(tmp_path))) == sorted(kept, key=str)
+    masked = [(i, t.replace("me@ex.org", "<EMAIL>") if t else t) for i, t, *_ in odd]
+    assert mine(corpus_pipeline.personal_data(spark, docs, str(tmp_path))) == sorted(masked, key=str)
+    assert {r for r in mine(corpus_pipeline.mixture(spark, docs, str(tmp_path)))} <= {(i, t) for i, t, *_ in odd if t}
+    ends = corpus_pipeline.packed(spark, docs, str(tmp_path)).where("doc_id is null or doc_id > 7000")
+    assert ends.groupBy("doc_id", "doc_tokens").agg({"length": "sum"}).count() == 4
+
+
 def test_an_empty_table_gives_no_rows(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillmill.llm.ann import RERANK, build_index, nearest, search
-from quillmill.llm.embedding_dedup import embedding_near_dedup
+from quillmill.llm.embedding_dedup import borders, embedding_near_dedup
 
 ODD = [(9001, None, 1), (9002, [0.0] * 16, 1), (9003, [float("nan")] + [1.0] * 15, 1), (9004, [float("inf")] + [1.0] * 15, 1), (9005, [None] + [1.0] * 15, 1), (9006, [], 1)]
 
@@ -46,6 +46,33 @@ def test_near_dedup_matches_brute_force(spark):
     assert embedding_near_dedup(df.limit(0)).count() == 0
 
 
+def test_every_window_across_parts_is_compared():
+    rng = np.random.default_rng(6)
+    for window in (1, 4, 9):
+        sizes = {p: int(n) for p, n in enumerate(rng.integers(0, 12, 14)) if n}
+        rows = [(p, i) for p, n in sizes.items() for i in range(n)]
+        want = {(a, b) for i, a in enumerate(rows) for b in rows[i + 1 : i + 1 + window] if a[0] != b[0]}
+        got = set()
+        groups = {}
+        for part, side, border, turn in borders({p: min(n, window) for p, n in sizes.items()}, window):
+            n = sizes[part]
+            mine = [(part, i) for i in (range(max(0, n - window), n) if side == 0 else range(min(n, window)))]
+            groups.setdefault(border, []).append((turn, side, mine))
+        for g in groups.values():
+            seq = [(side, r) for _, side, mine in sorted(g) for r in mine]
+            got |= {(a, b) for i, (x, a) in enumerate(seq) for y, b in seq[i + 1 : i + 1 + window] if x == 0 and y == 1}
+        assert got == want
+
+
+def test_near_dedup_links_across_many_small_parts(spark):
+    rng = np.random.default_rng(9)
+    rows = clustered(rng, 60, [3] * 60)
+    rows += [(9000, rows[0][1], 0), (9000, (np.array(rows[1][1]) * 3).tolist(), 1)]  # an id with unlike vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = sorted(map(tuple, embedding_near_dedup(df, window=3, passes=24).collect()))
+    assert got == brute_components(rows, 0.98)
+
+
 def test_ann_recall_and_ties(spark):
     rng = np.random.default_rng(2)
     centers = rng.standard_normal((40, 16))
