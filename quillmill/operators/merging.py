@@ -18,12 +18,17 @@ def ordered(value: Column, order: str) -> Column:
 def merge_named(records: DataFrame, name: str, order: str, lists: tuple[str, ...] = (), texts: tuple[str, ...] = (), conflicts: tuple[str, ...] = ()) -> DataFrame:
     """One row a normalised name: the first spelling; list fields united, text fields joined by ``；`` (each
     distinct, in order, missing values out); ``conflicts`` names text fields that hold several values. Sorted by key."""
-    aggs = [F.min_by(name, order).alias(name)]
-    for c in lists:
-        aggs.append(X.unique_strings(F.flatten(ordered(F.coalesce(c, F.array().cast("array<string>")), order))).alias(c))
-    for c in texts:
-        aggs.append(X.unique_strings(ordered(F.col(c), order)).alias(c))
-    out = records.withColumn("_key", X.normalized_key(F.col(name))).where("_key <> ''").groupBy("_key").agg(*aggs)
+    keyed = records.withColumn("_key", X.normalized_key(F.col(name))).where("_key <> ''")
+    # values are made distinct by a partial aggregate first, so what is gathered for a name is its distinct values
+    text = lambda c: F.array(F.struct(F.lit(c).alias("field"), F.lit(0).alias("at"), X.strip(F.col(c)).alias("v")))
+    many = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v, i: F.struct(F.lit(c).alias("field"), i.alias("at"), X.strip(v).alias("v")))
+    out = keyed.groupBy("_key").agg(F.min_by(name, order).alias(name))
+    if lists or texts:
+        each = keyed.select("_key", F.col(order).alias("o"), F.explode(F.concat(*map(many, lists), *map(text, texts))).alias("x")).select("_key", "o", "x.*")
+        first = each.where(~X.is_missing(F.col("v"))).groupBy("_key", "field", "v").agg(F.min(F.struct("o", "at")).alias("at"))
+        pick = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == c, F.struct("at", "v")))), lambda x: x["v"]).alias(c)
+        out = out.join(first.groupBy("_key").agg(*map(pick, (*lists, *texts))), "_key", "left")
+        out = out.select("_key", name, *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in (*lists, *texts)])
     found = F.array_compact(F.array(*[F.when(F.size(c) > 1, F.concat(F.lit(f"{c}: "), F.array_join(c, " / "))) for c in conflicts])) if conflicts else F.array().cast("array<string>")
     out = out.withColumn("conflicts", found)
     for c in texts:
@@ -48,8 +53,14 @@ def merge_timeline(events: DataFrame, event: str, source: str, order: str, evide
 
 
 def merge_style(records: DataFrame, fields: tuple[str, ...], order: str, cap: int = 30) -> DataFrame:
-    """Distinct values of each style field over all records, capped."""
-    return records.agg(*[F.array_join(X.unique_strings(ordered(F.col(c), order), cap), "；").alias(c) for c in fields])
+    """The first ``cap`` distinct values of each style field over all records, in order, as one row: values are
+    made distinct where they lie, and only the first ones of each field are gathered."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), X.strip(F.col(c)).alias("v")) for c in fields])).alias("x")
+    seen = records.select(order, each).select(F.col(order).alias("o"), "x.*").where(~X.is_missing(F.col("v"))).groupBy("field", "v").agg(F.min("o").alias("o"))
+    by = Window.partitionBy("field").orderBy("o", "v")
+    kept = seen.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= cap)
+    pick = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == c, F.struct("_r", "v")))), lambda x: x["v"]), "；").alias(c)
+    return kept.agg(*map(pick, fields))
 
 
 def merge_summaries(records: DataFrame, order: str) -> DataFrame:
@@ -57,6 +68,27 @@ def merge_summaries(records: DataFrame, order: str) -> DataFrame:
     return records.orderBy(order)
 
 
+def merge_results(sections: dict[str, DataFrame], order: str, style: DataFrame | None = None, summaries: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Every section of the merged extraction, from the record streams of :func:`streams` (``order, rec``) and the
+    style fields and chapter summaries beside them."""
+    field = lambda df, *names: df.select(order, *[F.try_element_at("rec", F.lit(n)).alias(n) for n in names])
+    out = {}
+    for name in ("characters", "locations", "organizations", "sub_threads"):
+        if name in sections:
+            out[name] = merge_named(field(sections[name], "name", "description", "source"), "name", order, texts=("description", "source"))
+    if "relationships" in sections:
+        out["relationships"] = merge_relationships(field(sections["relationships"], "a", "b", "type", "description"), "a", "b", "type", order, ("description",))
+    if "timeline" in sections:
+        out["timeline"] = merge_timeline(field(sections["timeline"], "event", "source"), "event", "source", order)
+    if "glossary" in sections:
+        out["glossary"] = glossary(field(sections["glossary"], "category", "term"), "category", "term")
+    if style is not None:
+        out["style"] = merge_style(style, tuple(c for c in style.columns if c != order), order)
+    if summaries is not None:
+        out["chapter_summaries"] = merge_summaries(summaries, order)
+    return out
+
+
 def glossary(records: DataFrame, category: str, term: str) -> DataFrame:
     """Terms by category, categories sorted, missing ones together."""
     c = F.when(X.is_missing(F.col(category)), "未分类").otherwise(X.strip(F.col(category)))

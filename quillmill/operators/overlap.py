@@ -26,29 +26,33 @@ def items(seg: DataFrame, key: str, column: str = "sentences", least: int = MIN_
     return out.where(F.length("norm") >= least).withColumn("visible", F.length("exact"))
 
 
-def matched(cand: DataFrame, ref: DataFrame, column: str, on: list[str]) -> DataFrame:
-    """Candidate rows whose value stands in the reference; copies count each."""
-    return cand.join(ref.select(*on, column).distinct(), [*on, column], "left_semi")
-
-
 def sentence_overlap(cand: DataFrame, ref: DataFrame, key: str, pair: bool, column: str) -> DataFrame:
     """J1 (column exact) or J2 (column norm): ``key, total, matched, ratio`` of every candidate with an item."""
-    hit = matched(cand, ref, column, [key] if pair else []).groupBy(key).agg(F.count("*").alias("matched"))
-    out = cand.groupBy(key).agg(F.count("*").alias("total")).join(hit, key, "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
-    return out.withColumn("ratio", X.ratio(F.col("matched"), F.col("total")))
+    out = sentence_overlaps(cand, ref, key, pair, (column,))
+    return out.select(key, "total", F.col(f"{column}_matched").alias("matched"), X.ratio(F.col(f"{column}_matched"), F.col("total")).alias("ratio"))
+
+
+def sentence_overlaps(cand: DataFrame, ref: DataFrame, key: str, pair: bool, columns: tuple[str, ...] = ("exact", "norm")) -> DataFrame:
+    """J1 and J2 over one pass of the candidates: ``key, total`` and how many items match by each column."""
+    on = [key] if pair else []
+    met = cand.select(key, *columns)
+    for c in columns:
+        met = met.join(ref.select(*on, c).distinct().withColumn(f"_{c}", F.lit(True)), [*on, c], "left")
+    return met.groupBy(key).agg(F.count("*").alias("total"), *[F.count(f"_{c}").alias(f"{c}_matched") for c in columns])
 
 
 def shingle_overlap(cand: DataFrame, ref: DataFrame, key: str, pair: bool, k: int, text: str = "text") -> DataFrame:
     """The candidate's multiset of k-grams (without white space and punctuation) against the reference's set.
 
-    Grams are counted per document before they meet, and matched as text, so no hash can err.
+    Totals are arithmetic; of the grams only those that the reference holds are counted, and they are matched as text,
+    so no hash can err. A reference small enough to be broadcast leaves the candidate's grams where they are.
     """
     grams = lambda df: df.select(key, F.explode(X.shingles(X.normalized(F.col(text)), k)).alias("gram"))
     on = [key, "gram"] if pair else ["gram"]
-    mine = grams(cand).groupBy(key, "gram").agg(F.count("*").alias("n"))
-    known = grams(ref).select(*on).distinct().withColumn("known", F.lit(True))
-    met = mine.join(known, on, "left")
-    return met.groupBy(key).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("matched"))
+    hit = grams(cand).join(grams(ref).select(*on).distinct(), on, "left_semi").groupBy(key).agg(F.count("*").alias("matched"))
+    n = F.greatest(F.length(X.normalized(F.col(text))) - (k - 1), F.lit(0)).cast("long")
+    total = cand.groupBy(key).agg(F.sum(n).alias("total")).where("total > 0")
+    return total.join(hit, key, "left").select(key, "total", F.coalesce("matched", F.lit(0)).alias("matched"))
 
 
 def sequence_ratio(a: str, b: str) -> float:
@@ -243,11 +247,11 @@ def contamination_stats(ref: DataFrame, cand: DataFrame, key: str) -> DataFrame:
     """The contamination bundle of pairs that share ``key``."""
     ci, ri = items(cand, key), items(ref, key)
     out = cand.select(key)
-    for name, column in (("exact", "exact"), ("normalized", "norm")):
-        o = sentence_overlap(ci, ri, key, True, column)
-        out = out.join(o.select(key, F.col("matched").alias(f"{name}_count"), F.col("ratio").alias(f"{name}_ratio")), key, "left")
+    o = sentence_overlaps(ci, ri, key, True)
+    names = (("exact", "exact"), ("normalized", "norm"))
+    out = out.join(o.select(key, F.col("total").alias("_n"), *[F.col(f"{c}_matched").alias(f"{name}_count") for name, c in names], *[X.ratio(F.col(f"{c}_matched"), F.col("total")).alias(f"{name}_ratio") for name, c in names]), key, "left")
     near = near_matches(ci, ri, key, True).groupBy(key).agg(F.count("*").alias("near_count"))
-    out = out.join(near, key, "left").join(ci.groupBy(key).agg(F.count("*").alias("_n")), key, "left")
+    out = out.join(near, key, "left")
     for k in (8, 12, 20):
         s = shingle_overlap(cand, ref, key, True, k)
         out = out.join(s.select(key, X.ratio(F.col("matched"), F.col("total")).alias(f"shingle{k}_ratio")), key, "left")
@@ -276,11 +280,11 @@ def contamination_whole(ref: DataFrame, cand: DataFrame, key: str) -> DataFrame:
     """The signals of A7 and the risk of every candidate against the whole reference; ``longest`` is 0 under LEAST_COMMON."""
     ci, ri = items(cand, key), items(ref, key)
     out = cand.select(key).distinct()
-    for name, column in (("exact", "exact"), ("normalized", "norm")):
-        o = sentence_overlap(ci, ri, key, False, column)
-        out = out.join(o.select(key, F.col("matched").alias(f"{name}_count"), F.col("ratio").alias(f"{name}_ratio")), key, "left")
+    o = sentence_overlaps(ci, ri, key, False)
+    names = (("exact", "exact"), ("normalized", "norm"))
+    out = out.join(o.select(key, F.col("total").alias("_n"), *[F.col(f"{c}_matched").alias(f"{name}_count") for name, c in names], *[X.ratio(F.col(f"{c}_matched"), F.col("total")).alias(f"{name}_ratio") for name, c in names]), key, "left")
     near = near_matches(ci, ri, key, False).groupBy(key).agg(F.count("*").alias("near_count"))
-    out = out.join(near, key, "left").join(ci.groupBy(key).agg(F.count("*").alias("_n")), key, "left")
+    out = out.join(near, key, "left")
     for k in (12, 20):
         s = shingle_overlap(cand, ref, key, False, k)
         out = out.join(s.select(key, X.ratio(F.col("matched"), F.col("total")).alias(f"shingle{k}_ratio")), key, "left")

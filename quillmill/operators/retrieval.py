@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import segment as S
+from quillmill.sources.durable import settle, work_dir
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 CARD_CHARS = 1200
@@ -29,10 +30,55 @@ def path_class(path: Column, root: str) -> Column:
     return F.when(F.instr(rel, "/") == 0, 0).when(rel.startswith("generated/"), 1).otherwise(2)
 
 
+#: Bits of a point in time; an interval is a union of at most twice as many aligned blocks of 1, 2, 4, ... points.
+POINT_BITS = 32
+#: Targets without a point in time see every card; they meet them in so many parts.
+ALL_PARTS = 64
+
+
+def _blocks(start: Column, end: Column) -> Column:
+    """The aligned blocks (level, number) that make up the points from ``start`` to ``end`` (null: no end)."""
+    base = 1 << (POINT_BITS - 1)
+    lo, hi = start.cast("long") + base, F.coalesce(end.cast("long") + base + 1, F.lit(1 << POINT_BITS))
+    kind = "array<struct<level:int,block:bigint>>"
+    zero = F.struct(lo.alias("lo"), hi.alias("hi"), F.expr(f"cast(array() as {kind})").alias("out"))
+
+    def climb(s: Column, level: Column) -> Column:
+        left, right = (s["lo"] < s["hi"]) & (s["lo"] % 2 == 1), (s["lo"] < s["hi"]) & (s["hi"] % 2 == 1)
+        one = lambda c, n: F.when(c, F.array(F.struct(level.alias("level"), n.alias("block")))).otherwise(F.expr(f"cast(array() as {kind})"))
+        out = F.concat(s["out"], one(left, s["lo"]), one(right, s["hi"] - 1))
+        return F.struct(F.shiftright(s["lo"] + F.when(left, 1).otherwise(0), 1).alias("lo"), F.shiftright(s["hi"] - F.when(right, 1).otherwise(0), 1).alias("hi"), out.alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(POINT_BITS)), zero, climb, lambda s: s["out"])
+
+
+def at_point(targets: DataFrame, rows: DataFrame, at: str, start: Column, end: Column) -> DataFrame:
+    """Every target with the rows whose interval holds its point, as an equality join: a point lies in one aligned block a
+    level, an interval is a few blocks, and no two of them overlap, so each pair meets once."""
+    base = 1 << (POINT_BITS - 1)
+    levels = F.transform(F.sequence(F.lit(0), F.lit(POINT_BITS)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col(at).cast("long") + base, k).alias("block")))
+    t = targets.where(F.col(at).isNotNull()).select("*", F.explode(levels).alias("_b")).select("*", "_b.*").drop("_b")
+    r = rows.select("*", F.explode(_blocks(start, end)).alias("_b")).select("*", "_b.*").drop("_b")
+    return t.join(r, ["level", "block"]).drop("level", "block")
+
+
 def visible_pairs(targets: DataFrame, cards: DataFrame, at: str = "at") -> DataFrame:
-    """Every target with the cards visible at its point in time. The windows bound a range join from one side, so
-    pairs are as many as the answer; the smaller side is Spark's to broadcast."""
-    return targets.join(cards, visible(F.col(at)), "inner")
+    """Every target with the cards visible at its point in time; a target without one sees all."""
+    start = F.greatest("revealed_in", "valid_from")
+    known = cards.where(F.col("revealed_in").isNotNull() & F.col("valid_from").isNotNull())
+    free = targets.where(F.col(at).isNull()).select("*", F.explode(F.sequence(F.lit(0), F.lit(ALL_PARTS - 1))).alias("_p"))
+    every = free.join(cards.withColumn("_p", F.pmod(F.xxhash64(*cards.columns), F.lit(ALL_PARTS)).cast("int")), "_p").drop("_p")
+    return at_point(targets, known, at, start, F.col("valid_to")).unionByName(every)
+
+
+def occurring(rows: DataFrame, text: str, names: DataFrame, name: str, least: int = 1) -> DataFrame:
+    """``rows`` with each of ``names``'s names that occurs in ``text``, by equality of pieces that have a name's length."""
+    held = names.select(name).where(F.length(name) >= least).distinct()
+    sizes = sorted(r[0] for r in held.select(F.length(name)).distinct().collect())  # at most as many as the longest name's letters
+    t, none = F.col(text), F.array().cast("array<string>")
+    piece = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(none)
+    pieces = F.array_distinct(F.concat(none, *map(piece, sizes)))
+    return rows.select("*", F.explode(pieces).alias(name)).join(held, name)
 
 
 def intervals(states: DataFrame, key: list[str], start: str) -> DataFrame:
@@ -41,17 +87,17 @@ def intervals(states: DataFrame, key: list[str], start: str) -> DataFrame:
     return states.withColumn("valid_from", F.col(start)).withColumn("valid_to", F.lead(start).over(w) - 1)
 
 
-def postings(cards: DataFrame, doc: str, text: str, tokens: Callable[[Column], Column] = S.tokens) -> DataFrame:
-    """``doc, term, tf, len`` of every card."""
-    each = cards.select(doc, tokens(F.col(text)).alias("_t")).select(doc, F.size("_t").alias("len"), F.explode("_t").alias("term"))
+def postings(tokenised: DataFrame, doc: str) -> DataFrame:
+    """``doc, term, tf, len`` of ``tokenised(doc, tokens)``."""
+    each = tokenised.select(doc, F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
     return each.groupBy(doc, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
-def idf(posts: DataFrame, n_docs: DataFrame, doc: str) -> DataFrame:
+def idf(tokenised: DataFrame, n_docs: DataFrame) -> DataFrame:
     """``term, df, idf``; negative values become a quarter of the mean of all. ``n_docs`` has one row, ``n``: every card
     counts, hidden or empty ones too, so that what is visible doesn't change the scores."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs))  # one row
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    df = tokenised.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.crossJoin(F.broadcast(n_docs)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = raw.agg((FLOOR * F.avg("raw")).alias("eps"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("eps")).otherwise(F.col("raw")).alias("idf"))
 
@@ -59,12 +105,16 @@ def idf(posts: DataFrame, n_docs: DataFrame, doc: str) -> DataFrame:
 def bm25(queries: DataFrame, cards: DataFrame, query: str, doc: str, query_text: str = "text", card_text: str = "text", tokens: Callable[[Column], Column] = S.tokens) -> DataFrame:
     """``query, doc, score`` above 0; a query's repeated terms count each.
 
-    Statistics come from all cards; only postings of queried terms are joined, each query term once with its count.
+    Cards are tokenised once, into a table. Statistics come from all of it; only tokens that some query asks for become
+    postings, each query term once with its count.
     """
-    posts = postings(cards, doc, card_text, tokens)
-    stats = cards.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(card_text)))).alias("avgdl"))
-    weight = idf(posts, stats.select("n"), doc)
+    made = settle(cards.select(doc, tokens(F.col(card_text)).alias("tokens")), f"{work_dir(cards.sparkSession)}/tokens")
+    stats = made.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    weight = idf(made, stats.select("n"))
     asked = queries.select(query, F.explode(tokens(F.col(query_text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qf"))
+    wanted = asked.select("term").distinct()
+    each = made.select(doc, F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    posts = each.groupBy(doc, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     tf, norm = F.col("tf"), K1 * (1 - B + B * F.col("len") / F.col("avgdl"))
     hit = asked.join(weight, "term").join(posts, "term").crossJoin(F.broadcast(stats.select("avgdl")))
     part = F.col("qf") * F.col("idf") * tf * (K1 + 1) / (tf + norm)
@@ -78,12 +128,10 @@ def bm25_topk(queries: DataFrame, cards: DataFrame, query: str, doc: str, k: int
 
 
 def entities(contexts: DataFrame, names: DataFrame, key: str, text: str = "text", top: int = 5, last: int = 500) -> DataFrame:
-    """Known names that occur in the end of a context: by frequency, then by name (a total order).
-
-    ``names(name)`` must be small enough for Spark to broadcast; other recognisers' names can be united with it.
-    """
+    """Known names that occur in the end of a context: by frequency, then by name (a total order). Other
+    recognisers' names can be united with ``names(name)``."""
     t = contexts.select(key, F.when(F.length(text) <= last, F.col(text)).otherwise(F.right(text, F.lit(last))).alias("_t"))
-    hit = t.join(names.select("name").where("name <> ''").distinct(), F.contains(F.col("_t"), F.col("name")))
+    hit = occurring(t, "_t", names, "name")
     n = ((F.length("_t") - F.length(F.replace(F.col("_t"), F.col("name"), F.lit("")))) / F.length("name")).cast("int")
     by = Window.partitionBy(key).orderBy(F.desc("freq"), "name")
     return hit.select(key, "name", n.alias("freq")).withColumn("ord", F.row_number().over(by)).where(F.col("ord") <= top)
@@ -98,7 +146,7 @@ def search_cards(queries: DataFrame, found: DataFrame, cards: DataFrame, query:
     c = cards.select("doc_ord", "source", F.left("text", F.lit(CARD_CHARS)).alias("card_text"), "depth_class", "revealed_in", "valid_from", "valid_to")
     named = found.select(query, "name", "ord")
     exact = named.join(c, F.col("name") == F.col("source")).select(query, "doc_ord", F.lit(0).alias("tier"), F.col("depth_class").alias("prio"), "ord", F.lit(9999.0).alias("score"))
-    weak = named.join(c, F.contains(F.col("source"), F.col("name")) & (F.col("name") != F.col("source"))).select(query, "doc_ord", F.lit(1).alias("tier"), F.lit(0).alias("prio"), "ord", F.lit(9998.0).alias("score"))
+    weak = named.join(occurring(c.select("doc_ord", "source"), "source", named, "name"), "name").where("name <> source").select(query, "doc_ord", F.lit(1).alias("tier"), F.lit(0).alias("prio"), "ord", F.lit(9998.0).alias("score"))
     text = bm25(queries, cards, query, "doc_ord", tokens=tokens).select(query, "doc_ord", F.lit(2).alias("tier"), F.lit(0).alias("prio"), F.lit(0).alias("ord"), F.bround("score", 4).alias("score"))
     all_ = exact.union(weak).union(text).join(c, "doc_ord").join(queries.select(query, at), query).where(visible(F.col(at)))
     order = ["tier", "prio", "ord", F.desc("score"), "doc_ord"]
@@ -130,14 +178,27 @@ def budget_prefix(rows: DataFrame, key: list[str], order: list, cost: Column, bu
 
 
 def prior_summaries(targets: DataFrame, summaries: DataFrame, key: str, up_to: str = "at", budget: int = 400, descending: bool = False) -> DataFrame:
-    """One text a target of the summaries up to its chapter, oldest first, within the budget."""
+    """One text a target of the summaries up to its chapter, oldest first, within the budget. Oldest first, all
+    targets share one run of at most ``budget`` summaries; ``descending``, each has its own."""
     s = summaries.withColumn("_line", F.concat(F.lit("["), F.col("title"), F.lit("] "), F.col("summary")))
-    met = targets.select(key, up_to).join(s, F.col("chapter") <= F.col(up_to))
     order = [F.desc("chapter") if descending else "chapter", "title"]
+    if descending:
+        met = at_point(targets.select(key, up_to), s, up_to, F.col("chapter"), F.lit(None).cast("int"))
+    else:
+        head = s.orderBy(*order).limit(budget)  # a line costs 1 or more
+        met = at_point(targets.select(key, up_to), head, up_to, F.col("chapter"), F.lit(None).cast("int"))
     kept = budget_prefix(met, [key], order, F.length("_line") + 1, budget)
     return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter", "title", "_line"))), lambda x: x["_line"]), "\n").alias("prior"))
 
 
+def context_lines(hits: DataFrame, key: str, budget: int = 1500, clip: int = 300) -> DataFrame:
+    """The ranked cards of a target as one text, up to the first that would overflow the budget: ``key, context``.
+    ``hits(key, rank, source, text)`` are cards visible before the target."""
+    line = F.concat(F.lit("【"), F.col("source"), F.lit("】"), F.left("text", F.lit(clip)))
+    kept = budget_prefix(hits.withColumn("_line", line), [key], ["rank"], F.length("_line"), budget)
+    return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_line"))), lambda x: x["_line"]), "\n\n").alias("context"))
+
+
 def retrieve(contexts: DataFrame, cards: DataFrame, raw: DataFrame | None, key: str, k: int = 3, grep_k: int = 2, at: str = "at") -> DataFrame:
     """Entities of the last 500 characters, cards for entities and the last 150, and grep blocks of the first three
     entities: ``key, entities, bible, grep``. ``raw(path, text)`` isn't bound in time; leave it out where that leaks."""
@@ -155,7 +216,7 @@ def retrieve(contexts: DataFrame, cards: DataFrame, raw: DataFrame | None, key:
     lines = raw.select("path", F.posexplode(S.lines(F.col("text"))).alias("line", "s"))
     w = Window.partitionBy("path").orderBy("line").rowsBetween(-2, 2)
     around = lines.withColumn("block", F.array_join(F.collect_list("s").over(w), "\n"))
-    met = first.join(around, F.contains(F.col("s"), F.col("name")))
+    met = first.join(occurring(around, "s", first, "name"), "name")
     met = met.withColumn("_r", F.row_number().over(Window.partitionBy(key, "name").orderBy("path", "line"))).where(F.col("_r") <= grep_k)
     blocks = met.groupBy(key).agg(F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_r", "block"))), lambda x: x["block"])), 1, k).alias("grep"))
     return out.join(blocks, key, "left").select(key, "entities", "bible", F.coalesce("grep", F.array().cast("array<string>")).alias("grep"))
