@@ -1,16 +1,10 @@
-"""Shared plumbing of the training-data operators: durable tables, word hashing, connected components, prefix sums.
-
-Every intermediate that cuts lineage is a Parquet table below ``spark.checkpoint.dir``, which all executors share, so
-a lost executor costs a re-read and nothing else.
-"""
+"""Shared plumbing of the training-data operators: word hashing, filters, connected components, prefix sums."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,36 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of text that one vectorised hashing step takes at once; bounds the scratch arrays, not the documents.
-STEP_BYTES = 1 << 19
-
-
-# ---------------------------------------------------------------- durable tables
-
+from quillmill.sources.durable import discard, settle, work_dir
 
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets a temporary
-    folder, set for the session; on a cluster, whose executors don't share one, that is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quillmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quillmill-{uuid.uuid4().hex}"
+__all__ = ["carry", "connected_components", "discard", "leave", "ordered_partitions", "release", "release_driver", "settle", "tidy", "with_running_sum", "work_dir"]
 
-
-def settle(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` to ``path`` and return the table that reads it back."""
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a table written by :func:`settle` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+#: Bytes of text that one vectorised hashing step takes at once; bounds the scratch arrays, not the documents.
+STEP_BYTES = 1 << 19
 
 
 # ---------------------------------------------------------------- hashing of words, vectorised over a batch of texts

@@ -11,7 +11,8 @@ Which pairs may be similar: two sets with Jaccard similarity >= t share an n-gra
 two rounds. In the first, every set meets one hub, the set that stands first in most of its n-grams' postings: near
 copies become components by as many pairs as there are sets. In the second, only postings that still hold several
 components count, and there every pair of sets of different components that may be similar. After it, no link between
-components is left to find, and a group of thousands of near copies was never expanded into its pairs.
+components is left to find, and a group of thousands of near copies was never expanded into its pairs. What two sets
+can have in common is bounded before, by the smaller of their counts in each of ``CLASSES`` hash classes.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from quillmill.llm.common import bloom_of, connected_components, in_bloom, in_st
 BUCKETS, SLICE = 1 << 20, 1 << 12
 #: N-grams that a chunk of a component may hold where links are counted; a tile has two chunks.
 CHUNK_NGRAMS = 500_000
-#: Fragments of the global order; the last one holds the n-grams moved to the end.
-FRAGMENTS = 8
+#: Fragments of the global order; the last one holds the n-grams moved to the end. Hash classes, by whose counts a pair
+#: is bounded before its segments are fetched.
+FRAGMENTS, CLASSES = 8, 64
 _LOW56 = np.uint64((1 << 56) - 1)
 
 
@@ -42,25 +44,18 @@ def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
             yield np.unique(shingle_hashes(words[at[i] : at[i + 1]], n))
 
 
-#: Low bits of a signature's second half: the set's size (this or more when all are set).
-SIZE_BITS, REACH_BITS = 20, 8
-_SIZE = (1 << SIZE_BITS) - 1
-
-
 def signature(s: np.ndarray) -> tuple[int, int]:
-    """Two sums over the set, 64 and 36 bits, then its size and 8 free bits: equal sets, equal signatures."""
+    """Two sums of 64 bits over the set: equal sets, equal signatures."""
     with np.errstate(over="ignore"):
         a = mix(s).sum(dtype=np.uint64)
         b = mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    b = (int(b) >> (SIZE_BITS + REACH_BITS) << SIZE_BITS | min(len(s), _SIZE)) << REACH_BITS
-    return int(a.astype(np.int64)), b - (1 << 64) * (b >> 63)
+    return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
 def reach(size: int, positions: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The largest partner of a set of ``size`` whose first common n-gram stands at each position of its order, as a
-    share of ``size`` in 200ths, rounded up: what is left, size - position, must hold the least overlap. 255 has no bound."""
-    largest = (size - positions) * (num + den) / num - size
-    return np.minimum(255, np.ceil(largest * 200 / size) + 1).astype(np.int64)
+    """The size of the largest partner of a set of ``size`` whose first common n-gram stands at each position of its
+    order: what is left, size - position, must hold the least overlap."""
+    return (size - positions) * (num + den) // num - size
 
 
 def _profile(n: int):
@@ -119,13 +114,13 @@ def fragment_bounds(counts: np.ndarray, rank: np.ndarray, fragments: int) -> np.
 
 
 def _prefixes(n: int, num: int, den: int, ranks, demoted=None):
-    """(gram, s1, s2) for each document's prefix in the global order, the reach of the position in the low bits of s2;
-    copies within a task are named once. N-grams in the filter ``demoted`` come last in the order."""
+    """(gram, s1, size, far) for each document's prefix in the global order, with the reach of the position; copies within
+    a task are named once. N-grams in the filter ``demoted`` come last in the order."""
 
     def run(batches):
         rank, late, seen = ranks.value, demoted and demoted.value, set()
         for batch in batches:
-            grams, s1, s2 = [], [], []
+            grams, s1, size, far = [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), n):
                 if not len(s) or (sig := signature(s)) in seen:
                     continue
@@ -133,9 +128,10 @@ def _prefixes(n: int, num: int, den: int, ranks, demoted=None):
                 p = prefix_length(len(s), num, den)
                 grams.append(np.sort(np.partition(ordered_keys(s, rank, late), p - 1)[:p]).view(np.int64))
                 s1.append(np.full(p, sig[0], np.int64))
-                s2.append(sig[1] | reach(len(s), np.arange(p), num, den))
+                size.append(np.full(p, len(s), np.int64))
+                far.append(reach(len(s), np.arange(p), num, den))
             if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, s1, s2)], names=["gram", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, s1, size, far)], names=["gram", "s1", "size", "far"])
 
     return run
 
@@ -153,27 +149,25 @@ def _only(wanted, name: str):
 
 
 def _segments(n: int, ranks, demoted, bounds: np.ndarray, wanted):
-    """(s1, fragment, grams) of the sets whose representative's row this is; each once a task."""
+    """(s1, fragment, grams) of the sets of rows whose id may be wanted; each once a task, other texts aren't read.
+    Fragment -1 has the set's n-grams of each hash class, counted."""
 
     def run(batches):
         rank, late, seen = ranks.value, demoted.value, set()
         for batch in batches:
             s1, part, grams, size = [], [], [], []
-            texts = batch.column("text").to_pylist()
-            for i, s in zip(batch.column("id").to_pylist(), shingle_sets(texts, n), strict=True):
-                if not len(s):
-                    continue
-                a, _ = signature(s)
-                if a in seen or not in_bloom(wanted.value, np.array([a ^ i], np.int64).view(np.uint64))[0]:
+            asked = in_bloom(wanted.value, batch.column("id").to_numpy().view(np.uint64))
+            for s in shingle_sets(batch.column("text").filter(pa.array(asked)).to_pylist(), n):
+                if not len(s) or (a := signature(s)[0]) in seen:
                     continue
                 seen.add(a)
                 key = np.sort(ordered_keys(s, rank, late))
                 cut = np.concatenate(([0], np.searchsorted(key, bounds), [len(key)]))
-                for f in np.flatnonzero(np.diff(cut)).tolist():
-                    s1.append(a)
-                    part.append(f)
-                    size.append(cut[f + 1] - cut[f])
-                grams.append(key.view(np.int64))
+                some = np.flatnonzero(np.diff(cut))
+                s1 += [a] * (len(some) + 1)
+                part += [*some.tolist(), -1]
+                size += [*np.diff(cut)[some].tolist(), CLASSES]
+                grams += [key.view(np.int64), np.bincount((key & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)]
             if s1:
                 offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(s1, pa.int64()), pa.array(part, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(grams)))], names=["s1", "fragment", "grams"])
@@ -267,21 +261,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = sized.where("size > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.min("size").alias("size"), F.count("*").alias("copies"))
     # n-grams that prefixes share go to the end of the order, so that prefixes meet by them only where nothing rarer is
     # left, as in near copies
-    some, schema = base.where("id is not null"), "gram long, s1 long, s2 long"
+    some, schema = base.where("id is not null"), "gram long, s1 long, size long, far long"
     first = some.mapInArrow(tidy(_prefixes(n, num, den, ranks)), schema).groupBy("gram").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"))
     demoted = spark.sparkContext.broadcast(bloom_of(first.where("lo <> hi").select(F.col("gram").alias("key"))))
     grams = settle(some.mapInArrow(tidy(_prefixes(n, num, den, ranks, demoted)), schema), f"{root}/prefixes")
-    size = F.shiftright("s2", REACH_BITS).bitwiseAND(_SIZE)
-    far = F.when((size == _SIZE) | (F.col("s2").bitwiseAND(255) == 255), F.lit(1 << 60)).otherwise(F.floor(size * F.col("s2").bitwiseAND(255) / 200))
-    grams = grams.select("gram", "s1", size.cast("long").alias("size"), far.cast("long").alias("far"))
     shared = grams.groupBy("gram").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.max("far").alias("most"), F.min("size").alias("least"))
     shared = settle(shared.where("lo <> hi and most >= least").select("gram", "most", "least"), f"{root}/shared")
     asked = spark.sparkContext.broadcast(bloom_of(shared.select(F.col("gram").alias("key"))))
-    live = grams.mapInArrow(tidy(_only(asked, "gram")), "gram long, s1 long, size long, far long").join(shared, "gram")
+    live = grams.mapInArrow(tidy(_only(asked, "gram")), schema).join(shared, "gram")
     live = settle(live.where("far >= least and size <= most").select("gram", "s1", "size", "far").distinct(), f"{root}/live")
 
     reps = classes.select("s1", "rep").join(live.select("s1").distinct(), "s1", "left_semi")
-    wanted = spark.sparkContext.broadcast(bloom_of(reps.select(F.col("s1").bitwiseXOR(F.col("rep")).alias("key"))))
+    wanted = spark.sparkContext.broadcast(bloom_of(reps.select(F.col("rep").alias("key"))))
     segments = settle(some.mapInArrow(tidy(_segments(n, ranks, demoted, bounds, wanted)), "s1 long, fragment int, grams array<long>"), f"{root}/segments")
     for held in (demoted, asked, wanted):
         held.unpersist()
@@ -296,8 +287,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = live.join(joined.withColumnRenamed("node", "s1"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
     in_gram = placed.groupBy("gram", "component").count().groupBy("gram").agg(F.max(F.struct("count", "component")).alias("m"), F.count("*").alias("k")).where("k > 1")
     placed = settle(placed.join(in_gram.select("gram", F.col("m.component").alias("major")), "gram"), f"{root}/placed")
-    minor = placed.where("component <> major").select("gram", *[F.col(c).alias(f"x{c}") for c in ("s1", "size", "far", "component")])
-    met = placed.join(minor, "gram").where((F.col("component") != F.col("xcomponent")) & may("", "x"))
+    classed = segments.where("fragment = -1").select("s1", F.col("grams").alias("per_class")).dropDuplicates(["s1"])
+    placed = placed.join(classed, "s1")
+    minor = placed.where("component <> major").select("gram", *[F.col(c).alias(f"x{c}") for c in ("s1", "size", "far", "component", "per_class")])
+    most = F.aggregate(F.zip_with("per_class", "xper_class", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda x, y: x + y)  # n-grams in common
+    enough = (num + den) * most >= num * (F.col("size") + F.col("xsize"))
+    met = placed.join(minor, (placed["gram"] == minor["gram"]) & (F.col("component") != F.col("xcomponent")) & may("", "x") & enough)
     lower = F.col("s1") < F.col("xs1")
     pairs = met.select(F.least("s1", "xs1").alias("a"), F.greatest("s1", "xs1").alias("b"), F.when(lower, F.col("size")).otherwise(F.col("xsize")).alias("size_a"), F.when(lower, F.col("xsize")).otherwise(F.col("size")).alias("size_b")).distinct()
     links = _links(settle(pairs, f"{root}/pairs2"), segments, num, den, f"{root}/links2")
@@ -327,5 +322,5 @@ def _degrees(member: DataFrame, segments: DataFrame, num: int, den: int, chunk_n
     tile = lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j"), F.when(F.col("c") <= j, 0).otherwise(1).alias("side"))
     tiles = member.join(chunks, "component").withColumn("c", F.pmod(F.xxhash64("s1"), F.col("k")).cast("int"))
     tiles = tiles.select("s1", "size", "copies", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), tile)).alias("t")).select("s1", "size", "copies", "component", "t.*")
-    cells = tiles.join(segments, "s1").repartition("component", "i", "j")
+    cells = tiles.join(segments.where("fragment >= 0"), "s1").repartition("component", "i", "j")
     return cells.groupBy("component", "i", "j").applyInArrow(_count_links(num, den), "s1 long, others long").groupBy("s1").agg(F.sum("others").alias("others"))

@@ -16,6 +16,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import discard, settle, tidy, work_dir
+from quillmill.llm.common import settle, tidy, work_dir
 from quillmill.llm.tokens import CACHE, default_path, encoder
+from quillmill.sources.durable import hadoop_path, open_uri, qualified
 
 END_ID = 2
-#: Bytes of a shard, least bytes of one where there are fewer shards than cores, and bytes that one reading task takes.
+#: Bytes of text in a shard, least bytes of one where shards are few, and bytes of records that one reading task takes.
 SHARD_BYTES, LEAST_BYTES, SPLIT_BYTES = 256 << 20, 1 << 20, 64 << 20
+#: Rows a shard in the sample that sets where shards begin.
+SAMPLE = 200
 _LENGTH, _CRC, _HEAD, _ENTRY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<Bq"), struct.Struct("<QQQ")
 
 
@@ -70,21 +74,6 @@ def read_frame(f) -> bytes | None:
     return body[:n]
 
 
-def qualified(spark: SparkSession, folder: str) -> str:
-    """``folder`` as a full URI, by the default file system that Spark itself uses."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-
-
-def open_uri(uri: str):
-    """(file system, path) of a full URI by Arrow, which reaches local, HDFS and object stores alike."""
-    from pyarrow import fs
-
-    if uri.startswith("file:/"):
-        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-
-
 def index_at(index_uri: str, k: int) -> tuple[int, int, int]:
     """(offset, payload length, tokens before) of record k of a shard."""
     fs, path = open_uri(index_uri)
@@ -101,24 +90,29 @@ def read_at(uri: str, index_uri: str, k: int) -> tuple[int | None, np.ndarray]:
         return unpack_ids(read_frame(f))
 
 
-def _encode(path: str, end_id: int):
-    """(id, tie, place, tokens, payload) of each text; (task, place in it) orders rows that repeat id and text."""
+def _encode(path: str, end_id: int, bounds):
+    """(shard, id, tie, place, tokens, payload) of each text: the shard by where (id, tie, place) lies among ``bounds``."""
 
     def run(batches):
-        enc, place = encoder(path), TaskContext.get().partitionId() << 40
+        enc = encoder(path)
         for batch in batches:
-            tokens, payload = [], []
-            for i, ids in zip(batch.column("id").to_pylist(), enc.texts(batch.column("text")), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("id", "tie", "place")]
+            shard, tokens, payload = [], [], []
+            for i, tie, place, ids in zip(*columns, enc.texts(batch.column("text")), strict=True):
                 ids = np.append(ids, np.uint32(end_id))
+                shard.append(bisect_right(bounds.value, _key(i, tie, place)))
                 tokens.append(len(ids))
                 payload.append(pack_ids(i, ids))
-            places = np.arange(place, place + len(tokens))
-            place += len(tokens)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tie"), pa.array(places), pa.array(tokens, pa.int64()), pa.array(payload, pa.binary())], names=["id", "tie", "place", "tokens", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *[batch.column(c) for c in ("id", "tie", "place")], pa.array(tokens, pa.int64()), pa.array(payload, pa.binary())], names=["shard", "id", "tie", "place", "tokens", "payload"])
 
     return run
 
 
+def _key(i: int | None, tie: int, place: int) -> tuple:
+    """Null ids come first."""
+    return (i is not None, i or 0, tie, place)
+
+
 _MANIFEST = "part int, path string, index_path string, records long, tokens long, bytes long"
 
 
@@ -145,8 +139,7 @@ def _write(folder: str):
 
 def _sweep(spark: SparkSession, folder: str, manifest: DataFrame) -> None:
     """Delete shards that the manifest doesn't name: what failed attempts wrote."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, path = hadoop_path(spark, folder)
     if not fs.exists(path):
         return
     names = {p.rpartition("/")[2] for r in manifest.select("path", "index_path").toLocalIterator() for p in r}
@@ -167,15 +160,19 @@ def write_token_records(docs: DataFrame, folder: str | None = None, id_col: str
     root = work_dir(spark)
     folder = qualified(spark, folder or f"{root}/records")
     text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    encoded = settle(base.mapInArrow(tidy(_encode(path or default_path(), end_id), keep=CACHE), "id long, tie long, place long, tokens long, payload binary"), f"{root}/encoded")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("place"), text.alias("text"))
+    size = base.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     if shards is None:
-        size = encoded.agg(F.sum(F.length("payload") + 16)).first()[0] or 0
-        shards = max(1, -(-size // SHARD_BYTES), min(4 * spark.sparkContext.defaultParallelism, size // LEAST_BYTES))
-    order = ["id", "tie", "place"]
-    ordered = encoded.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("tokens", "payload")
+        shards = max(1, -(-size["bytes"] // SHARD_BYTES), min(4 * spark.sparkContext.defaultParallelism, size["bytes"] // LEAST_BYTES))
+    bounds: list[tuple] = []
+    if shards > 1:  # a sample by hash, of about SAMPLE rows a shard, sets where shards begin
+        some = F.pmod(F.xxhash64("id", "tie", "place"), F.lit(1 << 30)) < min(1 << 30, (SAMPLE * shards << 30) // max(1, size["rows"]))
+        keys = sorted(_key(*r) for r in base.select("id", "tie", "place").where(some).collect())
+        bounds = [keys[len(keys) * k // shards] for k in range(1, shards)] if keys else []
+    held = spark.sparkContext.broadcast(bounds)
+    encoded = base.mapInArrow(tidy(_encode(path or default_path(), end_id, held), keep=CACHE), "shard int, id long, tie long, place long, tokens long, payload binary")
+    ordered = encoded.repartitionById(shards, F.col("shard")).sortWithinPartitions("id", "tie", "place").select("tokens", "payload")
     manifest = settle(ordered.mapInArrow(tidy(_write(folder)), _MANIFEST), f"{root}/manifest")
-    discard(spark, f"{root}/encoded")
     _sweep(spark, folder, manifest)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return manifest.select("*", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start"), F.coalesce(F.sum("records").over(before), F.lit(0)).alias("first"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,7 +66,7 @@ class Encoder:
         b = self.known.get(p)
         if b is None:
             text = p if p.isascii() else "".join([_LETTER[x] for x in p.encode()])
-            b = self.known[p] = np.array([t.id for t in self.model.tokenize(text)], np.uint32).tobytes()
+            b = self.known[p] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
         return b
 
     def _learn(self, chunks: list[str]) -> None:
@@ -86,7 +87,7 @@ class Encoder:
                 slow.append(c)
         if slow:
             for c, e in zip(slow, self.whole.encode_batch_fast(slow, add_special_tokens=False), strict=True):
-                memo[c] = np.array(e.ids, np.uint32).tobytes()
+                memo[c] = array("I", e.ids).tobytes()
 
     def _found(self, chunks: list[str]) -> list[bytes]:
         memo = self.memo
@@ -103,12 +104,13 @@ class Encoder:
         real = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)
         found = self._found(coded.dictionary.filter(pa.array(real)).to_pylist())
         size = np.zeros(len(real), np.int64)
-        size[real] = np.fromiter((len(b) >> 2 for b in found), np.int64, len(found))
+        size[real] = np.array(list(map(len, found)), np.int64) >> 2
         flat, first = np.frombuffer(b"".join(found), np.uint32), np.concatenate(([0], np.cumsum(size)))
         index = coded.indices.to_numpy(zero_copy_only=False)
         n = size[index]
         end = np.cumsum(n)
-        out = flat[np.arange(end[-1] if len(end) else 0) + np.repeat(first[index] - (end - n), n)]
+        kind = np.int32 if len(end) == 0 or end[-1] < 1 << 31 else np.int64
+        out = flat[np.arange(end[-1] if len(end) else 0, dtype=kind) + np.repeat((first[index] - (end - n)).astype(kind), n)]
         offsets = split.offsets.to_numpy()
         return out, np.concatenate(([0], end))[offsets - offsets[0]]
 
