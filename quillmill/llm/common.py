@@ -76,6 +76,18 @@ def word_hashes(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.nd
     return words, np.searchsorted(begin, np.concatenate(([0], np.cumsum(lengths))))
 
 
+def string_hashes(texts: pa.Array) -> np.ndarray:
+    """64-bit hashes of the strings of an array without nulls."""
+    if not len(texts):
+        return np.zeros(0, np.uint64)
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    buf = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    h = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * powers(_P, len(buf)), dtype=np.uint64)))
+    start, end = at[:-1], at[1:]
+    return mix((h[end] - h[start]) * powers(pow(_P, -1, 1 << 64), len(buf) + 1)[start] ^ mix((end - start).astype(np.uint64)))
+
+
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-word shingles of one text, in order; a shorter text is one shingle, no words give none."""
     if len(words) == 0:

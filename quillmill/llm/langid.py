@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import in_steps, leave, mix, release, tidy
+from quillmill.llm.common import in_steps, leave, mix, release, string_hashes, tidy
 
 DOCS_PER_LANG, LONGEST = 4000, 4
 #: Words whose evidence sets the score; more words don't make it surer.
@@ -79,47 +79,83 @@ class Letters:
             yield mix(h[inside]), word[a:z][inside]
 
 
-def log_frequencies(counts: np.ndarray) -> np.ndarray:
-    """Rows of counts, a column a language, with add-half smoothing."""
-    m = counts + 0.5
-    return np.log(m) - np.log(m.sum(axis=0)) if len(m) else m
+class Table:
+    """Counts by 64-bit key, a column a language, added in parts; then rows of log frequencies, found by key."""
+
+    def __init__(self, columns: int):
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros((0, columns))
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append(summed(keys, counts))
+        if sum(len(k) for k, _ in self.parts) > max(4 * STEP, len(self.keys)):
+            self.merge()
+
+    def merge(self) -> None:
+        self.keys, self.rows = summed(np.concatenate([self.keys, *[k for k, _ in self.parts]]), np.concatenate([self.rows, *[c for _, c in self.parts]]))
+        self.parts = []
+
+    def close(self) -> None:
+        """From counts to log frequencies, with add-half smoothing."""
+        self.merge()
+        if len(self.keys):
+            self.rows += 0.5
+            self.rows = np.log(self.rows) - np.log(self.rows.sum(axis=0))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each key is held, its row)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, at
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each one's rows."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts[order], first, axis=0)
 
 
 class Model:
-    """Log frequencies by language, in the order of ``langs``: of words, and of n-grams of 1, 2, ... letters."""
-
-    def __init__(self, counts: list[tuple[str, str, int]], longest: int = LONGEST):
-        """From (word, language, how often)."""
-        self.langs = sorted({c[1] for c in counts})
-        words = sorted({c[0] for c in counts})
-        self.words, place = pa.array(words, pa.string()), {w: i for i, w in enumerate(words)}
-        lang = {x: i for i, x in enumerate(self.langs)}
-        table = np.zeros((len(words), len(self.langs)))
-        for w, x, n in counts:
-            table[place[w], lang[x]] += n
-        self.word_rows, self.grams = log_frequencies(table), []
-        for n in range(1, longest + 1):
-            found = list(Letters(words).grams(n))
-            hashes = np.concatenate([h for h, _ in found]) if found else np.zeros(0, np.uint64)
-            owner = np.concatenate([w for _, w in found]) if found else np.zeros(0, np.int64)
-            keys, at = np.unique(hashes, return_inverse=True)
-            rows = np.stack([np.bincount(at, table[owner, k], len(keys)) for k in range(len(self.langs))], 1) if len(keys) else np.zeros((0, len(self.langs)))
-            self.grams.append((keys, log_frequencies(rows)))
+    """Log frequencies by language, in the order of ``langs``: of words, and of n-grams of 1, 2, ... letters. A table holds
+    its keys as hashes, so a model is a few arrays, whatever words it knows."""
+
+    def __init__(self, counts, longest: int = LONGEST):
+        """From (word, language, how often), as a table or a list of rows."""
+        if not isinstance(counts, pa.Table):
+            columns = list(zip(*counts, strict=True)) or [[], [], []]
+            counts = pa.table({"word": pa.array(columns[0], pa.string()), "lang": pa.array(columns[1], pa.string()), "n": pa.array(columns[2], pa.int64())})
+        self.langs = sorted(pc.unique(counts["lang"]).to_pylist())
+        self.words, self.grams = Table(len(self.langs)), [Table(len(self.langs)) for _ in range(longest)]
+        for batch in counts.to_batches(max_chunksize=max(1, STEP // 8)):
+            lang = pc.index_in(batch.column("lang"), value_set=pa.array(self.langs, pa.string())).to_numpy(zero_copy_only=False)
+            each = np.zeros((batch.num_rows, len(self.langs)))
+            each[np.arange(batch.num_rows), lang] = batch.column("n").to_numpy()
+            self.words.add(string_hashes(batch.column("word")), each)
+            letters = Letters(batch.column("word").to_pylist())
+            for n, t in enumerate(self.grams, 1):
+                for h, word in letters.grams(n):
+                    t.add(h, each[word])
+        for t in (self.words, *self.grams):
+            t.close()
 
     def backed_off(self, words: list[str]) -> np.ndarray:
         """A row each: the mean over a word's longest n-grams that training saw; zeros if it saw none of any length."""
         out, left = np.zeros((len(words), len(self.langs))), np.arange(len(words))
         for n in range(len(self.grams), 0, -1):
-            keys, rows = self.grams[n - 1]
-            if not len(left) or not len(keys):
+            t = self.grams[n - 1]
+            if not len(left) or not len(t.keys):
                 continue
             hits, total = np.zeros(len(left)), np.zeros((len(left), len(self.langs)))
             for h, word in Letters([words[i] for i in left]).grams(n):
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                seen = keys[at] == h
+                seen, at = t.find(h)
                 hits += np.bincount(word[seen], minlength=len(left))
                 for k in range(len(self.langs)):
-                    total[:, k] += np.bincount(word[seen], rows[at[seen], k], len(left))
+                    total[:, k] += np.bincount(word[seen], t.rows[at[seen], k], len(left))
             some = hits > 0
             out[left[some]] = total[some] / hits[some, None]
             left = left[~some]
@@ -127,12 +163,11 @@ class Model:
 
     def rows_of(self, words: pa.Array) -> np.ndarray:
         """A row of log frequencies for each distinct word."""
-        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        known, at = self.words.find(string_hashes(words))
         out = np.zeros((len(words), len(self.langs)))
-        out[at >= 0] = self.word_rows[at[at >= 0]]
-        unseen = np.flatnonzero(at < 0)
-        if len(unseen):
-            out[unseen] = self.backed_off(words.take(pa.array(unseen)).to_pylist())
+        out[known] = self.words.rows[at[known]]
+        if not known.all():
+            out[~known] = self.backed_off(words.filter(pa.array(~known)).to_pylist())
         return out
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -168,7 +203,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     u = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) / (1 << 20)
     picked = train.where((u < share) & F.col("text").isNotNull()).select("lang", "text")
     counts = picked.mapInArrow(tidy(_count_words), "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    return Model([tuple(r) for r in counts.toLocalIterator()])
+    return Model(counts.toArrow())  # its rows follow the sample
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
