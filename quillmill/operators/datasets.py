@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.functions import segment as S
+
 IGNORE = -100
 STD_FLOOR = 1e-4
 
@@ -113,9 +115,27 @@ def rloo(df: DataFrame, group: str, reward: str) -> DataFrame:
     return df.withColumn("baseline", base).withColumn("advantage", F.col(reward) - F.col("baseline"))
 
 
-def repeated(df: DataFrame, key: str, generations: int, seed: int) -> DataFrame:
-    """Each row ``generations`` times, in a seeded order of keys: ``shuffle_key, copy``."""
-    return df.select("*", F.explode(F.sequence(F.lit(1), F.lit(generations))).alias("copy")).withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col(key)))
+def repeated(df: DataFrame, key: str, generations: int, seed: int, batch: int = 1, repeats: int = 1) -> DataFrame:
+    """Rows in a seeded order, in batches of ``batch``; each batch ``repeats`` times in a row, each of its rows
+    ``generations`` times in a row; a last batch that isn't full is left out. Adds ``place``, from 0, and ``copy``."""
+    order = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    at = S.global_index(order, ["_h", key]).withColumn("_i", F.col("index") - 1).drop("index", "_h")
+    full = df.agg((F.floor(F.count("*") / batch) * batch).alias("_full"))
+    at = at.crossJoin(F.broadcast(full)).where(F.col("_i") < F.col("_full"))  # one row
+    at = at.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(generations - 1))))
+    place = ((F.floor(F.col("_i") / batch) * repeats + F.col("_r")) * batch + F.col("_i") % batch) * generations + F.col("copy")
+    return at.withColumn("place", place.cast("long")).drop("_i", "_full", "_r")
+
+
+def with_bos(ids: Column, bos: int) -> Column:
+    """BOS at the head unless it is there."""
+    return F.when(F.coalesce(F.try_element_at(ids, F.lit(1)) == bos, F.lit(False)), ids).otherwise(F.concat(F.array(F.lit(bos)), ids))
+
+
+def prompt_row(df: DataFrame, bos: int, prompt: str = "prompt_ids") -> DataFrame:
+    """What online trainers take of a row: ``prompt_input_ids, prompt_attention_mask``."""
+    ids = with_bos(F.col(prompt), bos)
+    return df.withColumn("prompt_input_ids", ids).withColumn("prompt_attention_mask", F.transform(ids, lambda _: F.lit(1)))
 
 
 def left_pads(ids: Column, pad: int) -> Column:
@@ -137,31 +157,35 @@ def routing_counts(df: DataFrame, expert: str, order: str) -> DataFrame:
     return df.withColumn("place", F.row_number().over(w.orderBy(order))).withColumn("expert_tokens", F.count("*").over(w))
 
 
-def pack_best_fit(df: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
-    """V2: best-fit-decreasing packing within each partition: ``key, part, bin, offset``. Rows over capacity have a bin
-    of their own. Bins are never shared by partitions, so a lost task repeats only its own."""
+def pack_best_fit(df: DataFrame, key: str, size: str, capacity: int, parts: int | None = None) -> DataFrame:
+    """V2: best-fit-decreasing packing: ``key, part, bin, offset``. Rows are dealt to ``parts`` by a hash of their key and
+    sorted by size there, so bins depend on the rows alone, a task holds open bins and no rows, and a lost task repeats
+    only its own. Rows over capacity have a bin of their own."""
     from pyspark import TaskContext
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(frames)  # keys and sizes of one partition
-        if not parts:
-            return
-        rows = pd.concat(parts, ignore_index=True)
-        part = TaskContext.get().partitionId()
-        free: dict[int, list[int]] = {}  # space left -> bins
-        out, n = [], 0
-        for k, s in sorted(zip(rows[key], rows[size], strict=True), key=lambda x: (-x[1], x[0])):
-            fit = min((f for f in free if f >= s), default=None)
-            if fit is None:
-                b, left, n = n, max(capacity, s), n + 1
-            else:
-                b, left = free[fit].pop(), fit
-                if not free[fit]:
-                    del free[fit]
-            used = max(capacity, s) - left if fit is None else capacity - left
-            out.append((k, part, b, used))
-            if left - s > 0:
-                free.setdefault(left - s, []).append(b)
-        yield pd.DataFrame(out, columns=[key, "part", "bin", "offset"])
-
-    return df.select(key, size).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, part int, bin long, offset long")
+        part, n = TaskContext.get().partitionId(), 0
+        open_bins: dict[int, list[int]] = {}  # space left -> bins
+        spaces = 0  # a bit for each space left that some bin has
+        for rows in frames:
+            out = []
+            for k, s in zip(rows[key], rows[size].astype(int), strict=True):
+                fitting = spaces >> s
+                if s > capacity or not fitting:
+                    b, left, n = n, max(capacity, s), n + 1
+                    at = 0
+                else:
+                    left = s + ((fitting & -fitting).bit_length() - 1)
+                    b, at = open_bins[left].pop(), capacity - left
+                    if not open_bins[left]:
+                        del open_bins[left]
+                        spaces &= ~(1 << left)
+                out.append((k, part, b, at))
+                if left - s > 0:
+                    open_bins.setdefault(left - s, []).append(b)
+                    spaces |= 1 << (left - s)
+            yield pd.DataFrame(out, columns=[key, "part", "bin", "offset"])
+
+    n = parts or df.sparkSession.sparkContext.defaultParallelism
+    dealt = df.select(key, size).repartition(n, F.xxhash64(key)).sortWithinPartitions(F.desc(size), key)
+    return dealt.mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, part int, bin long, offset long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as X
+from quillmill.sources.durable import hadoop_path
 
 #: A model: a prompt in, a text out. The default is deterministic and offline.
 ModelFn = Callable[[str], str]
@@ -69,6 +71,28 @@ def training_row(messages: Column, completion: Column) -> Column:
     return F.array(message("system", first("system")), message("user", first("user")), message("assistant", completion))
 
 
+def training_text(messages: Column, begin: str = "<|im_start|>", end: str = "<|im_end|>") -> Column:
+    """A chat in the template's form: each message between marks, its role on the first line."""
+    return F.array_join(F.transform(messages, lambda m: F.concat(F.lit(begin), m["role"], F.lit("\n"), m["content"], F.lit(f"{end}\n"))), "")
+
+
+#: Marks that open the sections of a prompt (fixed values).
+MARKS = ("【相关设定】", "【前情提要】", "【剧情摘要】", "【原文命中段落】", "续写方向：", "【当前上文】")
+
+
+def sections(c: Column, marks: tuple[str, ...] = MARKS) -> Column:
+    """The sections of a prompt in order: array<struct<at, mark, body>>; a mark counts where it stands first."""
+    found = F.array_sort(F.filter(F.array(*[F.struct(F.locate(m, c).alias("at"), F.lit(m).alias("mark")) for m in marks]), lambda x: x["at"] > 0))
+    end = lambda i: F.coalesce(F.try_element_at(found, i + 2)["at"], F.length(c) + 1)
+    body = lambda x, i: F.substring(c, x["at"] + F.length(x["mark"]), F.greatest(end(i) - x["at"] - F.length(x["mark"]), F.lit(0)))
+    return F.transform(found, lambda x, i: F.struct(x["at"].alias("at"), x["mark"].alias("mark"), X.strip(body(x, i)).alias("body")))
+
+
+def context_of(c: Column) -> Column:
+    """The text to go on from, out of a prompt as :func:`flat` writes it; empty where there is none."""
+    return F.coalesce(section(c, "【当前上文】\n", ("\n[ASSISTANT]",)), F.lit(""))
+
+
 def section(c: Column, start: str, ends: tuple[str, ...]) -> Column:
     """What stands after a marker and before the first of the ends; null without the marker."""
     has = F.contains(c, F.lit(start))
@@ -78,9 +102,9 @@ def section(c: Column, start: str, ends: tuple[str, ...]) -> Column:
     return F.when(has, X.strip(body))
 
 
-def call_model(rows: DataFrame, prompt: str, model: ModelFn = mock_model, parse: Callable[[str], object] | None = None, attempts: int = 3, out: str = "response") -> DataFrame:
+def call_model(rows: DataFrame, prompt: str, model: ModelFn = mock_model, parse: Callable[[str], object] | None = None, attempts: int = 3, out: str = "response", wait: float = 2.0, most: float = 5.0) -> DataFrame:
     """Adds ``response, attempts, failed``. A call that raises, or whose answer ``parse`` rejects, is tried
-    again, at once: waiting is the model's business. A failure leaves an empty response."""
+    again after ``wait`` seconds, then twice that and so on, at most ``most``. A failure leaves an empty response."""
 
     def run(text: str) -> tuple[str, int, bool]:
         for n in range(1, attempts + 1):
@@ -90,7 +114,8 @@ def call_model(rows: DataFrame, prompt: str, model: ModelFn = mock_model, parse:
                     parse(answer)
                 return answer, n, False
             except Exception:  # noqa: BLE001 - any failure of a model counts as one attempt
-                continue
+                if n < attempts:
+                    time.sleep(min(wait * n, most))
         return "", attempts, True
 
     @F.pandas_udf(f"{out} string, attempts int, failed boolean")
@@ -113,3 +138,15 @@ def read_through(rows: DataFrame, cache: DataFrame | None, key: str, prompt: str
     hits = rows.join(cache.select(key, "response"), key)
     made = call_model(rows.join(cache.select(key), key, "left_anti"), prompt, model)
     return hits.unionByName(made.select(*rows.columns, "response")), made.select(key, "response")
+
+
+def cached_calls(rows: DataFrame, path: str, key: str, prompt: str, model: ModelFn = mock_model, force: bool = False) -> DataFrame:
+    """S13 with its storage: every row with its response. The cache at ``path`` is a folder of Parquet batches; what was
+    missing is called once, appended there, and read back from it, so a run that is cut short goes on where it was."""
+    spark = rows.sparkSession
+    fs, at = hadoop_path(spark, path)
+    held = spark.read.schema(f"{key} {dict(rows.dtypes)[key]}, response string").parquet(path) if fs.exists(at) else None
+    _, new = read_through(rows, held, key, prompt, model, force)
+    new.write.mode("overwrite" if force else "append").parquet(path)
+    made = spark.read.schema(f"{key} {dict(rows.dtypes)[key]}, response string").parquet(path)
+    return rows.join(made.dropDuplicates([key]), key)

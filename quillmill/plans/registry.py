@@ -508,3 +508,7 @@ def round_fold(spark, sf_dir):
 def hourly_events(spark, sf_dir):
     out = session.windowed(read(spark, sf_dir, "events"))
     return out.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# the other modules of queries register theirs on import
+from quillmill.plans import retrieval_queries, sample_queries, text_queries  # noqa: E402, F401

@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillmill.functions import text as X
+from quillmill.sources.durable import hadoop_path, open_uri, qualified
 
+# ---- fixed values (file names, kinds, versions and patterns of the data model)
 AGGREGATES = ("characters", "relationships", "timeline", "plot_threads", "chapter_summaries")
+ALWAYS_VISIBLE = {"world": "worldbuilding", "style": "style", "glossary": "glossary"}
+CARD_KINDS = {"人物": "character", "地点": "location", "场景氛围": "scene", "场景": "scene", "物件": "prop", "道具": "prop", "势力": "faction", "组织": "faction", "功法": "ability", "法宝": "item"}
+ALIAS_LABEL = r"\*\*别名[/／]称呼"
+BAD_OUTPUT = {
+    "switch": "/no_think",
+    "think": "</?think>",
+    "switch_rest": r"(?m)^/no\b",
+    "filler_line": r"(?m)^好的[。，：]?\s*$",
+    "filler": "好的，|接下来我将|以下是",
+    "list": r"\p{Nd}+[.．、]",
+    "latin": "[A-Za-z]{4,}",
+}
 HEADER = r"(?s)^---\r?\n(.*?)\r?\n---\r?\n"
 SCHEMA_VERSION = "system_b.v1"
 
@@ -27,7 +43,7 @@ def read_strict(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.col("content").cast("string").alias("text"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _gb18030(raw: pd.Series) -> pd.Series:
     def one(b: bytes) -> str | None:
         try:
@@ -167,18 +183,15 @@ def read_config(path: str) -> dict:
 def write_cards(cards: DataFrame, root: str, prune: bool = False) -> None:
     """``rel_path, content`` as files below ``root``, by executors, through Arrow's file systems. With ``prune`` the
     folder is emptied of cards first."""
-    target = root if "://" in root else f"file://{root}"
+    spark = cards.sparkSession
+    target = qualified(spark, root)
     if prune:
-        spark = cards.sparkSession
-        jvm = spark.sparkContext._jvm
         for child in ("facts", "entities"):
-            p = jvm.org.apache.hadoop.fs.Path(f"{target}/{child}")
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            fs, p = hadoop_path(spark, f"{target}/{child}")
+            fs.delete(p, True)
 
     def write(rows) -> None:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(target)
+        store, base = open_uri(target)
         for r in rows:
             path = PurePosixPath(base) / r["rel_path"]
             store.create_dir(str(path.parent), recursive=True)
@@ -189,8 +202,43 @@ def write_cards(cards: DataFrame, root: str, prune: bool = False) -> None:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """Each row as pretty JSON."""
-    report.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).write.text(path)
+    """A report, one row, as pretty JSON in one file."""
+    report.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).coalesce(1).write.text(path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> str:
+    """A small text, such as a draft, to one file by the driver; its full URI."""
+    uri = qualified(spark, path)
+    store, at = open_uri(uri)
+    store.create_dir(str(PurePosixPath(at).parent), recursive=True)
+    with store.open_output_stream(at) as f:
+        f.write(text.encode())
+    return uri
+
+
+def write_draft(spark: SparkSession, folder: str, texts: list[str], stamp: str) -> str:
+    """Accepted texts under the time ``stamp``; its full URI."""
+    return write_text(spark, f"{folder.rstrip('/')}/draft_{stamp}.txt", "\n\n".join(texts))
+
+
+def write_last_call(spark: SparkSession, folder: str, request: dict, thinking: str, content: str) -> list[str]:
+    """The last call to a model, for a look at it: the request as JSON, its messages as text, and the answer."""
+    prompt = "\n\n".join(f"[{m['role'].upper()}]\n{m['content']}" for m in request.get("messages", []))
+    files = {"last_request.json": json.dumps(request, ensure_ascii=False, indent=2), "last_prompt.txt": prompt, "last_response.txt": f"[THINKING]\n{thinking}\n[CONTENT]\n{content}"}
+    return [write_text(spark, f"{folder.rstrip('/')}/{name}", text) for name, text in files.items()]
+
+
+def json_context(files: DataFrame, text: str = "text") -> DataFrame:
+    """``path, characters, plots`` of JSON files: a line for each named character that develops, and for each plot
+    that isn't empty; null where a file isn't a JSON object."""
+    v = X.parse_json_object(F.col(text))
+    people = F.coalesce(F.try_variant_get(v, "$.characters", "array<map<string,string>>"), F.expr("cast(array() as array<map<string,string>>)"))
+    field = lambda m, k: F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(""))
+    some = F.filter(people, lambda m: (field(m, "name") != "") & (field(m, "dev") != ""))
+    lines = F.transform(some, lambda m: F.concat(F.lit("- "), field(m, "name"), F.lit("（"), field(m, "role"), F.lit("）："), field(m, "dev")))
+    plots = F.filter(F.coalesce(F.try_variant_get(v, "$.plots", "array<string>"), F.array().cast("array<string>")), lambda p: p != "")
+    shown = lambda c: F.when(v.isNotNull(), F.array_join(c, "\n"))
+    return files.select("path", shown(lines).alias("characters"), shown(F.transform(plots, lambda p: F.concat(F.lit("- "), p))).alias("plots"))
 
 
 def advert_free(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -200,8 +248,7 @@ def advert_free(lines: DataFrame, column: str = "line") -> DataFrame:
 
 def bad_output(c: Column) -> Column:
     """names of the patterns that a generated text shows."""
-    rules = {"latin": "[A-Za-z]{4,}", "list": r"(?m)^\s*(?:[-*•]|\d+[.、)])\s", "heading": r"(?m)^#{1,6}\s", "meta": "以下是|续写如下|作为(?:一个|一名)?AI|希望(?:您|你)"}
-    return F.array_compact(F.array(*[F.when(c.rlike(r), F.lit(n)) for n, r in rules.items()]))
+    return F.array_compact(F.array(*[F.when(c.rlike(r), F.lit(n)) for n, r in BAD_OUTPUT.items()]))
 
 
 def aggregated(c: Column) -> Column:
@@ -209,6 +256,33 @@ def aggregated(c: Column) -> Column:
     return c.isin(*AGGREGATES)
 
 
-def enrich_header(c: Column, fields: dict[str, tuple[Column, str]]) -> Column:
-    """A header put before texts that have none; running it again changes nothing."""
-    return F.when(c.rlike(HEADER), c).otherwise(F.concat(X.frontmatter(fields), c))
+def _header(title: Column, kind: Column, start: Column, names: Column | None, chapters: Column | None) -> Column:
+    """A card's header; lists only where they hold something."""
+    quoted = F.when(title.rlike(r"[:{}\[\]|>&*!,#?@`']"), F.concat(F.lit('"'), title, F.lit('"'))).otherwise(title)
+    listed = lambda name, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{name}:\n"), F.array_join(F.transform(c, lambda x: F.concat(F.lit("  - "), x.cast("string"))), "\n")))
+    at = start.cast("string")
+    lines = [F.lit("---"), F.concat(F.lit("title: "), quoted), F.concat(F.lit("type: "), kind), *([] if names is None else [listed("aliases", names)]), F.concat(F.lit("revealed_in: "), at), F.concat(F.lit("valid_from: "), at), F.lit("valid_to: null"), *([] if chapters is None else [listed("source_chapters", chapters)]), F.lit("---")]
+    return F.concat(F.concat_ws("\n", *lines), F.lit("\n\n"))
+
+
+def enriched(cards: DataFrame, rel: str = "rel_path", text: str = "text") -> DataFrame:
+    """``rel_path, action, content`` of cards below a folder. Hidden cards and those of other folders are left out;
+    aggregates at the root and cards with a header stay as they are; the world, style and glossary cards at the root are
+    visible from chapter 1, other cards at the root too, by the type they name; generated cards from the first chapter
+    that they name, with their aliases. Running it again changes nothing; writing the contents is the caller's."""
+    t, path = F.col(text), F.col(rel)
+    stem = F.regexp_extract(path, r"([^/]+)\.md$", 1)
+    root, made = F.instr(path, "/") == 0, path.startswith("generated/")
+    chapters = X.chapter_refs(t)
+    first = F.coalesce(F.try_element_at(chapters, F.lit(1)), F.lit(1).cast("long"))
+    one = F.array(F.lit(1).cast("long"))
+    fixed = root & stem.isin(*ALWAYS_VISIBLE)
+    kind = X.handwritten_type(X.strip(F.regexp_extract(t, r"##\s*类型\s*\n+([^\n]+)", 1)), CARD_KINDS)
+    head = F.when(fixed, _header(stem, F.try_element_at(X.lit_map(ALWAYS_VISIBLE), stem), F.lit(1), None, None))
+    head = head.when(made, _header(stem, F.lit("character"), first, X.aliases(t, ALIAS_LABEL), F.when(F.size(chapters) > 0, chapters).otherwise(one)))
+    head = head.otherwise(_header(stem, kind, F.lit(1), None, one))
+    has = t.rlike(HEADER)
+    start = F.when(made, first).otherwise(1).cast("string")
+    action = F.when(root & stem.isin(*AGGREGATES), "skip:aggregate").when(has, "skip:header").otherwise(F.concat(F.lit("add:"), start))
+    kept = cards.where(~stem.startswith(".") & (root | made))
+    return kept.select(path.alias(rel), action.alias("action"), F.when(action.startswith("add:"), F.concat(head, t)).otherwise(t).alias("content"))
