@@ -141,8 +141,9 @@ def _threads(v: Column, path: str, label: Column) -> Column:
 def normalize_extraction(chunks: DataFrame, response: str = "response") -> DataFrame:
     """Adds ``extraction`` to chunks (``chapter_title, file_name, start_char, end_char, chapter_number,
     chunk_number, index``) from a model's JSON; what doesn't parse gives the empty one."""
-    v = F.coalesce(X.parse_json_object(F.col(response)), F.parse_json(F.lit("{}")))
-    label = X.source_label(F.col("chapter_title"), F.col("file_name"), F.col("start_char"), F.col("end_char"))
+    read = F.coalesce(X.parse_json_object(F.col(response)), F.parse_json(F.lit("{}")))
+    chunks = chunks.withColumn("_v", read).withColumn("_label", X.source_label(F.col("chapter_title"), F.col("file_name"), F.col("start_char"), F.col("end_char")))
+    v, label = F.col("_v"), F.col("_label")
     obj = lambda p, f="source": _objects(v, p, label, f).alias(p.split(".")[-1])
     events = F.when(F.try_variant_get(v, "$.timeline.events", "variant").isNotNull(), _objects(v, "$.timeline.events", label)).when(F.try_variant_get(v, "$.timeline", "array<variant>").isNotNull(), _objects(v, "$.timeline", label)).otherwise(_objects(v, "$.events", label))
     terms = F.when(F.try_variant_get(v, "$.glossary.terms", "variant").isNotNull(), _objects(v, "$.glossary.terms", label)).otherwise(F.when(F.try_variant_get(v, "$.glossary", "array<variant>").isNotNull(), _objects(v, "$.glossary", label)).otherwise(F.expr(f"cast(array() as {_RECORDS})")))
@@ -155,7 +156,7 @@ def normalize_extraction(chunks: DataFrame, response: str = "response") -> DataF
         cs = _fill(cs, field, value)
     cs = _fill(_fill(cs, "_order", F.col("index").cast("string")), "_file_name", F.col("file_name"))
     out = F.struct(obj("$.characters", "source_chapters"), F.struct(obj("$.world.locations"), obj("$.world.organizations"), obj("$.world.rules")).alias("world"), events.alias("timeline"), obj("$.relationships"), terms.alias("glossary"), plot.alias("plot_threads"), F.when(style.isNotNull(), _fill(F.map_filter(style, lambda k, _v: k != "source"), "source", label)).otherwise(none).alias("style"), cs.alias("chapter_summary"))
-    return chunks.withColumn("extraction", out)
+    return chunks.withColumn("extraction", out).drop("_v", "_label")
 
 
 def streams(extracted: DataFrame, order: str = "index") -> dict[str, DataFrame]:

@@ -511,4 +511,4 @@ def hourly_events(spark, sf_dir):
 
 
 # the other modules of queries register theirs on import
-from quillmill.plans import retrieval_queries, sample_queries, text_queries  # noqa: E402, F401
+from quillmill.plans import record_queries, retrieval_queries, sample_queries, text_queries  # noqa: E402, F401
