@@ -150,3 +150,9 @@ def tokens(c: Column) -> Column:
     runs = F.regexp_extract_all(c, F.lit(r"[\p{IsHan}]{2,}"), F.lit(0))
     han = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
     return F.concat(latin, han)
+
+
+def tokens_with(names: list[str]):
+    """The default tokenizer with a dictionary: names of a list that the caller bounds are tokens where they occur."""
+    held = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    return lambda c: F.concat(tokens(c), F.filter(held, lambda n: F.contains(c, n)))
