@@ -82,3 +82,41 @@ def test_votes_recover_reliabilities():
 
 def test_empty_table(spark):
     assert digest(find_pii(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def planted(seed, n):
+    """(text, spans that are secrets or account numbers) with decoys: long words, dates, prices, years, versions."""
+    rng, out = random.Random(seed), []
+    hexed = lambda k: f"{rng.getrandbits(4 * k):0{k}x}"
+    mixed = lambda k: "".join(rng.choices("abcdefghijkmnpqrstuvwxyz", k=k // 2)) + "".join(rng.choices("0123456789", k=k - k // 2))
+    secrets = [lambda: f'token = "{hexed(40)}"', lambda: f"api_key: {hexed(32)}", lambda: f'password="{mixed(20)}"', lambda: f"secret={mixed(24)};"]
+    decoys = ["counterrevolutionary thoughts", "in the year 2024 and 1999", "it cost 1500 or 23000 coins", "version 1.20.300 came", "Donaudampfschifffahrtsgesellschaft", "room 101, floor 12", "see pages 100 to 2000"]
+    for _ in range(n):
+        words, want = [], []
+        for _ in range(rng.randint(2, 6)):
+            words.append(rng.choice(decoys))
+            if rng.random() < 0.3:
+                s = rng.choice(secrets)()
+                core = re.search(r"[0-9a-z]{16,}", s)[0]
+                want.append(core)
+                words.append(s)
+        out.append((" and then ".join(words) + f" mail q{rng.randrange(999)}@ex.org, 10.1.2.{rng.randrange(255)}", want))
+    return out
+
+
+def test_added_spans_find_planted_secrets_and_little_else(spark):
+    docs = planted(7, 400)
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(docs)], "doc_id long, text string")
+    found = {r.id: [t[a.s : a.e] for a in r.added] for r in find_pii(df).select("id", "added").collect() for t in [docs[r.id][0]]}
+    hit = sum(len(set(found[i]) & set(w)) for i, (_, w) in enumerate(docs))
+    total, said = sum(len(set(w)) for _, w in docs), sum(len(set(x)) for x in found.values())
+    assert total > 300
+    assert hit >= 0.95 * total, (hit, total)
+    assert hit >= 0.95 * said, (hit, said)
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark):
+    rows = [(None, "a@b.co", "x"), (None, None, "x"), (3, "a@b.co", "y"), (3, "a@b.co", "y"), (3, "", None)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, kind string, base int")
+    got = sorted(((r.doc_id, r.n_email, r.spans) for r in digest(find_pii(df)).collect()), key=str)
+    assert got == sorted([(None, 1, "email:0:6"), (None, 0, ""), (3, 1, "email:0:6"), (3, 1, "email:0:6"), (3, 0, "")], key=str)
