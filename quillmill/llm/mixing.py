@@ -46,7 +46,7 @@ def _same(names: list[str], prefix: str) -> Column:
     return out
 
 
-def plan_budgets(leaves: DataFrame, weights: dict[str, Column], total: Column | float, max_epochs: int = MAX_EPOCHS, root: str | None = None) -> DataFrame:
+def plan_budgets(leaves: DataFrame, weights: dict[str, Column], total: float, max_epochs: int = MAX_EPOCHS, root: str | None = None) -> DataFrame:
     """``leaves(*levels, tokens)`` plus ``budget`` (whole tokens).
 
     With ``root``, each level's rows are written there, which keeps the plan of the next level as short as the first's.
@@ -65,8 +65,8 @@ def plan_budgets(leaves: DataFrame, weights: dict[str, Column], total: Column |
         now = now.join(node, _same(path, "_k"), "left").drop(*[f"_k{c}" for c in path]).withColumn("_ok", F.col("_ok") & F.col(f"_v{k}").isNotNull())
         now = kept(now, f"weight{k}")
     now = now.withColumn("_cap", F.when(F.col("_ok"), F.col("tokens") * max_epochs).otherwise(0).cast("double"))
-    now = now.withColumn("_b", F.least((total if isinstance(total, Column) else F.lit(float(total))).cast("double"), F.sum("_cap").over(Window.partitionBy(F.lit(1)))))
     now = kept(now, "capacity")
+    now = now.withColumn("_b", F.lit(min(float(total), now.agg(F.sum("_cap")).first()[0] or 0.0)))
     for k in range(1, len(levels) + 1):
         path, up = levels[:k], levels[: k - 1]
         kids = now.where("_cap > 0").groupBy(*path).agg(F.sum("_cap").alias("_c"), F.max(f"_v{k}").alias("_v"), F.first("_b").alias("_p"))
@@ -96,8 +96,8 @@ def mix_sources(docs: DataFrame, levels: dict[str, Column], weights: dict[str, C
     kept = [c for c in docs.columns if c not in added]
     rows = docs.select(*kept, *[e.alias(n) for n, e in levels.items()], F.coalesce(tokens, F.lit(0)).cast("long").alias("tokens")).where("tokens > 0")
     narrow = settle(rows.select(*names, F.col(id_col).alias("_id"), "tokens"), f"{root}/narrow")
-    leaves = narrow.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
-    plan = plan_budgets(leaves, weights, F.sum("tokens").over(Window.partitionBy(F.lit(1))) if total is None else total, max_epochs, root)
+    leaves = settle(narrow.groupBy(*names).agg(F.sum("tokens").alias("tokens")), f"{root}/sums")
+    plan = plan_budgets(leaves, weights, (leaves.agg(F.sum("tokens")).first()[0] or 0) if total is None else total, max_epochs, root)
     plan = plan.where("budget > 0").select(*[F.col(n).alias(f"_{n}") for n in names], "budget", F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("whole"), (F.col("budget") % F.col("tokens")).alias("rest"))
     plan = settle(plan, f"{root}/plan")  # a row a leaf, of known size: joined as Spark sees fit
     # the epoch that is cut: the band of its order in which the rest runs out, and what is left for that band
