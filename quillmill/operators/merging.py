@@ -163,3 +163,14 @@ def streams(extracted: DataFrame, order: str = "index") -> dict[str, DataFrame]:
     """A frame of records (``order, rec``) for each section of the extraction."""
     paths = {"characters": "characters", "locations": "world.locations", "organizations": "world.organizations", "rules": "world.rules", "timeline": "timeline", "relationships": "relationships", "glossary": "glossary", "sub_threads": "plot_threads.sub_threads", "foreshadowing_planted": "plot_threads.foreshadowing_planted", "unresolved_conflicts": "plot_threads.unresolved_conflicts"}
     return {k: extracted.select(order, F.explode(f"extraction.{p}").alias("rec")) for k, p in paths.items()}
+
+
+def record_cards(records: DataFrame, folder: str, name: str, fields: tuple[str, ...]) -> DataFrame:
+    """``rel_path, content`` of merged records, a card each: its name and the fields that say something. Names
+    whose file names are equal have their key's hash behind them."""
+    same = Window.partitionBy("_slug")
+    slugged = records.withColumn("_slug", X.slug(F.col(name))).withColumn("_n", F.count("*").over(same))
+    file = F.when(F.col("_n") > 1, F.concat("_slug", F.lit("_"), F.left(F.sha1(F.col(name)), F.lit(8)))).otherwise(F.col("_slug"))
+    line = lambda c: F.when(~X.is_missing(F.col(c)) & (F.col(c) != UNKNOWN), F.concat(F.lit(f"- {c}: "), X.strip(F.col(c))))
+    body = F.concat_ws("\n", F.concat(F.lit("# "), X.strip(F.col(name))), F.lit(""), *map(line, fields))
+    return slugged.select(F.concat(F.lit(f"generated/{folder}/"), file, F.lit(".md")).alias("rel_path"), F.concat(body, F.lit("\n")).alias("content"))

@@ -114,6 +114,18 @@ def merged_style(spark, sf_dir):
     return merging.merge_style(read(spark, sf_dir, "part"), ("p_type", "p_name"), "p_partkey")
 
 
+@query("""
+WITH o AS (SELECT lower(regexp_replace(p_brand, '\\s+', '', 'g')) AS key, p_partkey AS o, p_brand, p_type FROM part),
+t AS (SELECT key, string_agg(p_type, '；' ORDER BY o) AS v FROM (SELECT key, p_type, min(o) AS o FROM o GROUP BY key, p_type) GROUP BY key)
+SELECT 'generated/brands/' || n || '.md' AS rel_path, '# ' || n || chr(10) || chr(10) || '- p_type: ' || v || chr(10) AS content FROM (SELECT v, (SELECT arg_min(p_brand, o) FROM o x WHERE x.key = t.key) AS n FROM t)
+""")
+def record_cards(spark, sf_dir):
+    """S17, X30."""
+    p = read(spark, sf_dir, "part").withColumn("p_none", F.lit("未提及"))
+    out = merging.merge_named(p, "p_brand", "p_partkey", texts=("p_type", "p_none"))
+    return merging.record_cards(out, "brands", "p_brand", ("p_type", "p_none"))
+
+
 @query(f"""
 WITH d AS (SELECT doc_id, {_strip("regexp_replace(text, '" + _WS + "+', ' ', 'g')")} AS t, doc_id % 9 + 1 AS ch FROM documents)
 SELECT doc_id, 'event' AS type, CASE WHEN doc_id % 2 = 0 THEN 'T' || doc_id ELSE '第' || ch || '章新增事件' END AS title, left(t, 180) AS summary, ['a', 'b' || doc_id] AS entities, ch::INT AS valid_from, 0.3::DOUBLE AS confidence, 'needs_human_review' AS status, left(t, 80) AS quote FROM d
