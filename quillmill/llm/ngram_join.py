@@ -32,7 +32,7 @@ BUCKETS, SLICE = 1 << 20, 1 << 12
 CHUNK_NGRAMS = 500_000
 #: Fragments of the global order; the last one holds the n-grams moved to the end. Hash classes, by whose counts a pair
 #: is bounded before its segments are fetched.
-FRAGMENTS, CLASSES = 8, 64
+FRAGMENTS, CLASSES = 8, 256
 _LOW56 = np.uint64((1 << 56) - 1)
 
 
