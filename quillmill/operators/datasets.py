@@ -164,7 +164,8 @@ def pack_best_fit(df: DataFrame, key: str, size: str, capacity: int, parts: int
     from pyspark import TaskContext
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, n = TaskContext.get().partitionId(), 0
+        part = TaskContext.get().partitionId()
+        n = part << 32  # bins of different parts have different numbers
         open_bins: dict[int, list[int]] = {}  # space left -> bins
         spaces = 0  # a bit for each space left that some bin has
         for rows in frames:

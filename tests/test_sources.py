@@ -132,3 +132,25 @@ def test_prompts_are_read_back(spark):
     row = spark.createDataFrame([(text,)], ["t"]).select(prompts.sections(F.col("t")).alias("s"), prompts.section(F.col("t"), "【当前上文】\n", ("\n[ASSISTANT]",)).alias("c")).first()
     assert [(x.mark, x.body) for x in row.s] == [("【相关设定】", "甲"), ("续写方向：", "向前"), ("【当前上文】", "乙 续写方向： 丙")]
     assert row.c == "乙 续写方向： 丙"
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from quillmill.sources.durable import work_dir
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        work_dir(fake)
+
+
+def test_only_a_missing_module_is_optional(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    put(tmp_path / "corpus_pipeline.py", "import no_such_module_here\n")
+    code = "import sys; sys.path[:0] = [{!r}, {!r}]; import __spark_entry__".format(str(tmp_path), str(root))
+    broken = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path)
+    assert broken.returncode != 0 and "no_such_module_here" in broken.stderr
