@@ -71,14 +71,11 @@ def visible_pairs(targets: DataFrame, cards: DataFrame, at: str = "at") -> DataF
     return at_point(targets, known, at, start, F.col("valid_to")).unionByName(every)
 
 
-def occurring(rows: DataFrame, text: str, names: DataFrame, name: str, least: int = 1) -> DataFrame:
-    """``rows`` with each of ``names``'s names that occurs in ``text``, by equality of pieces that have a name's length."""
-    held = names.select(name).where(F.length(name) >= least).distinct()
-    sizes = sorted(r[0] for r in held.select(F.length(name)).distinct().collect())  # at most as many as the longest name's letters
-    t, none = F.col(text), F.array().cast("array<string>")
-    piece = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(none)
-    pieces = F.array_distinct(F.concat(none, *map(piece, sizes)))
-    return rows.select("*", F.explode(pieces).alias(name)).join(held, name)
+def occurring(rows: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """``rows`` with each of ``names``'s names that occurs in ``text``, once. Names are the cards' and few beside the
+    texts: Spark broadcasts them if their size allows, and a text is looked through for each."""
+    held = names.select(name).where(F.length(name) > 0).distinct()
+    return rows.join(held, F.contains(F.col(text), F.col(name)))
 
 
 def intervals(states: DataFrame, key: list[str], start: str) -> DataFrame:
@@ -216,7 +213,8 @@ def retrieve(contexts: DataFrame, cards: DataFrame, raw: DataFrame | None, key:
     lines = raw.select("path", F.posexplode(S.lines(F.col("text"))).alias("line", "s"))
     w = Window.partitionBy("path").orderBy("line").rowsBetween(-2, 2)
     around = lines.withColumn("block", F.array_join(F.collect_list("s").over(w), "\n"))
-    met = first.join(occurring(around, "s", first, "name"), "name")
+    hits = occurring(lines, "s", names, "name").select("path", "line", "name")
+    met = first.join(hits, "name").join(around.select("path", "line", "block"), ["path", "line"])
     met = met.withColumn("_r", F.row_number().over(Window.partitionBy(key, "name").orderBy("path", "line"))).where(F.col("_r") <= grep_k)
     blocks = met.groupBy(key).agg(F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_r", "block"))), lambda x: x["block"])), 1, k).alias("grep"))
     return out.join(blocks, key, "left").select(key, "entities", "bible", F.coalesce("grep", F.array().cast("array<string>")).alias("grep"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as X
@@ -207,20 +208,19 @@ def near_duplicate_adjacent(spark, sf_dir):
 
 
 def paired(spark, sf_dir):
-    """Every document beside the first of its source."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    first = d.groupBy("source").agg(F.min_by("text", "doc_id").alias("ref"))
-    both = d.join(first, "source")
-    return both.select("doc_id", F.col("ref").alias("text")), both.select("doc_id", "text")
+    """Every turn of a conversation beside the turn before it."""
+    c = read(spark, sf_dir, "conversations")
+    both = c.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("ctx"), "text", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("before")).where("before is not null")
+    return both.select("ctx", F.col("before").alias("text")), both.select("ctx", "text")
 
 
 @query()
 def style_reports(spark, sf_dir):
-    """N9, A7, A8, style score, build_summary, X28, X31, S23: the report of every document against its source's first."""
+    """N9, A7, A8, style score, build_summary, X28, X31, S23: the report of every turn against the one before it."""
     ref, cand = paired(spark, sf_dir)
-    whole = metrics.evaluate(ref, cand)
-    shown = metrics.report_markdown(whole).select("doc_id", F.md5("markdown").alias("markdown_md5"), F.md5("summary").alias("summary_md5"))
-    return metrics.text_free(whole).select("doc_id", *metrics.WEIGHTS, "overall", "level", "repetition_risk", "contamination_risk").join(shown, "doc_id")
+    whole = metrics.evaluate(ref, cand, "ctx")
+    shown = metrics.report_markdown(whole, "ctx").select("ctx", F.md5("markdown").alias("markdown_md5"), F.md5("summary").alias("summary_md5"))
+    return metrics.text_free(whole, "ctx").select("ctx", *metrics.WEIGHTS, "overall", "level", "repetition_risk", "contamination_risk").join(shown, "ctx")
 
 
 @query("SELECT r AS risk, CASE r WHEN 'low' THEN 100.0 WHEN 'medium' THEN 60.0 WHEN 'high' THEN 20.0 ELSE 0.0 END::DOUBLE AS score, (strlen(r) * 7.25)::VARCHAR AS shown FROM (SELECT DISTINCT CASE event_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'none' END AS r FROM events)")
