@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import ann, embedding_dedup, html_extract, langid, mixing, ngram_join, packing, pii, records, substring_dedup
+from quillmill.llm import ann, divergence, embedding_dedup, html_extract, langid, merkle, mixing, ngram_join, packing, pii, records, resampling, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +82,20 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_token_records(spark, manifest, with_ids=False).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_langid, op4_substring_dedup, op5_packing, op6_ann, op7_html, op8_embedding_dedup, op9_mixing, op10_token_records, ngram_links)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_edits(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_langid, op4_substring_dedup, op5_packing, op6_ann, op7_html, op8_embedding_dedup, op9_mixing, op10_token_records, op11_resampling, op12_divergence, op13_fingerprints, ngram_links)}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -158,4 +171,52 @@ runs AS (
 SELECT doc_id, domain, lang, source, epoch::INT AS epoch, tokens, least(tokens, budget - start)::BIGINT AS taken FROM runs WHERE start < budget
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op8_embedding_dedup": OP8_SQL, "op9_mixing": MIX_SQL}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM, _LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+RESAMPLING_SQL = rf"""
+WITH poly AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS tab FROM range(256) AS r(i)),
+t AS (
+  SELECT 0 AS side, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), regexp_extract_all({_LOWER}, '{_ALNUM}') FROM benchmark),
+f AS (
+  SELECT side, r, unnest(ws) AS g FROM t
+  UNION ALL SELECT side, r, ws[i] || ' ' || ws[i + 1] FROM t, unnest(range(1, len(ws))) AS u(i)),
+raw AS (SELECT g, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM f)),
+code AS (SELECT g, xor(list_reduce([4294967295] || list_transform(range(1, length(h), 2), lambda k: ('0x' || h[k : k + 1])::BIGINT),
+    lambda x, y: xor(tab[(xor(x, y) & 255) + 1], x >> 8)), 4294967295) % 10000 AS bucket FROM raw, poly),
+n AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM f JOIN code USING (g) GROUP BY bucket),
+total AS (SELECT count(*) FILTER (side = 0) AS s_all, count(*) FILTER (side = 1) AS t_all FROM f),
+gain AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM n, total),
+w AS (SELECT r, count(*) AS n_features, sum(gain)::BIGINT AS total FROM f JOIN code USING (g) JOIN gain USING (bucket) WHERE side = 0 GROUP BY r),
+d AS (
+  SELECT doc_id, len(ws) AS words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(floor(total / n_features), 0)::BIGINT AS weight,
+    ('0x' || left(sha256('7:' || doc_id), 8))::BIGINT AS h
+  FROM (SELECT row_number() OVER () AS r, doc_id FROM documents) JOIN (SELECT r, ws FROM t WHERE side = 0) USING (r) LEFT JOIN w USING (r)),
+s AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, 25 * count(*) OVER () // 100 AS most FROM s WHERE words >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN rank <= most THEN rank END AS rank FROM s LEFT JOIN k USING (doc_id)
+"""
+
+DIVERGENCE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '{_LETTERS}') AS ws FROM documents),
+w AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n_all FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n_all) AS total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+m AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(m.total, 0) + 2 * v.v) AS p, 1 + (1000000000::HUGEINT * (k.n_all + 2)) // (v.total + 2 * v.v) AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+    LEFT JOIN m ON m.lang = g.lang AND m.source = g.source),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(far.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o QUALIFY part = 'pair' OR rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_resampling": RESAMPLING_SQL, "op12_divergence": DIVERGENCE_SQL, "op1_ngram_join": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op8_embedding_dedup": OP8_SQL, "op9_mixing": MIX_SQL}
