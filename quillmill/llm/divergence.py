@@ -4,7 +4,8 @@ Every task counts the terms of its texts in byte tries, one a language, whose le
 number of documents. Walking a trie in UTF-8 order gives its leaves as a sorted stream; the streams of all tries are
 dealt by ranges of (language, term), so a range of prefixes meets in one place, and equal paths are merged as they
 pass by: no task holds more than a batch and the leaf it is at, and a word in every document is a row a task. The tries
-are cut off at a bounded number of leaves, which adds rows, not errors.
+are cut off at a bounded number of leaves, which adds rows, not errors. A first pass counts documents by hash of the term,
+so that terms of too few documents mostly stay out of the tries; what it lets pass is counted exactly.
 
 Of the merged leaves only kept terms go on. Pairs of sources are compared in tiles: blocks of sources against blocks, a
 bucket of terms at a time; what a pair has no count for in either is added in one product.
@@ -21,11 +22,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm.byte_words import LETTERS, spans, steps
-from quillmill.llm.common import ordered_partitions, settle, tidy, with_running_sum, work_dir
+from quillmill.llm.common import mix, ordered_partitions, settle, string_hashes, tidy, with_running_sum, work_dir
 
 LEAST_DOCS, UNIT, SMOOTH, TOP = 10, 1_000_000_000, 2, 10
 #: Bytes of text a step; leaves and counters of a task's tries before they are handed on; rows of an Arrow batch.
 STEP_BYTES, LEAVES, COUNTERS, ROWS = 1 << 20, 150_000, 1_000_000, 4096
+#: Buckets of the filter (2 MB of bits) and those that travel together.
+FILTER_BITS, SLICE = 24, 4096
 #: Sources of a block and terms of a bucket of the tiles that compare pairs.
 BLOCK, BUCKET = 64, 4096
 #: Rows of (language, source) that number a part.
@@ -89,6 +92,75 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, out
 
 
+def document_terms(langs: list[str], data: np.ndarray, offsets: np.ndarray):
+    """(terms, languages, each, at, row, n) of some texts, given by their bytes: the distinct terms; the distinct languages;
+    the distinct ``language * len(terms) + term``, ascending; and for each term of each row which of those it is, the row,
+    and how often it occurs there. None without terms."""
+    begin, end, first = spans(data, offsets, LETTERS)
+    if not len(begin):
+        return None
+    ends = np.concatenate(([0], np.cumsum(end - begin))).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(data[LETTERS[data]])]).dictionary_encode()
+    terms, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    u, n = np.unique(np.repeat(np.arange(len(langs)), np.diff(first)) * len(terms) + code, return_counts=True)
+    row, code = u // len(terms), u % len(terms)
+    number = {x: i for i, x in enumerate(dict.fromkeys(langs))}
+    lang = np.array([number[x] for x in langs], np.int64)
+    each, at = np.unique(lang[row] * len(terms) + code, return_inverse=True)
+    return terms, list(number), each, at, row, n
+
+
+def buckets_of(terms: pa.Array, langs: list[str], each: np.ndarray) -> np.ndarray:
+    """The filter's bucket of each (language, term)."""
+    of_term, of_lang = string_hashes(terms.cast(pa.binary())), string_hashes(pa.array(langs, pa.string()))
+    return (mix(of_term[each % len(terms)] + mix(of_lang[each // len(terms)])) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _filter_slices(least: int):
+    """(slice, counts): how many documents have a term of a bucket, no more than ``least``."""
+
+    def run(batches):
+        have = np.zeros(1 << FILTER_BITS, np.uint8)
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            for a, b, data, offsets in steps(batch.column("text"), STEP_BYTES):
+                found = document_terms(langs[a:b], data, offsets)
+                if found is not None:
+                    terms, names, each, at, _, _ = found
+                    k, n = _summed(buckets_of(terms, names, each), np.bincount(at))
+                    have[k] = np.minimum(have[k] + n, least)
+        have = have.reshape(-1, SLICE)
+        full = np.flatnonzero(have.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([have[i].tobytes() for i in full], pa.binary())], names=["slice", "counts"])
+
+    return run
+
+
+def _sum_slices(least: int):
+    """(slice, bits): the buckets that ``least`` documents reach, of all that a task gets of each slice."""
+
+    def run(batches):
+        have: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, c in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                n = np.frombuffer(c, np.uint8)
+                have[i] = np.minimum(have[i] + n, least).astype(np.uint8) if i in have else n
+        yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int32()), pa.array([np.packbits(n >= least).tobytes() for n in have.values()], pa.binary())], names=["slice", "bits"])
+
+    return run
+
+
+def often_filter(docs: DataFrame, least: int) -> np.ndarray:
+    """A bit a bucket: whether ``least`` documents may have a term of it. Of a fixed size: the driver gets 2 MB, and
+    where it fills up more terms pass and the result is the same."""
+    least = min(least, 200)  # a byte a bucket
+    out = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+    each = docs.select("lang", "text").mapInArrow(tidy(_filter_slices(least)), "slice int, counts binary").repartition(F.col("slice"))
+    for r in each.mapInArrow(tidy(_sum_slices(least), whole=True), "slice int, bits binary").toLocalIterator():
+        out[r["slice"] * SLICE >> 3 : (r["slice"] + 1) * SLICE >> 3] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 class Counts:
     """A task's tries with what their leaves count."""
 
@@ -106,31 +178,29 @@ class Counts:
         leaf = self.tries[lang].leaf
         return np.fromiter(map(leaf, terms), np.int64, len(terms))
 
-    def add(self, langs: list[str], sources: list[str], data: np.ndarray, offsets: np.ndarray) -> None:
-        """Count the terms of some texts, given by their bytes."""
-        begin, end, first = spans(data, offsets, LETTERS)
-        if not len(begin):
+    def add(self, langs: list[str], sources: list[str], data: np.ndarray, offsets: np.ndarray, often) -> None:
+        """Count the terms of some texts, given by their bytes; only those that ``often`` lets pass."""
+        found = document_terms(langs, data, offsets)
+        if found is None:
             return
-        ends = np.concatenate(([0], np.cumsum(end - begin))).astype(np.int64)
-        terms = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(data[LETTERS[data]])]).dictionary_encode()
-        code = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        vocabulary = terms.dictionary.to_pylist()
-        number = {x: i for i, x in enumerate(dict.fromkeys(langs))}
-        row = np.repeat(np.arange(len(langs)), np.diff(first))
-        lang = np.array([number[x] for x in langs], np.int64)[row]
-        group = np.array([self.group(x, s) for x, s in zip(langs, sources, strict=True)], np.int64)[row]
-        each, inv = np.unique(lang * len(vocabulary) + code, return_inverse=True)
-        leaf, cut = np.empty(len(each), np.int64), np.searchsorted(each, np.arange(len(number) + 1) * len(vocabulary))
-        for name, i in number.items():
-            some = slice(cut[i], cut[i + 1])
-            leaf[some] = self.leaves(name, [vocabulary[k] for k in (each[some] - i * len(vocabulary)).tolist()])
+        terms, names, each, inv, row, n = found
+        size = len(terms)
+        go = often(terms, names, each)
+        if not go.any():
+            return
+        here = each[go]
+        vocabulary = dict(zip(some := np.unique(here % size), terms.take(pa.array(some)).to_pylist(), strict=True))
+        leaf, cut = np.full(len(each), -1, np.int64), np.searchsorted(here, np.arange(len(names) + 1) * size)
+        leaf[go] = np.concatenate([self.leaves(name, [vocabulary[k] for k in (here[cut[i] : cut[i + 1]] - i * size).tolist()]) for i, name in enumerate(names)])
         self.size = max(self.size, int(leaf.max()) + 1)
+        group = np.array([self.group(x, s) for x, s in zip(langs, sources, strict=True)], np.int64)
         leaf = leaf[inv]
-        keys, n = np.unique(leaf << 32 | group, return_counts=True)
+        ok = leaf >= 0
+        leaf, row, n = leaf[ok], row[ok], n[ok]
+        keys, n = _summed(leaf << 32 | group[row], n)
         self.keys.append(keys)
         self.n.append(n)
-        held = np.unique(leaf << 32 | row) >> 32  # a row for each document that has the term
-        more = np.bincount(held)
+        more = np.bincount(leaf)  # a row for each document that has the term
         if len(more) > len(self.docs):
             self.docs = np.concatenate((self.docs, np.zeros(max(len(more), 2 * len(self.docs)) - len(self.docs), np.int64)))
         self.docs[: len(more)] += more
@@ -179,16 +249,23 @@ class Counts:
                 )
 
 
-def _count(batches):
-    have = Counts()
-    for batch in batches:
-        langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
-        for a, b, data, offsets in steps(batch.column("text"), STEP_BYTES):
-            have.add(langs[a:b], sources[a:b], data, offsets)
-            if have.full():
-                yield from have.streams()
-                have = Counts()
-    yield from have.streams()
+def _count(held):
+    def often(terms, langs, each):
+        k = buckets_of(terms, langs, each)
+        return (held.value[k >> 3] >> (7 - (k & 7)) & 1).astype(bool)
+
+    def run(batches):
+        have = Counts()
+        for batch in batches:
+            langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
+            for a, b, data, offsets in steps(batch.column("text"), STEP_BYTES):
+                have.add(langs[a:b], sources[a:b], data, offsets, often)
+                if have.full():
+                    yield from have.streams()
+                    have = Counts()
+        yield from have.streams()
+
+    return run
 
 
 def merge_leaves(t: pa.Table) -> pa.Table:
@@ -231,7 +308,8 @@ def _merge(least: int):
 
 def kept_terms(docs: DataFrame, root: str, least_docs: int) -> DataFrame:
     """``lang, term, docs, sources, counts`` of the terms in at least ``least_docs`` documents of their language."""
-    leaves = settle(docs.mapInArrow(tidy(_count), _LEAF_DDL), f"{root}/leaves")
+    held = docs.sparkSession.sparkContext.broadcast(often_filter(docs, least_docs))
+    leaves = settle(docs.mapInArrow(tidy(_count(held)), _LEAF_DDL), f"{root}/leaves")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met = leaves.repartitionByRange(parts, "lang", "term").sortWithinPartitions("lang", "term")
     return settle(met.mapInArrow(tidy(_merge(least_docs), whole=True), _LEAF_DDL), f"{root}/kept")

@@ -2,7 +2,9 @@ import random
 import re
 from collections import Counter, defaultdict
 from itertools import count
+from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 
 from quillmill.llm import divergence
@@ -82,10 +84,21 @@ def test_tries_that_are_cut_off_merge_to_the_same_leaves(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string()), "lang": pa.array(langs), "source": pa.array(sources)})
     monkeypatch.setattr(divergence, "STEP_BYTES", 2000)
 
+    every = np.full(1 << divergence.FILTER_BITS >> 3, 255, np.uint8)
+
     def merged(leaves):
         monkeypatch.setattr(divergence, "LEAVES", leaves)
-        t = pa.Table.from_batches(list(divergence._count([batch])))
+        t = pa.Table.from_batches(list(divergence._count(SimpleNamespace(value=every))([batch])))
         t = merge_leaves(t.sort_by([("lang", "ascending"), ("term", "ascending")]))
         return len(t), [(r["lang"], r["term"], r["docs"], sorted(zip(r["sources"], r["counts"], strict=True))) for r in t.to_pylist()]
 
     assert merged(20) == merged(1 << 30)
+
+
+def test_the_filter_drops_no_term_that_is_kept(spark):
+    rows = [(f"own{chr(97 + i // 26)}{chr(97 + i % 26)} shared", "en", "s") for i in range(300)] + [("ten", "en", "s")] * 10 + [("nine", "en", "s")] * 9
+    df = frame(spark, rows).select("lang", "text")
+    bits = divergence.often_filter(df, 10)
+    terms = pa.array([b"shared", b"ten", b"nine", b"ownaa"], pa.binary())
+    k = divergence.buckets_of(terms, ["en"], np.arange(4))
+    assert [int(bits[x >> 3] >> (7 - (x & 7)) & 1) for x in k.tolist()] == [1, 1, 0, 0]
