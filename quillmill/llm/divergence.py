@@ -2,8 +2,9 @@
 
 Every task counts the terms of its texts in byte tries, one a language, whose leaves hold a counter a source and the
 number of documents. Walking a trie in UTF-8 order gives its leaves as a sorted stream; the streams of all tries are
-dealt by ranges of (language, term), so a range of prefixes meets in one place, and equal paths are merged as they
-pass by: no task holds more than a batch and the leaf it is at, and a word in every document is a row a task. The tries
+dealt by language and the first bytes, so what lies below a prefix meets in one place, in UTF-8 order again, and equal
+paths are merged as they pass by: no task holds more than a batch and the leaf it is at, and a word in every document is
+a row a task. The tries
 are cut off at a bounded number of leaves, which adds rows, not errors. A first pass counts documents by hash of the term,
 so that terms of too few documents mostly stay out of the tries; what it lets pass is counted exactly.
 
@@ -26,7 +27,9 @@ from quillmill.llm.common import mix, ordered_partitions, settle, string_hashes,
 
 LEAST_DOCS, UNIT, SMOOTH, TOP = 10, 1_000_000_000, 2, 10
 #: Bytes of text a step; leaves and counters of a task's tries before they are handed on; rows of an Arrow batch.
-STEP_BYTES, LEAVES, COUNTERS, ROWS = 1 << 20, 150_000, 1_000_000, 4096
+STEP_BYTES, LEAVES, COUNTERS, ROWS = 1 << 20, 300_000, 1_500_000, 4096
+#: Bytes that terms of a prefix range share.
+PREFIX = 4
 #: Buckets of the filter (2 MB of bits) and those that travel together.
 FILTER_BITS, SLICE = 24, 4096
 #: Sources of a block and terms of a bucket of the tiles that compare pairs.
@@ -309,9 +312,8 @@ def _merge(least: int):
 def kept_terms(docs: DataFrame, root: str, least_docs: int) -> DataFrame:
     """``lang, term, docs, sources, counts`` of the terms in at least ``least_docs`` documents of their language."""
     held = docs.sparkSession.sparkContext.broadcast(often_filter(docs, least_docs))
-    leaves = settle(docs.mapInArrow(tidy(_count(held)), _LEAF_DDL), f"{root}/leaves")
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = leaves.repartitionByRange(parts, "lang", "term").sortWithinPartitions("lang", "term")
+    leaves = docs.mapInArrow(tidy(_count(held)), _LEAF_DDL)
+    met = leaves.repartition("lang", F.substring(F.col("term").cast("binary"), 1, PREFIX)).sortWithinPartitions("lang", "term")
     return settle(met.mapInArrow(tidy(_merge(least_docs), whole=True), _LEAF_DDL), f"{root}/kept")
 
 
