@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import segment as S
+from quillmill.operators.names import occurring
 from quillmill.sources.durable import settle, work_dir
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -71,13 +72,6 @@ def visible_pairs(targets: DataFrame, cards: DataFrame, at: str = "at") -> DataF
     return at_point(targets, known, at, start, F.col("valid_to")).unionByName(every)
 
 
-def occurring(rows: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
-    """``rows`` with each of ``names``'s names that occurs in ``text``, once. Names are the cards' and few beside the
-    texts: Spark broadcasts them if their size allows, and a text is looked through for each."""
-    held = names.select(name).where(F.length(name) > 0).distinct()
-    return rows.join(held, F.contains(F.col(text), F.col(name)))
-
-
 def intervals(states: DataFrame, key: list[str], start: str) -> DataFrame:
     """Close each state where its successor begins: adds ``valid_from, valid_to`` (null while open)."""
     w = Window.partitionBy(*key).orderBy(start)
@@ -124,14 +118,20 @@ def bm25_topk(queries: DataFrame, cards: DataFrame, query: str, doc: str, k: int
     return bm25(queries, cards, query, doc, **kw).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def entities(contexts: DataFrame, names: DataFrame, key: str, text: str = "text", top: int = 5, last: int = 500) -> DataFrame:
-    """Known names that occur in the end of a context: by frequency, then by name (a total order). Other
-    recognisers' names can be united with ``names(name)``."""
+def entities(contexts: DataFrame, names: DataFrame, key: str, text: str = "text", top: int = 5, last: int = 500, others: DataFrame | None = None, stop: tuple[str, ...] = ()) -> DataFrame:
+    """Known names that occur in the end of a context: by frequency, then cards' names before ``others``'s, then by
+    name (a total order). ``others(name)`` are what a recogniser found: under two characters and stop words don't count."""
     t = contexts.select(key, F.when(F.length(text) <= last, F.col(text)).otherwise(F.right(text, F.lit(last))).alias("_t"))
-    hit = occurring(t, "_t", names, "name")
-    n = ((F.length("_t") - F.length(F.replace(F.col("_t"), F.col("name"), F.lit("")))) / F.length("name")).cast("int")
-    by = Window.partitionBy(key).orderBy(F.desc("freq"), "name")
-    return hit.select(key, "name", n.alias("freq")).withColumn("ord", F.row_number().over(by)).where(F.col("ord") <= top)
+    known = names.select("name", F.lit(0).alias("tier"))
+    if others is not None:
+        known = known.union(others.where((F.length("name") > 1) & ~F.col("name").isin(*stop)).select("name", F.lit(1)))
+    known = known.groupBy("name").agg(F.min("tier").alias("tier"))
+    hit = occurring(t, "_t", known, "name")
+    order = [F.desc("freq"), "name"]
+    if others is not None:
+        hit, order = hit.join(known, "name"), [F.desc("freq"), "tier", "name"]
+    by = Window.partitionBy(key).orderBy(*order)
+    return hit.select(key, "name", "freq", *order[1:-1]).withColumn("ord", F.row_number().over(by)).where(F.col("ord") <= top).select(key, "name", "freq", "ord")
 
 
 def search_cards(queries: DataFrame, found: DataFrame, cards: DataFrame, query: str, k: int, at: str = "at", tokens: Callable[[Column], Column] = S.tokens) -> DataFrame:
@@ -141,9 +141,9 @@ def search_cards(queries: DataFrame, found: DataFrame, cards: DataFrame, query:
     ``queries(query, text, at)``, ``found(query, name, ord)``.
     """
     c = cards.select("doc_ord", "source", F.left("text", F.lit(CARD_CHARS)).alias("card_text"), "depth_class", "revealed_in", "valid_from", "valid_to")
-    named = found.select(query, "name", "ord")
+    named = settle(found.select(query, "name", "ord"), f"{work_dir(cards.sparkSession)}/named")
     exact = named.join(c, F.col("name") == F.col("source")).select(query, "doc_ord", F.lit(0).alias("tier"), F.col("depth_class").alias("prio"), "ord", F.lit(9999.0).alias("score"))
-    weak = named.join(occurring(c.select("doc_ord", "source"), "source", named, "name"), "name").where("name <> source").select(query, "doc_ord", F.lit(1).alias("tier"), F.lit(0).alias("prio"), "ord", F.lit(9998.0).alias("score"))
+    weak = named.join(occurring(c.select("doc_ord", "source"), "source", named, "name").drop("freq"), "name").where("name <> source").select(query, "doc_ord", F.lit(1).alias("tier"), F.lit(0).alias("prio"), "ord", F.lit(9998.0).alias("score"))
     text = bm25(queries, cards, query, "doc_ord", tokens=tokens).select(query, "doc_ord", F.lit(2).alias("tier"), F.lit(0).alias("prio"), F.lit(0).alias("ord"), F.bround("score", 4).alias("score"))
     all_ = exact.union(weak).union(text).join(c, "doc_ord").join(queries.select(query, at), query).where(visible(F.col(at)))
     order = ["tier", "prio", "ord", F.desc("score"), "doc_ord"]
@@ -200,7 +200,7 @@ def retrieve(contexts: DataFrame, cards: DataFrame, raw: DataFrame | None, key:
     """Entities of the last 500 characters, cards for entities and the last 150, and grep blocks of the first three
     entities: ``key, entities, bible, grep``. ``raw(path, text)`` isn't bound in time; leave it out where that leaks."""
     names = cards.select(F.col("source").alias("name"))
-    found = entities(contexts, names, key)
+    found = settle(entities(contexts, names, key), f"{work_dir(contexts.sparkSession)}/entities")
     listed = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("entities"))
     ctx = contexts.join(listed, key, "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
     query = F.concat_ws(" ", F.array_join("entities", " "), F.right("text", F.lit(150)))
@@ -211,11 +211,13 @@ def retrieve(contexts: DataFrame, cards: DataFrame, raw: DataFrame | None, key:
         return out.select(key, "entities", "bible", F.array().cast("array<string>").alias("grep"))
     first = found.where("ord <= 3").select(key, "name", "ord")
     lines = raw.select("path", F.posexplode(S.lines(F.col("text"))).alias("line", "s"))
+    # the first hits of a name are the same for every context that asks for it
+    by = Window.partitionBy("name").orderBy("path", "line")
+    hits = occurring(lines, "s", first, "name").select("path", "line", "name").withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= grep_k)
+    hits = settle(hits, f"{work_dir(raw.sparkSession)}/hits")
     w = Window.partitionBy("path").orderBy("line").rowsBetween(-2, 2)
-    around = lines.withColumn("block", F.array_join(F.collect_list("s").over(w), "\n"))
-    hits = occurring(lines, "s", names, "name").select("path", "line", "name")
-    met = first.join(hits, "name").join(around.select("path", "line", "block"), ["path", "line"])
-    met = met.withColumn("_r", F.row_number().over(Window.partitionBy(key, "name").orderBy("path", "line"))).where(F.col("_r") <= grep_k)
+    around = lines.join(hits.select("path").distinct(), "path", "left_semi").withColumn("block", F.array_join(F.collect_list("s").over(w), "\n"))
+    met = first.join(hits.join(around.select("path", "line", "block"), ["path", "line"]), "name")
     blocks = met.groupBy(key).agg(F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_r", "block"))), lambda x: x["block"])), 1, k).alias("grep"))
     return out.join(blocks, key, "left").select(key, "entities", "bible", F.coalesce("grep", F.array().cast("array<string>")).alias("grep"))
 

@@ -137,12 +137,6 @@ def test_visible_pairs_against_every_pair_without_a_nested_loop(spark):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
-def test_names_that_occur(spark):
-    rows = spark.createDataFrame([(1, "abcabc"), (2, ""), (3, None), (4, "xbcx")], "k long, t string")
-    names = spark.createDataFrame([("bc",), ("abc",), ("",), ("zz",), ("x",)], "name string")
-    assert sorted((r.k, r.name) for r in retrieval.occurring(rows, "t", names, "name").collect()) == [(1, "abc"), (1, "bc"), (4, "bc"), (4, "x")]
-
-
 def test_a_dictionary_of_names_joins_the_tokens(spark):
     row = spark.createDataFrame([("Li Wei met 林清雪 there",)], ["t"]).select(S.tokens_with(["林清雪", "Li Wei", "none"])(F.col("t")).alias("w")).first()
     assert row.w == ["li", "wei", "met", "there", "林清", "清雪", "林清雪", "Li Wei"]
