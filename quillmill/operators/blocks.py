@@ -35,6 +35,12 @@ def _answer(batch: pa.RecordBatch, index, use: Callable, names: list[str]) -> pa
     return pa.RecordBatch.from_arrays([row, *found], names=["_row", *names])
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt evenly, for work that is dear by the row: a table of few files is few tasks, whatever its rows cost."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+
 def meet(rows: DataFrame, text: str, items: DataFrame, build: Callable[[list[str]], object], use: Callable[[object, list], tuple[np.ndarray, list]], out: StructType, held: int = HELD, block: int = BLOCK) -> DataFrame:
     """``rows`` with what ``use`` finds for their ``text``: the columns of ``out``, a row for each find in each block.
 

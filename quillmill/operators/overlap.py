@@ -6,15 +6,15 @@ within equal values of that key; without it, every candidate is held against the
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from quillmill.functions import text as X
+from quillmill.operators.commonsub import longest_common
 from quillmill.operators.metrics import pair_score
+from quillmill.operators.nearjoin import near_best
+from quillmill.sources.durable import settle, work_dir
 
 MIN_SENTENCE, MIN_PARAGRAPH, MIN_VISIBLE, NEAR = 8, 30, 12, 0.88
 
@@ -61,90 +61,27 @@ def sequence_ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
-#: Reference items that one scan of the candidates holds.
-BLOCK = 4096
-
-
-def _least_shared(total: int, threshold: float) -> float:
-    """Trigrams that two texts of ``total`` characters share at a ratio of ``threshold``: the M >= threshold * total / 2
-    matching characters lie in at most 1 + total - 2 * M runs, and a run of n has n - 2 of them."""
-    return threshold * total / 2 - 2 - 2 * (1 - threshold) * total
-
-
-def _common_subsequence(masks: dict[str, int], b: str, n: int) -> int:
+def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, bit by bit; the matching blocks of difflib are one, so never longer."""
-    full = (1 << n) - 1
-    v = full
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        masks[ch] = masks.get(ch, 0) | 1 << i
+    v = full = (1 << len(a)) - 1
     for ch in b:
         u = v & masks.get(ch, 0)
         v = ((v + u) | (v - u)) & full
-    return n - v.bit_count()
-
-
-def best_in_block(norms: list[str], refs: list[str], threshold: float) -> list[tuple[int, float]]:
-    """Of each text the first best reference and its ratio, (-1, 0.0) for none at ``threshold``; bounds prune, difflib decides."""
-    index: dict[str, list[int]] = {}
-    for r, t in enumerate(refs):
-        for g in {t[i : i + 3] for i in range(len(t) - 2)}:
-            index.setdefault(g, []).append(r)
-    posts = {g: np.array(x, np.int32) for g, x in index.items()}
-    size = np.array([len(t) for t in refs], np.int64)
-    out = []
-    for t in norms:
-        hits = [x for i in range(len(t) - 2) if (x := posts.get(t[i : i + 3])) is not None]
-        best = (-1, 0.0)
-        if hits:
-            n = len(t)
-            shared = np.bincount(np.concatenate(hits), minlength=len(refs))
-            long, short = np.maximum(size, n), np.minimum(size, n)
-            ok = (shared > 0) & (shared >= _least_shared(size + n, threshold) - 1e-6)
-            ok &= (long - short <= np.maximum(8, np.floor(long * 0.4))) & (2 * short >= threshold * (long + short))
-            masks: dict[str, int] = {}
-            for r in np.flatnonzero(ok).tolist():
-                if not masks:
-                    for i, ch in enumerate(t):
-                        masks[ch] = masks.get(ch, 0) | 1 << i
-                most = 2 * _common_subsequence(masks, refs[r], n) / (n + len(refs[r]))
-                if most >= threshold and most > best[1] and (q := sequence_ratio(t, refs[r])) >= threshold and q > best[1]:
-                    best = (r, q)
-        out.append(best)
-    return out
-
-
-def _near_whole(own: DataFrame, other: DataFrame, threshold: float) -> DataFrame:
-    """Each distinct candidate text against all of the reference, a block of it at a time, so no trigram gathers rows."""
-    spark = own.sparkSession
-    first = other.groupBy("ref_norm").agg(F.min(F.struct("ref_key", "ref_pos", "ref_raw")).alias("r")).select("ref_norm", "r.*").orderBy("ref_key", "ref_pos")
-    texts = own.select("norm").distinct().repartition(4 * spark.sparkContext.defaultParallelism, "norm")  # a number, so that small tables aren't put into one task
-    schema = "norm string, similarity double, ref_at long"
-
-    def scan(block: list[str], start: int) -> DataFrame:
-        held = spark.sparkContext.broadcast(block)
-
-        def run(batches):
-            for b in batches:
-                norms = b.column("norm").to_pylist()
-                found = [(t, q, start + r) for t, (r, q) in zip(norms, best_in_block(norms, held.value, threshold), strict=True) if r >= 0]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.int64()))], names=["norm", "similarity", "ref_at"])
-
-        return texts.mapInArrow(run, schema)
-
-    refs, scans, block, at = [], [], [], 0
-    for r in first.toLocalIterator():
-        refs.append((at, r["ref_key"], r["ref_pos"], r["ref_norm"], r["ref_raw"]))
-        block.append(r["ref_norm"])
-        at += 1
-        if len(block) == BLOCK:
-            scans.append(scan(block, at - len(block)))
-            block = []
-    scans.append(scan(block, at - len(block)))
-    found = scans[0]
-    for s in scans[1:]:
-        found = found.union(s)
-    kinds = {f.name: f.dataType for f in first.schema}
-    named = StructType([StructField("ref_at", LongType()), *[StructField(c, kinds[c]) for c in ("ref_key", "ref_pos", "ref_norm", "ref_raw")]])
-    best = found.groupBy("norm").agg(F.max(F.struct("similarity", (-F.col("ref_at")).alias("at"))).alias("m")).select("norm", F.col("m.similarity").alias("similarity"), (-F.col("m.at")).alias("ref_at"))
-    return own.join(best, "norm").join(spark.createDataFrame(refs, named), "ref_at").drop("ref_at")
+    return len(a) - v.bit_count()
+
+
+def _near_whole(cand: DataFrame, ref: DataFrame, key: str, threshold: float) -> DataFrame:
+    """Each candidate item against all of the reference, in blocks of its inverted file; what is found is little."""
+    own, other = cand.where(F.col("visible") >= MIN_VISIBLE), ref.where(F.col("visible") >= MIN_VISIBLE)
+    some = settle(near_best(own, other, threshold, MIN_SENTENCE, common_subsequence, sequence_ratio), f"{work_dir(cand.sparkSession)}/near")
+    some = some.join(ref.select("exact").distinct(), "exact", "left_anti").join(ref.select("norm").distinct(), "norm", "left_anti")
+    first = other.groupBy(F.col("norm").alias("ref_norm")).agg(F.min(F.struct(F.col(key).alias("ref_key"), F.col("pos").alias("ref_pos"), F.col("raw").alias("ref_raw"))).alias("r"))
+    best = Window.partitionBy(key, "pos").orderBy(F.desc("similarity"), "r.ref_key", "r.ref_pos")
+    met = some.join(first, "ref_norm").withColumn("_r", F.row_number().over(best)).where("_r = 1")
+    return met.select(*cand.columns, "similarity", "r.ref_key", "r.ref_pos", "ref_norm", "r.ref_raw")
 
 
 def near_matches(cand: DataFrame, ref: DataFrame, key: str, pair: bool, threshold: float = NEAR) -> DataFrame:
@@ -153,11 +90,11 @@ def near_matches(cand: DataFrame, ref: DataFrame, key: str, pair: bool, threshol
     Blocked on shared trigrams: a ratio of t needs matching characters, so pairs under the length gap, or with too few
     common trigrams or characters, are cut before difflib runs. Ties go to the earliest reference item.
     """
-    on = [key] if pair else []
-    own = cand.where(F.col("visible") >= MIN_VISIBLE).join(ref.select(*on, "exact").distinct(), [*on, "exact"], "left_anti").join(ref.select(*on, "norm").distinct(), [*on, "norm"], "left_anti")
-    other = ref.where(F.col("visible") >= MIN_VISIBLE).select(*on, *([] if pair else [F.col(key).alias("ref_key")]), F.col("pos").alias("ref_pos"), F.col("norm").alias("ref_norm"), F.col("raw").alias("ref_raw"))
     if not pair:
-        return _near_whole(own, other, threshold)
+        return _near_whole(cand, ref, key, threshold)
+    on = [key]
+    own = cand.where(F.col("visible") >= MIN_VISIBLE).join(ref.select(*on, "exact").distinct(), [*on, "exact"], "left_anti").join(ref.select(*on, "norm").distinct(), [*on, "norm"], "left_anti")
+    other = ref.where(F.col("visible") >= MIN_VISIBLE).select(*on, F.col("pos").alias("ref_pos"), F.col("norm").alias("ref_norm"), F.col("raw").alias("ref_raw"))
     tri = lambda df: df.select("*", F.explode(F.array_distinct(X.shingles(F.col("norm"), 3))).alias("tri"))
     o = other.select("*", F.explode(F.array_distinct(X.shingles(F.col("ref_norm"), 3))).alias("tri"))
     long, short = F.greatest(F.length("norm"), F.length("ref_norm")), F.least(F.length("norm"), F.length("ref_norm"))
@@ -264,20 +201,8 @@ def contamination_stats(ref: DataFrame, cand: DataFrame, key: str) -> DataFrame:
     return out.withColumn("contamination_risk", contamination_risk(c("exact_ratio"), c("exact_count"), c("normalized_ratio"), c("normalized_count"), c("near_count"), c("near_ratio"), c("shingle12_ratio"), c("shingle20_ratio"), c("longest"), c("par_exact"), c("par_norm")))
 
 
-#: A longest common substring under this changes no risk.
-LEAST_COMMON = 80
-
-
-def longest_overlap(cand: DataFrame, ref: DataFrame, key: str, least: int = LEAST_COMMON) -> DataFrame:
-    """A8 against each text of the reference: ``key, longest``, for candidates that share ``least`` characters with one."""
-    grams = lambda df, name: df.select(F.col(key).alias(name), F.explode(X.shingles(X.compact(F.col("text")), least)).alias("gram"))
-    met = grams(cand, "_c").join(grams(ref, "_r").distinct(), "gram").select("_c", "_r").distinct()
-    pairs = met.join(cand.select(F.col(key).alias("_c"), F.col("text").alias("_a")), "_c").join(ref.select(F.col(key).alias("_r"), F.col("text").alias("_b")), "_r")
-    return longest_common_substrings(pairs, "_a", "_b").groupBy(F.col("_c").alias(key)).agg(F.max("lcs.length").alias("longest"))
-
-
 def contamination_whole(ref: DataFrame, cand: DataFrame, key: str) -> DataFrame:
-    """The signals of A7 and the risk of every candidate against the whole reference; ``longest`` is 0 under LEAST_COMMON."""
+    """The signals of A7 and the risk of every candidate against the whole reference."""
     ci, ri = items(cand, key), items(ref, key)
     out = cand.select(key).distinct()
     o = sentence_overlaps(ci, ri, key, False)
@@ -289,7 +214,7 @@ def contamination_whole(ref: DataFrame, cand: DataFrame, key: str) -> DataFrame:
         s = shingle_overlap(cand, ref, key, False, k)
         out = out.join(s.select(key, X.ratio(F.col("matched"), F.col("total")).alias(f"shingle{k}_ratio")), key, "left")
     p = paragraph_overlap(items(cand, key, "paragraphs", MIN_PARAGRAPH), items(ref, key, "paragraphs", MIN_PARAGRAPH), key, False)
-    out = out.join(longest_overlap(cand, ref, key), key, "left").join(p.select(key, F.col("exact_count").alias("par_exact"), F.col("normalized_count").alias("par_norm")), key, "left")
+    out = out.join(longest_common(cand, ref, key), key, "left").join(p.select(key, F.col("exact_count").alias("par_exact"), F.col("normalized_count").alias("par_norm")), key, "left")
     signals = [n for n in out.columns if n != key]
     out = out.na.fill(0, signals).withColumn("near_ratio", X.ratio(F.col("near_count"), F.col("_n"))).drop("_n")
     c = F.col

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import segment as S
 from quillmill.functions import text as X
+from quillmill.operators.commonsub import longest_common
 from quillmill.operators import datasets, dedup, facts, merging, metrics, overlap, retrieval, samples
 from quillmill.streaming import session
 
@@ -207,11 +208,18 @@ def near_overlap(spark, sf_dir):
 @query()
 def longest_common_substring(spark, sf_dir):
     bench = read(spark, sf_dir, "benchmark")
-    gram = lambda df, key: df.select(key, "text", F.explode(F.array_distinct(X.shingles(X.normalized(F.col("text")), 20))).alias("g"))
-    pairs = gram(docs(spark, sf_dir), "doc_id").join(gram(bench, "item_id").withColumnRenamed("text", "ref"), "g").dropDuplicates(["doc_id", "item_id"])
+    gram = lambda df, key: df.select(key, F.explode(F.array_distinct(X.shingles(X.normalized(F.col("text")), 20))).alias("g"))
+    met = gram(docs(spark, sf_dir), "doc_id").join(gram(bench, "item_id"), "g").select("doc_id", "item_id").distinct()
+    pairs = met.join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id").join(bench.select("item_id", F.col("text").alias("ref")), "item_id")
     return overlap.longest_common_substrings(pairs, "text", "ref").select("doc_id", "item_id", "lcs.*")
 
 
+@query()
+def longest_overlap(spark, sf_dir):
+    """A8 of every document against the whole benchmark, of any length."""
+    return longest_common(docs(spark, sf_dir), read(spark, sf_dir, "benchmark").select("text"), "doc_id")
+
+
 @query(f"""
 WITH {_items('c', 'doc_id', 'documents')}, {_items('b', 'item_id', 'benchmark')},
 o AS (SELECT doc_id, count(*) AS n, count(*) FILTER (exact IN (SELECT exact FROM b)) AS e, count(*) FILTER (norm IN (SELECT norm FROM b)) AS m FROM c GROUP BY doc_id)

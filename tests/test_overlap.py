@@ -17,8 +17,7 @@ def sentences(rng, n, words=("river", "stone", "the", "walks", "over", "quiet",
     return [" ".join(rng.choices(words, k=rng.randint(3, 14))) + "." for _ in range(n)]
 
 
-def test_near_overlap_equals_brute_force_over_documents(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(overlap, "BLOCK", 7)
+def test_near_overlap_equals_brute_force_over_documents(spark, tmp_path):
     rng = random.Random(3)
     bench = [(i, " ".join(sentences(rng, 3))) for i in range(12)]
     docs = []
