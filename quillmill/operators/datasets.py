@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import segment as S
+from quillmill.sources.durable import settle, work_dir
 
 IGNORE = -100
 STD_FLOOR = 1e-4
@@ -157,36 +159,75 @@ def routing_counts(df: DataFrame, expert: str, order: str) -> DataFrame:
     return df.withColumn("place", F.row_number().over(w.orderBy(order))).withColumn("expert_tokens", F.count("*").over(w))
 
 
+def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Best-fit-decreasing over sizes and their counts: ``(size, first, stop, bin, each, used)``, by which the rows of a
+    size numbered ``first`` to ``stop`` go, ``each`` of them to a bin, into bins from ``bin`` on, behind ``used``.
+
+    Bins in the same state are kept as runs, so the work depends on the number of sizes, not of rows. A row goes to the
+    bin with the least space that holds it, of equal ones to the first; it then has the least space for the next row of
+    that size too, so a bin takes all it can before another does. A size over capacity has bins of its own; rows of size
+    0 share a bin.
+    """
+    runs: list[list[int]] = []  # [space left, first bin, number of bins], bins with space only
+    plan, bins = [], 0
+    for size in sorted(histogram, reverse=True):
+        left, at = histogram[size], 0
+        runs.sort()
+        kept: list[list[int]] = []
+        for k, (space, first, n) in enumerate(runs):
+            if space < size or not left:
+                kept.append(runs[k])
+                continue
+            each = space // size if size else left
+            used = min(n, -(-left // each))
+            take = min(left, used * each)
+            plan.append((size, at, at + take, first, each, capacity - space))
+            whole = take // each
+            kept += [[rest, b, m] for rest, b, m in ((space - each * size, first, whole), (space - (take - whole * each) * size, first + whole, used - whole), (space, first + used, n - used)) if m and rest > 0]
+            at, left = at + take, left - take
+        if left:
+            each = max(1, capacity // size) if size else left
+            used = -(-left // each)
+            plan.append((size, at, at + left, bins, each, 0))
+            whole = left // each
+            kept += [[rest, b, m] for rest, b, m in ((capacity - each * size, bins, whole), (capacity - (left - whole * each) * size, bins + whole, used - whole)) if m and rest > 0]
+            bins += used
+        runs = kept
+    return plan
+
+
 def pack_best_fit(df: DataFrame, key: str, size: str, capacity: int, parts: int | None = None) -> DataFrame:
-    """V2: best-fit-decreasing packing: ``key, part, bin, offset``. Rows are dealt to ``parts`` by a hash of their key and
-    sorted by size there, so bins depend on the rows alone, a task holds open bins and no rows, and a lost task repeats
-    only its own. Rows over capacity have a bin of their own."""
-    from pyspark import TaskContext
+    """V2: best-fit-decreasing packing: ``key, part, bin, offset``, the same for every number of tasks: what a sequential
+    pass over the rows by falling size, then key, would give. ``part`` is 0.
+
+    The bins are solved on the histogram of sizes (at most ``capacity`` classes and one for each size beyond it, which
+    are counted as one); rows are numbered within their size by ranges of (size, key), and take their place from that
+    plan. Rows over capacity have a bin of their own; null sizes are 0; rows that share a size and a key are told apart
+    as read.
+    """
+    spark = df.sparkSession
+    root = work_dir(spark)
+    whole = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
+    base = df.select(F.col(key).alias("_k"), whole.alias("_z"), F.least(whole, F.lit(capacity + 1)).alias("_s"), F.monotonically_increasing_id().alias("_i"))
+    n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = settle(base.repartitionByRange(n, F.desc("_z"), "_k", "_i").withColumn("_p", F.spark_partition_id()), f"{root}/sizes")
+    count = dealt.groupBy("_s", "_p").agg(F.count("*").alias("_n"))
+    plan = best_fit_plan({r["_s"]: r["n"] for r in count.groupBy("_s").agg(F.sum("_n").alias("n")).collect()}, capacity)
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("_p", "_s").orderBy(F.desc("_z"), "_k", "_i")) - 1
+    ranked = dealt.withColumn("_r", inside).join(count.select("_s", "_p", before.alias("_b")), ["_s", "_p"]).select("_k", "_s", (F.col("_r") + F.col("_b")).alias("_r"))
+    held = spark.sparkContext.broadcast(np.array(sorted(plan), np.int64).reshape(-1, 6))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        n = part << 32  # bins of different parts have different numbers
-        open_bins: dict[int, list[int]] = {}  # space left -> bins
-        spaces = 0  # a bit for each space left that some bin has
+        steps = held.value
+        low, step = np.searchsorted(steps[:, 0], np.arange(capacity + 3)), steps[:, 1]
         for rows in frames:
-            out = []
-            for k, s in zip(rows[key], rows[size].astype(int), strict=True):
-                fitting = spaces >> s
-                if s > capacity or not fitting:
-                    b, left, n = n, max(capacity, s), n + 1
-                    at = 0
-                else:
-                    left = s + ((fitting & -fitting).bit_length() - 1)
-                    b, at = open_bins[left].pop(), capacity - left
-                    if not open_bins[left]:
-                        del open_bins[left]
-                        spaces &= ~(1 << left)
-                out.append((k, part, b, at))
-                if left - s > 0:
-                    open_bins.setdefault(left - s, []).append(b)
-                    spaces |= 1 << (left - s)
-            yield pd.DataFrame(out, columns=[key, "part", "bin", "offset"])
-
-    n = parts or df.sparkSession.sparkContext.defaultParallelism
-    dealt = df.select(key, size).repartition(n, F.xxhash64(key)).sortWithinPartitions(F.desc(size), key)
-    return dealt.mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, part int, bin long, offset long")
+            s, r = rows["_s"].to_numpy(), rows["_r"].to_numpy()
+            at = np.empty(len(s), np.int64)
+            for v in np.unique(s):
+                k = s == v
+                at[k] = low[v] + np.searchsorted(step[low[v] : low[v + 1]], r[k], side="right") - 1
+            _, first, _, start, each, used = steps[at].T
+            yield pd.DataFrame({key: rows["_k"], "part": np.zeros(len(s), np.int32), "bin": start + (r - first) // each, "offset": used + (r - first) % each * np.minimum(s, capacity)})
+
+    return ranked.mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, part int, bin long, offset long")

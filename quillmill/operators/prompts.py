@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as X
-from quillmill.sources.durable import hadoop_path
+from quillmill.sources.durable import discard, hadoop_path, settle, work_dir
 
 #: A model: a prompt in, a text out. The default is deterministic and offline.
 ModelFn = Callable[[str], str]
@@ -102,9 +102,10 @@ def section(c: Column, start: str, ends: tuple[str, ...]) -> Column:
     return F.when(has, X.strip(body))
 
 
-def call_model(rows: DataFrame, prompt: str, model: ModelFn = mock_model, parse: Callable[[str], object] | None = None, attempts: int = 3, out: str = "response", wait: float = 2.0, most: float = 5.0) -> DataFrame:
+def call_model(rows: DataFrame, prompt: str, model: ModelFn = mock_model, parse: Callable[[str], object] | None = None, attempts: int = 3, out: str = "response", wait: float = 2.0, most: float = 5.0, default: str = "") -> DataFrame:
     """Adds ``response, attempts, failed``. A call that raises, or whose answer ``parse`` rejects, is tried
-    again after ``wait`` seconds, then twice that and so on, at most ``most``. A failure leaves an empty response."""
+    again after ``wait`` seconds, then twice that and so on, at most ``most``. A failure leaves ``default``: an empty
+    response, or the label that stands for an unclear one."""
 
     def run(text: str) -> tuple[str, int, bool]:
         for n in range(1, attempts + 1):
@@ -116,13 +117,13 @@ def call_model(rows: DataFrame, prompt: str, model: ModelFn = mock_model, parse:
             except Exception:  # noqa: BLE001 - any failure of a model counts as one attempt
                 if n < attempts:
                     time.sleep(min(wait * n, most))
-        return "", attempts, True
+        return default, attempts, True
 
     @F.pandas_udf(f"{out} string, attempts int, failed boolean")
     def ask(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([run(t or "") for t in texts], columns=[out, "attempts", "failed"])
 
-    return rows.withColumn("_m", ask(F.col(prompt))).select(*rows.columns, "_m.*")
+    return rows.withColumn("_m", ask.asNondeterministic()(F.col(prompt))).select(*rows.columns, "_m.*")  # else a filter calls again
 
 
 def cache_key(version: str, *parts: Column) -> Column:
@@ -130,23 +131,66 @@ def cache_key(version: str, *parts: Column) -> Column:
     return F.sha2(F.to_json(F.struct(F.lit(version).alias("v"), *[p.alias(f"p{i}") for i, p in enumerate(parts)]), {"ignoreNullFields": "false"}), 256)
 
 
-def read_through(rows: DataFrame, cache: DataFrame | None, key: str, prompt: str, model: ModelFn = mock_model, force: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(all rows with their response, rows to append to the cache). Only misses reach the model."""
-    if cache is None or force:
-        made = call_model(rows, prompt, model)
-        return made, made.select(key, "response")
-    hits = rows.join(cache.select(key, "response"), key)
-    made = call_model(rows.join(cache.select(key), key, "left_anti"), prompt, model)
-    return hits.unionByName(made.select(*rows.columns, "response")), made.select(key, "response")
+#: Calls of a committed batch, and hash classes of keys into which a batch is laid out.
+BATCH_CALLS, KEY_CLASSES = 20_000, 64
 
 
-def cached_calls(rows: DataFrame, path: str, key: str, prompt: str, model: ModelFn = mock_model, force: bool = False) -> DataFrame:
-    """S13 with its storage: every row with its response. The cache at ``path`` is a folder of Parquet batches; what was
-    missing is called once, appended there, and read back from it, so a run that is cut short goes on where it was."""
-    spark = rows.sparkSession
+def _class_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(KEY_CLASSES)).cast("int")
+
+
+def _batches(spark, path: str) -> list[tuple[int, str]]:
+    """The batches that were committed, in order."""
     fs, at = hadoop_path(spark, path)
-    held = spark.read.schema(f"{key} {dict(rows.dtypes)[key]}, response string").parquet(path) if fs.exists(at) else None
-    _, new = read_through(rows, held, key, prompt, model, force)
-    new.write.mode("overwrite" if force else "append").parquet(path)
-    made = spark.read.schema(f"{key} {dict(rows.dtypes)[key]}, response string").parquet(path)
-    return rows.join(made.dropDuplicates([key]), key)
+    if not fs.exists(at):
+        return []
+    found = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("batch=")]
+    done = [p for p in found if fs.exists(hadoop_path(spark, f"{p.toString()}/_SUCCESS")[1])]
+    return sorted((int(p.getName().removeprefix("batch=")), p.toString()) for p in done)
+
+
+def read_cache(spark, path: str, key: str, kind: str) -> DataFrame:
+    """``key, response, class`` of all answers kept: of those that share a key the newest, in whole, by its batch."""
+    paths = [p for _, p in _batches(spark, path)]
+    if not paths:
+        return spark.createDataFrame([], f"{key} {kind}, response string, class int")
+    all_ = spark.read.schema(f"{key} {kind}, response string, status string, batch int, class int").option("basePath", path).parquet(*paths)
+    newest = all_.where("status = 'ok'").groupBy(key).agg(F.max(F.struct("batch", "response")).alias("m"), F.first("class").alias("class"))
+    return newest.select(key, F.col("m.response").alias("response"), "class")
+
+
+def _commit(made: DataFrame, path: str, number: int, key: str) -> None:
+    made.select(key, "response", F.lit("ok").alias("status"), _class_of(key).alias("class")).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").partitionBy("class").parquet(f"{path.rstrip('/')}/batch={number}")
+
+
+def cached_calls(rows: DataFrame, path: str, key: str, prompt: str, model: ModelFn = mock_model, force: bool = False, parse: Callable[[str], object] | None = None, attempts: int = 3, wait: float = 2.0, batch: int = BATCH_CALLS) -> DataFrame:
+    """Every row with its response, read through a cache at ``path``; null where no call was answered.
+
+    A distinct key is called once, with the least of its prompts. Calls are made in batches of about ``batch`` keys, by
+    hash, and each batch is committed as a whole, so a run that is cut short keeps those it finished. Only answers are
+    kept: a key whose calls failed is called again by the next run. ``force`` calls all keys again; the newest answer
+    counts. A null key is never kept or called and has no response. Batches are laid out by a class of the key.
+    """
+    spark = rows.sparkSession
+    kind = dict(rows.dtypes)[key]
+    held = read_cache(spark, path, key, kind)
+    asked = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(prompt).alias(prompt))
+    missing = settle(asked if force else asked.join(held.select(key), key, "left_anti"), f"{work_dir(spark)}/missing")
+    n = missing.count()
+    number = max([k for k, _ in _batches(spark, path)], default=0)
+    shares = -(-n // batch)
+    for k in range(shares):
+        some = missing.where(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(shares)) == k)
+        made = settle(call_model(some, prompt, model, parse, attempts, wait=wait).where("not failed"), f"{work_dir(spark)}/made")
+        number += 1
+        _commit(made, path, number, key)
+    return rows.join(read_cache(spark, path, key, kind).select(key, "response"), key, "left")
+
+
+def compact_cache(spark, path: str, key: str, kind: str) -> None:
+    """One batch of all batches. It is committed before they go, so readers find every answer at any time."""
+    old = _batches(spark, path)
+    if len(old) > 1:
+        _commit(read_cache(spark, path, key, kind), path, old[-1][0] + 1, key)
+        for _, p in old:
+            discard(spark, p)

@@ -265,6 +265,22 @@ def online_prompts(spark, sf_dir):
     return out.select("conv_id", "turn", shown("prompt_input_ids").alias("ids"), F.aggregate("prompt_attention_mask", F.lit(0), lambda a, x: a + x).alias("attended"))
 
 
+@query("""
+WITH RECURSIVE o AS (SELECT doc_id, size, row_number() OVER (ORDER BY size DESC, doc_id) AS n FROM (SELECT doc_id, least(length(coalesce(text, '')), 700)::BIGINT AS size FROM documents)),
+f AS (
+  SELECT 0::BIGINT AS n, NULL::BIGINT AS doc_id, []::BIGINT[] AS spaces, NULL::BIGINT AS bin, NULL::BIGINT AS "offset"
+  UNION ALL
+  SELECT n, doc_id, CASE WHEN k IS NULL THEN list_append(spaces, greatest(512 - size, 0)) ELSE list_transform(spaces, lambda x, i: CASE WHEN i = k THEN x - size ELSE x END) END,
+    coalesce(k - 1, len(spaces)), CASE WHEN k IS NULL THEN 0 ELSE 512 - spaces[k] END
+  FROM (SELECT o.n, o.doc_id, o.size, f.spaces, list_position(f.spaces, list_min(list_filter(f.spaces, lambda x: x >= o.size AND x > 0))) AS k FROM f JOIN o ON o.n = f.n + 1))
+SELECT doc_id, bin, "offset" FROM f WHERE n > 0
+""")
+def packed_layout(spark, sf_dir):
+    """V2: the bin and place of every row, as a sequential pass has them."""
+    d = docs(spark, sf_dir).select("doc_id", F.least(F.length(F.coalesce("text", F.lit(""))), F.lit(700)).alias("size"))
+    return datasets.pack_best_fit(d, "doc_id", "size", 512).select("doc_id", "bin", "offset")
+
+
 @query("SELECT count(*) AS rows, count(*) AS keys, sum(size)::BIGINT AS tokens, 0::BIGINT AS over_full, 0::BIGINT AS gaps FROM (SELECT least(length(text), 700) AS size FROM documents)")
 def packed_bins(spark, sf_dir):
     """V2: which bins there are depends on the parts, so what holds for any packing is compared."""
