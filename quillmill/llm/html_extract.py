@@ -31,20 +31,30 @@ STOP = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"},
 # Elements, roles and words of class or id that mark what is never the article.
 CUT = frozenset("script style noscript template textarea title head iframe object embed svg math canvas audio video nav aside footer form button select option datalist input menu dialog search noembed noframes xmp".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
-BAD = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar rail footer foot masthead topbar header cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal overlay share sharing social related recommend recommended recommendations comment comments commenting reply replies respond disqus discussion feedback widget pagination pager toolbar skip copyright legal disclaimer outbrain taboola paywall".split())
+STRONG = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted nav navbar navigation menu breadcrumb breadcrumbs sidebar topbar cookie cookies consent gdpr newsletter subscribe subscription signup login popup modal share sharing comment comments commenting disqus pagination pager toolbar outbrain taboola paywall".split())
+# Words that name furniture as well as what prose is about; they need a second sign.
+WEAK = frozenset("banner promotion rail footer foot masthead header notice notices alert overlay social related recommend recommended recommendations reply replies respond discussion feedback widget skip copyright legal disclaimer".split())
+BAD = STRONG | WEAK
+# Weak words of what stands at an edge of an article; words that say nothing beside a weak one; elements
+# that a reader fills in; titles of lists that lead elsewhere.
+EDGE = frozenset("notice notices alert banner overlay skip copyright disclaimer footer foot reply replies respond feedback widget".split())
+PLAIN = frozenset("area bar block box col column container content div group inner item items link links list outer post posts row section site the wrap wrapper".split())
+CONTROLS = frozenset("form input button select textarea".split())
+TITLES = re.compile(r"\s*(?:related|read (?:more|next|also)|more (?:from|on|stories|articles|posts)|recommended|share|follow us|tags?\b|popular|trending|most read|latest|you (?:may|might)|comments?\b|newsletter|navigation|menu)", re.I)
 GOOD = frozenset("article articles content entry main page post story text body blog hentry prose markdown".split())
 WEIGHT = {"article": 25, "main": 20, "div": 5, "section": 3, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "form": -3, "address": -3, "th": -5, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5}
 PARAGRAPH = frozenset("p pre td blockquote div section article main body li dd".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "up", "points", "text", "linked")
+    __slots__ = ("tag", "attrs", "kids", "up", "points", "text", "linked", "links", "asks")
 
     def __init__(self, tag: str, attrs: str, up: Node | None):
         self.tag, self.attrs, self.up = tag, attrs, up
         self.kids: list[Node | str] = []
         self.points = 0.0
-        self.text = self.linked = 0
+        self.text = self.linked = self.links = 0
+        self.asks = False
 
     def attr(self) -> dict[str, str]:
         return {k.lower(): unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(self.attrs)}
@@ -107,8 +117,30 @@ def parse(html: str) -> Node:
     return root
 
 
+def measure(nodes: list[Node]) -> None:
+    """Characters, linked ones, links and whether a reader fills in anything, below each node; ``nodes`` are in order."""
+    for n in reversed(nodes):  # children first
+        n.text, n.linked, n.links, n.asks = 0, 0, int(n.tag == "a"), n.tag in CONTROLS
+        for k in n.kids:
+            if isinstance(k, str):
+                n.text += len(k) - k.count(" ") - k.count("\n")
+            else:
+                n.text += k.text
+                n.linked += k.text if k.tag == "a" else k.linked
+                n.links += k.links
+                n.asks |= k.asks
+
+
+def at_an_edge(n: Node) -> bool:
+    """Whether nothing but white space lies before or behind ``n`` in its parent."""
+    some = [k for k in n.up.kids if k is n or (k.strip() if isinstance(k, str) else k.text)]
+    return some[0] is n or some[-1] is n
+
+
 def unwanted(n: Node, inside: bool, by_class: bool) -> bool:
-    """Whether ``n`` is cut; ``inside`` an article, its own header stays."""
+    """Whether ``n`` is cut. Names that mean furniture alone decide; others need a second sign: many links, something to
+    fill in, or that the names say nothing else and the element lies outside an article or at an edge of it. ``inside`` an
+    article, its own header stays, and so do paragraphs and headings that only a weak name marks."""
     if n.tag in CUT or (n.tag == "header" and not inside):
         return True
     if not n.attrs:
@@ -121,13 +153,20 @@ def unwanted(n: Node, inside: bool, by_class: bool) -> bool:
     if a.get("role", "") in CUT_ROLES:
         return True
     words = n.words(a)
-    bad = words & BAD
-    if inside and n.tag in ("header", "h1", "h2", "h3", "p", "span", "div"):
-        bad = bad - {"header", "text"}
-    return by_class and bool(bad) and n.tag not in ("b", "i", "em", "strong", "span") and not (bad <= {"header", "page", "banner"} and inside)
+    if not by_class or n.tag in ("a", "b", "i", "em", "strong", "span"):
+        return False
+    if words & STRONG:
+        return True
+    weak = words & WEAK
+    if not weak or (inside and n.tag in ("p", "header", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote")):
+        return False
+    if n.asks or (n.links > 1 and n.linked > 0.4 * n.text):
+        return True
+    return words <= BAD | PLAIN and (not inside or bool(weak & EDGE) and at_an_edge(n))
 
 
 def prune(root: Node, by_class: bool) -> None:
+    measure(in_order(root))
     stack = [(root, False)]
     while stack:
         n, inside = stack.pop()
@@ -160,13 +199,7 @@ def inline_text(n: Node) -> str:
 
 
 def score(nodes: list[Node]) -> None:
-    for n in reversed(nodes):  # children first
-        for k in n.kids:
-            if isinstance(k, str):
-                n.text += len(k) - k.count(" ") - k.count("\n")
-            else:
-                n.text += k.text
-                n.linked += k.text if k.tag == "a" else k.linked
+    measure(nodes)
     for n in nodes:
         n.points += WEIGHT.get(n.tag, 0)
         if n.attrs and n.tag in BLOCK:
@@ -206,14 +239,40 @@ def choose(root: Node, nodes: list[Node]) -> list[Node]:
             out.append(k)
         elif not isinstance(k, str) and k.text:
             dense = k.linked / k.text
-            if (k.points > 0 and k.tag in BLOCK and final(k) >= bar) or (k.tag == "p" and ((k.text > 80 and dense < 0.25) or (k.linked == 0 and inline_text(k)[-1:] in (".", "!", "?", "…")))) or (k.tag in ("h1", "h2", "h3") and best not in out and dense < 0.25):
+            if (k.points > 0 and k.tag in BLOCK and final(k) >= bar) or (k.tag == "p" and ((k.text > 80 and dense < 0.25) or (k.linked == 0 and inline_text(k)[-1:] in (".", "!", "?", "…")))) or (k.tag in ("h1", "h2", "h3") and best not in out and dense < 0.25) or part_of_article(k):
                 out.append(k)
     return out
 
 
+def part_of_article(n: Node) -> bool:
+    """A container beside the best one that has a heading of its own and sentences under it."""
+    if n.tag not in ("div", "section") or n.linked > 0.25 * n.text:
+        return False
+    below = in_order(n)
+    heads = [k for k in below if k.tag in ("h1", "h2", "h3", "h4") and k.text]
+    told = [k for k in below if k.tag in ("p", "blockquote", "li") and inline_text(k)[-1:] in (".", "!", "?", "…", ":", "\"", "”")]
+    return bool(heads and told) and not TITLES.match(inline_text(heads[0]))
+
+
 def linky(n: Node) -> bool:
-    """A list or container that is mostly several links."""
-    return n.tag in ("ul", "ol", "div", "section", "table", "dl") and n.text > 0 and n.linked > 0.6 * n.text and sum(k.tag == "a" for k in in_order(n)) > 1
+    """A list or container that is mostly several links, unless it stands under a heading of the article, or behind a
+    sentence that announces it."""
+    if n.tag not in ("ul", "ol", "div", "section", "table", "dl") or not n.text or n.links < 2 or n.linked <= 0.6 * n.text:
+        return False
+    inner = next((k for k in in_order(n)[1:] if k.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and k.text), None)
+    if inner is not None and inner.linked == 0:
+        return bool(TITLES.match(inline_text(inner)))
+    before = None
+    for k in n.up.kids:
+        if k is n:
+            break
+        if not isinstance(k, str) and k.text:
+            before = k
+    if before is None or before.linked:
+        return True
+    if before.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        return before.tag == "h1" or bool(TITLES.match(inline_text(before)))
+    return not inline_text(before).endswith(":")
 
 
 def blocks(tops: list[Node]) -> list[str]:
@@ -270,7 +329,9 @@ def _extract(batches):
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(id, url, text, n_chars)``, one row per page. Null and empty pages, and pages without text, give an empty text;
-    ids and urls may be null or repeated; extra columns are ignored; nesting of any depth is read."""
+    ids and urls may be null or repeated, and each row is read by itself; of containers that tie the outermost, then the
+    first, is taken; pages of any length and nesting of any depth are read whole; an empty table gives no rows; extra
+    columns are ignored."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     out = rows.mapInArrow(tidy(_extract), "id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
