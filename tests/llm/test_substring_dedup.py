@@ -5,6 +5,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 from quillmill.llm import common, substring_dedup as module
 from quillmill.llm.substring_dedup import substring_dedup
@@ -50,16 +51,79 @@ def test_empty_table(spark):
     assert substring_dedup(df).count() == 0
 
 
-def test_windows_that_share_an_anchor_and_40_bits_are_not_equal(monkeypatch):
-    starts = iter((1, 1000))
-    monkeypatch.setattr(module, "window_hashes", lambda w, n: (np.arange(len(w) - n + 1, dtype=np.uint64) + np.uint64(next(starts))) << np.uint64(40))
+FULL = SimpleNamespace(value=np.full(common.BLOOM_BITS // 8, 255, np.uint8))
+
+
+def batch_of(texts):
+    return pa.RecordBatch.from_pydict({"t1": pa.array(range(len(texts)), pa.int64()), "t2": pa.array(range(len(texts)), pa.int64()), "text": texts})
+
+
+def found_in(batches):
+    """(text, window) of all that the two steps find, each batch a task's."""
+    sent = [b for x in batches for b in module._segments(35, FULL)([x])]
+    t = pa.Table.from_batches(sent)
+    asked = t.filter(pa.compute.is_valid(t.column("anchor"))).sort_by("anchor")
+    rows = [(r["t1"], r["words"]) for r in t.to_pylist() if r["anchor"] is None]
+    for b in module._look_up(35)(asked.to_batches()):
+        rows += [(r["t1"], r["ranges"]) for r in b.to_pylist()]
+    return sorted({(i, w) for i, raw in rows for a, b in np.frombuffer(raw, np.int32).reshape(-1, 2).tolist() for w in range(a, b)})
+
+
+def test_words_that_share_40_bits_are_not_equal(monkeypatch):
+    hashes = lambda texts, lower: (np.concatenate([(np.arange(36, dtype=np.uint64) + np.uint64(5)) | (np.uint64(1 + int(t[1:2]) * (i == 20)) << np.uint64(40)) for t in texts for i in [20]]), np.arange(len(texts) + 1) * 36)
+    monkeypatch.setattr(module, "word_hashes", hashes)
     monkeypatch.setattr(module, "anchors", lambda w, n: np.full(len(w) - n + 1, 7, np.uint64))
-    bloom = SimpleNamespace(value=np.full(common.BLOOM_BITS // 8, 255, np.uint8))
-    texts = [" ".join(f"{c}{i}" for i in range(36)) for c in "ab"]
-    batch = pa.RecordBatch.from_pydict({"t1": pa.array([1, 2], pa.int64()), "t2": pa.array([1, 2], pa.int64()), "text": texts})
-    sent = list(module._segments(35, bloom)([batch]))
-    assert sum(b.num_rows for b in sent) == 2
-    assert not list(module._look_up(sent))
+    texts = [" ".join([f"x{c}"] * 36) for c in (1, 2)]
+    assert found_in([batch_of(texts)]) == [] and found_in([batch_of(texts[:1]), batch_of(texts[1:])]) == []
+    same = [texts[0], texts[0] + " "]
+    assert len(found_in([batch_of(same)])) == 4
+
+
+def cases():
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    passages = [rng.choices(words, k=k) for k in (35, 36, 60, 120)]
+    texts = []
+    for _ in range(40):
+        w = rng.choices(words, k=rng.randint(1, 60))
+        for p in rng.sample(passages, 2):
+            cut = rng.randint(0, len(p) - 35)
+            w += p[cut : cut + rng.randint(30, len(p))]
+        texts.append(" ".join(w))
+    return texts
+
+
+def windows_of(texts):
+    all_ = [(i, k, tuple(w[k : k + 35])) for i, t in enumerate(texts) for w in [t.split()] for k in range(len(w) - 34)]
+    n = Counter(x[2] for x in all_)
+    return [(i, k) for i, k, w in all_ if n[w] > 1]
+
+
+def test_blocks_find_every_repeated_window_and_no_other(monkeypatch):
+    texts = cases()
+    whole = batch_of(texts)
+    for size in (1 << 18, 500):
+        monkeypatch.setattr(module, "BLOCK", size)
+        assert found_in([whole]) == windows_of(texts)
+        assert found_in([whole.slice(i, 7) for i in range(0, 40, 7)]) == windows_of(texts)
+
+
+def test_without_the_parse_nothing_is_found(monkeypatch):
+    texts, none = cases(), np.zeros(0, np.int64)
+    assert found_in([batch_of(texts)])
+    monkeypatch.setattr(module, "factorise", lambda block: (none, none, none, np.zeros(len(block.words), np.int64)))
+    assert found_in([batch_of(texts)]) == [] and found_in([batch_of(texts[:20]), batch_of(texts[20:])]) == []
+
+
+def test_what_straddles_a_factor_is_looked_up():
+    """Every window of the first segment is repeated, in one of two others, but its greedy factors are 40 and 30 words."""
+    a = list(range(70))
+    segs = [a, [900, *a[:40], 901], [902, *a[20:], 903]]
+    block = module.Block(np.array([x for s in segs for x in s], np.uint64), np.repeat([0, 1, 2], [len(s) for s in segs]))
+    place, size, _, _ = module.factorise(block)
+    assert list(zip(place.tolist(), size.tolist(), strict=True))[:2] == [(0, 40), (40, 30)]
+    hit = module.repeated(block, 35).tolist()
+    assert [k for k in hit if k < 70] == [*range(6), *range(20, 36)]
 
 
 def test_a_hot_anchor_is_split_and_loses_nothing(spark):
@@ -79,7 +143,7 @@ def test_factors_are_the_longest_matches_and_leave_no_repeat_uncovered():
     for _ in range(60):
         segs = [[rng.randrange(4) for _ in range(rng.randint(1, 9))] for _ in range(rng.randint(1, 6))]
         flat, seg = [x for s in segs for x in s], [k for k, s in enumerate(segs) for _ in s]
-        place, length, source = (x.tolist() for x in module.factorise(np.array(flat, np.uint64), np.array(seg)))
+        place, length, source, longest = (x.tolist() for x in module.factorise(module.Block(np.array(flat, np.uint64), np.array(seg))))
 
         def piece(i, n):
             return tuple(flat[i : i + n]) if i + n <= len(flat) and seg[i] == seg[i + n - 1] else None
@@ -93,6 +157,7 @@ def test_factors_are_the_longest_matches_and_leave_no_repeat_uncovered():
             assert not held & set(range(i, i + n))
             held |= set(range(i, i + n))
         assert held == {i for i in range(len(flat)) if repeats(i, 1)}
+        assert all((not m or repeats(i, m)) and not repeats(i, m + 1) for i, m in enumerate(longest))
 
 
 def test_a_very_long_text(spark):
