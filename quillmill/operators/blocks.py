@@ -36,9 +36,13 @@ def _answer(batch: pa.RecordBatch, index, use: Callable, names: list[str]) -> pa
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt evenly, for work that is dear by the row: a table of few files is few tasks, whatever its rows cost."""
+    """``rows`` dealt evenly, for work that is dear by the row: a table of a few files is a few tasks, whatever its rows
+    cost. A table of as many files as there are tasks to keep busy stays as it is: its texts needn't be shuffled."""
     spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) >= tasks:
+        return rows
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), tasks))
 
 
 def meet(rows: DataFrame, text: str, items: DataFrame, build: Callable[[list[str]], object], use: Callable[[object, list], tuple[np.ndarray, list]], out: StructType, held: int = HELD, block: int = BLOCK) -> DataFrame:

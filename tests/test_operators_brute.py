@@ -140,3 +140,31 @@ def test_visible_pairs_against_every_pair_without_a_nested_loop(spark):
 def test_a_dictionary_of_names_joins_the_tokens(spark):
     row = spark.createDataFrame([("Li Wei met 林清雪 there",)], ["t"]).select(S.tokens_with(["林清雪", "Li Wei", "none"])(F.col("t")).alias("w")).first()
     assert row.w == ["li", "wei", "met", "there", "林清", "清雪", "林清雪", "Li Wei"]
+
+
+def test_grams_inside_a_row_equal_counting_each(spark):
+    rng = random.Random(11)
+    silent = frozenset(map(ord, ".-，"))
+    texts = ["".join(rng.choices("ab.-，日😀", k=rng.randint(0, 80))) for _ in range(80)] + ["", "a", "aa", "....", "".join(map(chr, range(0x4E00, 0x4E00 + 9000))) * 2]
+    for t in texts:
+        for n in (1, 2, 3, 4, 6):
+            seen = {}
+            for i in range(len(t) - n + 1):
+                seen.setdefault(t[i : i + n], []).append(i)
+            want = sorted(((-len(at), at[0], g) for g, at in seen.items() if len(at) > 1 and any(ord(c) not in silent for c in g)))[:5]
+            assert metrics.repeated_grams(t, n, 5, silent) == [(g, -c, i) for c, i, g in want]
+    df = spark.createDataFrame([(None, "ab ab"), (1, None), (2, "xyxy")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n, r.gram, r["count"], r.first_pos, r["rank"]) for r in metrics.top_char_ngrams(df, "doc_id").collect()), key=str)
+    assert got == sorted([(None, 2, "ab", 2, 0, 1), (2, 2, "xy", 2, 0, 1)], key=str)
+    plan = metrics.top_char_ngrams(df, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1 and "Aggregate" not in plan and "Window" not in plan
+
+
+def test_a_bound_on_similarity_never_errs():
+    rng = random.Random(12)
+    score = metrics.similarity_from(0.82)
+    for _ in range(3000):
+        a = "".join(rng.choices("abcd", k=rng.randint(0, 14)))
+        b = "".join(rng.choices(a or "x", k=rng.randint(0, 14))) if rng.random() < 0.5 else a[: rng.randint(0, 14)] + "ab"
+        q = metrics.sentence_similarity(a, b)
+        assert score(a, b) == q if q >= 0.82 else score(a, b) < 0.82
