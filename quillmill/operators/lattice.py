@@ -17,12 +17,14 @@ _RUN = re.compile(r"[^\W_⺀-鿿가-힯豈-﫿]+")
 
 
 class Lattice:
-    """Words and their weights; ``cut(text)`` gives the text's best path. A path scores the sum of ln(weight / total);
+    """Words and their weights; ``cut(text)`` gives the text's best path. With ``runs`` a run of letters and digits of an
+    alphabetic script may stand whole, as one piece outside the dictionary; without, all scripts are cut alike. A path scores the sum of ln(weight / total);
     a piece outside the dictionary weighs 1. Of equal paths the one whose first word is longer is taken."""
 
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, weights: dict[str, float], runs: bool = True):
         import ahocorasick
 
+        self.runs = runs
         self.total = math.log(max(sum(weights.values()), 1.0))
         self.trie = ahocorasick.Automaton()
         for word, weight in weights.items():
@@ -37,7 +39,7 @@ class Lattice:
             for end, (size, score) in self.trie.iter(text):
                 edges[end - size + 1].append((end + 1, score))
         stop = list(range(1, n + 1))
-        for m in _RUN.finditer(text):
+        for m in _RUN.finditer(text) if self.runs else ():
             stop[m.start() : m.end()] = [m.end()] * (m.end() - m.start())
         best, step = [0.0] * (n + 1), [0] * n
         for i in range(n - 1, -1, -1):
@@ -74,7 +76,7 @@ def weights_of(words: DataFrame | None, names: DataFrame | None, name_weight: fl
 _lattices: dict[str, Lattice] = {}
 
 
-def dictionary_tokens(weights: dict[str, float], sc, least: int = 2) -> Callable[[Column], Column]:
+def dictionary_tokens(weights: dict[str, float], sc, least: int = 2, runs: bool = True) -> Callable[[Column], Column]:
     """A tokenizer over a dictionary, to stand wherever ``segment.tokens`` does: the best path's pieces, lower-cased,
     without those of white space or of fewer than ``least`` characters. Null is an empty list."""
     import uuid
@@ -85,7 +87,7 @@ def dictionary_tokens(weights: dict[str, float], sc, least: int = 2) -> Callable
     def cut(texts: pd.Series) -> pd.Series:
         if key not in _lattices:
             _lattices.clear()
-            _lattices[key] = Lattice(held.value)
+            _lattices[key] = Lattice(held.value, runs)
         lattice = _lattices[key]
         return pd.Series([[w.lower() for w in lattice.cut(t) if len(w) >= least and w.strip()] if t else [] for t in texts])
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmill.operators import overlap, retrieval
+from quillmill.functions import text as X
+from quillmill.operators import lattice, overlap, retrieval
 from quillmill.plans.registry import ORACLE_SQL, _bare, _lines, _paragraphs, _strip, bench_seg, docs, query, read, seg
 
 
@@ -38,6 +39,15 @@ def context_entities(spark, sf_dir):
     return retrieval.entities(contexts(spark, sf_dir), names, "ctx").select("ctx", "name", "freq", "ord")
 
 
+@query()
+def dictionary_cuts(spark, sf_dir):
+    """Benchmark texts without their white space, cut by a dictionary of the words of all documents. Holds no SQL: the
+    best path is tested against brute force."""
+    words = docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("weight"))
+    tokens = lattice.dictionary_tokens(lattice.weights_of(words, None), spark.sparkContext, least=1, runs=False)
+    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(tokens(F.lower(X.compact(F.col("text")))), " ").alias("cut"))
+
+
 _SEARCH = f"""
 {_CARDS},
 q AS (SELECT x.ctx, x.at_, coalesce((SELECT string_agg(name, ' ' ORDER BY ord) FROM e WHERE e.ctx = x.ctx), '') || ' ' || right(text, 150) AS qt FROM x),
@@ -121,8 +131,6 @@ SELECT target, string_agg(line, chr(10) ORDER BY chapter, title) FILTER (up <= 4
 """)
 def prior_summaries(spark, sf_dir):
     """F5, W7."""
-    from quillmill.functions import text as X
-
     b = read(spark, sf_dir, "benchmark")
     s = b.select((F.col("item_id") % 20).cast("int").alias("chapter"), F.concat(F.lit("T"), F.col("item_id").cast("string")).alias("title"), F.left(X.compact(F.col("text")), F.lit(30)).alias("summary"))
     t = spark.range(25).select(F.col("id").alias("target"), F.col("id").cast("int").alias("at"))
