@@ -181,6 +181,7 @@ def search(index: DataFrame, pivots: dict[int, np.ndarray], queries: Column, top
 
 
 def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 10, **kw) -> DataFrame:
-    """Build and search in one call."""
+    """Build and search in one call. Vectors that are null, zero or hold null or non-finite components take no part;
+    ties go to the smaller id; fewer candidates than ``top`` are all given; extra columns are ignored."""
     index, pivots = build_index(vectors, f"{work_dir(vectors.sparkSession)}/index", id_col, vector_col)
     return search(index, pivots, queries, top, **kw)

@@ -208,8 +208,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, one row per input row. A text that is null or holds no letter is
-    ``und`` with score 0; equal odds go to the first language in alphabetical order; repeated rows get equal answers.
-    Columns of those two names are replaced; every other column stays."""
+    ``und`` with score 0; equal odds go to the first language in alphabetical order; repeated rows get equal answers;
+    a text of any length is read whole; an empty table gives no rows. Columns of those two names are replaced; every other column stays."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def guess(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:

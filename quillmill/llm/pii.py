@@ -151,8 +151,8 @@ def fit_votes(counts: list[tuple[tuple, int]], rounds: int = EM_ROUNDS) -> tuple
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """``(id, base, added)``: spans as array<struct<s, o, e, kind>> in order of start, then kind.
 
-    One row per input row. A null text counts as empty and has no spans; ids may be null or repeated; an empty table
-    gives no rows. With ``keep``, the text and those columns of ``docs`` come along as struct ``row``; other columns
+    One row per input row. A null text counts as empty and has no spans; ids may be null or repeated, and
+    repeated rows each get the same spans; a text of any length is searched whole; an empty table gives no rows. With ``keep``, the text and those columns of ``docs`` come along as struct ``row``; other columns
     are ignored.
     """
     root = work_dir(docs.sparkSession)
