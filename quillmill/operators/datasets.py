@@ -117,10 +117,11 @@ def rloo(df: DataFrame, group: str, reward: str) -> DataFrame:
     return df.withColumn("baseline", base).withColumn("advantage", F.col(reward) - F.col("baseline"))
 
 
-def repeated(df: DataFrame, key: str, generations: int, seed: int, batch: int = 1, repeats: int = 1) -> DataFrame:
+def repeated(df: DataFrame, key: str, generations: int, seed: int, batch: int = 1, repeats: int = 1, by: Column | None = None) -> DataFrame:
     """Rows in a seeded order, in batches of ``batch``; each batch ``repeats`` times in a row, each of its rows
-    ``generations`` times in a row; a last batch that isn't full is left out. Adds ``place``, from 0, and ``copy``."""
-    order = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    ``generations`` times in a row; a last batch that isn't full is left out. Adds ``place``, from 0, and ``copy``. The
+    order is by a hash of seed and key, or else by ``by``."""
+    order = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)) if by is None else by)
     at = S.global_index(order, ["_h", key]).withColumn("_i", F.col("index") - 1).drop("index", "_h")
     full = df.agg((F.floor(F.count("*") / batch) * batch).alias("_full"))
     at = at.crossJoin(F.broadcast(full)).where(F.col("_i") < F.col("_full"))  # one row

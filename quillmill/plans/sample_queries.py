@@ -114,6 +114,20 @@ def pending_grid(spark, sf_dir):
     return samples.pending(grid, done, ["model", "anchor", "seed"])
 
 
+@query("""
+WITH g AS (SELECT m AS model, a AS anchor, s AS seed FROM (SELECT DISTINCT role AS m FROM conversations), (SELECT DISTINCT conv_id AS a FROM conversations), unnest([17, 42]) AS z(s))
+SELECT g.model, g.anchor, g.seed::INT AS seed FROM g ANTI JOIN (SELECT role AS model, conv_id AS anchor, CASE WHEN turn < 2 THEN 17 ELSE 42 END AS seed FROM conversations) d USING (model, anchor, seed)
+""")
+def pending_turns(spark, sf_dir):
+    """Z4, J4, F7 over whole conversations: every role, conversation and seed that no turn has done."""
+    c = read(spark, sf_dir, "conversations")
+    done = c.select(F.col("role").alias("model"), F.col("conv_id").alias("anchor"), F.when(F.col("turn") < 2, 17).otherwise(42).alias("seed"))
+    some = c.select(F.col("conv_id").alias("anchor")).distinct()
+    roles = [r["role"] for r in c.select("role").distinct().orderBy("role").collect()]  # a handful of values
+    every = some.select(F.explode(F.array(*map(F.lit, roles))).alias("model"), "anchor").select("model", "anchor", F.explode(F.array(F.lit(17), F.lit(42))).alias("seed"))
+    return samples.pending(every, done, ["model", "anchor", "seed"])
+
+
 _PREFILL = f"""
 s AS (SELECT *, list_transform(string_split_regex(regexp_replace(recent, '{_WS}+$', '', 'g'), '[。！？]'), lambda q: {_strip('q')}) AS p FROM r),
 w AS (SELECT *, CASE WHEN p[-1] <> '' THEN p[-1] WHEN len(p) > 1 THEN p[-2] ELSE '' END AS w0 FROM s),
@@ -231,6 +245,16 @@ def step_labels(spark, sf_dir):
     return t.select("conv_id", shown(tokens).alias("tokens"), shown(labels).alias("labels"), shown(last).alias("last_only"))
 
 
+@query("""
+WITH i AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS i, count(*) OVER () // 4 * 4 AS most FROM labels)
+SELECT doc_id, (((i // 4 * 2 + r) * 4 + i % 4) * 3 + c)::BIGINT AS place, c::INT AS copy FROM i, unnest(range(2)) AS x(r), unnest(range(3)) AS y(c) WHERE i < most
+""")
+def repeat_order(spark, sf_dir):
+    """V11 in an order by md5: every place of every copy."""
+    by = F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string")))
+    return datasets.repeated(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", 3, 42, batch=4, repeats=2, by=by).select("doc_id", "place", F.col("copy").cast("int").alias("copy"))
+
+
 @query("""
 WITH n AS (SELECT count(*) AS n FROM labels)
 SELECT n // 4 * 4 * 3 * 2 AS rows, n // 4 * 4 AS keys, 6 AS copies_each, n // 4 * 4 * 3 * 2 AS places, 0 AS least, n // 4 * 4 * 3 * 2 - 1 AS most, true AS batches_repeat FROM n
