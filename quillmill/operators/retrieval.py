@@ -88,6 +88,11 @@ def idf(tokenised: DataFrame, n_docs: DataFrame) -> DataFrame:
     """``term, df, idf``; negative values become a quarter of the mean of all. ``n_docs`` has one row, ``n``: every card
     counts, hidden or empty ones too, so that what is visible doesn't change the scores."""
     df = tokenised.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return term_weights(df, n_docs)
+
+
+def term_weights(df: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """``term, df, idf`` of ``df(term, df)``, all terms of a corpus."""
     raw = df.crossJoin(F.broadcast(n_docs)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = raw.agg((FLOOR * F.avg("raw")).alias("eps"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("eps")).otherwise(F.col("raw")).alias("idf"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as X
-from quillmill.operators import facts, merging, metrics
+from quillmill.operators import facts, factstore, merging, metrics
 from quillmill.plans.registry import _FACTS, _WS, _strip, docs, query, raw_facts, read, seg
 from quillmill.sources import io
 from quillmill.sources.durable import settle, work_dir
@@ -231,3 +231,28 @@ def risk_points(spark, sf_dir):
     return out.select("risk", X.risk_score(F.col("risk"), 60.0, 20.0).alias("score"), (F.length("risk") * F.lit(7.25)).cast("decimal(10,2)").cast("string").alias("shown"))
 
 
+@query(f"""
+WITH {_FACTS}
+SELECT id, coalesce(min(ord) FILTER (ord % 3 = 0), min(ord) FILTER (ord % 3 = 1), min(ord))::VARCHAR AS created_at, arg_max(struct_pack(v := valid_to), ord % 3 * 1000000000000 + ord).v AS valid_to FROM g GROUP BY id
+""")
+def fact_store(spark, sf_dir):
+    """Facts in three batches into a store of hash buckets, then all that it holds."""
+    good = facts.validate(raw_facts(spark, sf_dir)).where("error is null").drop("error")
+    path, schema = f"{work_dir(spark)}/facts", good.drop("ord").schema
+    for k in range(3):
+        factstore.upsert(path, good.where(F.col("ord") % 3 == k), "ord", schema)
+    return factstore.read(spark, path, schema).select("id", "created_at", "valid_to")
+
+
+@query("""
+WITH s AS (SELECT event_id AS id, 'u' || user_id AS subject, (date_diff('day', DATE '1970-01-01', ts::DATE) - 19000)::INT AS valid_from, event_id % 3 = 0 AS ends FROM events),
+n AS (SELECT subject, valid_from, lead(valid_from) OVER (PARTITION BY subject ORDER BY valid_from) AS next FROM (SELECT DISTINCT subject, valid_from FROM s))
+SELECT id, subject, valid_from, CASE WHEN ends AND (next IS NULL OR valid_from + 2 < next - 1) THEN valid_from + 2 ELSE next - 1 END::INT AS valid_to FROM s JOIN n USING (subject, valid_from)
+""")
+def state_history(spark, sf_dir):
+    """States of subjects in two batches, each closed where the next of its subject begins."""
+    f = raw_facts(spark, sf_dir).select(F.col("ord").alias("id"), F.col("entities")[0].alias("subject"), F.col("chapter").alias("valid_from"), "valid_to")
+    path = f"{work_dir(spark)}/states"
+    for k in (1, 0):
+        factstore.add_states(path, f.where(F.col("id") % 2 == k), "subject", f.schema)
+    return factstore.read(spark, path, f.schema)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmill.functions import segment as S
 from quillmill.functions import text as X
-from quillmill.operators import lattice, overlap, retrieval
+from quillmill.operators import lattice, overlap, retrieval, textindex
 from quillmill.plans.registry import ORACLE_SQL, _bare, _lines, _paragraphs, _strip, bench_seg, docs, query, read, seg
+from quillmill.sources.durable import work_dir
 
 
 def cards(spark, sf_dir):
@@ -48,6 +50,36 @@ def dictionary_cuts(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(tokens(F.lower(X.compact(F.col("text")))), " ").alias("cut"))
 
 
+def stored_index(spark, sf_dir):
+    """All documents in an index of two appends."""
+    path, d = f"{work_dir(spark)}/index", docs(spark, sf_dir)
+    textindex.append(d.where("doc_id % 2 = 0"), path, "doc_id")
+    textindex.append(d.where("doc_id % 2 = 1"), path, "doc_id")
+    return path
+
+
+@query(ORACLE_SQL["bm25_topk"])
+def indexed_topk(spark, sf_dir):
+    """The same result as ``bm25_topk``, from a stored index by blocks whose bound reaches the k-th score."""
+    out = textindex.topk(read(spark, sf_dir, "benchmark"), stored_index(spark, sf_dir), "item_id", 5)
+    return out.select("item_id", F.col("doc").alias("doc_id"), F.round("score", 5).alias("score"), "rank")
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, {_TOKENS.format(t='text')} AS ts FROM documents),
+q AS (SELECT item_id, ts[:3] AS ts FROM (SELECT item_id, {_TOKENS.format(t='text')} AS ts FROM benchmark) WHERE len(ts) >= 3),
+w AS (SELECT doc_id, unnest(range(len(ts) - 2)) AS place, unnest(list_transform(range(len(ts) - 2), lambda i: ts[i + 1] || ' ' || ts[i + 2] || ' ' || ts[i + 3])) AS g FROM t WHERE len(ts) >= 3)
+SELECT item_id, doc_id, place::INT AS place FROM q JOIN w ON array_to_string(ts, ' ') = g
+""")
+def phrase_hits(spark, sf_dir):
+    """Where the first three tokens of each benchmark item follow one another in a document, by stored positions."""
+    asked = read(spark, sf_dir, "benchmark")
+    first = F.slice(S.tokens(F.col("text")), 1, 3)
+    asked = asked.select("item_id", F.array_join(first, " ").alias("text")).where(F.size(first) == 3)
+    out = textindex.phrases(asked, stored_index(spark, sf_dir), "item_id")
+    return out.select("item_id", F.col("doc").alias("doc_id"), F.col("at").cast("int").alias("place"))
+
+
 _SEARCH = f"""
 {_CARDS},
 q AS (SELECT x.ctx, x.at_, coalesce((SELECT string_agg(name, ' ' ORDER BY ord) FROM e WHERE e.ctx = x.ctx), '') || ' ' || right(text, 150) AS qt FROM x),
