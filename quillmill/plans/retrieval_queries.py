@@ -9,6 +9,7 @@ from quillmill.functions import text as X
 from quillmill.operators import lattice, overlap, retrieval, textindex
 from quillmill.plans.registry import ORACLE_SQL, _bare, _lines, _paragraphs, _strip, bench_seg, docs, query, read, seg
 from quillmill.sources.durable import work_dir
+from quillmill.streaming import session
 
 
 def cards(spark, sf_dir):
@@ -220,3 +221,24 @@ f AS (
     JOIN ev ON ev.conv_id = f.conv_id AND ev.n = f.en)))
 SELECT conv_id AS session, array_to_string(kept, chr(10) || chr(10)) AS text, rounds FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1
 """
+
+
+_ACTION = "CASE WHEN turn = 0 THEN 'seed' WHEN turn % 7 = 6 THEN 'save' WHEN turn % 7 = 5 THEN 'reject' WHEN turn % 3 = 2 THEN 'replace' ELSE 'accept' END"
+
+
+@query(f"""
+WITH RECURSIVE ev AS (SELECT conv_id, {_ACTION} AS action, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+f AS (
+  SELECT conv_id, 0::BIGINT AS n, '' AS summary, '' AS tail, '' AS last, 0::BIGINT AS accepted, 0::BIGINT AS saved, 0::BIGINT AS compressed FROM ev WHERE n = 1
+  UNION ALL
+  SELECT conv_id, n, CASE WHEN action = 'seed' THEN '' WHEN long THEN {_strip("summary || chr(10) || '[前情节选] ' || " + _strip("left(left(t, length(t) - 2000), 200)"))} ELSE summary END,
+    CASE WHEN long THEN right(t, 2000) ELSE t END, CASE WHEN action = 'seed' THEN '' WHEN grows THEN text ELSE last END, accepted + (action = 'accept')::BIGINT, saved + (action = 'save')::BIGINT, compressed + long::BIGINT
+  FROM (SELECT *, grows AND length(t) > 4000 AS long FROM (
+    SELECT *, action = 'accept' OR fits AS grows, CASE WHEN action = 'seed' THEN text WHEN action = 'accept' THEN tail || CASE WHEN tail = '' THEN '' ELSE chr(10) END || text WHEN fits THEN left(tail, length(tail) - length(last)) || text ELSE tail END AS t
+    FROM (SELECT f.conv_id, ev.n, ev.action, ev.text, f.summary, f.tail, f.last, f.accepted, f.saved, f.compressed, ev.action = 'replace' AND f.last <> '' AND ends_with(f.tail, f.last) AS fits FROM f JOIN ev ON ev.conv_id = f.conv_id AND ev.n = f.n + 1))))
+SELECT conv_id::VARCHAR AS session, summary, tail, accepted, saved, compressed FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1
+""")
+def session_edits(spark, sf_dir):
+    """Sessions whose log holds every action: seed, accept, replace, reject and save."""
+    c = read(spark, sf_dir, "conversations")
+    return session.fold_sessions(c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.expr(_ACTION).alias("action"), "text"))

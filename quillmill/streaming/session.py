@@ -75,6 +75,7 @@ class Rounds:
     kept: list[str] = field(default_factory=list)
     rounds: int = 0
     over: bool = False
+    chars: int = 0
 
     def seed(self, context: str) -> None:
         self.seen.update(k for k, _ in _paragraphs(context))
@@ -95,8 +96,9 @@ class Rounds:
             self.over = True
         if kept and len(text.strip()) >= SHORT:
             self.kept.append(kept)
+            self.chars += len(kept)
             self.seen.update(keys)
-        if sum(map(len, self.kept)) >= TARGET:
+        if self.chars >= TARGET:
             self.over = True
         return kept if kept and len(text.strip()) >= SHORT else ""
 
@@ -165,6 +167,55 @@ def fold_rounds(rounds: DataFrame, context: DataFrame | None = None) -> DataFram
     return rows.groupBy("session").applyInPandas(run, f"session {dict(rounds.dtypes)['session']}, text string, rounds long")
 
 
+ROUNDS_OUT = "session string, seq long, kept string, rounds long, chars long, over boolean"
+
+
+class RoundProcessor(StatefulProcessor):
+    """Z3 as a stream: a paragraph is one key of a map, so a batch touches only the paragraphs that it holds, whatever the
+    session has seen before. What was seen before the first round comes as the initial state. State doesn't expire."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "key string", "known boolean")
+        self.done = handle.getValueState("done", "rounds long, chars long, over boolean")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for text in initialState["text"]:
+            self.learn(k for k, _ in _paragraphs(text or ""))
+
+    def learn(self, keys) -> None:
+        for k in keys:
+            if len(k) >= SEEN_CHARS:  # shorter ones are never looked up
+                self.seen.updateValue((k,), (True,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rounds, chars, over = self.done.get() if self.done.exists() else (0, 0, False)
+        out = []
+        for seq, text in pd.concat(list(rows)).sort_values("seq")[["seq", "text"]].itertuples(index=False):
+            r = Rounds(rounds=rounds, over=over, chars=chars)
+            parts = [k for k, _ in _paragraphs(text or "")]
+            r.seen = {k for k in parts if len(k) >= SEEN_CHARS and self.seen.containsKey((k,))}
+            before = set(r.seen)
+            kept = r.add(text or "")
+            self.learn(r.seen - before)
+            rounds, chars, over = r.rounds, r.chars, r.over
+            out.append((key[0], seq, kept, rounds, chars, over))
+        self.done.update((rounds, chars, over))
+        yield pd.DataFrame(out, columns=["session", "seq", "kept", "rounds", "chars", "over"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_rounds(rounds: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """Z3, W5 over a stream of ``session, seq, text``: what is kept of every round as it comes, with the counts so far; the
+    kept texts of a session, joined in order, are :func:`fold_rounds`'s text. ``context(session, text)``, a batch table,
+    seeds what was seen before the first round. Rounds of a session must come in order from batch to batch; a null text is
+    an empty round. Needs the RocksDB state store."""
+    rows = rounds.select(F.col("session").cast("string").alias("session"), F.col("seq").cast("long").alias("seq"), "text").groupBy("session")
+    seeds = None if context is None else context.select(F.col("session").cast("string").alias("session"), "text").groupBy("session")
+    return rows.transformWithStateInPandas(RoundProcessor(), ROUNDS_OUT, "Append", "None", seeds)
+
+
 def windowed(events: DataFrame, time: str = "ts", late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """An addition for event streams: counts by type over tumbling windows, late rows up to the watermark."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
