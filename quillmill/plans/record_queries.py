@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text as X
 from quillmill.operators import facts, factstore, merging, metrics
-from quillmill.plans.registry import _FACTS, _WS, _strip, docs, query, raw_facts, read, seg
-from quillmill.sources import io
+from quillmill.plans.registry import _FACTS, _WS, ORACLE_SQL, _strip, docs, query, raw_facts, read, seg
+from quillmill.sources import cardstore, io
 from quillmill.sources.durable import settle, work_dir
 
 
@@ -167,6 +167,16 @@ def entity_card_files(spark, sf_dir):
     return out.select("rel_path", F.md5("content").alias("content_md5"))
 
 
+@query(ORACLE_SQL["entity_card_files"])
+def card_store(spark, sf_dir):
+    """Entity cards as a data source: a version of the facts with even numbers, then one of all, appended; the
+    cards that were written last are read back."""
+    f, root = facts.validate(raw_facts(spark, sf_dir)), f"{work_dir(spark)}/cards"
+    for known in (f.where("ord % 2 = 0"), f):
+        cardstore.save(facts.entity_card_files(facts.entity_cards(known)), root)
+    return cardstore.load(spark, root).select("rel_path", F.md5("content").alias("content_md5"))
+
+
 @query("""
 WITH k AS (SELECT item_id, item_id % 6 AS k, 'see 第三章 and 第' || (item_id % 4 + 1) || '章' || chr(10) || '**别名/称呼**: x、y' || item_id || chr(10) || '## 类型' || chr(10) || '地点' AS t FROM benchmark),
 r AS (SELECT *, CASE k WHEN 0 THEN 'timeline.md' WHEN 1 THEN 'style.md' WHEN 2 THEN 'generated/c/n' || item_id || '.md' WHEN 3 THEN 'n' || item_id || '.md' WHEN 4 THEN 'other/n.md' ELSE '.hidden.md' END AS path, least(3, item_id % 4 + 1) AS first FROM k)
