@@ -42,9 +42,8 @@ def lines(c: Column) -> Column:
 
 def cut_at(c: Column, pattern: str) -> Column:
     """Pieces of a text, each beginning with a match of ``pattern`` but for the first: array<struct<start, piece>>."""
-    heads = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    gaps = F.split(c, pattern, -1)
-    pieces = F.transform(gaps, lambda g, i: F.concat(F.when(i > 0, F.try_element_at(heads, i)).otherwise(F.lit("")), g))
+    heads = F.concat(F.array(F.lit("")), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
+    pieces = F.zip_with(F.split(c, pattern, -1), heads, lambda g, h: F.concat(F.coalesce(h, F.lit("")), g))
     zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,piece:string>>)").alias("out"))
     return F.aggregate(pieces, zero, lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.array_append(s["out"], F.struct(s["at"].alias("start"), p.alias("piece"))).alias("out")), lambda s: s["out"])
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmill.functions import segment as S
+from quillmill.functions import sql
 from quillmill.functions import text as X
 from quillmill.operators import metrics
-from quillmill.plans.registry import _WS, _bare, _lines, _paragraphs, _sentences, _strip, docs, query, read, seg
+from quillmill.plans.registry import ORACLE_SQL, _WS, _bare, _lines, _paragraphs, _sentences, _strip, docs, query, read, seg
 from quillmill.sources import io
 
 _FLAT = _strip(f"regexp_replace(text, '{_WS}+', ' ', 'g')")
@@ -154,6 +155,33 @@ def chapter_splits(spark, sf_dir):
     return one.join(two, ["conv_id", "heading", "body_md5"]).select("conv_id", "by_position", "by_number", "heading", "body_md5")
 
 
+@query(ORACLE_SQL["chapter_splits"])
+def lateral_chapters(spark, sf_dir):
+    """T4, T5 as table functions, in SQL text."""
+    sql.register(spark)
+    return spark.sql(
+        """
+        WITH p AS (SELECT conv_id, c.chapter AS by_position, c.heading, md5(c.body) AS body_md5 FROM {books}, LATERAL chapters_of(text) AS c),
+        n AS (SELECT conv_id, c.chapter AS by_number, c.heading, md5(c.body) AS body_md5 FROM {books}, LATERAL numbered_chapters_of(text) AS c)
+        SELECT conv_id, by_position, by_number, heading, body_md5 FROM p JOIN n USING (conv_id, heading, body_md5)
+        """,
+        books=books(spark, sf_dir),
+    )
+
+
+@query(ORACLE_SQL["chunks"])
+def lateral_chunks(spark, sf_dir):
+    """T7 as a table function, in SQL text: no shuffle."""
+    sql.register(spark)
+    return spark.sql(
+        """
+        SELECT doc_id, c.chunk_number, c.part_number, c.start_char, c.end_char, sha2(c.text, 256) AS text_sha256
+        FROM {docs}, LATERAL chunks_of(text, 1000, 100) AS c
+        """,
+        docs=docs(spark, sf_dir),
+    )
+
+
 @query(f"""
 WITH w AS (SELECT doc_id, text, k FROM documents, unnest(range(0, greatest(0, ceil((length(text) - 3000) / 2800.0))::INT + 1)) AS r(k) WHERE length(text) > 0),
 c AS (SELECT doc_id, k, {_strip('substring(text, k * 2800 + 1, 3000)')} AS t FROM w)
