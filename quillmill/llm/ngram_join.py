@@ -28,8 +28,9 @@ from quillmill.llm.common import bloom_of, connected_components, in_bloom, in_st
 
 #: Buckets of the document-frequency sketch: 4 MB, whatever the input. It orders n-grams; it never decides a link.
 BUCKETS, SLICE = 1 << 20, 1 << 12
-#: N-grams that a chunk of a component may hold where links are counted; a tile has two chunks.
-CHUNK_NGRAMS = 500_000
+#: N-grams, and sets, that a chunk of a component may hold where links are counted; a tile has two chunks, and a number
+#: for each of its pairs of sets.
+CHUNK_NGRAMS, CHUNK_SETS = 500_000, 4096
 #: Fragments of the global order; the last one holds the n-grams moved to the end. Hash classes, by whose counts a pair
 #: is bounded before its segments are fetched.
 FRAGMENTS, CLASSES = 8, 256
@@ -317,8 +318,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _degrees(member: DataFrame, segments: DataFrame, num: int, den: int, chunk_ngrams: int) -> DataFrame:
     """``(s1, others)``: the rows of other sets that each set is linked to. A component's sets are dealt to chunks of
-    about ``chunk_ngrams`` n-grams, and every pair of chunks is a tile."""
-    chunks = member.groupBy("component").agg(F.ceil(F.sum("size") / chunk_ngrams).cast("int").alias("k"))
+    about ``chunk_ngrams`` n-grams or ``CHUNK_SETS`` sets, whichever comes first, and every pair of chunks is a tile."""
+    k = F.greatest(F.ceil(F.sum("size") / chunk_ngrams), F.ceil(F.count("*") / CHUNK_SETS))
+    chunks = member.groupBy("component").agg(k.cast("int").alias("k"))
     tile = lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j"), F.when(F.col("c") <= j, 0).otherwise(1).alias("side"))
     tiles = member.join(chunks, "component").withColumn("c", F.pmod(F.xxhash64("s1"), F.col("k")).cast("int"))
     tiles = tiles.select("s1", "size", "copies", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), tile)).alias("t")).select("s1", "size", "copies", "component", "t.*")

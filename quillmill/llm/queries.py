@@ -112,6 +112,8 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.m AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) c ON c.a = d.doc_id
 """
 
+LINKS_SQL = OP1_SQL.replace("c.m AS component_id\n", "c.m AS component_id, coalesce(l.n, 0)::BIGINT AS n_links\n") + "LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = d.doc_id\n"
+
 OP4_SQL = rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 34], ' ')) AS h FROM w, unnest(range(1, len(ws) - 33)) AS r(i) WHERE len(ws) >= 35),
@@ -219,4 +221,4 @@ o AS (
 SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o QUALIFY part = 'pair' OR rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op11_resampling": RESAMPLING_SQL, "op12_divergence": DIVERGENCE_SQL, "op1_ngram_join": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op8_embedding_dedup": OP8_SQL, "op9_mixing": MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_resampling": RESAMPLING_SQL, "op12_divergence": DIVERGENCE_SQL, "op1_ngram_join": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op8_embedding_dedup": OP8_SQL, "op9_mixing": MIX_SQL, "ngram_links": LINKS_SQL}

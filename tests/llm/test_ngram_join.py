@@ -82,6 +82,30 @@ def test_links_are_counted_inside_components(spark):
     assert {r.id: r.n_links for r in out} == want and len(out) == len(rows)
 
 
+def test_tiles_are_bounded_by_sets_too(spark, monkeypatch):
+    """Many sets of few n-grams in one component: no tile holds more pairs than two chunks of sets have."""
+    from quillmill.llm import ngram_join
+
+    base = " ".join(f"b{i}" for i in range(40))
+    rows = [(i, f"{base} end{i}") for i in range(300)] + [(900, "apart from all of them")]
+    monkeypatch.setattr(ngram_join, "CHUNK_SETS", 20)
+    held, count = spark.sparkContext.accumulator(0), ngram_join._count_links
+
+    def watched(num, den):
+        inner = count(num, den)
+
+        def run(t):
+            held.add(int(len(set(t.column("s1").to_pylist())) > 100))
+            return inner(t)
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "_count_links", watched)
+    out = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), count_links=True).collect()
+    assert {r.id: r.n_links for r in out} == {i: 299 for i in range(300)} | {900: 0}
+    assert held.value == 0
+
+
 def test_a_low_threshold_reaches_far_larger_partners(spark):
     words = [f"u{i}" for i in range(144)]
     rows = [(1, " ".join(words)), (2, " ".join(words[:104])), (3, " ".join(words[:76])), (4, "else " * 9)]
