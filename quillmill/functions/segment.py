@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import NUMERAL, chapter_number, chinese_int, strip
+from quillmill.sources.durable import settle, work_dir
 
 # ---- fixed values
 ENDERS = "。！？!?；;"
@@ -15,6 +16,8 @@ CLOSERS = r"”’」』\"'\)\]）】》"
 _DOT = r"(?<![0-9])\.|\.(?![0-9])"
 SENTENCE = rf"(?s).*?(?:[{ENDERS}]|{_DOT}|…++(?=\s|[{CLOSERS}]|[{ENDERS}.]|$))(?:…++|[{ENDERS}]|{_DOT})*+[{CLOSERS}]*+\s*+|(?s).+$"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"
+#: Bits of a row's place below those of its part, in monotonically_increasing_id.
+PLACE_BITS = 33
 HEADING = rf"(?im)^[ \t]*(?:第[ \t]*[{NUMERAL}]{{1,8}}[ \t]*(?:章|章节|节|卷|回)|Chapter[ \t]+[0-9]{{1,8}})[^\r\n]{{0,80}}$"
 
 
@@ -116,12 +119,15 @@ def chunks(docs: DataFrame, key: list[str], text: str = "text", size: int = 3000
 
 
 def global_index(chunked: DataFrame, order: list[str]) -> DataFrame:
-    """``index`` from 1 in path and chunk order, by counts of range parts: no single task holds all rows."""
-    parts = chunked.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    before = parts.groupBy("_part").count()
+    """``index`` from 1 in path and chunk order, by counts of range parts: no single task holds all rows. Each row's
+    part and place are written with it, since a plan run twice, for counts and for rows, may cut its parts elsewhere."""
+    spark = chunked.sparkSession
+    placed = chunked.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = settle(placed, f"{work_dir(spark)}/placed").withColumn("_part", F.shiftright("_at", PLACE_BITS))
+    before = placed.groupBy("_part").count()
     before = before.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.withColumn("_in", inside).join(before, "_part").withColumn("index", F.col("_before") + F.col("_in")).drop("_part", "_before", "_in")
+    inside = F.col("_at") - F.shiftleft("_part", PLACE_BITS) + 1
+    return placed.join(F.broadcast(before), "_part").withColumn("index", F.col("_before") + inside).drop("_at", "_part", "_before")  # a row a part
 
 
 def split_cards(docs: DataFrame, text: str = "text") -> DataFrame:
