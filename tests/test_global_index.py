@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import segment as S
+from quillmill.operators import datasets, samples
 
 
 @pytest.fixture
@@ -30,6 +31,15 @@ def test_no_row_is_lost_and_indexes_follow_the_order(spark, small_parts):
     assert len({r.body for r in got}) == 400
 
 
+def test_its_users(spark, small_parts):
+    two = rows(spark).withColumn("sample_id", F.col("k").cast("string"))
+    lab = two.select("sample_id", F.lit("main").alias("source_section"), F.lit(1.0).alias("source_section_confidence"), F.lit("mixed").alias("content_sensitivity"), F.lit(0.5).alias("content_sensitivity_confidence"))
+    got = samples.merge_samples(rows(spark), two, lab, ("k", "k")).select("merged_sample_id", "source_book", "k").collect()
+    assert sorted((r.merged_sample_id, r.k + 400 * (r.source_book == "novel2")) for r in got) == [(f"merged_{i:06d}", i) for i in range(1, 801)]
+    places = [r.place for r in datasets.repeated(rows(spark), "k", 2, 7).collect()]
+    assert sorted(places) == list(range(800))
+
+
 def test_ties_and_no_rows(spark):
     none = spark.createDataFrame([], "k long, v string")
     assert S.global_index(none, ["k"]).collect() == []
