@@ -196,7 +196,7 @@ def reward_rows(spark, sf_dir):
 
 def labelled(spark, sf_dir):
     t = read(spark, sf_dir, "conversations")
-    pairs = t.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("role").alias("prompt"), F.left("text", F.lit(20)).alias("chosen"), F.right("text", F.lit(20)).alias("rejected"))
+    pairs = t.select(F.struct((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "conv_id").alias("id"), F.col("role").alias("prompt"), F.left("text", F.lit(20)).alias("chosen"), F.right("text", F.lit(20)).alias("rejected"))
     return datasets.unpaired(pairs)
 
 
@@ -213,8 +213,8 @@ def mispaired_rows(spark, sf_dir):
     """V5."""
     from quillmill.functions.segment import global_index
 
-    rows = global_index(labelled(spark, sf_dir).withColumn("_d", ~F.col("label")), ["id", "_d"]).withColumnRenamed("index", "ord")
-    return datasets.mispaired(rows, 6).select("id", "label", "completion", "kl_completion")
+    rows = global_index(labelled(spark, sf_dir).withColumn("_d", ~F.col("label")), ["id.id", "_d", "id.conv_id"]).withColumnRenamed("index", "ord")
+    return datasets.mispaired(rows, 6).select("id.id", "label", "completion", "kl_completion")
 
 
 @query("""
