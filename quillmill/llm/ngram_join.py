@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import bloom_of, connected_components, in_bloom, in_steps, mix, settle, shingle_hashes, tidy, word_hashes, work_dir
+from quillmill.llm.common import bloom_of, connected_components, in_bloom, in_steps, mix, release_driver, settle, shingle_hashes, tidy, word_hashes, work_dir
 
 #: Buckets of the document-frequency sketch: 4 MB, whatever the input. It orders n-grams; it never decides a link.
 BUCKETS, SLICE = 1 << 20, 1 << 12
@@ -250,6 +250,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     root = work_dir(spark)
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    # the driver hands back its memory after each step: what its share of thousands of tasks leaves adds up otherwise
     found = settle(base.mapInArrow(tidy(_profile(n)), "id long, key long, size long, s1 long, s2 long, slice int, counts binary"), f"{root}/profile")
     counts = np.zeros(BUCKETS, np.int64)
     slices = found.where("slice is not null").select("slice", "counts")
@@ -257,6 +258,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] += np.frombuffer(r["counts"], np.uint32)
     rank = np.minimum(127, 4 * np.log2(counts + 1)).astype(np.uint8)
     ranks, bounds = spark.sparkContext.broadcast(rank), fragment_bounds(counts, rank, FRAGMENTS)
+    release_driver(spark)
 
     sized = found.where("slice is null").select("id", "key", "size", "s1", "s2")
     classes = sized.where("size > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.min("size").alias("size"), F.count("*").alias("copies"))
@@ -266,28 +268,33 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = some.mapInArrow(tidy(_prefixes(n, num, den, ranks)), schema).groupBy("gram").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"))
     demoted = spark.sparkContext.broadcast(bloom_of(first.where("lo <> hi").select(F.col("gram").alias("key"))))
     grams = settle(some.mapInArrow(tidy(_prefixes(n, num, den, ranks, demoted)), schema), f"{root}/prefixes")
+    release_driver(spark)
     shared = grams.groupBy("gram").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.max("far").alias("most"), F.min("size").alias("least"))
     shared = settle(shared.where("lo <> hi and most >= least").select("gram", "most", "least"), f"{root}/shared")
     asked = spark.sparkContext.broadcast(bloom_of(shared.select(F.col("gram").alias("key"))))
     live = grams.mapInArrow(tidy(_only(asked, "gram")), schema).join(shared, "gram")
     live = settle(live.where("far >= least and size <= most").select("gram", "s1", "size", "far").distinct(), f"{root}/live")
+    release_driver(spark)
 
     reps = classes.select("s1", "rep").join(live.select("s1").distinct(), "s1", "left_semi")
     wanted = spark.sparkContext.broadcast(bloom_of(reps.select(F.col("rep").alias("key"))))
     segments = settle(some.mapInArrow(tidy(_segments(n, ranks, demoted, bounds, wanted)), "s1 long, fragment int, grams array<long>"), f"{root}/segments")
     for held in (demoted, asked, wanted):
         held.unpersist()
+    release_driver(spark)
     may = lambda x, y: (F.col(f"{x}far") >= F.col(f"{y}size")) & (F.col(f"{y}far") >= F.col(f"{x}size")) & (den * F.least(f"{x}size", f"{y}size") >= num * F.greatest(f"{x}size", f"{y}size"))
     # first round: each set and its hub
     hub = live.groupBy("gram").agg(F.max(F.struct((F.col("far") / F.col("size")).alias("far_share"), "s1", "size", "far")).alias("h")).select("gram", F.col("h.s1").alias("h1"), F.col("h.size").alias("hsize"), F.col("h.far").alias("hfar"))
     met = live.join(hub, "gram").where((F.col("s1") != F.col("h1")) & may("", "h")).groupBy("s1", "size", "h1", "hsize").count()
     best = met.groupBy("s1", "size").agg(F.max(F.struct("count", "h1", "hsize")).alias("b"))
     links = _links(best.select(F.col("s1").alias("a"), F.col("b.h1").alias("b"), F.col("size").alias("size_a"), F.col("b.hsize").alias("size_b")), segments, num, den, f"{root}/links1")
+    release_driver(spark)
     joined = settle(connected_components(links, f"{root}/cc1"), f"{root}/joined1")
     # second round: pairs across components, in postings that hold several
     placed = live.join(joined.withColumnRenamed("node", "s1"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
     in_gram = placed.groupBy("gram", "component").count().groupBy("gram").agg(F.max(F.struct("count", "component")).alias("m"), F.count("*").alias("k")).where("k > 1")
     placed = settle(placed.join(in_gram.select("gram", F.col("m.component").alias("major")), "gram"), f"{root}/placed")
+    release_driver(spark)
     classed = segments.where("fragment = -1").select("s1", F.col("grams").alias("per_class")).dropDuplicates(["s1"])
     placed = placed.join(classed, "s1")
     minor = placed.where("component <> major").select("gram", *[F.col(c).alias(f"x{c}") for c in ("s1", "size", "far", "component", "per_class")])
@@ -297,6 +304,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lower = F.col("s1") < F.col("xs1")
     pairs = met.select(F.least("s1", "xs1").alias("a"), F.greatest("s1", "xs1").alias("b"), F.when(lower, F.col("size")).otherwise(F.col("xsize")).alias("size_a"), F.when(lower, F.col("xsize")).otherwise(F.col("size")).alias("size_b")).distinct()
     links = _links(settle(pairs, f"{root}/pairs2"), segments, num, den, f"{root}/links2")
+    release_driver(spark)
     if not links.isEmpty():
         end = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
         over = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))

@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from quillmill.llm import ngram_join
 from quillmill.llm.ngram_join import ngram_jaccard_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -135,3 +136,11 @@ def test_near_copies_that_need_the_second_round(spark):
         rows.append((i, " ".join(w[rng.choice([0, 0, 10]) :])))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert {tuple(r) for r in ngram_jaccard_join(df, n=4, num=85, den=100).collect()} == brute(rows, 4, 85, 100)
+
+
+def test_the_driver_hands_back_memory_between_steps(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(ngram_join, "release_driver", calls.append)
+    docs = spark.createDataFrame([(i, "a b c d e f g h " + "x" * (i % 2)) for i in range(4)], "doc_id long, text string")
+    assert ngram_join.ngram_jaccard_join(docs).count() == 4
+    assert len(calls) >= 7
