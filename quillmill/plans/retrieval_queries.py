@@ -47,8 +47,8 @@ def dictionary_cuts(spark, sf_dir):
     """Benchmark texts without their white space, cut by a dictionary of the words of all documents. Holds no SQL: the
     best path is tested against brute force."""
     words = docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("weight"))
-    tokens = lattice.dictionary_tokens(lattice.weights_of(words, None), spark.sparkContext, least=1, runs=False)
-    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(tokens(F.lower(X.compact(F.col("text")))), " ").alias("cut"))
+    asked = read(spark, sf_dir, "benchmark").select("item_id", F.lower(X.compact(F.col("text"))).alias("text"))
+    return lattice.cut_texts(asked, "text", words, least=1, runs=False).select("item_id", F.array_join("tokens", " ").alias("cut"))
 
 
 def stored_index(spark, sf_dir):
