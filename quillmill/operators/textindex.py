@@ -51,11 +51,13 @@ def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
-def _commit(postings: DataFrame, terms: DataFrame, stats: DataFrame, folder: str) -> None:
-    """``stats`` last, as the sign that all is there. Postings lie in order of terms, so a reader skips row groups."""
+def _commit(postings: DataFrame, terms: Callable[[DataFrame], DataFrame], stats: DataFrame, folder: str) -> None:
+    """``stats`` last, as the sign that all is there. ``postings`` are dealt by block; a file has them in order of terms, so
+    a reader skips row groups. ``terms`` makes the terms, from the postings as written if it likes."""
     opts = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "true", "compression": "zstd"}
-    postings.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").options(**opts).parquet(f"{folder}/postings")
-    terms.write.mode("overwrite").options(**opts).parquet(f"{folder}/terms")
+    postings.sortWithinPartitions("term", "block").write.mode("overwrite").options(**opts).parquet(f"{folder}/postings")
+    posts = postings.sparkSession.read.schema(postings.schema).parquet(f"{folder}/postings")
+    terms(posts).write.mode("overwrite").options(**opts).parquet(f"{folder}/terms")
     stats.write.mode("overwrite").options(**opts).parquet(f"{folder}/stats")
 
 
@@ -74,9 +76,8 @@ def append(docs: DataFrame, path: str, doc: str, text: str = "text", tokens: Tok
     one = each.groupBy("block", "term", "doc").agg(F.count("*").cast("int").alias("tf"), F.first("len").alias("len"), F.array_sort(F.collect_list("pos")).alias("at"))
     post = F.struct("doc", "tf", "len", "at")
     rows = one.groupBy("block", "term").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.array_sort(F.collect_list(post)).alias("posts"))
-    posts = settle(rows, f"{work}/postings")
     stats = held.agg(F.count("*").alias("docs"), F.count("tokens").alias("texts"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("total"))
-    _commit(posts, posts.groupBy("term").agg(F.sum("n").alias("df")), stats, folder)
+    _commit(rows, lambda posts: posts.groupBy("term").agg(F.sum("n").alias("df")), stats, folder)
     discard(spark, work)
     return folder
 
@@ -89,7 +90,7 @@ def compact(spark: SparkSession, path: str) -> None:
         return
     terms = _table(spark, path, "terms").groupBy("term").agg(F.sum("df").alias("df"))
     stats = _table(spark, path, "stats").agg(*[F.sum(c).alias(c) for c in ("docs", "texts", "total")])
-    _commit(_table(spark, path, "postings"), terms, stats, f"{path.rstrip('/')}/segment={old[0][0]}-{old[-1][1]}")
+    _commit(_table(spark, path, "postings").repartition("block"), lambda _: terms, stats, f"{path.rstrip('/')}/segment={old[0][0]}-{old[-1][1]}")
     for _, _, folder in old:
         discard(spark, folder)
 
@@ -104,6 +105,9 @@ def searched(queries: DataFrame, path: str, query: str, k: int, text: str = "tex
 
     A block's bound is the sum of its terms' bounds. Each query scores its ``first`` best blocks; the k-th score there is
     a floor, and of the other blocks only those whose bound reaches it are scored. Queries with the same id are one.
+
+    Postings of asked terms are dealt by block, so that a block's bounds and scores are summed where it lies (as long as the
+    asked terms are broadcast), and a task hands on the best ``k`` of a query alone.
     """
     spark, work = queries.sparkSession, work_dir(queries.sparkSession)
     total = _table(spark, path, "stats").agg(F.sum("docs").alias("n"), F.try_divide(F.sum("total"), F.sum("texts")).alias("avgdl"))
@@ -111,21 +115,26 @@ def searched(queries: DataFrame, path: str, query: str, k: int, text: str = "tex
     asked = queries.select(query, F.explode(tokens(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qf"))
     weighed = asked.join(term_weights(df, total.select("n")), "term").crossJoin(F.broadcast(total.select("avgdl")))  # one row
     asked = settle(weighed.select(query, "term", "qf", "idf", "avgdl"), f"{work}/asked")
-    posts = _table(spark, path, "postings")
-    heads = posts.select("term", "block", "max_tf", "min_len").join(asked, "term")
+    posts = _table(spark, path, "postings").join(asked.select("term").distinct(), "term", "left_semi")
+    heads = posts.select("term", "block", "max_tf", "min_len").repartition("block").join(asked, "term")
     bound = F.sum(F.greatest(_part(F.col("max_tf"), F.col("min_len")), F.lit(0.0)))
     bounds = settle(heads.groupBy(query, "block").agg(bound.alias("bound")).where("bound > 0"), f"{work}/bounds")
+    best = Window.partitionBy(query).orderBy(F.desc("score"), "doc")
+    top = lambda s: s.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
-    def scores(blocks: DataFrame, name: str) -> DataFrame:
-        met = posts.select("term", "block", "posts.doc", "posts.tf", "posts.len").join(asked.join(blocks.select(query, "block"), query), ["term", "block"])
-        each = met.select(query, "qf", "idf", "avgdl", F.explode(F.arrays_zip("doc", "tf", "len")).alias("p")).select("*", "p.*")
-        return settle(each.groupBy(query, "doc").agg(F.round(F.sum(_part(F.col("tf"), F.col("len"))), 9).alias("score")).where("score > 0"), f"{work}/{name}")
+    def scores(blocks: DataFrame, name: str, few: bool = False) -> DataFrame:
+        """The best ``k`` documents of each query in its blocks; few ones are picked out before postings are dealt."""
+        asking = blocks.groupBy("block").agg(F.collect_list(query).alias("asking"))
+        some = posts.select("term", "block", "posts.doc", "posts.tf", "posts.len")
+        some = some.join(F.broadcast(asking.select("block")), "block", "left_semi") if few else some
+        met = some.repartition("block").join(asking, "block").join(asked, "term").where(F.array_contains("asking", F.col(query)))
+        each = met.select("block", query, "qf", "idf", "avgdl", F.explode(F.arrays_zip("doc", "tf", "len")).alias("p")).select("*", "p.*")
+        sums = each.groupBy("block", query, "doc").agg(F.round(F.sum(_part(F.col("tf"), F.col("len"))), 9).alias("score")).where("score > 0")
+        return settle(top(sums.select(query, "doc", "score")).drop("rank"), f"{work}/{name}")
 
     by = Window.partitionBy(query).orderBy(F.desc("bound"), "block")
     early = settle(bounds.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= first).select(query, "block"), f"{work}/early")
-    best = Window.partitionBy(query).orderBy(F.desc("score"), "doc")
-    top = lambda s: s.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    head = scores(early, "first")
+    head = scores(early, "first", few=True)
     floor = top(head).where(F.col("rank") == k).select(query, F.col("score").alias("floor"))
     marked = bounds.join(early.withColumn("early", F.lit(True)), [query, "block"], "left").join(floor, query, "left")
     reach = F.col("floor").isNull() | (F.col("bound") + SLACK >= F.col("floor"))

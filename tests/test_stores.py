@@ -163,3 +163,30 @@ def test_states_close_where_the_next_begins(spark, tmp_path):
     factstore.add_states(path, spark.createDataFrame(second, schema), "subject", schema)
     got = {(r.id, r.mood, r.valid_from, r.valid_to) for r in factstore.read(spark, path, schema).collect()}
     assert got == {("a1", "calm", 1, 4), ("a2", "sad", 5, 8), ("a3", "angry", 9, None), ("b1", "shy", 2, 3), ("b2", "bold", 4, None), ("b3", "glad", 4, 7), ("n", "lost", 3, None), ("u", "vague", None, None)}
+
+
+def test_a_task_hands_on_only_the_best_of_a_query(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/ix"
+    frame = spark.createDataFrame([(i, f"w0 w{i % 7} w{i % 11}") for i in range(3000)], "doc_id long, text string")
+    textindex.append(frame, path, "doc_id")
+    kept = {}
+
+    def settle(df, at):
+        kept[at.rsplit("/", 1)[1]] = df
+        return textindex_settle(df, at)
+
+    textindex_settle = textindex.settle
+    monkeypatch.setattr(textindex, "settle", settle)
+    got = textindex.topk(spark.createDataFrame([(q, f"w{q} w3") for q in range(5)], "q long, text string"), path, "q", 4).collect()
+    assert len(got) == 20
+    for name in ("first", "rest"):
+        assert kept[name].groupBy("q").count().where("count > 4").isEmpty()
+        plan = kept[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "WindowGroupLimit" in plan
+
+
+def test_the_postings_of_a_block_are_in_one_file(spark, tmp_path):
+    path = f"file://{tmp_path}/ix"
+    folder = textindex.append(spark.createDataFrame(texts(7, 1000), DOC), path, "doc_id")
+    files = spark.read.parquet(f"{folder}/postings").select("block", F.input_file_name().alias("file")).distinct().groupBy("block").agg(F.count("*").alias("n"))
+    assert files.where("n > 1").isEmpty() and files.count() >= 1000 // textindex.DOCS_PER_BLOCK
