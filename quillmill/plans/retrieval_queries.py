@@ -8,7 +8,7 @@ from quillmill.functions import segment as S
 from quillmill.functions import text as X
 from quillmill.operators import lattice, overlap, retrieval, textindex
 from quillmill.plans.registry import ORACLE_SQL, _bare, _lines, _paragraphs, _strip, bench_seg, docs, query, read, seg
-from quillmill.sources.durable import work_dir
+from quillmill.sources.durable import settle, work_dir
 from quillmill.streaming import session
 
 
@@ -100,9 +100,10 @@ h AS (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY tier, prio, ord, sc
 
 def found(spark, sf_dir, k):
     ctx, c = contexts(spark, sf_dir), cards(spark, sf_dir)
-    names = retrieval.entities(ctx, c.select(F.col("source").alias("name")), "ctx")
+    names = settle(retrieval.entities(ctx, c.select(F.col("source").alias("name")), "ctx"), f"{work_dir(spark)}/names")
     listed = names.groupBy("ctx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), " ").alias("names"))
-    asked = ctx.join(listed, "ctx", "left").select("ctx", F.concat_ws(" ", F.coalesce("names", F.lit("")), F.right("text", F.lit(150))).alias("text"), "at")
+    end = ctx.select("ctx", F.right("text", F.lit(150)).alias("end"), "at")
+    asked = end.join(listed, "ctx", "left").select("ctx", F.concat_ws(" ", F.coalesce("names", F.lit("")), "end").alias("text"), "at")
     return retrieval.search_cards(asked, names, c, "ctx", k)
 
 
