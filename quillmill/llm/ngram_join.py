@@ -31,6 +31,9 @@ BUCKETS, SLICE = 1 << 20, 1 << 12
 #: N-grams, and sets, that a chunk of a component may hold where links are counted; a tile has two chunks, and a number
 #: for each of its pairs of sets.
 CHUNK_NGRAMS, CHUNK_SETS = 500_000, 4096
+#: An n-gram whose pairs of sets are at most one in so many of a tile's is counted pair by pair, the others by products of
+#: matrices; and pairs that are counted at once.
+DENSE, PAIRS = 250, 2_000_000
 #: Fragments of the global order; the last one holds the n-grams moved to the end. Hash classes, by whose counts a pair
 #: is bounded before its segments are fetched.
 FRAGMENTS, CLASSES = 8, 256
@@ -188,6 +191,21 @@ def _links(pairs: DataFrame, segments: DataFrame, num: int, den: int, path: str)
     return settle(total.where((num + den) * F.col("n") >= num * (F.col("size_a") + F.col("size_b"))).select("a", "b"), path)
 
 
+def _add_pairs(total: np.ndarray, at: np.ndarray, row: np.ndarray, column: np.ndarray, is_left: np.ndarray, is_right: np.ndarray, rights: np.ndarray, some: np.ndarray) -> None:
+    """Adds one to ``total`` for each pair of sets that hold one of ``some`` n-grams, a bounded number of pairs at a time.
+    ``at`` are the n-grams, ascending, ``rights`` how many sets of the right side hold each."""
+    gram, own = at[m := is_left & some[at]], row[m]
+    other, start = column[is_right], np.cumsum(rights) - rights
+    end, flat = np.cumsum(rights[gram]), total.reshape(-1)
+    a = 0
+    while a < len(gram):
+        b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + PAIRS, "right")))
+        n = rights[gram[a:b]]
+        met = np.repeat(start[gram[a:b]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        np.add.at(flat, np.repeat(own[a:b], n) * total.shape[1] + other[met], np.float32(1))
+        a = b
+
+
 def _count_links(num: int, den: int):
     """Rows that each set of a tile is linked to in the tile's other chunk (or its own), by overlaps summed over
     fragments."""
@@ -199,7 +217,7 @@ def _count_links(num: int, den: int):
         size, copies, side = (t.column(c).to_numpy()[first] for c in ("size", "copies", "side"))
         left = np.arange(len(sets)) if own else np.flatnonzero(side == 0)
         right = left if own else np.flatnonzero(side == 1)
-        place = np.empty(len(sets), np.int64)
+        place = np.full(len(sets), -1, np.int64)
         place[right] = np.arange(len(right))
         from_left = np.full(len(sets), -1, np.int64)
         from_left[left] = np.arange(len(left))
@@ -210,19 +228,23 @@ def _count_links(num: int, den: int):
             lists = part.column("grams").combine_chunks()
             grams = lists.flatten().to_numpy()
             holder = np.repeat(row[fragment == f], np.diff(lists.offsets.to_numpy()))
-            pair = np.unique(np.stack((grams, holder)), axis=1)  # a row of docs may repeat
-            grams, holder = pair
-            _, inv, n = np.unique(grams, return_inverse=True, return_counts=True)
-            inv, holder = inv[n[inv] > 1], holder[n[inv] > 1]
-            at = np.unique(inv, return_inverse=True)[1]
-            for k in range(0, int(at.max()) + 1 if len(at) else 0, 4096):
+            order = np.lexsort((holder, grams))
+            grams, holder = grams[order], holder[order]
+            new = np.concatenate(([True], (grams[1:] != grams[:-1]) | (holder[1:] != holder[:-1])))  # a row of docs may repeat
+            grams, holder = grams[new], holder[new]
+            at = np.cumsum(np.concatenate(([0], grams[1:] != grams[:-1])))
+            is_left, is_right = from_left[holder] >= 0, place[holder] >= 0
+            kinds = int(at[-1]) + 1
+            lefts, rights = np.bincount(at[is_left], minlength=kinds), np.bincount(at[is_right], minlength=kinds)
+            both = lefts * rights
+            _add_pairs(total, at, from_left[holder], place[holder], is_left, is_right, rights, (both > 0) & (both * DENSE <= total.size))
+            often = both * DENSE > total.size
+            at, holder, is_left, is_right = ((np.cumsum(often) - 1)[at[often[at]]], *(x[often[at]] for x in (holder, is_left, is_right)))
+            for k in range(0, int(often.sum()), 4096):
                 now = (at >= k) & (at < k + 4096)
-                g, h = at[now] - k, holder[now]
                 x, y = np.zeros((len(left), 4096), np.float32), np.zeros((len(right), 4096), np.float32)
-                is_left = from_left[h] >= 0
-                x[from_left[h[is_left]], g[is_left]] = 1
-                is_right = np.isin(h, right)
-                y[place[h[is_right]], g[is_right]] = 1
+                x[from_left[holder[now & is_left]], at[now & is_left] - k] = 1
+                y[place[holder[now & is_right]], at[now & is_right] - k] = 1
                 total += x @ y.T
         hit = (num + den) * total.astype(np.int64) >= num * (size[left][:, None] + size[right][None, :])
         if own:
