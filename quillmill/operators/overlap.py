@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.functions import segment as S
 from quillmill.functions import text as X
-from quillmill.operators.blocks import tasks
+from quillmill.operators.blocks import spread, tasks
 from quillmill.operators.commonsub import gram_counts, longest_common
 from quillmill.operators.metrics import pair_score
 from quillmill.operators.nearjoin import near_best
@@ -24,11 +25,16 @@ def items(seg: DataFrame, key: str, column: str = "sentences", least: int = MIN_
     """``key, pos, raw, exact, norm, visible`` of pieces with ``least`` effective characters."""
     # made before the rows are, so that a condition on norm doesn't make it twice
     made = F.transform(column, lambda s: F.struct(s.alias("raw"), X.compact(s).alias("exact")))
-    made = F.transform(made, lambda s: F.struct(s["raw"].alias("raw"), s["exact"].alias("exact"), F.lower(F.translate(s["exact"], X.PUNCT, "")).alias("norm")))
+    made = F.transform(made, lambda s: F.struct(s["raw"].alias("raw"), s["exact"].alias("exact"), X.bare_lower(s["exact"]).alias("norm")))
     out = seg.select(key, F.posexplode(made).alias("pos", "_s")).select(key, "pos", "_s.*")
     return out.where(F.length("norm") >= least).withColumn("visible", F.length("exact"))
 
 
+def plain_items(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """:func:`items` of sentences as the SQL of J1 and J2 cuts them."""
+    return items(spread(docs.select(key, text)).select(key, S.plain_sentences(F.col(text)).alias("sentences")), key)
+
+
 def sentence_overlap(cand: DataFrame, ref: DataFrame, key: str, pair: bool, column: str) -> DataFrame:
     """J1 (column exact) or J2 (column norm): ``key, total, matched, ratio`` of every candidate with an item."""
     out = sentence_overlaps(cand, ref, key, pair, (column,))
